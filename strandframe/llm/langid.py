@@ -219,8 +219,12 @@ def train(df: DataFrame, vocab_path: str, learn: Column, id_col: str = "doc_id",
     return LanguageModel(languages, share / share.sum(), pieces, p)
 
 
-def predict(df: DataFrame, model: LanguageModel, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """id_col, lang_pred and score of every row, from its text alone, in a map without a shuffle."""
+def predict(df: DataFrame, model: LanguageModel, id_col: str = "doc_id", text_col: str = "text", carry: tuple[str, ...] = ()) -> DataFrame:
+    """id_col, lang_pred and score of every row, from its text alone, in a map without a shuffle.
+
+    The columns named in carry come along unchanged; none of them may be named lang_pred or score.
+    """
+    more = [f"carried_{i}" for i in range(len(carry))]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         finder = _finder(tuple(model.pieces))
@@ -245,10 +249,12 @@ def predict(df: DataFrame, model: LanguageModel, id_col: str = "doc_id", text_co
                 odds = 1 / np.exp(log - log.max(axis=1, keepdims=True)).sum(axis=1)
                 for i in np.flatnonzero(has):
                     lang[i], score[i] = model.languages[best[i]], odds[i]
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(lang), pa.array(np.minimum(score, 1.0))], names=["id", "lang_pred", "score"])
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(lang), pa.array(np.minimum(score, 1.0)), *batch.columns[2:]], names=["id", "lang_pred", "score", *more])
 
-    src = df.select(F.col(id_col).alias("id"), F.col(text_col).cast("string").alias("text"))
-    return src.mapInArrow(run, f"id {src.schema['id'].dataType.simpleString()}, lang_pred string, score double").withColumnRenamed("id", id_col)
+    src = df.select(F.col(id_col).alias("id"), F.col(text_col).cast("string").alias("text"), *[F.col(c).alias(m) for c, m in zip(carry, more)])
+    kinds = "".join(f", {m} {src.schema[m].dataType.simpleString()}" for m in more)
+    out = src.mapInArrow(run, f"id {src.schema['id'].dataType.simpleString()}, lang_pred string, score double{kinds}")
+    return out.withColumnsRenamed({"id": id_col, **dict(zip(more, carry))})
 
 
 def held_out(id_col: str = "doc_id", folds: int = 5) -> Column:

@@ -235,9 +235,14 @@ def _first_docs(docs: DataFrame, listed: DataFrame, window: int, crowd: int) ->
     return out
 
 
-def dedup_substrings(df: DataFrame, window: int = 50, mer: int = 10, crowd: int = 256, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """id_col, n_words, n_removed and kept (the words left, joined by one space, as binary) of every row."""
-    docs = df.select(F.col(id_col).cast("long").alias("id"), F.xxhash64(F.col(text_col).cast("string")).alias("t"), F.col(text_col).cast("string").alias("text"))
+def dedup_substrings(df: DataFrame, window: int = 50, mer: int = 10, crowd: int = 256, id_col: str = "doc_id", text_col: str = "text", carry: tuple[str, ...] = ()) -> DataFrame:
+    """id_col, n_words, n_removed and kept (the words left, joined by one space, as binary) of every row.
+
+    The columns named in carry come along unchanged; none of them may have the name of a result.
+    """
+    more = [f"carried_{i}" for i in range(len(carry))]
+    whole = df.select(*[F.col(c).alias(m) for c, m in zip(carry, more)], F.col(id_col).cast("long").alias("id"), F.xxhash64(F.col(text_col).cast("string")).alias("t"), F.col(text_col).cast("string").alias("text"))
+    docs = whole.select("id", "t", "text")
     listed = materialize(list_super_kmers(docs, window, mer), "super-k-mer-places")
     origins = _first_docs(docs, listed, window, crowd)
     marks = listed.join(origins, ["s1", "s2"]).where("first < id or firsts is not null")
@@ -260,9 +265,11 @@ def dedup_substrings(df: DataFrame, window: int = 50, mer: int = 10, crowd: int
                 keep = np.cumsum(cover[:-1]) == 0
                 total.append(len(words)), gone.append(int((~keep).sum()))
                 kept.append(b" ".join(words if not gone[-1] else [w for w, k in zip(words, keep.tolist()) if k]))
-            yield pa.RecordBatch.from_arrays([ids, pa.array(total, pa.int64()), pa.array(gone, pa.int64()), pa.array(kept, pa.binary())], names=["id", "n_words", "n_removed", "kept"])
+            yield pa.RecordBatch.from_arrays([ids, pa.array(total, pa.int64()), pa.array(gone, pa.int64()), pa.array(kept, pa.binary()), *batch.columns[3:]], names=["id", "n_words", "n_removed", "kept", *more])
 
-    return docs.join(marks, ["id", "t"], "left").select("id", "text", "of").mapInArrow(cut, "id long, n_words long, n_removed long, kept binary").withColumnRenamed("id", id_col)
+    kinds = "".join(f", {m} {whole.schema[m].dataType.simpleString()}" for m in more)
+    out = whole.join(marks, ["id", "t"], "left").select("id", "text", "of", *more).mapInArrow(cut, f"id long, n_words long, n_removed long, kept binary{kinds}")
+    return out.withColumnsRenamed({"id": id_col, **dict(zip(more, carry))})
 
 
 def substring_digests(df: DataFrame, window: int = 50) -> DataFrame:
