@@ -4,11 +4,12 @@ from __future__ import annotations
 
 import tempfile
 import uuid
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 #: Text handled at once by a Python worker; a longer single text is handled alone.
 SLICE_BYTES = 2 << 20
@@ -48,6 +49,27 @@ def partitions(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions"))
 
 
+#: Bits of a sieve at most: its broadcast has one row of two longs for each 64 of them.
+SIEVE_BITS = 1 << 25
+
+
+def sieve(keys: DataFrame, *cols: str) -> Callable[[DataFrame], DataFrame]:
+    """A function that adds `maybe` to a table with the same columns: false only where keys surely lacks the row's values.
+
+    A bitmap of hashes of bounded size, so that rows without a partner needn't be shuffled to find that out.
+    """
+    bits = 1 << min(SIEVE_BITS.bit_length() - 1, max(12, (16 * keys.count()).bit_length()))
+    slot = F.pmod(F.xxhash64(*cols), F.lit(bits))
+    word, bit = F.shiftright(slot, 6).alias("sieve_word"), F.call_function("shiftleft", F.lit(1).cast("long"), slot.bitwiseAND(F.lit(63).cast("long")).cast("int"))
+    words = materialize(keys.select(word, bit.alias("bit")).groupBy("sieve_word").agg(F.bit_or("bit").alias("sieve_bits")), "sieve")
+
+    def mark(df: DataFrame) -> DataFrame:
+        out = df.withColumn("sieve_word", word).join(F.broadcast(words), "sieve_word", "left")
+        return out.withColumn("maybe", F.coalesce(F.col("sieve_bits").bitwiseAND(bit) != 0, F.lit(False))).drop("sieve_word", "sieve_bits")
+
+    return mark
+
+
 def slices(batches: Iterator[pa.RecordBatch], column: int, limit: int = SLICE_BYTES) -> Iterator[tuple[pa.RecordBatch, list[bytes]]]:
     """Cuts batches into runs of rows of about `limit` bytes of text; nulls become empty."""
     for batch in batches:

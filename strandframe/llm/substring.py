@@ -9,10 +9,12 @@ equal minimiser. The steps:
 3. Where a minimiser has one super-k-mer only, every window of it first stands in that least document.
 4. Where it has several, one copy of each travels as a packed string of words to the minimiser's bucket,
    where windows are sorted and equal ones, compared word for word, get the least of their documents.
-   A minimiser with more than `crowd` different super-k-mers isn't one bucket: its windows are dealt out
-   by 128-bit digest instead and summed up map-side first.
+   A minimiser with more than `crowd` different super-k-mers isn't one bucket: tasks take any of them, sum
+   up windows by 128-bit digest, and look up the sums.
 5. Windows that stand in an earlier document come back to their documents, and words they cover go.
 
+Texts are shuffled only where a bitmap of bounded size says that strings are to be cut or words may go.
+
 Words are runs of other bytes than space and U+0009 to U+000D, unchanged; null text has none. Rows without
 doc_id keep everything and take nothing from others. Rows with one doc_id are told apart by their texts
 and, having no smaller doc_id, take nothing from each other. Empty tables give no rows; other columns
@@ -30,7 +32,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ._common import CACHE_ENTRIES, Numbered, discard, materialize, mix64, partitions, slices
+from ._common import CACHE_ENTRIES, Numbered, discard, materialize, mix64, partitions, sieve, slices
 
 B1, B2 = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xD6E8FEB86659FD93)
 I1, I2 = (np.uint64(pow(int(b), -1, 1 << 64)) for b in (B1, B2))
@@ -107,7 +109,7 @@ def list_super_kmers(docs: DataFrame, window: int, mer: int) -> DataFrame:
             start, count, least, s1, s2 = (np.concatenate(x) for x in zip(*found))
             yield pa.RecordBatch.from_arrays([pa.array(own[0]), pa.array(own[1]), pa.array(start.astype(np.int32)), pa.array(count.astype(np.int32)), _long(least), _long(s1), _long(s2)], names=["id", "t", "start", "windows", "mz", "s1", "s2"])
 
-    return docs.where("id is not null").mapInArrow(run, "id long, t long, start int, windows int, mz long, s1 long, s2 long")
+    return docs.where("id is not null").mapInArrow(run, "id long, t int, start int, windows int, mz long, s1 long, s2 long")
 
 
 def word_ends(packed: bytes) -> tuple[np.ndarray, np.ndarray]:
@@ -145,7 +147,8 @@ def first_of_windows(bucket: np.ndarray, first: np.ndarray, windows: np.ndarray,
 
 def cut_strings(docs: DataFrame, need: DataFrame) -> DataFrame:
     """The packed words of the super-k-mers in need(id, t, start, words, ...), cut from their documents."""
-    per = need.groupBy("id", "t").agg(F.collect_list(F.struct(*[c for c in need.columns if c not in ("id", "t")])).alias("of"))
+    per = materialize(need.groupBy("id", "t").agg(F.collect_list(F.struct(*[c for c in need.columns if c not in ("id", "t")])).alias("of")), "super-k-mers-to-cut")
+    docs = sieve(per, "id", "t")(docs).where("maybe").drop("maybe")
     rest = need.drop("id", "t", "start", "words")
     names, schema = rest.columns, rest.schema
     kinds = {f.name: {"bigint": pa.int64(), "int": pa.int32()}[f.dataType.simpleString()] for f in schema}
@@ -162,30 +165,25 @@ def cut_strings(docs: DataFrame, need: DataFrame) -> DataFrame:
                         cols[c].append(r[c])
             yield pa.RecordBatch.from_arrays([*(pa.array(cols[c], kinds[c]) for c in names), pa.array(packed, pa.binary())], names=[*names, "packed"])
 
-    return docs.join(per, ["id", "t"]).select("text", "of").mapInArrow(run, ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in schema) + ", packed binary")
-
+    out = docs.join(per, ["id", "t"]).select("text", "of").mapInArrow(run, ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in schema) + ", packed binary")
+    out = materialize(out, "packed-super-k-mers")
+    discard(per)
+    return out
 
-def _first_docs(docs: DataFrame, listed: DataFrame, window: int, crowd: int) -> DataFrame:
-    """s1, s2, and `first` for all windows of that super-k-mer or else `firsts`, little-endian int64 of each window."""
-    n = partitions(docs.sparkSession)
-    least = listed.groupBy("mz", "s1", "s2").agg(F.min(F.struct("id", "t", "start")).alias("at"), F.max("id").alias("last"), F.first("windows").alias("windows"))
-    least = materialize(least.select("mz", "s1", "s2", F.col("at.id").alias("id"), F.col("at.t").alias("t"), F.col("at.start").alias("start"), "last", "windows"), "super-k-mers")
-    shared = materialize(least.groupBy("mz").agg(F.count("*").alias("n"), F.min("id").alias("a"), F.max("last").alias("b")).where("n > 1 and a < b").select("mz", "n"), "shared-minimisers")
-    alone = least.where(F.col("id") < F.col("last")).join(shared, "mz", "left_anti").select("s1", "s2", F.col("id").alias("first"), F.lit(None).cast("binary").alias("firsts"))
-    need = least.join(shared, "mz").select("id", "t", "start", (F.col("windows") + (window - 1)).alias("words"), "mz", "s1", "s2", F.col("id").alias("first"), "last", "windows", F.col("n").alias("crowd"))
-    strings = cut_strings(docs, need)
 
-    def sort(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held: list[pa.RecordBatch] = []
+def sort_buckets(strings: DataFrame, window: int) -> DataFrame:
+    """s1, s2 and firsts of super-k-mers with windows of an earlier document, from the sorted windows of their buckets."""
 
-        def whole(parts: list[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            t = pa.Table.from_batches(parts)
-            mz, first, last, windows = (t.column(c).to_numpy().astype(np.int64) for c in ("mz", "first", "last", "windows"))
-            got = first_of_windows(mz, first, windows, t.column("packed").to_pylist(), window)
-            ends = np.cumsum(windows)
-            some = np.flatnonzero(np.minimum.reduceat(got, ends - windows) < last)
-            yield pa.RecordBatch.from_arrays([pa.array(t.column("s1").to_numpy()[some]), pa.array(t.column("s2").to_numpy()[some]), pa.array([got[e - k : e].astype("<i8").tobytes() for e, k in zip(ends[some], windows[some])], pa.binary())], names=["s1", "s2", "firsts"])
+    def whole(parts: list[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        t = pa.Table.from_batches(parts)
+        mz, first, last, windows = (t.column(c).to_numpy().astype(np.int64) for c in ("mz", "first", "last", "windows"))
+        got = first_of_windows(mz, first, windows, t.column("packed").to_pylist(), window)
+        ends = np.cumsum(windows)
+        some = np.flatnonzero(np.minimum.reduceat(got, ends - windows) < last)
+        yield pa.RecordBatch.from_arrays([pa.array(t.column("s1").to_numpy()[some]), pa.array(t.column("s2").to_numpy()[some]), pa.array([got[e - k : e].astype("<i8").tobytes() for e, k in zip(ends[some], windows[some])], pa.binary())], names=["s1", "s2", "firsts"])
 
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: list[pa.RecordBatch] = []
         for batch in batches:
             if not batch.num_rows:
                 continue
@@ -199,38 +197,118 @@ def _first_docs(docs: DataFrame, listed: DataFrame, window: int, crowd: int) ->
         if held:
             yield from whole(held)
 
-    in_bucket = strings.where(F.col("crowd") <= crowd).select("mz", "s1", "s2", "first", "last", "windows", "packed").repartition(n, "mz").sortWithinPartitions("mz")
-    sorted_ = in_bucket.mapInArrow(sort, "s1 long, s2 long, firsts binary").select("s1", "s2", F.lit(None).cast("long").alias("first"), "firsts")
+    rows = strings.select("mz", "s1", "s2", "first", "last", "windows", "packed").repartition(partitions(strings.sparkSession), "mz").sortWithinPartitions("mz")
+    return rows.mapInArrow(run, "s1 long, s2 long, firsts binary")
+
+
+def window_digests(hashes: WordHashes, packed: list[bytes], window: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Number of windows of each packed string, and their two digests."""
+    d = []
+    for x in packed:
+        w = hashes(x.split())
+        at = np.arange(len(w) - window + 1)
+        d.append(digests(w, at, at + window))
+    return np.array([len(x[0]) for x in d]), np.concatenate([x[0] for x in d]), np.concatenate([x[1] for x in d])
+
+
+#: Slots that tell windows of crowded minimisers which surely stand in one super-k-mer only, and slots of a block.
+SLOTS, BLOCK = 1 << 24, 1 << 13
+
 
-    def single(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+def deal_windows(strings: DataFrame, window: int) -> DataFrame:
+    """The same from super-k-mers of crowded minimisers, wherever they lie.
+
+    A counting bitmap first sets aside windows that no two super-k-mers have. Each task sums up those left by
+    digest, and the sums go back to the super-k-mers by minimiser.
+    """
+
+    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        hashes, once, twice = WordHashes(), np.zeros(SLOTS // 8, np.uint8), np.zeros(SLOTS // 8, np.uint8)
+        for batch, raw in slices(batches, 4):
+            slot, n = np.unique((window_digests(hashes, raw, window)[1] & np.uint64(SLOTS - 1)).astype(np.int64), return_counts=True)
+            mask = (1 << (slot & 7)).astype(np.uint8)
+            again = (n > 1) | ((once[slot >> 3] & mask) != 0)
+            np.bitwise_or.at(twice, slot[again] >> 3, mask[again])
+            np.bitwise_or.at(once, slot >> 3, mask)
+        some = np.flatnonzero(once.reshape(-1, BLOCK // 8).any(axis=1))
+        cut = lambda x: pa.array([x[i * BLOCK // 8 : (i + 1) * BLOCK // 8].tobytes() for i in some], pa.binary())
+        yield pa.RecordBatch.from_arrays([pa.array(some, pa.int32()), cut(once), cut(twice)], names=["block", "once", "twice"])
+
+    def join_blocks(t: pa.Table) -> pa.Table:
+        once, twice = np.zeros(BLOCK // 8, np.uint8), np.zeros(BLOCK // 8, np.uint8)
+        for a, b in zip(t.column("once").to_pylist(), t.column("twice").to_pylist()):
+            a, b = np.frombuffer(a, np.uint8), np.frombuffer(b, np.uint8)
+            twice |= b | (once & a)
+            once |= a
+        return pa.table({"block": t.column("block")[:1], "twice": pa.array([twice.tobytes()], pa.binary())})
+
+    strings = strings.select("mz", "s1", "s2", "first", "packed", "last")
+    blocks = strings.mapInArrow(count, "block int, once binary, twice binary").groupBy("block").applyInArrow(join_blocks, "block int, twice binary")
+    shared = np.zeros(SLOTS // 8, np.uint8)
+    for r in blocks.collect():  # SLOTS / 8 bytes at most
+        shared[r["block"] * BLOCK // 8 : (r["block"] + 1) * BLOCK // 8] = np.frombuffer(r["twice"], np.uint8)
+    sent = strings.sparkSession.sparkContext.broadcast(shared)
+
+    def sum_up(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        hashes, held, bits = WordHashes(), [], sent.value
+
+        def out() -> pa.RecordBatch:
+            mz, w1, w2, first, last = (np.concatenate(x) for x in zip(*held))
+            held.clear()
+            order = np.lexsort((w2, w1, mz))
+            mz, w1, w2, first, last = (x[order] for x in (mz, w1, w2, first, last))
+            at = np.concatenate([[0], np.flatnonzero((mz[1:] != mz[:-1]) | (w1[1:] != w1[:-1]) | (w2[1:] != w2[:-1])) + 1])
+            return pa.RecordBatch.from_arrays([pa.array(mz[at]), _long(w1[at]), _long(w2[at]), pa.array(np.minimum.reduceat(first, at)), pa.array(np.maximum.reduceat(last, at))], names=["mz", "w1", "w2", "first", "last"])
+
+        for batch, raw in slices(batches, 4):
+            n, w1, w2 = window_digests(hashes, raw, window)
+            slot = (w1 & np.uint64(SLOTS - 1)).astype(np.int64)
+            keep = np.flatnonzero(bits[slot >> 3] >> (slot & 7).astype(np.uint8) & 1)
+            row = np.repeat(np.arange(len(raw)), n)[keep]
+            held.append((batch.column(0).to_numpy()[row], w1[keep], w2[keep], batch.column(3).to_numpy()[row], batch.column(5).to_numpy()[row]))
+            if sum(len(x[0]) for x in held) > 1 << 20:
+                yield out()
+        if sum(len(x[0]) for x in held):
+            yield out()
+
+    low = strings.mapInArrow(sum_up, "mz long, w1 long, w2 long, first long, last long").groupBy("mz", "w1", "w2").agg(F.min("first").alias("f"), F.max("last").alias("z")).where("f < z")
+    low = materialize(low.groupBy("mz").agg(F.collect_list(F.struct("w1", "w2", "f")).alias("low")), "crowded-windows")
+
+    def look_up(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         hashes = WordHashes()
         for batch, raw in slices(batches, 4):
-            d = []
-            for x in raw:
-                w = hashes(x.split())
-                at = np.arange(len(w) - window + 1)
-                d.append((at, *digests(w, at, at + window)))
-            k = np.array([len(x[0]) for x in d])
-            at, w1, w2 = (np.concatenate(x) for x in zip(*d))
-            yield pa.RecordBatch.from_arrays([*(pa.array(np.repeat(batch.column(i).to_numpy(), k)) for i in range(4)), pa.array(at.astype(np.int32)), _long(w1), _long(w2)], names=["s1", "s2", "first", "last", "i", "w1", "w2"])
-
-    crowded = materialize(need.where(F.col("crowd") > crowd), "crowded-super-k-mers")
-    windows = materialize(cut_strings(docs, crowded).select("s1", "s2", "first", "last", "packed").mapInArrow(single, "s1 long, s2 long, first long, last long, i int, w1 long, w2 long"), "crowded-windows")
-    low = materialize(windows.groupBy("w1", "w2").agg(F.min("first").alias("f"), F.max("last").alias("z")).where("f < z").select("w1", "w2", "f"), "window-firsts")
-    apart = windows.join(low, ["w1", "w2"]).groupBy("s1", "s2").agg(F.array_sort(F.collect_list(F.struct("i", "f"))).alias("of"))
-
-    def pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            out = []
-            for of in batch.column(2).to_pylist():
-                x = np.full(of[-1]["i"] + 1, np.iinfo(np.int64).max)
-                x[[r["i"] for r in of]] = [r["f"] for r in of]
-                out.append(x.astype("<i8").tobytes())
-            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(out, pa.binary())], names=["s1", "s2", "firsts"])
-
-    packed = apart.mapInArrow(pack, "s1 long, s2 long, firsts binary").select("s1", "s2", F.lit(None).cast("long").alias("first"), "firsts")
-    out = materialize(alone.unionByName(sorted_).unionByName(packed), "window-origins")
-    for x in (least, shared, crowded, windows, low):
+            cols: list[list] = [[], [], []]
+            known: dict = {}
+            for s1, s2, mz, own, last, x, low in zip(*(batch.column(c).to_pylist() for c in ("s1", "s2", "mz", "first", "last")), raw, batch.column(batch.schema.names.index("low"))):
+                if mz not in known:
+                    known[mz] = {(r["w1"], r["w2"]): r["f"] for r in low.as_py()}
+                _, w1, w2 = window_digests(hashes, [x], window)
+                firsts = np.array([known[mz].get(k, own) for k in zip(w1.view(np.int64).tolist(), w2.view(np.int64).tolist())], np.int64)
+                if firsts.min() < last:
+                    for c, v in zip(cols, (s1, s2, firsts.astype("<i8").tobytes())):
+                        c.append(v)
+            yield pa.RecordBatch.from_arrays([pa.array(cols[0], pa.int64()), pa.array(cols[1], pa.int64()), pa.array(cols[2], pa.binary())], names=["s1", "s2", "firsts"])
+
+    return strings.join(low, "mz").select("mz", "s1", "s2", "first", "packed", "last", "low").mapInArrow(look_up, "s1 long, s2 long, firsts binary")
+
+
+def _first_docs(docs: DataFrame, listed: DataFrame, window: int, crowd: int) -> DataFrame:
+    """s1, s2, and `first` for all windows of that super-k-mer or else `firsts`, little-endian int64 of each window."""
+    least = listed.groupBy("mz", "s1", "s2").agg(F.min(F.struct("id", "t", "start")).alias("at"), F.max("id").alias("last"), F.first("windows").alias("windows"))
+    least = materialize(least.select("mz", "s1", "s2", F.col("at.id").alias("id"), F.col("at.t").alias("t"), F.col("at.start").alias("start"), "last", "windows"), "super-k-mers")
+    shared = materialize(least.groupBy("mz").agg(F.count("*").alias("n"), F.min("id").alias("a"), F.max("last").alias("b")).where("n > 1 and a < b").select("mz", "n"), "shared-minimisers")
+    least_marked = sieve(shared, "mz")(least)
+    copied = least_marked.where("id < last")
+    alone = copied.where("not maybe").unionByName(copied.where("maybe").join(shared, "mz", "left_anti"))
+    need = least_marked.where("maybe").drop("maybe").join(shared, "mz")
+    need = need.select("id", "t", "start", (F.col("windows") + (window - 1)).alias("words"), "mz", "s1", "s2", F.col("id").alias("first"), "last", "windows", F.col("n").alias("crowd"))
+    strings = cut_strings(docs, need)
+    found = sort_buckets(strings.where(F.col("crowd") <= crowd), window)
+    if strings.where(F.col("crowd") > crowd).limit(1).count():
+        found = found.unionByName(deal_windows(strings.where(F.col("crowd") > crowd), window))
+    out = alone.select("s1", "s2", F.col("id").alias("first"), F.lit(None).cast("binary").alias("firsts"))
+    out = materialize(out.unionByName(found.select("s1", "s2", F.lit(None).cast("long").alias("first"), "firsts")), "window-origins")
+    for x in (least, shared, strings):
         discard(x)
     return out
 
@@ -241,12 +319,14 @@ def dedup_substrings(df: DataFrame, window: int = 50, mer: int = 10, crowd: int
     The columns named in carry come along unchanged; none of them may have the name of a result.
     """
     more = [f"carried_{i}" for i in range(len(carry))]
-    whole = df.select(*[F.col(c).alias(m) for c, m in zip(carry, more)], F.col(id_col).cast("long").alias("id"), F.xxhash64(F.col(text_col).cast("string")).alias("t"), F.col(text_col).cast("string").alias("text"))
+    whole = df.select(*[F.col(c).alias(m) for c, m in zip(carry, more)], F.col(id_col).cast("long").alias("id"), F.hash(F.col(text_col).cast("string")).alias("t"), F.col(text_col).cast("string").alias("text"))
     docs = whole.select("id", "t", "text")
     listed = materialize(list_super_kmers(docs, window, mer), "super-k-mer-places")
     origins = _first_docs(docs, listed, window, crowd)
-    marks = listed.join(origins, ["s1", "s2"]).where("first < id or firsts is not null")
-    marks = marks.groupBy("id", "t").agg(F.collect_list(F.struct("start", "windows", "first", "firsts")).alias("of"))
+    marks = sieve(origins, "s1", "s2")(listed).where("maybe").join(origins, ["s1", "s2"]).where("first < id or firsts is not null")
+    marks = materialize(marks.groupBy("id", "t").agg(F.collect_list(F.struct("start", "windows", "firsts")).alias("of")), "window-marks")
+    for x in (listed, origins):
+        discard(x)
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch, raw in slices(batches, 1):
@@ -268,7 +348,10 @@ def dedup_substrings(df: DataFrame, window: int = 50, mer: int = 10, crowd: int
             yield pa.RecordBatch.from_arrays([ids, pa.array(total, pa.int64()), pa.array(gone, pa.int64()), pa.array(kept, pa.binary()), *batch.columns[3:]], names=["id", "n_words", "n_removed", "kept", *more])
 
     kinds = "".join(f", {m} {whole.schema[m].dataType.simpleString()}" for m in more)
-    out = whole.join(marks, ["id", "t"], "left").select("id", "text", "of", *more).mapInArrow(cut, f"id long, n_words long, n_removed long, kept binary{kinds}")
+    seen = sieve(marks, "id", "t")(whole)
+    hit = seen.where("maybe").join(marks, ["id", "t"], "left").select("id", "text", "of", *more)
+    rest = seen.where("not maybe").select("id", "text", F.lit(None).cast(marks.schema["of"].dataType).alias("of"), *more)
+    out = hit.unionByName(rest).mapInArrow(cut, f"id long, n_words long, n_removed long, kept binary{kinds}")
     return out.withColumnsRenamed({"id": id_col, **dict(zip(more, carry))})
 
 
