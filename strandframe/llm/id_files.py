@@ -35,8 +35,8 @@ from pyspark.sql import functions as F
 
 from ._common import CACHE_ENTRIES, Numbered, discard, materialize, partitions, ragged, shared_dir, slices
 
-#: Ids read or written at once.
-CHUNK = 1 << 20
+#: Documents read from a shard at once.
+READ_DOCS = 1024
 #: A select sample for every so many set bits.
 SAMPLE = 256
 
@@ -85,11 +85,23 @@ class EliasFano:
             low |= (int(self.low[k >> 3]) >> (k & 7) & 1) << b
         return ((byte * 8 + at - i) << self.low_bits) | low
 
-    def all(self) -> np.ndarray:
-        """Every value; the same as select() of each index."""
-        at = np.flatnonzero(np.unpackbits(self.high, bitorder="little"))[: self.n]
-        low = np.unpackbits(self.low, bitorder="little")[: self.n * self.low_bits].reshape(self.n, self.low_bits).astype(np.int64)
-        return ((at - np.arange(self.n)) << self.low_bits) | (low << np.arange(self.low_bits)).sum(axis=1)
+    def select_range(self, i: int, j: int) -> np.ndarray:
+        """Values i to j - 1 at once, from the part of the unary code between the samples around them."""
+        if i >= j:
+            return np.zeros(0, np.int64)
+        if i < 0 or j > self.n:
+            raise IndexError((i, j))
+        byte = int(self.samples[i // SAMPLE])
+        after = (j - 1) // SAMPLE + 1
+        stop = int(self.samples[after]) + 1 if after < len(self.samples) else len(self.high)
+        ones = np.flatnonzero(np.unpackbits(self.high[byte:stop], bitorder="little")) + byte * 8
+        skip = i - int(self.ones_before[byte])
+        high = ones[skip : skip + j - i] - np.arange(i, j)
+        if not self.low_bits:
+            return high
+        first, last = i * self.low_bits, j * self.low_bits
+        bits = np.unpackbits(self.low[first >> 3 : (last >> 3) + 1], bitorder="little")[first & 7 :][: last - first]
+        return (high << self.low_bits) | (bits.reshape(-1, self.low_bits).astype(np.int64) << np.arange(self.low_bits)).sum(axis=1)
 
     def write(self, f) -> None:
         f.write(struct.pack("<QQQQ", self.n, self.low_bits, len(self.low), len(self.high)))
@@ -102,43 +114,104 @@ class EliasFano:
         return cls(n, bits, np.frombuffer(f.read(low), np.uint8), np.frombuffer(f.read(high), np.uint8))
 
 
+#: Marks after a word's last letter, which always are a piece of their own.
+TAIL = b".,;:!?"
+
+
 class WordEncoder:
-    """Ids of whole texts from ids of words between ASCII white space, which no token of the vocabulary spans."""
+    """Ids of whole texts from ids of words between ASCII white space, which no token of the vocabulary spans.
+
+    A word's ids are its stem's and its closing marks': the vocabulary's pattern cuts between an ASCII letter and
+    those marks, and it lowers ASCII letters in any case. The library encodes each stem once.
+    """
 
-    def __init__(self, path: str):
+    def __init__(self, path: str, end_id: int, width: int):
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
         self.tokenizer.encode_special_tokens = True
+        self.end_id, self.kind = end_id, np.dtype(f"<u{width}")
+        vocab = self.tokenizer.get_vocab()
+        self.closes = np.zeros(max(vocab.values()) + 1, bool)
+        self.closes[[i for t, i in vocab.items() if t.endswith("</w>")]] = True
+        self.forget_stems()
         self.forget()
 
-    def forget(self) -> None:
-        self.known = Numbered()
-        self.start, self.length, self.ids = np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0, np.int64)
+    def forget_stems(self) -> None:
+        self.stems, self.stem_ids = Numbered(), np.zeros(0, self.kind)
+        self.stem_start, self.stem_length = np.zeros(0, np.int64), np.zeros(0, np.int64)
 
-    def encode_texts(self, raw: list[bytes], end_id: int) -> list[np.ndarray]:
+    def forget(self) -> None:
+        self.known, self.ids = Numbered(), np.array([self.end_id], self.kind)
+        self.known[b""] = 0  # no word is empty: its place is the end id's
+        self.start, self.length = np.zeros(1, np.int64), np.ones(1, np.int64)
+
+    def parts(self, word: bytes) -> tuple[bytes, bytes]:
+        if word.isascii():
+            word = word.lower()
+        stem = word.rstrip(TAIL)
+        if len(stem) < len(word) and stem and stem[-1:].isalpha():
+            return stem, word[len(stem) :]
+        return word, b""
+
+    def encode_stems(self, stems: list[bytes]) -> None:
+        """Encodes stems of letters alone as one text: each is one piece, which its last token closes."""
+        texts = [x.decode("utf-8", "replace") for x in stems]
+        plain = [i for i, x in enumerate(texts) if x.isalpha()]
+        n, ids = np.zeros(len(texts), np.int64), [np.zeros(0, self.kind)] * len(texts)
+        for k in range(0, len(plain), 4096):
+            part = plain[k : k + 4096]
+            got = np.array(self.tokenizer.encode_batch_fast([" ".join(texts[i] for i in part)], add_special_tokens=False)[0].ids, self.kind)
+            ends = np.flatnonzero(self.closes[got]) + 1
+            if len(ends) == len(part):
+                for i, a, b in zip(part, [0, *ends[:-1].tolist()], ends.tolist()):
+                    ids[i] = got[a:b]
+                n[part] = np.diff(ends, prepend=0)
+        rest = [i for i in range(len(texts)) if not n[i]]
+        for i, e in zip(rest, self.tokenizer.encode_batch_fast([texts[i] for i in rest], add_special_tokens=False)):
+            ids[i] = np.array(e.ids, self.kind)
+            n[i] = len(ids[i])
+        self.stem_start = np.concatenate([self.stem_start, len(self.stem_ids) + np.cumsum(n) - n])
+        self.stem_length = np.concatenate([self.stem_length, n])
+        self.stem_ids = np.concatenate([self.stem_ids, *ids])
+
+    def learn(self, words: list[bytes]) -> None:
+        if len(self.stems) > 2 * CACHE_ENTRIES:
+            self.forget_stems()
+        flat = np.fromiter((self.stems[x] for w in words for x in self.parts(w)), np.int64, 2 * len(words))
+        if self.stems.new:
+            self.encode_stems(self.stems.fresh())
+        n = self.stem_length[flat]
+        ids = self.stem_ids[ragged(self.stem_start[flat], n)]
+        n = n[::2] + n[1::2]
+        self.start = np.concatenate([self.start, len(self.ids) + np.cumsum(n) - n])
+        self.length = np.concatenate([self.length, n])
+        self.ids = np.concatenate([self.ids, ids])
+
+    def encode_texts(self, raw: list[bytes]) -> list[np.ndarray]:
+        """Each text's ids, the end id included."""
         if len(self.known) > CACHE_ENTRIES:
             self.forget()
         look, at = self.known.__getitem__, []
         for x in raw:
             words = x.split()
+            words.append(b"")
             at.append(np.fromiter(map(look, words), np.int64, len(words)))
-        new = self.known.fresh()
-        if new:
-            got = [e.ids for e in self.tokenizer.encode_batch_fast([x.decode("utf-8", "replace") for x in new], add_special_tokens=False)]
-            n = np.fromiter(map(len, got), np.int64, len(got))
-            self.start = np.concatenate([self.start, len(self.ids) + np.cumsum(n) - n])
-            self.length = np.concatenate([self.length, n])
-            self.ids = np.concatenate([self.ids, np.fromiter((i for g in got for i in g), np.int64, int(n.sum()))])
-        return [np.append(self.ids[ragged(self.start[a], self.length[a])], end_id) for a in at]
+        if self.known.new:
+            self.learn(self.known.fresh())
+        flat = np.concatenate(at)
+        n = self.length[flat]
+        ids = self.ids[ragged(self.start[flat], n)]
+        ends = np.cumsum(n)[np.cumsum([len(x) for x in at]) - 1].tolist()
+        return [ids[i:j] for i, j in zip([0, *ends], ends)]
 
 
 @lru_cache(maxsize=2)
-def word_encoder(path: str) -> WordEncoder:
+def word_encoder(path: str, end_id: int, width: int) -> WordEncoder:
     import os
 
     os.environ["TOKENIZERS_PARALLELISM"] = "false"
-    return WordEncoder(path)
+    return WordEncoder(path, end_id, width)
 
 
 def filesystem(path: str) -> tuple[pafs.FileSystem, str]:
@@ -149,9 +222,9 @@ def encode_words(df: DataFrame, vocab_path: str, end_id: int, width: int, id_col
     """id long and ids binary, little-endian unsigned of `width` bytes, end id included."""
 
     def encode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        enc = word_encoder(vocab_path)
+        enc = word_encoder(vocab_path, end_id, width)
         for batch, raw in slices(batches, 1):
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([x.astype(f"<u{width}").tobytes() for x in enc.encode_texts(raw, end_id)], pa.binary())], names=["id", "ids"])
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([x.tobytes() for x in enc.encode_texts(raw)], pa.binary())], names=["id", "ids"])
 
     return df.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).cast("string").alias("text")).mapInArrow(encode, "id long, ids binary")
 
@@ -296,6 +369,17 @@ class IdFile:
         self.file.seek(a * self.width)
         return np.frombuffer(self.file.read((b - a) * self.width), f"<u{self.width}").astype(np.uint32)
 
+    def doc_ids_range(self, i: int, j: int) -> list[int | None]:
+        k = max(i, self.nulls)
+        return [None] * (min(j, self.nulls) - i) + (self.least + self.doc_ids.select_range(k - self.nulls, j - self.nulls)).tolist() if j > k else [None] * (j - i)
+
+    def ids_range(self, i: int, j: int) -> Iterator[np.ndarray]:
+        """Ids of documents i to j - 1, read one after another from the first one's place."""
+        n = np.diff(self.bounds.select_range(i, j + 1)).tolist()
+        self.file.seek(self.bounds.select(i) * self.width)
+        for k in n:
+            yield np.frombuffer(self.file.read(k * self.width), f"<u{self.width}")
+
 
 def read_id_files(spark: SparkSession, out: str) -> DataFrame:
     """A row for each document in the files: doc_id, start, n_tokens, ids_crc32, each from select() of its boundaries."""
@@ -306,15 +390,12 @@ def read_id_files(spark: SparkSession, out: str) -> DataFrame:
         for batch in batches:
             for row in batch.to_pylist():
                 f = IdFile(out, row["name"], row["width"], row["null_ids"], row["least_id"])
-                for at in range(0, len(f), 4096):
-                    part = range(at, min(at + 4096, len(f)))
-                    first = [f.bounds.select(i) for i in range(part.start, part.stop + 1)]
-                    crc, own = [], []
-                    for i in part:
-                        crc.append(zlib.crc32(f.ids(i).astype("<u4").tobytes()))
-                        own.append(f.doc_id(i))
+                for at in range(0, len(f), READ_DOCS):
+                    to = min(at + READ_DOCS, len(f))
+                    first = f.bounds.select_range(at, to + 1)
+                    crc = [zlib.crc32(x.astype("<u4").tobytes()) for x in f.ids_range(at, to)]
                     yield pa.RecordBatch.from_arrays(
-                        [pa.array(own, pa.int64()), pa.array([row["start"] + x for x in first[:-1]], pa.int64()), pa.array(np.diff(first), pa.int64()), pa.array(crc, pa.int64())],
+                        [pa.array(f.doc_ids_range(at, to), pa.int64()), pa.array(first[:-1] + row["start"], pa.int64()), pa.array(np.diff(first), pa.int64()), pa.array(crc, pa.int64())],
                         names=["doc_id", "start", "n_tokens", "ids_crc32"],
                     )
 
