@@ -1,11 +1,12 @@
 """Exact nearest binary codes by incremental multi-index hashing.
 
-64-bit codes are cut into m segments, about as long as the logarithm of their number. Every distinct code
-is listed once under each segment's value. Round r probes, for every query still open, the values r bits
-from its own in each segment. After round r every code within m * (r + 1) - 1 bits has been met, so a query
-closes once its k-th best verified distance is no more than that. A pair met in several ways is kept only
-at its least segment distance, in the first segment that has it. If a round would probe more values than
-there are codes, the queries left are compared with all codes in blocks instead, which is as exact.
+Distinct 64-bit codes are dealt into shards by hash, and every query goes to every shard. A shard cuts its codes
+into m segments, no longer than the logarithm of their number, and lists them in order of each segment's value.
+A search grows the segments' radii one after another: radius r looks up the values r bits from the query's own.
+With radius r in the first a + 1 segments and r - 1 in the others, every code within m * r + a bits has been
+met, so the search ends once its k-th best verified distance is no more than that. When it has looked up more
+values than the shard has codes, it compares all the codes instead, which is as exact. The shards' results
+are merged.
 
 Copies of a code are one entry with the k least ids of its rows, which is all a top k can need. Ties go to
 the lesser id. Rows or queries without id or code take no part; repeated rows count as rows. Empty tables
@@ -15,19 +16,20 @@ give no rows. Other columns aren't read.
 from __future__ import annotations
 
 from collections.abc import Iterator
+from functools import lru_cache
 from itertools import combinations
-from math import comb, log2
+from math import ceil, log2
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from ._common import discard, materialize, partitions
+from ._common import materialize, partitions, ragged
 
 BITS = 64
-#: Queries in a block of the scan.
-QUERY_BLOCK = 4096
+#: Codes of a shard at least, but for a single one.
+SHARD = 1 << 14
 
 
 def sign_codes(df: DataFrame, id_col: str = "vec_id", vector_col: str = "embedding") -> DataFrame:
@@ -40,14 +42,57 @@ def sign_codes(df: DataFrame, id_col: str = "vec_id", vector_col: str = "embeddi
 
 
 def segments(n: int) -> list[tuple[int, int]]:
-    """(shift, width) of each segment for n codes."""
-    m = max(2, min(8, round(BITS / max(1.0, log2(max(2, n))))))
+    """(shift, width) of each segment for n codes: no wider than log2(n), so that a probe meets a code on average."""
+    m = max(2, min(8, ceil(BITS / max(1.0, log2(max(2, n))))))
     cuts = [BITS * i // m for i in range(m + 1)]
     return [(a, b - a) for a, b in zip(cuts, cuts[1:])]
 
 
-def _part(col: Column, shift: int, width: int) -> Column:
-    return F.shiftrightunsigned(col, shift).bitwiseAND(F.lit((1 << width) - 1).cast("long"))
+@lru_cache(maxsize=256)
+def masks(width: int, radius: int) -> np.ndarray:
+    return np.array([sum(1 << b for b in c) for c in combinations(range(width), radius)], np.uint64)
+
+
+class Shard:
+    """Codes of one shard, listed by each segment's value."""
+
+    def __init__(self, codes: np.ndarray, ids: np.ndarray):
+        order = np.argsort(ids, kind="stable")
+        self.codes, self.ids = codes[order].view(np.uint64), ids[order]
+        self.cut = segments(len(codes))
+        values = [self.part(self.codes, s, w) for s, w in self.cut]
+        self.order = [np.argsort(v, kind="stable") for v in values]
+        self.values = [v[o] for v, o in zip(values, self.order)]
+
+    @staticmethod
+    def part(code: np.ndarray, shift: int, width: int) -> np.ndarray:
+        return (code >> np.uint64(shift)) & np.uint64((1 << width) - 1)
+
+    def nearest(self, code: int, k: int) -> tuple[np.ndarray, np.ndarray]:
+        """Places of the k nearest codes, ties by id, and their distances."""
+        q, m, n = np.uint64(code & (1 << BITS) - 1), len(self.cut), len(self.codes)
+        seen, at, distance, looked = np.zeros(n, bool), np.zeros(0, np.int64), np.zeros(0, np.int64), 0
+        for radius in range(max(w for _, w in self.cut) + 1):
+            for a, (shift, width) in enumerate(self.cut):
+                probe = self.part(q, shift, width) ^ masks(width, radius) if radius <= width else np.zeros(0, np.uint64)
+                looked += len(probe)
+                if looked > n:
+                    d = np.bitwise_count(self.codes ^ q).astype(np.int64)
+                    best = np.lexsort((np.arange(n), d))[:k]
+                    return best, d[best]
+                low, high = np.searchsorted(self.values[a], probe), np.searchsorted(self.values[a], probe, side="right")
+                met = self.order[a][ragged(low, high - low)]
+                met = met[~seen[met]]
+                seen[met] = True
+                at = np.concatenate([at, met])
+                distance = np.concatenate([distance, np.bitwise_count(self.codes[met] ^ q).astype(np.int64)])
+                if len(at) >= k and np.partition(distance, k - 1)[k - 1] <= m * radius + a:
+                    break
+            else:
+                continue
+            break
+        best = np.lexsort((at, distance))[:k]
+        return at[best], distance[best]
 
 
 def nearest_codes(rows: DataFrame, queries: DataFrame, k: int = 10) -> DataFrame:
@@ -56,89 +101,37 @@ def nearest_codes(rows: DataFrame, queries: DataFrame, k: int = 10) -> DataFrame
     rows, queries = rows.where("id is not null and code is not null"), queries.where("id is not null and code is not null")
     by_code = Window.partitionBy("code").orderBy("id")
     ids = materialize(rows.withColumn("r", F.row_number().over(by_code)).where(F.col("r") <= k).select("code", "id", "r"), "code-ids")
-    codes = ids.where("r = 1").select("code")
-    total = codes.count()
-    cut = segments(total)
-    m, widest = len(cut), max(w for _, w in cut)
-    index = materialize(codes.select("code", F.posexplode(F.array(*[_part(F.col("code"), s, w) for s, w in cut])).alias("seg", "value")), "segment-index")
+    codes = ids.where("r = 1").select("code", "id")
+    shards = max(1, min(partitions(spark), -(-codes.count() // SHARD)))
     # several rows may ask with one id: each query row has a number of its own
-    asked = materialize(queries.select(F.col("id").alias("qid"), F.col("code").alias("qcode"), F.expr("uuid()").alias("q")), "queries")
-    open_, best = asked.select("q", "qcode"), None
-    by_query = Window.partitionBy("q").orderBy("distance", "id")
-    radius = 0
-    while total:
-        last = radius > widest or sum(comb(w, radius) for _, w in cut if radius <= w) > max(64, total)
-        met = _scan(open_, codes, k) if last else _probe(open_, index, cut, radius, partitions(spark))
-        seen = met if best is None or last else best.select("q", "code", "distance").unionByName(met)
-        # of one distance and id order, k codes hold the k best rows
-        few = seen.join(ids.where("r = 1").select("code", "id"), "code").withColumn("n", F.row_number().over(by_query)).where(F.col("n") <= k).select("q", "code", "distance")
-        full = few.join(ids.select("code", "id"), "code").withColumn("rank", F.row_number().over(by_query)).where(F.col("rank") <= k)
-        now = materialize(full.select("q", "code", "id", "distance", "rank"), "best")
-        covered = m * (radius + 1) - 1
-        closed = now.where((F.col("rank") == k) & (F.col("distance") <= covered)).select("q")
-        left = materialize((open_.limit(0) if last else open_.join(closed, "q", "left_anti")).select("q", "qcode"), "open-queries")
-        done = now.join(left.select("q"), "q", "left_anti").select("q", "id", "distance", "rank")
-        done = materialize(done, "closed")
-        result = done if radius == 0 else result.unionByName(done)
-        before, best = best, materialize(now.join(left.select("q"), "q", "left_semi").select("q", "code", "distance").distinct(), "best-codes")
-        discard(now)
-        if before is not None:
-            discard(before)
-        open_ = left
-        if last or not left.count():
-            break
-        radius += 1
-    if not total:
-        return spark.createDataFrame([], "query_id long, rank int, neighbour_id long, distance int")
-    discard(index)
-    return result.join(asked, "q").select(F.col("qid").alias("query_id"), F.col("rank").cast("int").alias("rank"), F.col("id").alias("neighbour_id"), F.col("distance").cast("int").alias("distance"))
+    asked = materialize(queries.select(F.col("id").alias("qid"), "code", F.expr("uuid()").alias("q")), "queries")
+    listed = codes.select(F.pmod(F.xxhash64("code"), F.lit(shards)).cast("int").alias("shard"), F.lit(None).cast("string").alias("q"), "code", "id")
+    sent = asked.select(F.explode(F.sequence(F.lit(0), F.lit(shards - 1))).alias("shard"), "q", "code", F.col("qid").alias("id"))
 
-
-def _probe(open_: DataFrame, index: DataFrame, cut: list[tuple[int, int]], radius: int, parts: int) -> DataFrame:
-    """q, code, distance for pairs whose least segment distance is `radius`, each once."""
-
-    def spell(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        masks = [np.array([sum(1 << b for b in c) for c in combinations(range(w), radius)], np.uint64) for _, w in cut]
+    def search(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        now, held, shard = None, [], None
         for batch in batches:
-            for i in range(batch.num_rows):
-                code = np.uint64(batch.column(1)[i].as_py() & (1 << BITS) - 1)
-                for s, ((shift, width), mask) in enumerate(zip(cut, masks)):
-                    value = ((code >> np.uint64(shift)) & np.uint64((1 << width) - 1)) ^ mask
-                    n = len(value)
-                    yield pa.RecordBatch.from_arrays([pa.array([batch.column(0)[i].as_py()] * n), pa.array(np.full(n, code).view(np.int64)), pa.array(np.full(n, s, np.int32)), pa.array(value.view(np.int64))], names=["q", "qcode", "seg", "value"])
-
-    probes = open_.repartition(parts, "q").mapInArrow(spell, "q string, qcode long, seg int, value long")
-    x = F.col("qcode").bitwiseXOR(F.col("code"))
-    off = [F.bit_count(_part(x, s, w)) for s, w in cut]
-    first = F.array_position(F.array(*off), F.lit(radius)) - 1
-    met = probes.join(index, ["seg", "value"]).where((F.array_min(F.array(*off)) == radius) & (F.col("seg") == first))
-    return met.select("q", "code", F.bit_count(x).alias("distance"))
-
-
-def _scan(open_: DataFrame, codes: DataFrame, k: int) -> DataFrame:
-    """The k nearest codes within every task's share of all codes, for the queries left, block by block."""
-    spark = open_.sparkSession
-    out = None
-    # the stated queries are sent to the tasks in blocks of a fixed size
-    rows = [(r["q"], r["qcode"]) for r in open_.toLocalIterator()]
-    for at in range(0, len(rows), QUERY_BLOCK):
-        block = rows[at : at + QUERY_BLOCK]
-        names, bits = [q for q, _ in block], np.array([c for _, c in block], np.int64).view(np.uint64)
-
-        def run(batches: Iterator[pa.RecordBatch], names=names, bits=bits) -> Iterator[pa.RecordBatch]:
-            best = [(np.zeros(0, np.int64), np.zeros(0, np.int64))] * len(bits)
-            for batch in batches:
-                code = batch.column(0).to_numpy()
-                for i, b in enumerate(bits):
-                    d = np.bitwise_count(code.view(np.uint64) ^ b).astype(np.int64)
-                    d, c = np.concatenate([best[i][0], d]), np.concatenate([best[i][1], code])
-                    if len(d) > k:  # all ties of the k-th stay: ids decide later
-                        keep = d <= np.partition(d, k - 1)[k - 1]
-                        d, c = d[keep], c[keep]
-                    best[i] = d, c
-            for name, (d, c) in zip(names, best):
-                yield pa.RecordBatch.from_arrays([pa.array([name] * len(c), pa.string()), pa.array(c), pa.array(d.astype(np.int32))], names=["q", "code", "distance"])
-
-        got = codes.mapInArrow(run, "q string, code long, distance int")
-        out = got if out is None else out.unionByName(got)
-    return out if out is not None else spark.createDataFrame([], "q string, code long, distance int")
+            number, ask = batch.column(0).to_numpy(), batch.column(1).is_valid().to_numpy(zero_copy_only=False)
+            out: list[list] = [[], [], [], []]
+            for i in np.flatnonzero(np.concatenate([[True], (number[1:] != number[:-1]) | (ask[1:] != ask[:-1])]) if len(number) else number).tolist():
+                same = (number == number[i]) & (ask == ask[i])
+                code, own = batch.column(2).to_numpy()[same], batch.column(3).to_numpy()[same]
+                if number[i] != shard:
+                    now, held, shard = None, [], number[i]
+                if not ask[i]:
+                    held.append((code, own))
+                elif held or now:
+                    if held:
+                        now, held = Shard(*(np.concatenate(x) for x in zip(*held))), []
+                    for q, c in zip(batch.column(1).filter(pa.array(same)).to_pylist(), code.tolist()):
+                        at, d = now.nearest(c, k)
+                        for x, y in zip(out, ([q] * len(at), now.codes[at].view(np.int64), now.ids[at], d)):
+                            x.extend(y)
+            yield pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in zip(out, (pa.string(), pa.int64(), pa.int64(), pa.int32()))], names=["q", "code", "id", "distance"])
+
+    found = listed.unionByName(sent).repartition(shards, "shard").sortWithinPartitions("shard", F.col("q").asc_nulls_first()).mapInArrow(search, "q string, code long, id long, distance int")
+    by_query = Window.partitionBy("q").orderBy("distance", "id")
+    # of one order by distance and id, k codes hold the k best rows
+    few = materialize(found.withColumn("n", F.row_number().over(by_query)).where(F.col("n") <= k).select("q", "code", "distance"), "nearest-codes")
+    full = few.join(ids.select("code", "id"), "code").withColumn("rank", F.row_number().over(by_query)).where(F.col("rank") <= k)
+    return full.join(asked.select("q", "qid"), "q").select(F.col("qid").alias("query_id"), F.col("rank").cast("int").alias("rank"), F.col("id").alias("neighbour_id"), F.col("distance").cast("int").alias("distance"))
