@@ -24,10 +24,16 @@ LAYOUT = 10
 PAGE_BUCKETS = 256
 
 
+LETTERS, DIGITS = re.compile(r"[^\W\d_]+"), re.compile(r"\d+")
+
+
 def shape(word: str) -> str:
     """Runs of capitals, other letters and digits as A, a and 0; other characters stay."""
-    out = re.sub(r"[^\W\d_]+", lambda m: "A" if m[0].isupper() and len(m[0]) > 1 else "a", word)
-    return re.sub(r"\d+", "0", out)
+    stem = word.rstrip(".,;:!?")
+    if stem.isalpha():  # the same, sooner
+        return ("A" if len(stem) > 1 and stem[0].isupper() else "a") + word[len(stem) :]
+    out = LETTERS.sub(lambda m: "A" if m[0].isupper() and len(m[0]) > 1 else "a", word)
+    return DIGITS.sub("0", out)
 
 
 class Content:
@@ -37,7 +43,16 @@ class Content:
         self.forget()
 
     def forget(self) -> None:
-        self.known, self.of = Numbered(), np.zeros((0, 2), np.int32)
+        self.known, self.of, self.shapes = Numbered(), np.zeros((1 << 12, 2), np.int32), {}
+
+    def learn(self, first: int, words: list[bytes]) -> None:
+        while first + len(words) > len(self.of):
+            self.of = np.concatenate([self.of, np.zeros_like(self.of)])
+        for i, w in enumerate(words, first):
+            form = shape(w.decode("utf-8", "replace"))
+            if form not in self.shapes:
+                self.shapes[form] = xxhash.xxh32_intdigest(form, 1) % BUCKETS
+            self.of[i] = xxhash.xxh32_intdigest(w.lower().strip(b".,;:!?")) % BUCKETS, self.shapes[form]
 
     def __call__(self, raw: bytes) -> tuple[np.ndarray, np.ndarray]:
         """Distinct features, ascending, and the words' numbers in order."""
@@ -45,8 +60,7 @@ class Content:
         at = np.fromiter(map(self.known.__getitem__, words), np.int64, len(words))
         new = self.known.fresh()
         if new:
-            h = np.array([(xxhash.xxh32_intdigest(w.lower().strip(b".,;:!?")) % BUCKETS, xxhash.xxh32_intdigest(shape(w.decode("utf-8", "replace")), 1) % BUCKETS) for w in new], np.int32)
-            self.of = np.concatenate([self.of, h])
+            self.learn(len(self.known) - len(new), new)
         return np.unique(self.of[np.unique(at)]), at
 
 
