@@ -35,10 +35,9 @@ def near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def repeated_passages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents without the passages that stand in an earlier one; those left empty go, untouched texts stay as they are."""
-    done = substring.dedup_substrings(docs, 50, carry=("text", "lang", "source", "n_chars"))
-    text = F.when(F.col("n_removed") > 0, F.decode("kept", "UTF-8")).otherwise(F.col("text"))
-    done = done.where(F.col("n_words") > F.col("n_removed"))
-    return done.select("doc_id", text.alias("text"), "lang", "source", F.when(F.col("n_removed") > 0, F.length(text)).otherwise(F.col("n_chars")).cast("long").alias("n_chars"))
+    done = substring.dedup_substrings(docs, 50, carry=("lang", "source", "n_chars"), as_is=True)
+    done = done.where(F.col("n_words") > F.col("n_removed")).withColumn("text", F.col("kept").cast("string"))
+    return done.select("doc_id", "text", "lang", "source", F.when(F.col("n_removed") > 0, F.length("text")).otherwise(F.col("n_chars")).cast("long").alias("n_chars"))
 
 
 def mixture(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -14,7 +14,9 @@ from pyspark.sql import functions as F
 #: Text handled at once by a Python worker; a longer single text is handled alone.
 SLICE_BYTES = 2 << 20
 #: Distinct strings a worker remembers before it starts its cache anew.
-CACHE_ENTRIES = 500_000
+CACHE_ENTRIES = 300_000
+#: Rows of an Arrow batch at most: a batch of whole documents is held several times over, in the JVM and in Python.
+BATCH_ROWS = 1000
 
 
 def shared_dir(spark: SparkSession, name: str) -> str:
@@ -45,6 +47,13 @@ def discard(df: DataFrame) -> None:
         p.getFileSystem(jsc.hadoopConfiguration()).delete(p, True)
 
 
+def small_batches(spark: SparkSession) -> None:
+    """Bounds the rows sent to a Python worker at once, unless the session has a lower bound."""
+    key = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    if not 0 < int(spark.conf.get(key)) <= BATCH_ROWS:
+        spark.conf.set(key, str(BATCH_ROWS))
+
+
 def partitions(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions"))
 

@@ -24,7 +24,7 @@ import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ._common import CACHE_ENTRIES, HashTable, Numbered, ragged, slices
+from ._common import CACHE_ENTRIES, HashTable, Numbered, ragged, slices, small_batches
 
 NO_RANK = np.int32(2**31 - 1)
 #: Pieces above this many bytes are merged with a heap: the same merges without a row as wide as the piece.
@@ -198,6 +198,7 @@ def bpe_encode(df: DataFrame, vocab_path: str, pattern: str, id_col: str = "doc_
 
     A map without a shuffle: each text is encoded whole in the task that reads it.
     """
+    small_batches(df.sparkSession)
     src = df.select(F.col(id_col).alias("id"), F.col(text_col).cast("string").alias("text"))
 
     def encode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

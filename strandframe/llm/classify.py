@@ -16,7 +16,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ._common import CACHE_ENTRIES, Numbered, slices
+from ._common import CACHE_ENTRIES, Numbered, slices, small_batches
 
 BUCKETS = 1 << 18
 #: Layout numbers of a page, before its hashed source and language.
@@ -85,6 +85,7 @@ def page_features(raw: bytes, at: np.ndarray, *names: str | None) -> np.ndarray:
 
 def features(df: DataFrame, keep: list[str], page: list[str]) -> DataFrame:
     """The kept columns with content (int32 features) and page (float64) as bytes; df needs text."""
+    small_batches(df.sparkSession)
     schema = df.select(*keep).schema
     m = len(keep)
 

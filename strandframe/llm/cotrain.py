@@ -22,7 +22,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ._common import CACHE_ENTRIES, slices
+from ._common import CACHE_ENTRIES, slices, small_batches
 from .classify import Content, Dense, Sparse, features, fit, one_label, page_features, sampled
 
 PAGE = ["source", "lang"]
@@ -118,6 +118,7 @@ def score(docs: DataFrame, model: CoTrained) -> DataFrame:
     if model.views is None:
         p = F.lit(model.share)
         return docs.select(F.col("doc_id").cast("long").alias("doc_id"), p.alias("p_content"), p.alias("p_page"), p.alias("score"), (p >= 0.5).cast("int").alias("quality_pred"))
+    small_batches(docs.sparkSession)
     (w, b, a, c, k), page = model.views
     delta = (w[:, 1] - w[:, 0]).astype(np.float32)
     sent = docs.sparkSession.sparkContext.broadcast(delta)  # one number for each hashed bucket

@@ -33,7 +33,7 @@ import pyarrow.fs as pafs
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ._common import CACHE_ENTRIES, Numbered, discard, materialize, partitions, ragged, shared_dir, slices
+from ._common import CACHE_ENTRIES, Numbered, discard, materialize, partitions, ragged, shared_dir, slices, small_batches
 
 #: Documents read from a shard at once.
 READ_DOCS = 1024
@@ -221,6 +221,7 @@ def filesystem(path: str) -> tuple[pafs.FileSystem, str]:
 def encode_words(df: DataFrame, vocab_path: str, end_id: int, width: int, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """id long and ids binary, little-endian unsigned of `width` bytes, end id included."""
 
+    small_batches(df.sparkSession)
     def encode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         enc = word_encoder(vocab_path, end_id, width)
         for batch, raw in slices(batches, 1):

@@ -24,7 +24,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ._common import CACHE_ENTRIES, HashTable, Numbered, discard, materialize, run_sums, slices
+from ._common import CACHE_ENTRIES, HashTable, Numbered, discard, materialize, run_sums, slices, small_batches
 
 MARK = "▁"
 BASE = np.uint64(0x9E3779B97F4A7C15)
@@ -169,6 +169,7 @@ def count_words(df: DataFrame) -> DataFrame:
 
 def train(df: DataFrame, vocab_path: str, learn: Column, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", docs_per_language: int = 5000, rounds: int = 4) -> LanguageModel:
     """Learns from labelled rows where `learn` holds: about docs_per_language texts of each label, chosen by a hash of the id."""
+    small_batches(df.sparkSession)
     rows = df.where(learn & F.col(lang_col).isNotNull() & F.col(text_col).isNotNull()).select(F.col(id_col).alias("id"), F.col(lang_col).cast("string").alias("lang"), F.col(text_col).cast("string").alias("text"))
     have = {r["lang"]: r["n"] for r in rows.groupBy("lang").agg(F.count("*").alias("n")).collect()}  # one row for each language
     languages, pieces = sorted(have), vocabulary_pieces(vocab_path)
@@ -224,7 +225,8 @@ def predict(df: DataFrame, model: LanguageModel, id_col: str = "doc_id", text_co
 
     The columns named in carry come along unchanged; none of them may be named lang_pred or score.
     """
-    more = [f"carried_{i}" for i in range(len(carry))]
+    small_batches(df.sparkSession)
+    more = ["text" if c == text_col else f"carried_{i}" for i, c in enumerate(carry)]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         finder = _finder(tuple(model.pieces))
@@ -249,9 +251,9 @@ def predict(df: DataFrame, model: LanguageModel, id_col: str = "doc_id", text_co
                 odds = 1 / np.exp(log - log.max(axis=1, keepdims=True)).sum(axis=1)
                 for i in np.flatnonzero(has):
                     lang[i], score[i] = model.languages[best[i]], odds[i]
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(lang), pa.array(np.minimum(score, 1.0)), *batch.columns[2:]], names=["id", "lang_pred", "score", *more])
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(lang), pa.array(np.minimum(score, 1.0)), *(batch.column(m) for m in more)], names=["id", "lang_pred", "score", *more])
 
-    src = df.select(F.col(id_col).alias("id"), F.col(text_col).cast("string").alias("text"), *[F.col(c).alias(m) for c, m in zip(carry, more)])
+    src = df.select(F.col(id_col).alias("id"), F.col(text_col).cast("string").alias("text"), *[F.col(c).alias(m) for c, m in zip(carry, more) if m != "text"])
     kinds = "".join(f", {m} {src.schema[m].dataType.simpleString()}" for m in more)
     out = src.mapInArrow(run, f"id {src.schema['id'].dataType.simpleString()}, lang_pred string, score double{kinds}")
     return out.withColumnsRenamed({"id": id_col, **dict(zip(more, carry))})

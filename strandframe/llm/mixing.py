@@ -22,7 +22,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ._common import CACHE_ENTRIES, materialize, slices
+from ._common import CACHE_ENTRIES, materialize, slices, small_batches
 from .classify import Content, Sparse, features, fit, one_label, sampled, softmax
 
 #: Domains of the labels table, and its rows' domain.
@@ -45,6 +45,7 @@ def train_domains(docs: DataFrame, labels: DataFrame, bound: int = 6000) -> tupl
 
 def posteriors(docs: DataFrame, w: np.ndarray, b: np.ndarray) -> DataFrame:
     """doc_id, n_tokens and posterior of every document."""
+    small_batches(docs.sparkSession)
     w = w.astype(np.float32)
     used = np.flatnonzero(w.any(axis=1))
     w = docs.sparkSession.sparkContext.broadcast((used.astype(np.int32), w[used], len(w)))  # bounded by the hashed buckets

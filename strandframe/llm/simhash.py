@@ -25,7 +25,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ._common import materialize, slices
+from ._common import materialize, slices, small_batches
 from .buckets import Forest, in_buckets
 from .components import components
 
@@ -53,6 +53,7 @@ def fingerprint(raw: bytes, shingle: int, seed: int = 42) -> int:
 def fingerprints(df: DataFrame, shingle: int = 5, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """id long and fp long, the fingerprint's bits as a signed number."""
 
+    small_batches(df.sparkSession)
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch, raw in slices(batches, 1):
             fp = np.array([fingerprint(x, shingle) for x in raw], np.uint64)

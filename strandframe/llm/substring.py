@@ -32,7 +32,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ._common import CACHE_ENTRIES, Numbered, discard, materialize, mix64, partitions, sieve, slices
+from ._common import CACHE_ENTRIES, Numbered, discard, materialize, mix64, partitions, sieve, slices, small_batches
 
 B1, B2 = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xD6E8FEB86659FD93)
 I1, I2 = (np.uint64(pow(int(b), -1, 1 << 64)) for b in (B1, B2))
@@ -313,11 +313,13 @@ def _first_docs(docs: DataFrame, listed: DataFrame, window: int, crowd: int) ->
     return out
 
 
-def dedup_substrings(df: DataFrame, window: int = 50, mer: int = 10, crowd: int = 256, id_col: str = "doc_id", text_col: str = "text", carry: tuple[str, ...] = ()) -> DataFrame:
+def dedup_substrings(df: DataFrame, window: int = 50, mer: int = 10, crowd: int = 256, id_col: str = "doc_id", text_col: str = "text", carry: tuple[str, ...] = (), as_is: bool = False) -> DataFrame:
     """id_col, n_words, n_removed and kept (the words left, joined by one space, as binary) of every row.
 
+    With as_is, kept is the text itself, white space and all, where nothing goes.
     The columns named in carry come along unchanged; none of them may have the name of a result.
     """
+    small_batches(df.sparkSession)
     more = [f"carried_{i}" for i in range(len(carry))]
     whole = df.select(*[F.col(c).alias(m) for c, m in zip(carry, more)], F.col(id_col).cast("long").alias("id"), F.hash(F.col(text_col).cast("string")).alias("t"), F.col(text_col).cast("string").alias("text"))
     docs = whole.select("id", "t", "text")
@@ -344,7 +346,7 @@ def dedup_substrings(df: DataFrame, window: int = 50, mer: int = 10, crowd: int
                         np.add.at(cover, at + window, -1)
                 keep = np.cumsum(cover[:-1]) == 0
                 total.append(len(words)), gone.append(int((~keep).sum()))
-                kept.append(b" ".join(words if not gone[-1] else [w for w, k in zip(words, keep.tolist()) if k]))
+                kept.append(x if as_is and not gone[-1] else b" ".join(words if not gone[-1] else [w for w, k in zip(words, keep.tolist()) if k]))
             yield pa.RecordBatch.from_arrays([ids, pa.array(total, pa.int64()), pa.array(gone, pa.int64()), pa.array(kept, pa.binary()), *batch.columns[3:]], names=["id", "n_words", "n_removed", "kept", *more])
 
     kinds = "".join(f", {m} {whole.schema[m].dataType.simpleString()}" for m in more)

@@ -23,7 +23,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ._common import slices
+from ._common import slices, small_batches
 from .bpe import ByteBpe, vocabulary
 
 RULES = ("majority", "first", "split")
@@ -71,6 +71,7 @@ def section_tokens(df: DataFrame, vocab_path: str, pattern: str, sections_col: s
     """
     if rule not in RULES:
         raise ValueError(f"rule must be one of {RULES}")
+    small_batches(df.sparkSession)
     cols = [F.col(id_col).alias("id"), F.col(text_col).cast("string").alias("text")]
     if sections_col:
         cols.append(F.transform(F.col(sections_col), lambda s: F.struct(s["start"].cast("long").alias("start"), s["end"].cast("long").alias("end"))).alias("sections"))
