@@ -6,19 +6,47 @@ from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..functions.seq import kmers, revcomp
+from ..functions.seq import revcomp
 
 #: Match and mismatch scores of the usual DNA matrix. Fixed values.
 MATCH, MISMATCH = 5.0, -4.0
+BASE = np.uint64(0x9E3779B97F4A7C15)
 
 
 def _sides(a: DataFrame, b: DataFrame) -> tuple[DataFrame, DataFrame]:
     return a.select(F.col("name").alias("a_name"), F.col("seq").alias("a_seq")), b.select(F.col("name").alias("b_name"), F.col("seq").alias("b_seq"))
 
 
+def kmer_hashes(df: DataFrame, sizes: list[int], whole: bool = False) -> DataFrame:
+    """df's first column and kmer: 64-bit hashes of the distinct k-mers of its second, or of it as a whole up to the size given.
+
+    Strings are indexed as code points in numpy; substrings of long texts cost their place in the JVM.
+    """
+    name = df.columns[0]
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            ids, hashes = [], []
+            for row, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
+                codes = np.frombuffer((text or "").encode("utf-32-le"), np.uint32).astype(np.uint64) + np.uint64(1)
+                for k in [len(codes)] if whole else sizes:
+                    if 0 < k <= len(codes):
+                        h = np.zeros(len(codes) - k + 1, np.uint64)
+                        for j in range(k):
+                            h = h * BASE + codes[j : len(codes) - k + 1 + j]
+                        h = np.unique(h * BASE + np.uint64(k))
+                        hashes.append(h)
+                        ids.append(np.full(len(h), row, np.int64))
+            flat = (np.concatenate(ids), np.concatenate(hashes).view(np.int64)) if ids else (np.zeros(0, np.int64),) * 2
+            yield pa.RecordBatch.from_arrays([pa.array(flat[0]), pa.array(flat[1])], names=[name, "kmer"])
+
+    return df.mapInArrow(run, f"{name} long, kmer long")
+
+
 def exact(a: DataFrame, b: DataFrame) -> DataFrame:
     x, y = _sides(a, b)
     return x.join(y, x["a_seq"] == y["b_seq"])
@@ -33,19 +61,20 @@ def containment(a: DataFrame, b: DataFrame, k: int = 20, min_len: int = 0) -> Da
     """Pairs with one sequence inside the other, relation b_in_a before a_in_b, with the length of the inner one.
 
     The inner sequence's first k bases must be a k-mer of the outer one, which makes it an equality join. Inner sequences
-    shorter than k meet on as many bases as they have, length by length. b below min_len takes no part.
+    shorter than k meet on all their bases. b below min_len takes no part.
     """
     x, y = _sides(a, b)
     y = y.where(F.length("b_seq") >= max(1, min_len))
     x = x.where(F.length("a_seq") >= 1)
 
     def inside(inner: DataFrame, i: str, outer: DataFrame, o: str) -> DataFrame:
+        """Meets on hashes of k-mers by row ids; sequences come back for the pairs that met."""
+        inner, outer = (df.withColumn(f"{c}_id", F.xxhash64(*df.columns)) for df, c in ((inner, i), (outer, o)))
         sizes = sorted(r[0] for r in inner.select(F.least(F.length(i), F.lit(k))).distinct().collect())  # k values at most
-        if not sizes:
-            return inner.join(outer, F.lit(False))
-        anchors = outer.withColumn("anchor", F.explode(F.array_distinct(F.flatten(F.array(*[kmers(F.col(o), n) for n in sizes])))))
-        keyed = inner.withColumn("key", F.substring(F.col(i), 1, k))
-        return keyed.join(anchors, (F.col("key") == F.col("anchor")) & F.contains(F.col(o), F.col(i))).drop("key", "anchor")
+        anchors = kmer_hashes(outer.select(f"{o}_id", o), sizes)
+        heads = kmer_hashes(inner.select(f"{i}_id", F.substring(F.col(i), 1, k).alias(i)), [k], whole=True)
+        met = heads.join(anchors, "kmer").select(f"{i}_id", f"{o}_id").distinct()
+        return met.join(inner, f"{i}_id").join(outer, f"{o}_id").where(F.contains(F.col(o), F.col(i)))
 
     first = inside(y, "b_seq", x, "a_seq").select("a_name", "a_seq", "b_name", "b_seq", F.lit("b_in_a").alias("relation"), F.length("b_seq").alias("overlap_len"))
     other = inside(x, "a_seq", y, "b_seq").where("a_seq <> b_seq").select("a_name", "a_seq", "b_name", "b_seq", F.lit("a_in_b").alias("relation"), F.length("a_seq").alias("overlap_len"))
@@ -63,17 +92,18 @@ def first_containing(sno: DataFrame, union: DataFrame, k: int = 20) -> DataFrame
 
 def sharing_kmer(a: DataFrame, b: DataFrame, k: int = 20) -> DataFrame:
     """Rows of b with a k-mer of any a."""
-    keys = a.select(F.explode(F.array_distinct(kmers(F.col("seq"), k))).alias("kmer")).distinct()
-    hits = b.select("name", "seq", F.explode(F.array_distinct(kmers(F.col("seq"), k))).alias("kmer")).join(keys, "kmer", "left_semi").select("name", "seq").distinct()
-    return b.join(hits, ["name", "seq"], "left_semi")
+    ids = b.withColumn("b_id", F.xxhash64("name", "seq"))
+    keys = kmer_hashes(a.select(F.lit(0).cast("long").alias("a_id"), "seq"), [k]).select("kmer").distinct()
+    hits = kmer_hashes(ids.select("b_id", "seq"), [k]).join(keys, "kmer", "left_semi").select("b_id").distinct()
+    return ids.join(hits, "b_id", "left_semi").drop("b_id")
 
 
 def candidate_pairs(a: DataFrame, b: DataFrame, k: int = 20) -> DataFrame:
     """Pairs (a, b) that share a k-mer."""
     x, y = _sides(a, b)
-    x = x.withColumn("kmer", F.explode(F.array_distinct(kmers(F.col("a_seq"), k))))
-    y = y.withColumn("kmer", F.explode(F.array_distinct(kmers(F.col("b_seq"), k))))
-    return x.join(y, "kmer").select("a_name", "a_seq", "b_name", "b_seq").distinct()
+    x, y = x.withColumn("a_id", F.xxhash64(*x.columns)), y.withColumn("b_id", F.xxhash64(*y.columns))
+    met = kmer_hashes(x.select("a_id", "a_seq"), [k]).join(kmer_hashes(y.select("b_id", "b_seq"), [k]), "kmer").select("a_id", "b_id").distinct()
+    return met.join(x, "a_id").join(y, "b_id").select("a_name", "a_seq", "b_name", "b_seq").distinct()
 
 
 def smith_waterman(a: str, b: str, gap_open: float = 10.0, gap_extend: float = 0.5) -> tuple[int, int, float]:
