@@ -143,6 +143,18 @@ def _finder(pieces: tuple[str, ...]) -> Pieces:
     return Pieces(list(pieces))
 
 
+def gathered(batches: Iterator[pa.RecordBatch], rows: int) -> Iterator[pa.Table]:
+    """Batches put together to about that many rows."""
+    held: list[pa.RecordBatch] = []
+    for batch in batches:
+        held.append(batch)
+        if sum(b.num_rows for b in held) >= rows:
+            yield pa.Table.from_batches(held)
+            held = []
+    if held:
+        yield pa.Table.from_batches(held)
+
+
 def count_words(df: DataFrame) -> DataFrame:
     """word, k, n: how often each word stands in texts of language number k, from columns k and text."""
 
@@ -190,10 +202,10 @@ def train(df: DataFrame, vocab_path: str, learn: Column, id_col: str = "doc_id",
 
         def expect(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             finder, total = _finder(held), np.zeros((size + 2, k))
-            for batch in batches:
-                words = batch.column(0).to_pylist()
+            for table_ in gathered(batches, 20_000):
+                words = table_.column(0).to_pylist()
                 weight = np.zeros((len(words), k))
-                for i, pairs in enumerate(batch.column(1).to_pylist()):
+                for i, pairs in enumerate(table_.column(1).to_pylist()):
                     for lang, n in pairs:
                         weight[i, lang] = n
                 for part, codes in by_length(words):
