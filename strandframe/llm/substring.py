@@ -281,7 +281,7 @@ def deal_windows(strings: DataFrame, window: int) -> DataFrame:
             known: dict = {}
             for s1, s2, mz, own, last, x, low in zip(*(batch.column(c).to_pylist() for c in ("s1", "s2", "mz", "first", "last")), raw, batch.column(batch.schema.names.index("low"))):
                 if mz not in known:
-                    known[mz] = {(r["w1"], r["w2"]): r["f"] for r in low.as_py()}
+                    known[mz] = {(r["w1"], r["w2"]): r["f"] for r in low.as_py() or ()}
                 _, w1, w2 = window_digests(hashes, [x], window)
                 firsts = np.array([known[mz].get(k, own) for k in zip(w1.view(np.int64).tolist(), w2.view(np.int64).tolist())], np.int64)
                 if firsts.min() < last:
@@ -289,7 +289,7 @@ def deal_windows(strings: DataFrame, window: int) -> DataFrame:
                         c.append(v)
             yield pa.RecordBatch.from_arrays([pa.array(cols[0], pa.int64()), pa.array(cols[1], pa.int64()), pa.array(cols[2], pa.binary())], names=["s1", "s2", "firsts"])
 
-    return strings.join(low, "mz").select("mz", "s1", "s2", "first", "packed", "last", "low").mapInArrow(look_up, "s1 long, s2 long, firsts binary")
+    return strings.join(low, "mz", "left").select("mz", "s1", "s2", "first", "packed", "last", "low").mapInArrow(look_up, "s1 long, s2 long, firsts binary")
 
 
 def _first_docs(docs: DataFrame, listed: DataFrame, window: int, crowd: int) -> DataFrame:
