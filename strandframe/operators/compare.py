@@ -2,11 +2,13 @@
 
 from __future__ import annotations
 
+import sys
 from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
 import pyarrow as pa
+from pyspark import cloudpickle
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -15,6 +17,8 @@ from ..functions.seq import revcomp
 #: Match and mismatch scores of the usual DNA matrix. Fixed values.
 MATCH, MISMATCH = 5.0, -4.0
 BASE = np.uint64(0x9E3779B97F4A7C15)
+# Workers that lack the package get this module's functions with their tasks.
+cloudpickle.register_pickle_by_value(sys.modules[__name__])
 
 
 def _sides(a: DataFrame, b: DataFrame) -> tuple[DataFrame, DataFrame]:

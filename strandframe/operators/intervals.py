@@ -73,21 +73,33 @@ def reciprocal(a: DataFrame, b: DataFrame, fraction: float, stranded: bool = Fal
     return overlap(a, b, stranded, width).where((bp >= fraction * (F.col("a_end") - F.col("a_start"))) & (bp >= fraction * (F.col("b_end") - F.col("b_start"))))
 
 
-def merge(df: DataFrame, stranded: bool = True, identical_only: bool = False) -> DataFrame:
+def merge(df: DataFrame, stranded: bool = True, identical_only: bool = False, width: int = 16384) -> DataFrame:
     """Runs of overlapping or touching intervals as one, distinct names joined by | in order.
 
-    Identical intervals are summed up first, so copies of one don't meet in a window.
+    Identical intervals are summed up first. Running maxima are taken within bins by start; what reaches into a bin from
+    the ones before comes from a table of one row a bin, so a task's window holds a bin's places, or a chromosome's bins.
     """
     keys = ["chrom", "strand"] if stranded else ["chrom"]
     least = checked(df).groupBy(*keys, "start", "end").agg(F.collect_set("name").alias("names"))
     if identical_only:
         out = least
     else:
-        before = Window.partitionBy(*keys).orderBy("start", "end").rowsBetween(Window.unboundedPreceding, -1)
-        upto = Window.partitionBy(*keys).orderBy("start", "end").rowsBetween(Window.unboundedPreceding, 0)
-        top = F.max("end").over(before)
-        island = least.withColumn("new", F.when(top.isNull() | (F.col("start") > top), 1).otherwise(0)).withColumn("island", F.sum("new").over(upto))
-        out = island.groupBy(*keys, "island").agg(F.min("start").alias("start"), F.max("end").alias("end"), F.flatten(F.collect_list("names")).alias("names"))
+        binned = least.withColumn("bin", F.floor(F.col("start") / width))
+        earlier = Window.partitionBy(*keys).orderBy("bin").rowsBetween(Window.unboundedPreceding, -1)
+        rows = Window.partitionBy(*keys, "bin").orderBy("start", "end")
+        before, upto = rows.rowsBetween(Window.unboundedPreceding, -1), rows.rowsBetween(Window.unboundedPreceding, 0)
+
+        def carried(table: DataFrame, value: Column, name: str) -> DataFrame:
+            """table and the greatest value of all earlier bins, null in the first."""
+            per = table.groupBy(*keys, "bin").agg(F.max(value).alias("m")).withColumn(name, F.max("m").over(earlier)).drop("m")
+            x, y = table.alias("x"), per.alias("y")
+            return x.join(y, [F.col(f"x.{c}").eqNullSafe(F.col(f"y.{c}")) for c in (*keys, "bin")]).select("x.*", name)
+
+        reach = carried(binned, F.col("end"), "reach")
+        top = F.greatest("reach", F.max("end").over(before))
+        first = reach.withColumn("first", F.when(top.isNull() | (F.col("start") > top), F.col("start"))).drop("reach")
+        island = carried(first, F.col("first"), "open").withColumn("island", F.coalesce(F.max("first").over(upto), F.col("open")))
+        out = island.groupBy(*keys, "island").agg(F.max("end").alias("end"), F.flatten(F.collect_list("names")).alias("names")).withColumnRenamed("island", "start")
     return out.select(*keys, "start", "end", F.array_join(F.array_sort(F.array_distinct("names")), "|").alias("name"))
 
 

@@ -15,16 +15,19 @@ def write_fasta(df: DataFrame, path: str, header: Column | str = "name") -> None
     df.select(F.concat(F.lit(">"), h, F.lit("\n"), F.col("seq")).alias("value")).coalesce(1).write.mode("overwrite").text(path)
 
 
-def numbered_headers(df: DataFrame, base: int = 3000) -> DataFrame:
+def numbered_headers(df: DataFrame, base: int = 3000, width: int = 1 << 20) -> DataFrame:
     """name as name.idN, N from base + 1 in coordinate order, and seq in upper case.
 
-    Numbers come from counts of ranges sorted apart, so no task holds all rows.
+    Rows are numbered within bins of a chromosome, after the counts of the bins before, so no task holds all rows and a
+    task run again gives the same numbers.
     """
-    ranged = df.repartitionByRange(*[F.col(c) for c in coordinate_order()]).withColumn("part", F.spark_partition_id())
-    ranged = ranged.withColumn("at", F.row_number().over(Window.partitionBy("part").orderBy(*coordinate_order())))
-    sizes = ranged.groupBy("part").agg(F.count("*").alias("n")).withColumn("before", F.coalesce(F.sum("n").over(Window.orderBy("part").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)))
-    out = ranged.join(sizes.select("part", "before"), "part")
-    return out.withColumn("name", F.concat(header_name(F.col("name")), F.lit(".id"), (F.col("before") + F.col("at") + base).cast("string"))).withColumn("seq", F.upper("seq")).drop("part", "at", "before")
+    binned = df.withColumn("bin", F.floor(F.col("start") / width))
+    sizes = binned.groupBy("chrom", "bin").agg(F.count("*").alias("n"))  # as many rows as the genome has bins
+    earlier = Window.orderBy("chrom", "bin").rowsBetween(Window.unboundedPreceding, -1)
+    sizes = sizes.withColumn("before", F.coalesce(F.sum("n").over(earlier), F.lit(0))).drop("n").alias("y")
+    x = binned.withColumn("at", F.row_number().over(Window.partitionBy("chrom", "bin").orderBy(*coordinate_order()))).alias("x")
+    out = x.join(sizes, F.col("x.chrom").eqNullSafe(F.col("y.chrom")) & F.col("x.bin").eqNullSafe(F.col("y.bin"))).select("x.*", "before")
+    return out.withColumn("name", F.concat(header_name(F.col("name")), F.lit(".id"), (F.col("before") + F.col("at") + base).cast("string"))).withColumn("seq", F.upper("seq")).drop("bin", "at", "before")
 
 
 def locus_header() -> Column:

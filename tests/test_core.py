@@ -50,6 +50,30 @@ def test_book_ended_merge_but_not_overlap(spark):
     assert tuple(intervals.redundancy(x, False).first()) == (4, 1, 3)
 
 
+@pytest.mark.parametrize("stranded", [True, False])
+def test_merge_over_bins_matches_a_scan(spark, stranded):
+    rng = random.Random(3)
+    bed = some_bed(rng, 60) + [("c1", 40, 250, "long", 0, "+"), ("c1", 40, 250, "copy", 0, "+")]
+    expected = {}
+    for row in sorted(bed, key=lambda r: (r[0], r[5] if stranded else "", r[1], r[2])):
+        runs = expected.setdefault((row[0], row[5]) if stranded else (row[0],), [])
+        if runs and row[1] <= runs[-1][1]:
+            runs[-1] = (runs[-1][0], max(runs[-1][1], row[2]), runs[-1][2] | {row[3]})
+        else:
+            runs.append((row[1], row[2], {row[3]}))
+    expected = sorted([(*k, a, b, "|".join(sorted(n))) for k, runs in expected.items() for a, b, n in runs], key=repr)
+    x = spark.createDataFrame(bed, BED)
+    for width in (7, 100, 1000):
+        assert rows(intervals.merge(x, stranded, width=width)) == expected
+    assert intervals.merge(x.where("false"), stranded).count() == 0
+
+
+def test_header_numbers_do_not_depend_on_bins(spark):
+    x = spark.createDataFrame(some_bed(random.Random(4), 50), BED).withColumn("seq", F.lit("a"))
+    whole, cut = (rows(writers.numbered_headers(x, 0, w).select("start", "name")) for w in (1000, 16))
+    assert whole == cut and {int(r[1].split("id")[1]) for r in whole} == set(range(1, 51))
+
+
 def test_longest_wins_with_limit(spark):
     a = spark.createDataFrame([("c", 0, 100, "a1", 0, "+"), ("c", 500, 510, "a2", 0, "+"), ("c", 900, 2900, "a3", 0, "+")], BED)
     b = spark.createDataFrame([("c", 50, 150, "b1", 0, "+"), ("c", 505, 2000, "b2", 0, "+"), ("c", 50, 60, "anti", 0, "-")], BED)
