@@ -90,11 +90,13 @@ def source_tag(source: Column) -> Column:
 
 
 def percent_identity(identical: Column, length: Column) -> Column:
-    return 100.0 * identical / length
+    """Null for an empty alignment."""
+    return F.try_divide(100.0 * identical, length)
 
 
 def coverage(aligned: Column, a_len: Column, b_len: Column) -> Column:
-    return aligned / F.least(a_len, b_len)
+    """Of the shorter sequence; null if that is empty."""
+    return F.try_divide(aligned, F.least(a_len, b_len))
 
 
 def dominant(names: Column) -> Column:
@@ -120,7 +122,11 @@ def alternatives(names: Column) -> Column:
 
 
 def url_quote(s: Column) -> Column:
-    return F.url_encode(s)
+    """Percent encoding of a URL path: letters, digits and -_.~/ stay."""
+    out = F.url_encode(s)
+    for old, new in (("+", "%20"), ("*", "%2A"), ("%7E", "~"), ("%2F", "/")):
+        out = F.replace(out, F.lit(old), F.lit(new))
+    return out
 
 
 def kmers(s: Column, k: int) -> Column:

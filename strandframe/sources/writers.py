@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -9,6 +10,16 @@ from ..functions.seq import header_name, locus
 from ..operators.intervals import coordinate_order
 
 
+def fixed(value: Column, digits: int) -> Column:
+    """Text with so many decimals, rounded from the exact binary value, which the JVM's formats don't do."""
+
+    @F.pandas_udf("string")
+    def text(v: pd.Series) -> pd.Series:
+        return v.map(lambda x: None if pd.isna(x) else f"{x:.{digits}f}")
+
+    return text(value)
+
+
 def write_fasta(df: DataFrame, path: str, header: Column | str = "name") -> None:
     """One record of two lines for each row, in one file."""
     h = F.col(header) if isinstance(header, str) else header
