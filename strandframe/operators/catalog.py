@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.seq import canonical, first_index, header_name, id_number, locus
@@ -53,10 +53,14 @@ def strand_concordance(loci: DataFrame, repeats: DataFrame) -> DataFrame:
 
 
 def unique_names(rows: DataFrame) -> DataFrame:
-    """rows(id, gene_name, ...) and name: the gene name where it is the only one, gene_id where it repeats, else the id."""
-    n = F.count("*").over(Window.partitionBy("gene_name"))
+    """rows(id, gene_name, ...) and name: the gene name where it is the only one, gene_id where it repeats, else the id.
+
+    Rows without a gene name may be many: they go into the join by their ids, where nothing meets them.
+    """
     has = F.length(F.coalesce("gene_name", F.lit(""))) > 0
-    return rows.withColumn("name", F.when(has & (n == 1), F.col("gene_name")).when(has, F.concat_ws("_", "gene_name", "id")).otherwise(F.col("id")))
+    n = rows.where(has).groupBy(F.col("gene_name").alias("_key")).agg(F.count("*").alias("_n")).withColumn("_has", F.lit(True))
+    out = rows.withColumn("_has", has).withColumn("_key", F.when(has, F.col("gene_name")).otherwise(F.col("id"))).join(n, ["_has", "_key"], "left")
+    return out.withColumn("name", F.when(~has, F.col("id")).when(F.col("_n") == 1, F.col("gene_name")).otherwise(F.concat_ws("_", "gene_name", "id"))).drop("_has", "_key", "_n")
 
 
 def replace_tier(catalogue: DataFrame, union: DataFrame, tier: str, new_tier: str = "Alu-ACA") -> DataFrame:

@@ -76,30 +76,30 @@ def reciprocal(a: DataFrame, b: DataFrame, fraction: float, stranded: bool = Fal
 def merge(df: DataFrame, stranded: bool = True, identical_only: bool = False, width: int = 16384) -> DataFrame:
     """Runs of overlapping or touching intervals as one, distinct names joined by | in order.
 
-    Identical intervals are summed up first. Running maxima are taken within bins by start; what reaches into a bin from
-    the ones before comes from a table of one row a bin, so a task's window holds a bin's places, or a chromosome's bins.
+    Identical intervals are summed up first. The rest are cut at the borders of bins and run together within each; only the runs
+    that reach a border, two a bin at most, are then chained over a chromosome. The input is read once.
     """
     keys = ["chrom", "strand"] if stranded else ["chrom"]
     least = checked(df).groupBy(*keys, "start", "end").agg(F.collect_set("name").alias("names"))
     if identical_only:
         out = least
     else:
-        binned = least.withColumn("bin", F.floor(F.col("start") / width))
-        earlier = Window.partitionBy(*keys).orderBy("bin").rowsBetween(Window.unboundedPreceding, -1)
-        rows = Window.partitionBy(*keys, "bin").orderBy("start", "end")
-        before, upto = rows.rowsBetween(Window.unboundedPreceding, -1), rows.rowsBetween(Window.unboundedPreceding, 0)
-
-        def carried(table: DataFrame, value: Column, name: str) -> DataFrame:
-            """table and the greatest value of all earlier bins, null in the first."""
-            per = table.groupBy(*keys, "bin").agg(F.max(value).alias("m")).withColumn(name, F.max("m").over(earlier)).drop("m")
-            x, y = table.alias("x"), per.alias("y")
-            return x.join(y, [F.col(f"x.{c}").eqNullSafe(F.col(f"y.{c}")) for c in (*keys, "bin")]).select("x.*", name)
-
-        reach = carried(binned, F.col("end"), "reach")
-        top = F.greatest("reach", F.max("end").over(before))
-        first = reach.withColumn("first", F.when(top.isNull() | (F.col("start") > top), F.col("start"))).drop("reach")
-        island = carried(first, F.col("first"), "open").withColumn("island", F.coalesce(F.max("first").over(upto), F.col("open")))
-        out = island.groupBy(*keys, "island").agg(F.max("end").alias("end"), F.flatten(F.collect_list("names")).alias("names")).withColumnRenamed("island", "start")
+        first = F.floor(F.col("start") / width)
+        cut = least.withColumn("bin", F.explode(F.sequence(first, F.floor(F.col("end") / width))))  # an end on a border touches what starts there
+        cut = cut.withColumn("names", F.when(F.col("bin") == first, F.col("names")).otherwise(F.array().cast("array<string>")))
+        left, right = F.col("bin") * width, (F.col("bin") + 1) * width
+        cut = cut.withColumn("lo", F.greatest("start", left)).withColumn("hi", F.least("end", right))
+        rows = Window.partitionBy(*keys, "bin").orderBy("lo", "hi")
+        top = F.max("hi").over(rows.rowsBetween(Window.unboundedPreceding, -1))
+        run = cut.withColumn("new", F.when(F.col("lo") <= top, 0).otherwise(1)).withColumn("run", F.sum("new").over(rows.rowsBetween(Window.unboundedPreceding, 0)))
+        joined = F.flatten(F.collect_list("names")).alias("names")
+        runs = run.groupBy(*keys, "bin", "run").agg(F.min("start").alias("start"), F.max("end").alias("end"), F.min("lo").alias("lo"), F.max("hi").alias("hi"), joined)
+        inner = F.when((F.col("lo") > left) & (F.col("hi") < right), F.struct("bin", "run"))
+        runs = runs.withColumn("inner", inner)
+        chain = Window.partitionBy(*keys, "inner").orderBy("bin", "run")
+        goes_on = (F.col("lo") == left) & (F.lag("hi").over(chain) == left) & (F.lag("bin").over(chain) == F.col("bin") - 1)
+        runs = runs.withColumn("new", F.when(goes_on, 0).otherwise(1)).withColumn("chain", F.sum("new").over(chain.rowsBetween(Window.unboundedPreceding, 0)))
+        out = runs.groupBy(*keys, "inner", "chain").agg(F.min("start").alias("start"), F.max("end").alias("end"), joined)
     return out.select(*keys, "start", "end", F.array_join(F.array_sort(F.array_distinct("names")), "|").alias("name"))
 
 

@@ -13,6 +13,15 @@ def group_counts(df: DataFrame, key: str | Column, name: str = "key") -> DataFra
     return df.groupBy((F.col(key) if isinstance(key, str) else key).alias(name)).agg(F.count("*").alias("n"))
 
 
+def with_counts(df: DataFrame, key: str, name: str) -> DataFrame:
+    """df and how many rows have the same key, null one of them.
+
+    Counts come from partial aggregates; a frequent key's rows are split by the adaptive join, as a window's wouldn't be.
+    """
+    n = df.groupBy(F.col(key).alias("_counted")).agg(F.count("*").alias(name))
+    return df.join(n, F.col(key).eqNullSafe(F.col("_counted"))).drop("_counted")
+
+
 def symbol_sources(id_gene: DataFrame) -> DataFrame:
     return group_counts(id_gene, source_tag(F.col("source")), "source")
 

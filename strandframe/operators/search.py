@@ -9,7 +9,7 @@ from __future__ import annotations
 from collections.abc import Iterator
 
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.seq import find_all, revcomp
@@ -74,8 +74,9 @@ def place(seqs: DataFrame, tiles: DataFrame, stride: int, bound: int = 100_000)
 
 def with_hit_counts(seqs: DataFrame, hits: DataFrame) -> DataFrame:
     """Every hit with its sequence's number of hits; a sequence without any keeps a row with 0."""
-    counted = hits.withColumn("n_hits", F.count("*").over(Window.partitionBy("name")))
-    return seqs.select("name").distinct().join(counted, "name", "left").withColumn("n_hits", F.coalesce("n_hits", F.lit(0).cast("long")))
+    counts = hits.groupBy("name").agg(F.count("*").alias("n_hits"))
+    own = seqs.select("name").distinct().join(counts, "name", "left").withColumn("n_hits", F.coalesce("n_hits", F.lit(0).cast("long")))
+    return own.join(hits, "name", "left").select("name", *[c for c in hits.columns if c != "name"], "n_hits")
 
 
 def locate_in_genes(seqs: DataFrame, id_gene: DataFrame, spans: DataFrame) -> DataFrame:
@@ -89,8 +90,8 @@ def locate_in_genes(seqs: DataFrame, id_gene: DataFrame, spans: DataFrame) -> Da
     g = spans.select("gene", F.col("chrom"), F.col("start").alias("g_start"), F.upper("seq").alias("g_seq"))
     at = pats.join(g, "gene").where(F.contains("g_seq", "pattern")).withColumn("at", F.explode(find_all(F.col("g_seq"), F.col("pattern"))))
     hits = at.select(F.col("pname").alias("name"), "chrom", (F.col("g_start") + F.col("at")).alias("start"), (F.col("g_start") + F.col("at") + F.length("pattern")).alias("end"), "strand")
-    hits = hits.withColumn("n_hits", F.count("*").over(Window.partitionBy("name")))
-    out = known.join(hits, "name", "left").withColumn("n_hits", F.coalesce("n_hits", F.lit(0).cast("long")))
+    counts = hits.groupBy("name").agg(F.count("*").alias("n_hits"))
+    out = known.join(counts, "name", "left").withColumn("n_hits", F.coalesce("n_hits", F.lit(0).cast("long"))).join(hits, "name", "left")
     status = F.when(~named, "no_gene").when(F.col("n_hits") == 0, "not_found_in_gene").when(F.col("n_hits") == 1, "unique").otherwise("multi_in_gene")
     return out.select("name", "accession", "gene", "source", "chrom", "start", "end", "strand", F.length("seq").alias("seq_len"), "n_hits", status.alias("status"))
 

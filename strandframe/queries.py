@@ -8,7 +8,7 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .functions import seq as S
@@ -189,7 +189,7 @@ def g8_conditional_counts(spark, d):
 
 @query("SELECT event_id, count(*) OVER (PARTITION BY user_id) AS n_hits FROM events")
 def g9_hits_per_query(spark, d):
-    return t(spark, d, "events").select("event_id", F.count("*").over(Window.partitionBy("user_id")).alias("n_hits"))
+    return report.with_counts(t(spark, d, "events").select("event_id", "user_id"), "user_id", "n_hits").drop("user_id")
 
 
 @query(DOC + "x AS (SELECT 1) SELECT md5(seq) AS h, count(*) AS n, string_agg(name, '|' ORDER BY name) AS names FROM d GROUP BY seq HAVING count(*) > 1")

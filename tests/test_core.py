@@ -74,6 +74,23 @@ def test_header_numbers_do_not_depend_on_bins(spark):
     assert whole == cut and {int(r[1].split("id")[1]) for r in whole} == set(range(1, 51))
 
 
+def test_counts_and_names_with_missing_keys(spark):
+    x = spark.createDataFrame([("i1", "g", 1), ("i2", "g", 2), ("i3", "h", 3), ("i4", "", 4), ("i5", None, 5), ("h", None, 6)], "id string, gene_name string, n int")
+    assert rows(catalog.unique_names(x).select("id", "name", "n")) == sorted([("i1", "g_i1", 1), ("i2", "g_i2", 2), ("i3", "h", 3), ("i4", "i4", 4), ("i5", "i5", 5), ("h", "h", 6)], key=repr)
+    assert rows(report.with_counts(x, "gene_name", "m").select("id", "m")) == [("h", 2), ("i1", 2), ("i2", 2), ("i3", 1), ("i4", 1), ("i5", 2)]
+    assert catalog.unique_names(x.where("false")).count() == report.with_counts(x.where("false"), "gene_name", "m").count() == 0
+    hits = spark.createDataFrame([("a", "c", 1, 5, "+"), ("a", "c", 1, 5, "+")], "name string, chrom string, start long, end long, strand string")
+    seqs = spark.createDataFrame([("a",), ("b",), ("b",)], "name string")
+    assert rows(search.with_hit_counts(seqs, hits).select("name", "start", "n_hits")) == [("a", 1, 2), ("a", 1, 2), ("b", None, 0)]
+
+
+def test_text_functions(spark):
+    x = spark.createDataFrame([(0.25, "a b/c~*+"), (97.65, ""), (None, None), (100.0, "x")], "v double, s string")
+    got = x.select(writers.fixed(F.col("v"), 1).alias("v"), S.url_quote(F.col("s")).alias("s")).collect()
+    assert [tuple(r) for r in got] == [("0.2", "a%20b/c~%2A%2B"), ("97.7", ""), (None, None), ("100.0", "x")]
+    assert x.select(S.percent_identity(F.lit(1), F.lit(0)), S.coverage(F.lit(1), F.lit(0), F.lit(3))).first() == (None, None)
+
+
 def test_longest_wins_with_limit(spark):
     a = spark.createDataFrame([("c", 0, 100, "a1", 0, "+"), ("c", 500, 510, "a2", 0, "+"), ("c", 900, 2900, "a3", 0, "+")], BED)
     b = spark.createDataFrame([("c", 50, 150, "b1", 0, "+"), ("c", 505, 2000, "b2", 0, "+"), ("c", 50, 60, "anti", 0, "-")], BED)
