@@ -2,19 +2,23 @@
 
 One classifier sees a document's content, its hashed words and word shapes; the other its page's metadata:
 source, language, and numbers of its layout. Each learns from the labelled documents. In every round each
-scores a pool of unlabelled documents, and the ones it is surest of, in the classes' proportions, become
-pseudo-labels of the other view. At last each view is calibrated on labelled documents that neither learnt
-from, and the calibrated log-odds, weighted by how well each view orders those, make the score of every
-document.
-
-Labelled sample and pool are bounded, by parameters; every document is scored, whole. Null text is empty;
-null metadata has no feature. Rows whose label is null don't teach; with labels of one class only, or none,
-the score is that class's share, 0.5 if there is none. Repeated rows each get a score, and empty tables give
-no rows. Columns other than doc_id, text, source, lang aren't read.
+scores every unlabelled document, in a map, and the ones it is surest of, in the classes' proportions, become
+pseudo-labels of the other view: those at or above a threshold of log-odds, read from a summed histogram, so that
+equally sure ones come in together. The views then learn on, by gradients that are the driver's sum over the labelled
+sample plus the executors' sums over all pseudo-labelled documents. At last each view is calibrated on labelled
+documents that neither learnt from, and the calibrated log-odds, weighted by how well each view orders those, make
+the score of every document.
+
+Only the labelled sample is bounded, by a parameter; every unlabelled document takes part in each round, and every
+document is scored, whole. Null text is empty; null metadata has no feature. Documents without doc_id are scored but
+don't teach, nor do rows whose label is null; with labels of one class only, or none, the score is that class's
+share, 0.5 if there is none. Repeated rows each get a score, and empty tables give no rows. Columns other than
+doc_id, text, source, lang aren't read.
 """
 
 from __future__ import annotations
 
+from collections import Counter
 from collections.abc import Iterator
 
 import numpy as np
@@ -22,15 +26,166 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ._common import CACHE_ENTRIES, slices, small_batches
-from .classify import Content, Dense, Sparse, features, fit, one_label, page_features, sampled
+from ._common import CACHE_ENTRIES, discard, materialize, partitions, sieve, slices, small_batches
+from .classify import BUCKETS, LAYOUT, PAGE_BUCKETS, Content, Dense, Sparse, features, one_label, page_features, sampled
 
 PAGE = ["source", "lang"]
+VIEWS = (Sparse, Dense)
+WIDTHS = (BUCKETS, LAYOUT + PAGE_BUCKETS)
+#: Weight of a pseudo-label; a label has 1.
+PSEUDO = 0.5
+#: Bins of log-odds in a unit, and the log-odds from which all are in one bin.
+BINS, FAR = 256, 4096
+#: Numbers of a gradient in one row.
+BLOCK = 4096
+
+
+class Fit:
+    """A view's logistic weights, (-w, w) for the classes, and the state of their fit by Adam."""
+
+    def __init__(self, width: int, rate: float, y: np.ndarray, ridge: float = 1e-5):
+        self.w, self.b = np.zeros(width), np.array([np.log(((y == 1).sum() + 0.5) / ((y == 0).sum() + 0.5)) / 2])
+        self.m, self.v = ([np.zeros(width), np.zeros(1)] for _ in range(2))
+        self.rate, self.ridge, self.t = rate, ridge, 0
+
+    def log_odds(self, x: Sparse | Dense) -> np.ndarray:
+        return log_odds(self.w, self.b[0], x)
+
+    def step(self, g: np.ndarray) -> None:
+        """g: sums over rows of the gradient by each weight, then by the offset, then of the rows' weights."""
+        self.t += 1
+        for k, (p, d) in enumerate(((self.w, g[:-2] / g[-1] + self.ridge * self.w), (self.b, g[-2:-1] / g[-1]))):
+            self.m[k] = 0.9 * self.m[k] + 0.1 * d
+            self.v[k] = 0.99 * self.v[k] + 0.01 * d * d
+            p -= self.rate * (self.m[k] / (1 - 0.9**self.t)) / (np.sqrt(self.v[k] / (1 - 0.99**self.t)) + 1e-8)
+
+
+def log_odds(w: np.ndarray, b: float, x: Sparse | Dense) -> np.ndarray:
+    return 2 * (x.times(w[:, None])[:, 0] + b)
+
+
+def gradient(w: np.ndarray, b: float, x: Sparse | Dense, y: np.ndarray, weight: float) -> np.ndarray:
+    """As Fit.step takes it."""
+    r = weight * (1 / (1 + np.exp(-np.clip(log_odds(w, b, x), -500, 500))) - y)
+    return np.concatenate([x.back(r[:, None])[:, 0], [r.sum(), weight * len(y)]])
 
 
-def log_odds(w: np.ndarray, b: np.ndarray, x: Sparse | Dense) -> np.ndarray:
-    z = x.times(w) + b
-    return z[:, 1] - z[:, 0]
+def views_of(batch: pa.RecordBatch) -> tuple[Sparse, Dense]:
+    """Both views of a batch with columns content and page."""
+    return tuple(make([np.frombuffer(x, kind) for x in batch.column(c).to_pylist()]) for make, c, kind in zip(VIEWS, ("content", "page"), ("<i4", "<f8")))
+
+
+def histogram(pool: DataFrame, views: list[tuple[np.ndarray, float]], least: float) -> list[dict[int, dict[int, int]]]:
+    """For each view and label the number of documents in each bin of the log-odds for that label, from `least` up."""
+    sent = pool.sparkSession.sparkContext.broadcast(views)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        counts: Counter = Counter()
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            for v, (x, (w, b)) in enumerate(zip(views_of(batch), sent.value)):
+                z = log_odds(w, b, x)
+                for label, q in ((1, z), (0, -z)):
+                    for k, n in zip(*(a.tolist() for a in np.unique(bins(q[q >= least]), return_counts=True))):
+                        counts[v, label, k] += n
+        keys = list(counts)
+        yield pa.RecordBatch.from_arrays([*(pa.array([k[i] for k in keys], pa.int64()) for i in range(3)), pa.array([counts[k] for k in keys], pa.int64())], names=["v", "label", "bin", "n"])
+
+    out: list[dict[int, dict[int, int]]] = [{0: {}, 1: {}}, {0: {}, 1: {}}]
+    for r in pool.mapInArrow(run, "v long, label long, bin long, n long").groupBy("v", "label", "bin").agg(F.sum("n").alias("n")).collect():  # one row for each bin
+        out[r["v"]][r["label"]][r["bin"]] = r["n"]
+    sent.destroy()
+    return out
+
+
+def bins(q: np.ndarray) -> np.ndarray:
+    return np.floor(np.clip(q, -FAR, FAR) * BINS).astype(np.int64)
+
+
+def threshold(counts: dict[int, int], n: int) -> int | None:
+    """The greatest bin so that n documents are in it or above; the least if there are fewer, none if n is 0."""
+    if n <= 0 or not counts:
+        return None
+    total = 0
+    for k in sorted(counts, reverse=True):
+        total += counts[k]
+        if total >= n:
+            break
+    return k
+
+
+def pseudo_labels(z: np.ndarray, bounds: dict[int, int | None], least: float) -> np.ndarray:
+    """1, 0 or -1 for none, by a view's log-odds."""
+    out = np.full(len(z), -1)
+    for label, q in ((1, z), (0, -z)):
+        if bounds[label] is not None:
+            out[(q >= least) & (bins(q) >= bounds[label])] = label
+    return out
+
+
+def exchanged(pool: DataFrame, rounds: list[tuple[list[tuple[np.ndarray, float]], list[dict[int, int | None]]]], least: float) -> DataFrame:
+    """content, page, y0 and y1 of documents with a pseudo-label for either view, -1 where there is none: the first that the other view gave in any round."""
+    sent = pool.sparkSession.sparkContext.broadcast(rounds)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            x, y = views_of(batch), np.full((2, batch.num_rows), -1)
+            for views, bounds in sent.value:
+                for v, (w, b) in enumerate(views):
+                    own = y[1 - v]
+                    own[:] = np.where(own >= 0, own, pseudo_labels(log_odds(w, b, x[v]), bounds[v], least))
+            out = pa.RecordBatch.from_arrays([batch.column("content"), batch.column("page"), *(pa.array(a.astype(np.int32)) for a in y)], names=["content", "page", "y0", "y1"])
+            yield out.filter(pa.array((y >= 0).any(axis=0)))
+
+    out = materialize(pool.select("content", "page").mapInArrow(run, "content binary, page binary, y0 int, y1 int"), "pseudo-labels")
+    sent.destroy()
+    return out
+
+
+def gradient_sums(pseudo: DataFrame, views: list[tuple[np.ndarray, float]]) -> list[np.ndarray]:
+    """Each view's gradient over its pseudo-labelled documents; partitions' sums are summed in tasks, block by block, before the driver gets one gradient."""
+    sent = pseudo.sparkSession.sparkContext.broadcast(views)
+    ends = np.cumsum([0, *(w + 2 for w in WIDTHS)])
+    size = int(-(-ends[-1] // BLOCK) * BLOCK)
+
+    def rows(total: np.ndarray) -> pa.RecordBatch:
+        parts = total.reshape(-1, BLOCK)
+        own = [(k, np.flatnonzero(x)) for k, x in enumerate(parts)]
+        own = [(k, at) for k, at in own if len(at)]
+        return pa.RecordBatch.from_arrays([pa.array([k for k, _ in own], pa.int32()), pa.array([at.astype("<u2").tobytes() for _, at in own], pa.binary()), pa.array([parts[k][at].astype("<f4").tobytes() for k, at in own], pa.binary())], names=["block", "at", "total"])
+
+    def put(total: np.ndarray, block: int, at: bytes, x: bytes) -> None:
+        total[block * BLOCK + np.frombuffer(at, "<u2").astype(np.int64)] += np.frombuffer(x, "<f4")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        total = np.zeros(size)
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            for v, make in enumerate(VIEWS):
+                y = batch.column(f"y{v}").to_numpy()
+                some = batch.filter(pa.array(y >= 0))
+                if some.num_rows:
+                    total[ends[v] : ends[v + 1]] += gradient(*sent.value[v], views_of(some)[v], y[y >= 0], PSEUDO)
+        yield rows(total)
+
+    def add(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        total = np.zeros(size)
+        for batch in batches:
+            for row in zip(*(batch.column(i).to_pylist() for i in range(3))):
+                put(total, *row)
+        yield rows(total)
+
+    kind = "block int, at binary, total binary"
+    parts = pseudo.mapInArrow(run, kind).repartition(min(partitions(pseudo.sparkSession), size // BLOCK), "block").mapInArrow(add, kind)
+    total = np.zeros(size)
+    for row in parts.collect():  # one gradient
+        put(total, *row)
+    sent.destroy()
+    return [total[a:b] for a, b in zip(ends, ends[1:])]
 
 
 def platt(z: np.ndarray, y: np.ndarray, steps: int = 300) -> tuple[float, float]:
@@ -59,58 +214,61 @@ class CoTrained:
         self.share, self.views = share, None
 
     @classmethod
-    def learn(cls, content: list[np.ndarray], page: list[np.ndarray], y: np.ndarray, test: np.ndarray, pool_content: list[np.ndarray], pool_page: list[np.ndarray], rounds: int, sure: float, most: float) -> CoTrained:
+    def learn(cls, content: list[np.ndarray], page: list[np.ndarray], y: np.ndarray, test: np.ndarray, pool: DataFrame, rounds: int, sure: float, most: float, passes: int) -> CoTrained:
         teach = ~test
         out = cls(float(y.mean()) if len(y) else 0.5)
         if len(set(y[teach].tolist())) < 2 or len(set(y[test].tolist())) < 2:
             return out
-        make = (Sparse, Dense)
-        own = ([c for c, t in zip(content, teach) if t], [p for p, t in zip(page, teach) if t])
-        pools = (pool_content, pool_page)
-        pool = tuple(m(x) for m, x in zip(make, pools))
-        given: tuple[dict[int, int], dict[int, int]] = ({}, {})
-        fitted = []
-        for turn in range(rounds + 1):
-            fitted = []
-            for v in (0, 1):
-                x = make[v](own[v] + [pools[v][i] for i in given[v]])
-                labels = np.concatenate([y[teach], np.fromiter(given[v].values(), np.int64, len(given[v]))])
-                fitted.append(fit(x, labels, 2, rate=0.5 if v == 0 else 0.2, steps=60 if v == 0 else 300, weight=np.concatenate([np.ones(teach.sum()), np.full(len(given[v]), 0.5)])))
-            if turn == rounds or not pool[0].shape[0]:
-                break
-            for v in (0, 1):
-                z = log_odds(*fitted[v], pool[v])
-                p = 1 / (1 + np.exp(-z))
-                for label, q in ((1, p), (0, 1 - p)):
-                    n = int(most * len(p) * (out.share if label else 1 - out.share))
-                    for i in np.argsort(-q, kind="stable")[:n]:
-                        if q[i] >= sure:
-                            given[1 - v].setdefault(int(i), label)
+        own = [make([x for x, t in zip(rows, teach) if t]) for make, rows in zip(VIEWS, (content, page))]
+        fits = [Fit(width, rate, y[teach]) for width, rate in zip(WIDTHS, (0.5, 0.2))]
+        for fitted, x, steps in zip(fits, own, (60, 300)):
+            for _ in range(steps):
+                fitted.step(gradient(fitted.w, fitted.b[0], x, y[teach], 1.0))
+        pool = materialize(pool, "unlabelled")
+        n, least, done = pool.count(), float(np.log(sure / (1 - sure))), []
+        for _ in range(rounds if n else 0):
+            now = [(f.w.copy(), float(f.b[0])) for f in fits]
+            counts = histogram(pool, now, least)
+            done.append((now, [{label: threshold(c[label], int(most * n * (out.share if label else 1 - out.share))) for label in (0, 1)} for c in counts]))
+            pseudo = exchanged(pool, done, least)
+            for _ in range(passes):
+                sums = gradient_sums(pseudo, [(f.w, float(f.b[0])) for f in fits])
+                for fitted, x, more in zip(fits, own, sums):
+                    fitted.step(gradient(fitted.w, fitted.b[0], x, y[teach], 1.0) + more)
+            discard(pseudo)
+        discard(pool)
         views = []
-        tests = ([c for c, t in zip(content, test) if t], [p for p, t in zip(page, test) if t])
-        for v in (0, 1):
-            z = log_odds(*fitted[v], make[v](tests[v]))
+        for fitted, make, rows in zip(fits, VIEWS, (content, page)):
+            z = fitted.log_odds(make([x for x, t in zip(rows, test) if t]))
             a, b = platt(z, y[test])
-            views.append((*fitted[v], a, b, 1 / max(loss(a * z + b, y[test]), 1e-2)))
+            views.append((np.stack([-fitted.w, fitted.w], axis=1), np.array([-fitted.b[0], fitted.b[0]]), a, b, 1 / max(loss(a * z + b, y[test]), 1e-2)))
         total = sum(v[-1] for v in views)
         out.views = [(w, b, a, c, k / total) for w, b, a, c, k in views]
         return out
 
 
-def train(docs: DataFrame, labels: DataFrame, label: str = "quality", labelled: int = 5000, pool: int = 5000, rounds: int = 3, sure: float = 0.9, most: float = 0.1) -> CoTrained:
-    """Learns from about `labelled` labelled and `pool` unlabelled documents."""
+def unlabelled(docs: DataFrame, labels: DataFrame) -> DataFrame:
+    """content and page of every document that has a doc_id and no row in labels; only ids are shuffled, and the few texts that two sieves can't tell."""
+    own = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text", *PAGE).where("doc_id is not null")
+    known = labels.select(F.col("doc_id").cast("long").alias("doc_id")).where("doc_id is not null").distinct()
+    marked = sieve(known, "doc_id")(own)
+    held = marked.where("maybe").drop("maybe")
+    astray = held.select("doc_id").join(known, "doc_id", "left_anti").distinct()  # ids that the sieve held wrongly
+    freed = sieve(astray, "doc_id")(held).where("maybe").drop("maybe").join(known, "doc_id", "left_anti")
+    bare = marked.where("not maybe").drop("maybe").unionByName(freed)
+    return features(bare, ["doc_id"], PAGE).select("content", "page")
+
+
+def train(docs: DataFrame, labels: DataFrame, label: str = "quality", labelled: int = 5000, rounds: int = 3, sure: float = 0.9, most: float = 0.1, passes: int = 8) -> CoTrained:
+    """Learns from about `labelled` labelled and all unlabelled documents; `most` bounds the share of those that a view labels in a round, `passes` the gradient steps over them."""
     own = docs.select("doc_id", "text", *PAGE)
     rows = one_label(sampled(labels, labelled, "co-training"), own, [label])
     rows = rows.withColumn("y", F.col(f"label_{label}").cast("int")).withColumn("test", F.crc32(F.col("doc_id").cast("string")) % 5 == 0)
     got = features(rows, ["y", "test"], PAGE).collect()  # about `labelled` rows
-    bare = sampled(own.join(labels.where("doc_id is not null").select("doc_id").distinct(), "doc_id", "left_anti").where("doc_id is not null").select("doc_id"), pool, "pool")
-    more = features(own.join(bare.distinct(), "doc_id", "left_semi"), ["doc_id"], PAGE).collect()  # about `pool` rows
-    bits = lambda rows, c, t: [np.frombuffer(r[c], t) for r in rows]
+    bits = lambda c, t: [np.frombuffer(r[c], t) for r, k in zip(got, ok) if k]
     y = np.array([r["y"] for r in got], np.int64)
     ok = np.isin(y, (0, 1))
-    return CoTrained.learn(
-        *([x for x, k in zip(bits(got, c, t), ok) if k] for c, t in (("content", "<i4"), ("page", "<f8"))), y[ok], np.array([r["test"] for r in got], bool)[ok], bits(more, "content", "<i4"), bits(more, "page", "<f8"), rounds, sure, most
-    )
+    return CoTrained.learn(bits("content", "<i4"), bits("page", "<f8"), y[ok], np.array([r["test"] for r in got], bool)[ok], unlabelled(docs, labels), rounds, sure, most, passes)
 
 
 def score(docs: DataFrame, model: CoTrained) -> DataFrame:

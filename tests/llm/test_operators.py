@@ -192,6 +192,36 @@ def test_cotraining_held_out(spark, odd):
     assert cotrain.score(odd, cotrain.train(odd, labels)).count() == len(ODD) and cotrain.score(odd.limit(0), cotrain.train(odd, labels.limit(0))).count() == 0
 
 
+def test_cotraining_pool_is_every_unlabelled_document(spark, odd):
+    rng = random.Random(8)
+    n = 6000  # more than the 5,000 once sampled
+    docs = spark.createDataFrame([(i, " ".join(rng.choices("abcdefghij", k=5)), "de", "s") for i in range(n)] + [(None, "a", "de", "s")], "doc_id long, text string, lang string, source string")
+    pool = cotrain.unlabelled(docs, spark.createDataFrame([(i, None) for i in range(0, n, 10)] + [(None, 1), (1, 1)], "doc_id long, quality int")).cache()
+    rows = pool.collect()
+    assert len(rows) == n - n // 10 - 1
+    x = [make([np.frombuffer(r[c], t) for r in rows]) for make, c, t in zip(cotrain.VIEWS, ("content", "page"), ("<i4", "<f8"))]
+    g = np.random.default_rng(8)
+    views = [(g.normal(size=w) * 3, 0.1) for w in cotrain.WIDTHS]
+    z = [cotrain.log_odds(*views[v], x[v]) for v in (0, 1)]
+    counts, least, bounds = cotrain.histogram(pool, views, 1.0), 1.0, []
+    for v in (0, 1):
+        assert [sum(counts[v][k].values()) for k in (1, 0)] == [(z[v] >= 1).sum(), (z[v] <= -1).sum()]
+        bounds.append({k: cotrain.threshold(counts[v][k], 300) for k in (1, 0)})
+    y = [cotrain.pseudo_labels(z[1 - v], bounds[1 - v], least) for v in (0, 1)]
+    for v in (0, 1):
+        for k, q in ((1, z[1 - v]), (0, -z[1 - v])):
+            best = np.sort(q)[::-1]
+            floor = max(1.0, np.floor(best[299] * 256) / 256)
+            assert set(np.flatnonzero(y[v] == k)) == set(np.flatnonzero(q >= floor))
+    pseudo = cotrain.exchanged(pool, [(views, bounds)], least)
+    assert pseudo.count() == ((y[0] >= 0) | (y[1] >= 0)).sum() > 0
+    for v, got in enumerate(cotrain.gradient_sums(pseudo, views)):
+        some = np.flatnonzero(y[v] >= 0)
+        part = cotrain.VIEWS[v]([np.frombuffer(rows[i][("content", "page")[v]], ("<i4", "<f8")[v]) for i in some])
+        assert np.allclose(got, cotrain.gradient(*views[v], part, y[v][some], 0.5), rtol=1e-4, atol=1e-4)
+    assert cotrain.unlabelled(odd.limit(0), odd.select("doc_id")).count() == 0
+
+
 def test_pipeline_stages(spark, odd, labels, tmp_path):
     corpus_pipeline = pytest.importorskip("corpus_pipeline")
     docs = spark.read.parquet(f"{SF}/documents.parquet")
