@@ -147,8 +147,9 @@ GENOME = 'z AS (SELECT name, seq FROM di WHERE length(seq) >= 12), q AS (SELECT
 
 @query(DNA.rstrip() + ", " + GENOME + ", w AS (SELECT name AS chrom, i - 1 AS start, substr(seq, i, 12) AS p FROM (SELECT name, seq, unnest(range(1, length(seq) - 10)) AS i FROM dd WHERE length(seq) >= 12)) SELECT pats.name, w.chrom, w.start::BIGINT AS start, pats.strand FROM w JOIN pats USING (p)")
 def c3_place_in_genome(spark, d):
-    seqs = dna(items(spark, d)).where("length(seq) >= 12").withColumn("seq", F.substring("seq", 1, 12))
-    tiles = search.tile(dna(docs(spark, d)).select(F.col("name").alias("chrom"), "seq"), 2048, 64)
+    seqs = dna(items(spark, d)).where("length(seq) > 0")
+    reach = (seqs.agg(F.max(F.length("seq"))).first()[0] or 1) - 1
+    tiles = search.tile(dna(docs(spark, d)).select(F.col("name").alias("chrom"), "seq"), 2048, reach)
     return search.place(seqs, tiles, 2048).select("name", "chrom", "start", "strand")
 
 

@@ -55,7 +55,7 @@ WINDOWS = "z AS (SELECT name, substr(seq, 1, 12) AS p FROM di WHERE length(seq)
 SELECT z.name, h.chrom, h.start, h.start + 12 AS "end", h.strand, count(h.chrom) OVER (PARTITION BY z.name) AS n_hits,
 CASE WHEN z.name::BIGINT % 7 = 0 THEN 'no_gene' ELSE (CASE count(h.chrom) OVER (PARTITION BY z.name) WHEN 0 THEN 'not_found_in_gene' WHEN 1 THEN 'unique' ELSE 'multi_in_gene' END) END AS status FROM z LEFT JOIN h ON z.name = h.name""")
 def c2_locate_in_genes(spark, d):
-    seqs = dna(items(spark, d)).where("length(seq) >= 12").select("name", text("AC", F.col("name")).alias("accession"), F.substring("seq", 1, 12).alias("seq"))
+    seqs = dna(items(spark, d)).where("length(seq) > 0").select("name", text("AC", F.col("name")).alias("accession"), "seq")
     key = F.col("name").cast("long")
     id_gene = seqs.select("name", F.when(key % 7 == 0, "NA").otherwise(text("G", key % 5)).alias("gene"), F.lit("gencode_direct").alias("source"))
     spans = dna(docs(spark, d)).select(text("G", key % 5).alias("gene"), F.col("name").alias("chrom"), (key * 1000).alias("start"), "seq")

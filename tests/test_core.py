@@ -122,6 +122,26 @@ def test_tiled_placement_matches_scan(spark):
     assert got == {"x": chroms[0][1][60:200], "y": rc(chroms[0][1][60:200])}
 
 
+def test_queries_place_whole_items(spark, tmp_path):
+    from strandframe.queries import QUERIES
+    from strandframe.queries_locus import c2_locate_in_genes
+
+    rng = random.Random(17)
+    genome = ["".join(rng.choice("ACGT") for _ in range(4500)) for _ in range(10)]
+    found = [(1, genome[1][2000:2110]), (2, genome[2][:12] + "ACGTACGTTTGACC"), (3, rc(genome[3][4010:4085])), (4, genome[4][7:15]), (5, "A"), (6, "xyz"), (8, genome[3][50:60])]
+    spark.createDataFrame(list(enumerate(genome)), "doc_id long, text string").write.parquet(str(tmp_path / "documents.parquet"))
+    spark.createDataFrame(found, "item_id long, text string").write.parquet(str(tmp_path / "benchmark.parquet"))
+    items = [(i, x) for i, x in found if x != "xyz"]
+    hits = [(str(i), str(c), p, s) for i, x in items for s, y in (("+", x), ("-", rc(x))) for c, g in enumerate(genome) for p in range(len(g)) if g.startswith(y, p)]
+    assert rows(QUERIES["c3_place_in_genome"](spark, str(tmp_path))) == sorted(hits, key=repr)
+    size = {str(i): len(x) for i, x in items}
+    want = sorted((i, c, int(c) * 1000 + p, int(c) * 1000 + p + size[i], s) for i, c, p, s in hits if int(i) % 5 == int(c) % 5)
+    want.sort(key=repr)
+    got = c2_locate_in_genes(spark, str(tmp_path))
+    assert rows(got.where("chrom is not null").select("name", "chrom", "start", "end", "strand")) == want
+    assert {r[0] for r in got.select("name").collect()} == set(size)
+
+
 def test_containment_kmers_and_report(spark):
     a = spark.createDataFrame([("a1", "ACGTACGTTTGACC", 0), ("a2", "GGGG", 1), ("a3", "TTTT", 2)], SEQ)
     b = spark.createDataFrame([("b1", "TACGTTTG", 0), ("b2", "CCGGGGTT", 1), ("b3", "AAAA", 2), ("b4", "GGGG", 3)], SEQ)
