@@ -8,7 +8,7 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .functions import seq as S
@@ -51,6 +51,12 @@ def items(spark: SparkSession, d: str) -> DataFrame:
     return t(spark, d, "benchmark").select(F.col("item_id").cast("string").alias("name"), F.col("text").alias("seq"), F.col("item_id").alias("ord"))
 
 
+def id_bounds(df: DataFrame, number: Column) -> tuple[int, int]:
+    """Least and greatest id; of none an empty range."""
+    least, greatest = report.id_range(df, number).first()
+    return (0, -1) if least is None else (least, greatest)
+
+
 def dna(df: DataFrame) -> DataFrame:
     return df.withColumn("seq", F.regexp_replace(F.upper("seq"), "[^ACGT]", ""))
 
@@ -281,7 +287,8 @@ def o4_top_names(spark, d):
 
 @query("SELECT v.number FROM (SELECT unnest(range(0, 1000)) AS number) v WHERE v.number NOT IN (SELECT doc_id FROM labels)")
 def u7_missing_numbers(spark, d):
-    return report.missing_numbers(t(spark, d, "labels"), F.col("doc_id"), 0, 999)
+    first, last = id_bounds(t(spark, d, "documents"), F.col("doc_id"))
+    return report.missing_numbers(t(spark, d, "labels"), F.col("doc_id"), first, last)
 
 
 @query("SELECT 'a' AS side, k FROM (SELECT c_nationkey AS k FROM customer EXCEPT ALL SELECT s_nationkey FROM supplier) UNION ALL SELECT 'b', k FROM (SELECT s_nationkey AS k FROM supplier EXCEPT ALL SELECT c_nationkey FROM customer)")

@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 from .functions import seq as S
 from .operators import catalog, compare, intervals, report, resolve, search
-from .queries import DNA, DOC, EV, ON, ORACLE_SQL, QUERIES, RC, ab, dna, docs, ev, items, query, t
+from .queries import DNA, DOC, EV, ON, ORACLE_SQL, QUERIES, RC, ab, dna, docs, ev, id_bounds, items, query, t
 from .sources import writers
 
 __all__ = ["ORACLE_SQL", "QUERIES"]
@@ -165,12 +165,12 @@ def c19_catalogue_check(spark, d):
 @query("SELECT (SELECT count(*) FROM documents) AS records, (SELECT count(*) FROM documents WHERE coalesce(text, '') = '') AS empty, (SELECT min(doc_id) FROM documents) AS least, (SELECT max(doc_id) FROM documents) AS greatest, (SELECT count(*) = 1200 FROM documents) AS complete, (SELECT count(*) FROM range(0, 1200) v(k) WHERE k NOT IN (SELECT doc_id FROM documents)) AS missing")
 def c21_accession_check(spark, d):
     seqs = t(spark, d, "documents").select(text("AB", F.col("doc_id"), ".1").alias("accession"), F.coalesce("text", F.lit("")).alias("seq"))
-    return report.accession_check(seqs, 0, 1199)
+    return report.accession_check(seqs, *id_bounds(t(spark, d, "documents"), F.col("doc_id")))
 
 
 @query("SELECT (SELECT count(*) FROM part) AS entries, (SELECT count(*) FROM part WHERE p_partkey % 10 = 0) AS no_host, (SELECT count(*) FROM range(1, 2501) v(k) WHERE k NOT IN (SELECT p_partkey FROM part)) AS missing, (SELECT count(*) FROM (SELECT p_partkey FROM part GROUP BY 1 HAVING count(*) > 1)) AS repeated")
 def c22_table_check(spark, d):
-    return report.table_check(table_lines(spark, d), S.id_number(S.field(F.col("value"), 1)), 2500)
+    return report.table_check(table_lines(spark, d), S.id_number(S.field(F.col("value"), 1)), id_bounds(t(spark, d, "part"), F.col("p_partkey"))[1])
 
 
 @query(EV + "SELECT chrom, strand, s AS start, t AS \"end\", string_agg(DISTINCT name, '|' ORDER BY name) AS name FROM e GROUP BY 1, 2, 3, 4")

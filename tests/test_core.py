@@ -142,6 +142,20 @@ def test_queries_place_whole_items(spark, tmp_path):
     assert {r[0] for r in got.select("name").collect()} == set(size)
 
 
+def test_missing_ids_follow_the_tables(spark, tmp_path):
+    from strandframe.queries import QUERIES
+    from strandframe.queries_locus import c21_accession_check, c22_table_check
+
+    ids, parts, labelled = [5, *range(700, 1300), 3100], [2, 3, 3, 2700], [7, 1250, 2999, None]
+    spark.createDataFrame([(i, "x") for i in ids], "doc_id long, text string").write.parquet(str(tmp_path / "documents.parquet"))
+    spark.createDataFrame([(i, "n") for i in parts], "p_partkey long, p_name string").write.parquet(str(tmp_path / "part.parquet"))
+    spark.createDataFrame([(i,) for i in labelled], "doc_id long").write.parquet(str(tmp_path / "labels.parquet"))
+    assert [r[0] for r in rows(QUERIES["u7_missing_numbers"](spark, str(tmp_path)).orderBy("number"))] == sorted(set(range(5, 3101)) - set(labelled), key=lambda i: repr((i,)))
+    assert c21_accession_check(spark, str(tmp_path)).first()["missing"] == 3096 - len(ids)
+    got = c22_table_check(spark, str(tmp_path)).first()
+    assert (got["missing"], got["repeated"]) == (2700 - 3, 1)
+
+
 def test_containment_kmers_and_report(spark):
     a = spark.createDataFrame([("a1", "ACGTACGTTTGACC", 0), ("a2", "GGGG", 1), ("a3", "TTTT", 2)], SEQ)
     b = spark.createDataFrame([("b1", "TACGTTTG", 0), ("b2", "CCGGGGTT", 1), ("b3", "AAAA", 2), ("b4", "GGGG", 3)], SEQ)
