@@ -162,7 +162,7 @@ def c3_place_in_genome(spark, d):
 @query(DNA.rstrip() + ", s AS (SELECT name, seq, least(7, length(seq)) AS a, least(4007, length(seq)) AS b FROM dd) SELECT name, CASE WHEN ord2 = 0 THEN x ELSE reverse(translate(x, 'ACGTN', 'TGCAN')) END AS seq FROM (SELECT name, substr(seq, a + 1, b - a) AS x, name::BIGINT % 2 AS ord2 FROM s WHERE a < b)")
 def c4_extract(spark, d):
     x = dna(docs(spark, d)).select(F.col("name").alias("chrom"), "seq")
-    bed = x.select("chrom", F.least(F.lit(7), F.length("seq")).cast("long").alias("start"), F.least(F.lit(4007), F.length("seq")).cast("long").alias("end"), F.col("chrom").alias("name"), F.when(F.col("chrom").cast("long") % 2 == 0, "+").otherwise("-").alias("strand")).where("start < end")
+    bed = x.select("chrom", F.least(F.lit(7), F.length("seq")).cast("long").alias("start"), F.length("seq").cast("long").alias("end"), F.col("chrom").alias("name"), F.when(F.col("chrom").cast("long") % 2 == 0, "+").otherwise("-").alias("strand")).where("start < end")
     return search.extract(bed.withColumn("row", F.col("name").cast("long")), search.tile(x, 1024, 64), 1024).select("name", "seq")
 
 

@@ -156,6 +156,16 @@ def test_missing_ids_follow_the_tables(spark, tmp_path):
     assert (got["missing"], got["repeated"]) == (2700 - 3, 1)
 
 
+def test_extraction_reaches_the_end(spark, tmp_path):
+    from strandframe.queries import QUERIES
+
+    rng = random.Random(19)
+    texts = ["".join(rng.choice("ACGT") for _ in range(n)) for n in (4007, 4008, 9000, 20001, 8, 7, 3)]
+    spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").write.parquet(str(tmp_path / "documents.parquet"))
+    want = [(str(i), x[7:] if i % 2 == 0 else rc(x[7:])) for i, x in enumerate(texts) if len(x) > 7]
+    assert rows(QUERIES["c4_extract"](spark, str(tmp_path))) == want
+
+
 def test_containment_kmers_and_report(spark):
     a = spark.createDataFrame([("a1", "ACGTACGTTTGACC", 0), ("a2", "GGGG", 1), ("a3", "TTTT", 2)], SEQ)
     b = spark.createDataFrame([("b1", "TACGTTTG", 0), ("b2", "CCGGGGTT", 1), ("b3", "AAAA", 2), ("b4", "GGGG", 3)], SEQ)
