@@ -102,14 +102,6 @@ def sharing_kmer(a: DataFrame, b: DataFrame, k: int = 20) -> DataFrame:
     return ids.join(hits, "b_id", "left_semi").drop("b_id")
 
 
-def candidate_pairs(a: DataFrame, b: DataFrame, k: int = 20) -> DataFrame:
-    """Pairs (a, b) that share a k-mer."""
-    x, y = _sides(a, b)
-    x, y = x.withColumn("a_id", F.xxhash64(*x.columns)), y.withColumn("b_id", F.xxhash64(*y.columns))
-    met = kmer_hashes(x.select("a_id", "a_seq"), [k]).join(kmer_hashes(y.select("b_id", "b_seq"), [k]), "kmer").select("a_id", "b_id").distinct()
-    return met.join(x, "a_id").join(y, "b_id").select("a_name", "a_seq", "b_name", "b_seq").distinct()
-
-
 def smith_waterman(a: str, b: str, gap_open: float = 10.0, gap_extend: float = 0.5) -> tuple[int, int, float]:
     """Identities, columns with gaps, and score of the best local alignment with affine gaps.
 
@@ -150,8 +142,12 @@ def smith_waterman(a: str, b: str, gap_open: float = 10.0, gap_extend: float = 0
 
 
 def align_best(a: DataFrame, b: DataFrame, k: int = 20, min_cov: float = 0.8, gap_open: float = 10.0, gap_extend: float = 0.5) -> DataFrame:
-    """For each b its best a by identity, then length, then a's order, among alignments that cover min_cov of the shorter."""
-    pairs = candidate_pairs(a, b, k)
+    """For each b that shares a k-mer with any a its best a by identity, then length, then a's order, among alignments that cover min_cov of the shorter.
+
+    A kept b is aligned with every a, also those that it shares no k-mer with.
+    """
+    x, y = _sides(a, sharing_kmer(a, b, k))
+    pairs = y.distinct().crossJoin(x.distinct()).select("a_name", "a_seq", "b_name", "b_seq")
 
     def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for p in frames:

@@ -166,6 +166,24 @@ def test_extraction_reaches_the_end(spark, tmp_path):
     assert rows(QUERIES["c4_extract"](spark, str(tmp_path))) == want
 
 
+def test_best_alignment_is_sought_among_all(spark):
+    rng = random.Random(23)
+    b = "".join(rng.choice("ACGT") for _ in range(120))
+    broken = "".join({"A": "C", "C": "A", "G": "T", "T": "G"}[c] if i % 16 == 15 else c for i, c in enumerate(b))  # 94 %, no common 20-mer
+    worse = b[:40] + "".join(c if i % 4 else rng.choice("ACGT".replace(c, "")) for i, c in enumerate(b[40:]))
+    other = "".join(rng.choice("ACGT") for _ in range(120))
+    a_rows, b_rows = [("broken", broken, 1), ("worse", worse, 2)], [("b", b, 1), ("other", other, 2)]
+    a, y = spark.createDataFrame(a_rows, SEQ), spark.createDataFrame(b_rows, SEQ)
+    best = {}
+    for name, x, _ in a_rows:
+        same, columns, _ = compare.smith_waterman(x, b)
+        if columns >= 0.8 * 120:
+            best[name] = (100 * same / columns, columns)
+    got = compare.align_best(a, y).collect()
+    assert [(r["b_name"], r["a_name"]) for r in got] == [("b", max(best, key=best.get))] == [("b", "broken")]
+    assert (got[0]["identity_pct"], got[0]["columns"]) == best["broken"]
+
+
 def test_containment_kmers_and_report(spark):
     a = spark.createDataFrame([("a1", "ACGTACGTTTGACC", 0), ("a2", "GGGG", 1), ("a3", "TTTT", 2)], SEQ)
     b = spark.createDataFrame([("b1", "TACGTTTG", 0), ("b2", "CCGGGGTT", 1), ("b3", "AAAA", 2), ("b4", "GGGG", 3)], SEQ)
