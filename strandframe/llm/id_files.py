@@ -9,13 +9,16 @@ sampled counts, so an offset is read without a table of 64-bit positions. MANIFE
 with a row per shard: its files, documents, ids, and the ids before it.
 
 Shards are ranges of doc_id: their borders come from a percentile sketch over doc_id alone, and rows go
-to their shard in one shuffle of encoded ids. Each shard is streamed to a file with a name of its own
+to their shard in one shuffle of encoded ids. An id that fills several shards, and null, is dealt over all
+of them by its rows' places in the input. Each shard is streamed to a file with a name of its own
 for every attempt, and only names of finished tasks reach the manifest, so a lost executor or a
 speculative copy leaves at most an unlisted file.
 
-Null text is an empty document: it holds the end id alone. Documents without id come first, in the
-order of their ids' bytes, and read back as null. Repeated doc_ids stay separate documents, ordered by
-their ids' bytes. An empty table gives no shards and no rows. Only the named columns are read.
+Ids are the library's for the whole text, added tokens quoted in it included: a text that holds one is encoded
+whole by the library. A long text is encoded like any other, in one worker's memory. Null text is an empty
+document: it holds the end id alone. Documents without id come first and read back as null. Repeated doc_ids
+stay separate documents, next to each other; within a shard the bytes of their ids order them. An empty table
+gives no shards and no rows. Only the named columns are read, so others can't clash.
 """
 
 from __future__ import annotations
@@ -33,7 +36,7 @@ import pyarrow.fs as pafs
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ._common import CACHE_ENTRIES, Numbered, discard, materialize, partitions, ragged, shared_dir, slices, small_batches
+from ._common import CACHE_ENTRIES, Numbered, discard, materialize, mix64, partitions, ragged, shared_dir, slices, small_batches
 
 #: Documents read from a shard at once.
 READ_DOCS = 1024
@@ -129,8 +132,10 @@ class WordEncoder:
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
-        self.tokenizer.encode_special_tokens = True
         self.end_id, self.kind = end_id, np.dtype(f"<u{width}")
+        added = self.tokenizer.get_added_tokens_decoder().values()
+        self.added = [t.content.encode() for t in added if not t.normalized]
+        self.added_normalized = [t.content for t in added if t.normalized]
         vocab = self.tokenizer.get_vocab()
         self.closes = np.zeros(max(vocab.values()) + 1, bool)
         self.closes[[i for t, i in vocab.items() if t.endswith("</w>")]] = True
@@ -147,7 +152,7 @@ class WordEncoder:
         self.start, self.length = np.zeros(1, np.int64), np.ones(1, np.int64)
 
     def parts(self, word: bytes) -> tuple[bytes, bytes]:
-        if word.isascii():
+        if word.isascii() and not any(t in word.lower() for t in self.added):  # the library looks for those in the text as it is
             word = word.lower()
         stem = word.rstrip(TAIL)
         if len(stem) < len(word) and stem and stem[-1:].isalpha():
@@ -188,8 +193,26 @@ class WordEncoder:
         self.length = np.concatenate([self.length, n])
         self.ids = np.concatenate([self.ids, ids])
 
+    def quotes(self, raw: bytes) -> bool:
+        """Whether a text holds the string of an added token, which may join what white space or marks would cut."""
+        if any(t in raw for t in self.added):
+            return True
+        if not self.added_normalized:
+            return False
+        text = raw.decode("utf-8", "replace")
+        text = self.tokenizer.normalizer.normalize_str(text) if self.tokenizer.normalizer else text
+        return any(t in text for t in self.added_normalized)
+
     def encode_texts(self, raw: list[bytes]) -> list[np.ndarray]:
         """Each text's ids, the end id included."""
+        quoting = {i for i, x in enumerate(raw) if self.quotes(x)}
+        plain = iter(self.encode_plain([x for i, x in enumerate(raw) if i not in quoting]))
+        whole = lambda x: np.array([*self.tokenizer.encode(x.decode("utf-8", "replace"), add_special_tokens=False).ids, self.end_id], self.kind)
+        return [whole(x) if i in quoting else next(plain) for i, x in enumerate(raw)]
+
+    def encode_plain(self, raw: list[bytes]) -> list[np.ndarray]:
+        if not raw:
+            return []
         if len(self.known) > CACHE_ENTRIES:
             self.forget()
         look, at = self.known.__getitem__, []
@@ -218,16 +241,42 @@ def filesystem(path: str) -> tuple[pafs.FileSystem, str]:
     return pafs.FileSystem.from_uri(path if "://" in path else f"file://{path.removeprefix('file:')}")
 
 
-def encode_words(df: DataFrame, vocab_path: str, end_id: int, width: int, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """id long and ids binary, little-endian unsigned of `width` bytes, end id included."""
-
+def encode_words(df: DataFrame, vocab_path: str, end_id: int, width: int, id_col: str = "doc_id", text_col: str = "text", cuts: list[int | None] | None = None) -> DataFrame:
+    """id long and ids binary, little-endian unsigned of `width` bytes, end id included; before them shard and key, if cuts are given."""
     small_batches(df.sparkSession)
+    dealer = None if cuts is None else Dealer(cuts)
+
     def encode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        enc = word_encoder(vocab_path, end_id, width)
+        enc, row = word_encoder(vocab_path, end_id, width), 0
         for batch, raw in slices(batches, 1):
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([x.tobytes() for x in enc.encode_texts(raw)], pa.binary())], names=["id", "ids"])
+            out = {"id": batch.column(0), "ids": pa.array([x.tobytes() for x in enc.encode_texts(raw)], pa.binary())}
+            if dealer is not None:
+                shard = dealer.shards(batch.column(0), row)
+                out = {"shard": pa.array(shard, pa.int32()), "key": pa.array(dealer.keys[shard]), **out}
+            row += len(raw)
+            yield pa.RecordBatch.from_arrays(list(out.values()), names=list(out))
+
+    kinds = "id long, ids binary" if dealer is None else "shard int, key long, id long, ids binary"
+    return df.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).cast("string").alias("text")).mapInArrow(encode, kinds)
+
 
-    return df.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).cast("string").alias("text")).mapInArrow(encode, "id long, ids binary")
+class Dealer:
+    """Shards of ids by ascending borders, null before all numbers: a shard ends with its border. A border that stands several times has several shards."""
+
+    def __init__(self, cuts: list[int | None]):
+        self.nulls = sum(c is None for c in cuts)
+        self.cuts = np.array([c for c in cuts if c is not None], np.int64)
+        self.keys = np.array(spread(len(cuts) + 1), np.int64)
+
+    def shards(self, ids: pa.Array, row: int) -> np.ndarray:
+        """The shard of each of a task's rows from number `row` on."""
+        null = np.asarray(ids.is_null())
+        x = np.asarray(ids.fill_null(0), np.int64)
+        low, high = np.searchsorted(self.cuts, x), np.searchsorted(self.cuts, x, side="right")
+        first = np.where(null, 0, self.nulls + low)
+        several = np.where(null, max(1, self.nulls), np.maximum(1, high - low))
+        turn = mix64(np.arange(row, row + len(x), dtype=np.uint64)) % several.astype(np.uint64)
+        return first + turn.astype(np.int64)
 
 
 def spread(shards: int) -> list[int]:
@@ -267,17 +316,16 @@ def write_id_files(df: DataFrame, vocab_path: str, out: str, end_id: int = 2, wi
     """
     spark = df.sparkSession
     n = shards or partitions(spark)
-    cuts = df.select(F.percentile_approx(F.col(id_col).cast("long"), F.lit([i / n for i in range(1, n)] or [0.5]), F.lit(max(10_000, 10 * n))).alias("q")).first()["q"] or []
-    cuts = sorted(set(cuts)) if n > 1 else []
-    keys = spread(n)
+    own = F.col(id_col).cast("long")
+    seen = df.agg(F.percentile_approx(own, F.lit([i / n for i in range(1, n)] or [0.5]), F.lit(max(10_000, 10 * n))).alias("q"), F.count("*").alias("rows"), F.count(own).alias("named")).first()
+    nulls = min(n - 1, n * (seen["rows"] - seen["named"]) // max(1, seen["rows"]))
+    q, left = seen["q"] or [], n - 1 - nulls
+    cuts = [None] * nulls + [q[(i + 1) * n // (left + 1) - 1] for i in range(left if q else 0)]
     fs, top = filesystem(out)
     fs.create_dir(top)
 
-    rows = encode_words(df, vocab_path, end_id, width, id_col, text_col)
-    # a binary search in the sorted borders: transform-free, and null ids go to the first shard
-    shard = F.when(F.col("id").isNull(), 0).otherwise(_position(F.col("id"), cuts))
-    rows = rows.withColumn("shard", shard.cast("int")).withColumn("key", F.element_at(F.lit(keys), F.col("shard") + 1).cast("long"))
-    rows = rows.repartition(n, "key").sortWithinPartitions("shard", F.col("id").asc_nulls_first(), "ids").select("shard", "id", "ids")
+    rows = encode_words(df, vocab_path, end_id, width, id_col, text_col, cuts)
+    rows = rows.repartition(len(cuts) + 1, "key").sortWithinPartitions("shard", F.col("id").asc_nulls_first(), "ids").select("shard", "id", "ids")
 
     def write(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         fs, top = filesystem(out)
@@ -306,14 +354,6 @@ def write_id_files(df: DataFrame, vocab_path: str, out: str, end_id: int = 2, wi
     return spark.read.schema(schema).parquet(f"{out}/MANIFEST")
 
 
-def _position(col, cuts: list[int]):
-    """How many of the ascending cuts are below the column."""
-    if not cuts:
-        return F.lit(0)
-    mid = len(cuts) // 2
-    return F.when(col <= cuts[mid], _position(col, cuts[:mid])).otherwise(_position(col, cuts[mid + 1 :]) + (mid + 1))
-
-
 def _runs(x: np.ndarray) -> tuple[list[int], list[int]]:
     starts = [0, *(np.flatnonzero(np.diff(x)) + 1).tolist()] if len(x) else []
     return starts, [*starts[1:], len(x)]

@@ -56,19 +56,40 @@ def test_byte_bpe_is_tiktoken(spark, docs, odd):
 
 
 def test_id_files_round_trip(spark, docs, odd):
-    tok = Tokenizer.from_file(WORD_BPE)
-    tok.encode_special_tokens = True
+    tok = Tokenizer.from_file(WORD_BPE)  # as the library has it
+    marks = [t.content for t in tok.get_added_tokens_decoder().values()]
+    assert marks
+    rng = random.Random(10)
+    quoting = [(10**6 + i, " ".join(rng.choice(["x", "The", "end.", "é", "<|", "|>", *marks, *(m.upper() for m in marks), *(m[1:] for m in marks), f"a{marks[0]}b", f"{marks[-1]}{marks[0]}"]) for _ in range(rng.randrange(1, 9)))) for i in range(200)]
+    quoting += [(2 * 10**6, "long " * 30_000 + marks[0]), (2 * 10**6 + 1, "ab" * 50_000)]
+    both = docs.select("doc_id", "text").unionByName(spark.createDataFrame(quoting, "doc_id long, text string"))
     start, want = 0, []
-    for i, t in sorted(docs.select("doc_id", "text").collect()):
+    for i, t in sorted(both.collect()):
         ids = tok.encode(t or "", add_special_tokens=False).ids + [2]
         want.append((i, start, len(ids), zlib.crc32(np.array(ids, "<u4").tobytes())))
         start += len(ids)
-    assert sorted(map(tuple, id_files.id_file_digests(docs, WORD_BPE).collect())) == want
+    assert sorted(map(tuple, id_files.id_file_digests(both, WORD_BPE).collect())) == want
     got = id_files.id_file_digests(odd, WORD_BPE).orderBy("start").collect()
     assert [r["doc_id"] for r in got] == [None, 1, 2, 3, 3, 4, 5, 9] and got[0]["start"] == 0
     assert id_files.id_file_digests(odd.limit(0), WORD_BPE).count() == 0
 
 
+def test_id_files_deal_hot_ids(spark, tmp_path):
+    """Null ids and one id with most of the rows fill several shards, and every document is read back once, in order."""
+    n = 900
+    rows = [(None if i % 3 == 0 else 77 if i % 3 == 1 else i, f"w{i} text") for i in range(n)]
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    made = id_files.write_id_files(df, WORD_BPE, f"file://{tmp_path}/a", shards=9).collect()
+    assert max(r["docs"] for r in made) < n / 4 and sum(r["docs"] for r in made) == n
+    back = id_files.read_id_files(spark, f"file://{tmp_path}/a").orderBy("start").collect()
+    assert [r["doc_id"] for r in back] == sorted((i for i, _ in rows), key=lambda i: (i is not None, i))
+    tok = Tokenizer.from_file(WORD_BPE)
+    crc = lambda t: zlib.crc32(np.array(tok.encode(t, add_special_tokens=False).ids + [2], "<u4").tobytes())
+    assert sorted((str(r["doc_id"]), r["ids_crc32"]) for r in back) == sorted((str(i), crc(t)) for i, t in rows)
+    alone = spark.createDataFrame([(None, "a"), (None, "b")], "doc_id long, text string")
+    assert [r["doc_id"] for r in id_files.id_file_digests(alone, WORD_BPE).collect()] == [None, None]
+
+
 def test_elias_fano():
     x = np.sort(np.random.default_rng(0).integers(0, 10**6, 3000))
     e = id_files.EliasFano.of(x)
