@@ -1,16 +1,22 @@
 """Mixing documents to target domain weights with soft membership.
 
 A classifier trained on the labelled table gives every document a posterior over domains. Each document then
-gets a rate, not below zero: how often it is to be used. Rates minimise the weighted squares of the gaps
-between expected domain tokens, sum of rate x tokens x posterior, and the targets, by accelerated projected
-gradient steps from rate 1. A step subtracts posterior . c, for a short vector c that all documents share,
-and cuts at zero; so the list of those vectors is all the state there is, every task replays it for its own
-documents, and a round is one small sum over the documents. Lost executors lose nothing.
+gets a rate, not below zero: how often it is to be used. Rates minimise the squares of the gaps between
+expected domain tokens, sum of rate x tokens x posterior, and the targets, in the metric of the inverse of the
+posteriors' token-weighted second moments, which makes all directions alike. Accelerated projected gradient steps
+go from rate 1. A step subtracts posterior . c, for a short vector c that all documents share, and cuts at zero; so
+every task replays the steps for its own documents, and a round is one small sum over the documents. After every
+`keep` rounds the rates are written, and replay starts from there. Lost executors lose nothing.
+
+Steps go on until every domain is within `close` of its target, or until they bring no more, where no rates above
+zero meet the targets. The greatest gap left is in the result as share_gap, so a target that is missed is seen.
+Should neither come about in `rounds` rounds, it is an error that names the gaps.
 
 Tokens are runs between white space. Null and empty texts have none, so any rate suits; they get what the
-steps give. Repeated rows are documents of their own. Domains that nothing is labelled with get posterior
-zero, and their targets can't be met. An empty table gives no rows; without labels every domain has the same
-posterior. Other columns aren't read.
+steps give. A long text is counted whole, in one worker's memory. Repeated rows are documents of their own. Equal
+posteriors get equal rates. Of several label rows of a document the least counts, and null labels don't teach.
+Domains that nothing is labelled with get next to no posterior, and their targets can't be met. An empty table gives
+no rows; without labels every domain has the same posterior. Other columns aren't read, so their names can't clash.
 """
 
 from __future__ import annotations
@@ -22,7 +28,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ._common import CACHE_ENTRIES, materialize, slices, small_batches
+from ._common import CACHE_ENTRIES, discard, materialize, slices, small_batches
 from .classify import Content, Sparse, features, fit, one_label, sampled, softmax
 
 #: Domains of the labels table, and its rows' domain.
@@ -67,74 +73,104 @@ def posteriors(docs: DataFrame, w: np.ndarray, b: np.ndarray) -> DataFrame:
 
 
 class Steps:
-    """The shared vectors of the gradient steps so far; replays them for any documents."""
+    """The shared vectors of the gradient steps since rates were last written; replays them for any documents."""
 
-    def __init__(self):
-        self.c: list[np.ndarray] = []
+    def __init__(self, t: float = 1.0):
+        self.t, self.c = t, []
 
-    def rates(self, p: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """Rates after the last step, and the point from which the next one starts."""
-        r = y = np.ones(len(p))
-        t = 1.0
-        for c in self.c:
+    def rates(self, p: np.ndarray, r: np.ndarray, y: np.ndarray) -> tuple[np.ndarray, np.ndarray, float]:
+        """Rates after the last step, the point from which the next one starts, and the weight of its momentum."""
+        t = self.t
+        for c, again in self.c:
+            if again:  # momentum starts anew
+                y, t = r, 1.0
             then = np.maximum(0.0, y - p @ c)
             s = (1 + np.sqrt(1 + 4 * t * t)) / 2
             y, r, t = then + (t - 1) / s * (then - r), then, s
-        return r, y
+        return r, y, t
+
+
+def _matrix(batch: pa.RecordBatch, k: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """Tokens, posteriors, rates and starting points of a batch."""
+    t, r, y = (batch.column(batch.schema.names.index(c)).to_numpy().astype(float) for c in ("n_tokens", "rate", "ahead"))
+    return t, np.asarray(batch.column(batch.schema.names.index("posterior")).flatten()).reshape(-1, k), r, y
+
+
+def measure(soft: DataFrame, steps: Steps, k: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """By the token, over all documents: second moments of the posteriors, domain tokens at the rates, and at the next step's start."""
+    cols = [f"v{i}" for i in range(k * k + 2 * k + 1)]
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        out = np.zeros(len(cols))
+        for batch in batches:
+            t, p, r, y = _matrix(batch, k)
+            r, y, _ = steps.rates(p, r, y)
+            out += np.concatenate([((p * t[:, None]).T @ p).ravel(), (r * t) @ p, (y * t) @ p, [t.sum()]])
+        yield pa.RecordBatch.from_arrays([pa.array([x]) for x in out], names=cols)
+
+    row = soft.select("n_tokens", "posterior", "rate", "ahead").mapInArrow(run, ", ".join(f"{c} double" for c in cols)).agg(*[F.sum(c) for c in cols]).first()
+    s = np.array([x or 0.0 for x in row])
+    s /= max(s[-1], 1.0)
+    return s[: k * k].reshape(k, k), s[k * k : k * k + k], s[k * k + k : -1]
 
 
-def _matrix(batch: pa.RecordBatch, k: int) -> tuple[np.ndarray, np.ndarray]:
-    return batch.column(0).to_numpy().astype(float), np.asarray(batch.column(1).flatten()).reshape(-1, k)
+def written(soft: DataFrame, steps: Steps, k: int) -> DataFrame:
+    """soft with the rates that the steps lead to."""
 
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            _, p, r, y = _matrix(batch, k)
+            r, y, _ = steps.rates(p, r, y)
+            yield pa.RecordBatch.from_arrays([*(batch.column(i) for i in range(3)), pa.array(r), pa.array(y)], names=["doc_id", "n_tokens", "posterior", "rate", "ahead"])
+
+    return soft.mapInArrow(run, "doc_id long, n_tokens long, posterior array<double>, rate double, ahead double")
 
-def solve(soft: DataFrame, targets: np.ndarray, rounds: int = 60, close: float = 1e-3) -> tuple[Steps, np.ndarray]:
-    """The steps that bring soft(n_tokens, posterior) to the targets, and the shares reached.
 
-    Stops once every domain is within `close` of the total of its target.
+def solve(soft: DataFrame, targets: np.ndarray, rounds: int = 2000, close: float = 1e-3, keep: int = 32, patience: int = 50) -> tuple[DataFrame, np.ndarray]:
+    """soft(doc_id, n_tokens, posterior) with `rate`, and the shares of the domains that the rates reach.
+
+    Ends when every share is within `close` of its target, or when the last `patience` rounds have not brought the squares
+    of the gaps down by a hundredth, which is where rates above zero can do no better but by a few hundredths.
     """
     k, steps = len(targets), Steps()
-    cols = [f"v{i}" for i in range(k * k + 2 * k + 1)]
-
-    def sums() -> np.ndarray:
-        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            out = np.zeros(len(cols))
-            for batch in batches:
-                t, p = _matrix(batch, k)
-                r, y = steps.rates(p)
-                out += np.concatenate([((p * t[:, None]).T @ p).ravel(), (r * t) @ p, (y * t) @ p, [t.sum()]])
-            yield pa.RecordBatch.from_arrays([pa.array([x]) for x in out], names=cols)
-
-        row = soft.select("n_tokens", "posterior").mapInArrow(run, ", ".join(f"{c} double" for c in cols)).agg(*[F.sum(c) for c in cols]).first()
-        return np.array([x or 0.0 for x in row])
-
-    reached = np.zeros(k)
-    for _ in range(rounds + 1):
-        s = sums()
-        total = max(s[-1], 1.0)
-        gram, at_r, at_y = s[: k * k].reshape(k, k) / total, s[k * k : k * k + k] / total, s[k * k + k : -1] / total
-        reached = at_r
-        if np.abs(at_r - targets).max() <= close:
-            break
-        weight = 1 / np.maximum(targets, 0.01)
-        rate = 1 / max(1e-12, np.linalg.eigvalsh(np.sqrt(weight)[:, None] * gram * np.sqrt(weight)).max())
-        steps.c.append(rate * weight * (at_y - targets))
-    return steps, reached
-
-
-def mix(docs: DataFrame, labels: DataFrame, targets: dict[str, float] | None = None, bound: int = 6000) -> DataFrame:
-    """doc_id, n_tokens, p_<domain> for each domain, rate and copies (the rate rounded up or down by a hash of the id)."""
+    first = now = soft.withColumns({"rate": F.lit(1.0), "ahead": F.lit(1.0)})
+    metric = scale = None
+    best, before, again = [], np.inf, False
+    for _ in range(rounds):
+        moments, at_rate, at_start = measure(now, steps, k)
+        gap = at_rate - targets
+        if metric is None:
+            metric = np.linalg.inv(moments + 1e-4 * max(np.trace(moments), 1e-12) * np.eye(k))
+            scale = max(np.linalg.eigvals(metric @ moments).real.max(), 1e-12)
+        cost = float(gap @ metric @ gap)
+        best.append(min([cost, *best[-1:]]))
+        stuck = len(best) > patience and best[-1] > 0.99 * best[-1 - patience]
+        if np.abs(gap).max() <= close or stuck or not at_rate.any():
+            done = written(now, steps, k).drop("ahead")
+            return done, at_rate
+        again, before = cost > before, cost
+        start = at_rate if again else at_start
+        steps.c.append((metric @ (start - targets) / scale, again))
+        if len(steps.c) >= keep:
+            after = steps.rates(np.zeros((1, k)), np.zeros(1), np.zeros(1))[2]
+            then = materialize(written(now, steps, k), "rates")
+            if now is not first:
+                discard(now)
+            now, steps = then, Steps(after)
+    raise RuntimeError(f"no rates found in {rounds} rounds: shares {at_rate.tolist()} for targets {targets.tolist()}")
+
+
+def mix(docs: DataFrame, labels: DataFrame, targets: dict[str, float] | None = None, bound: int = 6000, close: float = 1e-3) -> DataFrame:
+    """doc_id, n_tokens, p_<domain> for each domain, rate, copies (the rate rounded up or down by a hash of the id) and share_gap.
+
+    share_gap is the same for every row: how far the share of some domain is from its target at most; above `close` only where no rates reach the targets.
+    """
     targets = targets or TARGETS
     goal = np.array([targets[d] for d in DOMAINS], float)
     goal /= goal.sum()
     w, b = train_domains(docs, labels, bound)
     soft = materialize(posteriors(docs, w, b), "posteriors")
-    steps, _ = solve(soft, goal)
-
-    def rate(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            _, p = _matrix(batch.select(["n_tokens", "posterior"]), len(DOMAINS))
-            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), *(pa.array(p[:, i]) for i in range(len(DOMAINS))), pa.array(steps.rates(p)[0])], names=["doc_id", "n_tokens", *(f"p_{d}" for d in DOMAINS), "rate"])
-
-    out = soft.mapInArrow(rate, "doc_id long, n_tokens long, " + ", ".join(f"p_{d} double" for d in DOMAINS) + ", rate double")
+    done, reached = solve(soft, goal, close=close)
+    out = done.select("doc_id", "n_tokens", *[F.col("posterior")[i].alias(f"p_{d}") for i, d in enumerate(DOMAINS)], "rate")
     dice = F.pmod(F.xxhash64(F.col("doc_id"), F.lit("mix")), F.lit(1 << 30)) / (1 << 30)
-    return out.withColumn("copies", F.floor(F.col("rate") + dice).cast("int"))
+    return out.withColumn("copies", F.floor(F.col("rate") + dice).cast("int")).withColumn("share_gap", F.lit(float(np.abs(reached - goal).max())))

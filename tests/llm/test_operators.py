@@ -198,12 +198,53 @@ def test_sections(spark, docs, odd):
     assert token_counts.section_tokens(odd.where("text is null or text = ''"), BYTE_BPE, PATTERN).count() == 0
 
 
+def nnls_cost(a, goal, metric):
+    """Least squares of a @ r - goal in a metric over r >= 0, one coordinate after another until nothing moves."""
+    r, gap = np.ones(a.shape[1]), a.sum(axis=1) - goal
+    curve = np.einsum("ki,kl,li->i", a, metric, a)
+    for _ in range(20_000):
+        moved = 0.0
+        for i in np.flatnonzero(curve > 0):
+            to = max(0.0, r[i] - a[:, i] @ metric @ gap / curve[i])
+            gap, moved, r[i] = gap + a[:, i] * (to - r[i]), max(moved, abs(to - r[i]) * np.sqrt(curve[i])), to
+        if moved < 1e-10:
+            break
+    return float(gap @ metric @ gap)
+
+
+@pytest.mark.parametrize("goal, keep, alpha", [((0.2, 0.4, 0.4), 32, (0.5, 0.2, 0.1)), ((0.2, 0.3, 0.5), 5, (0.5, 0.2, 0.1)), ((0.2, 0.4, 0.4), 32, (8, 1, 0.4))])
+def test_mixing_against_nnls(spark, goal, keep, alpha):
+    rng = np.random.default_rng(12)
+    n, goal = 120, np.array(goal)
+    t, p = rng.integers(0, 400, n), rng.dirichlet(alpha, n)
+    soft = spark.createDataFrame([(i, int(x), q.tolist()) for i, (x, q) in enumerate(zip(t, p))], "doc_id long, n_tokens long, posterior array<double>").coalesce(1)
+    done, reached = mixing.solve(soft, goal, keep=keep, patience=25)
+    got = done.orderBy("doc_id").toPandas()
+    a = (p * t[:, None]).T / t.sum()
+    assert (got.rate >= 0).all() and np.allclose(a @ got.rate.to_numpy(), reached)
+    moments = a @ p
+    metric = np.linalg.inv(moments + 1e-4 * np.trace(moments) * np.eye(3))
+    best, gap = nnls_cost(a, goal, metric), reached - goal
+    if alpha[0] == 8:  # every document is mostly of the first domain: no rates reach the targets
+        assert best > 1e-3 and gap @ metric @ gap <= best * 1.1 and np.abs(gap).max() > 1e-3
+    else:
+        assert best < 1e-8 and np.abs(gap).max() <= 1e-3
+    with pytest.raises(RuntimeError, match="no rates found"):
+        mixing.solve(soft, goal, rounds=1)
+
+
 def test_mixing_meets_targets(spark, docs, odd, labels):
-    r = mixing.mix(docs, labels).toPandas()
-    for d, goal in mixing.TARGETS.items():
-        assert abs((r.rate * r.n_tokens * r[f"p_{d}"]).sum() / r.n_tokens.sum() - goal) < 2e-3
-    assert (r.rate >= 0).all()
-    assert mixing.mix(odd, labels).count() == len(ODD) and mixing.mix(odd, labels.limit(0)).count() == len(ODD) and mixing.mix(odd.limit(0), labels).count() == 0
+    for targets in (None, {"plain": 0.2, "poor": 0.4, "toxic": 0.4}):
+        r = mixing.mix(docs, labels, targets).toPandas()
+        for d, goal in (targets or mixing.TARGETS).items():
+            assert abs((r.rate * r.n_tokens * r[f"p_{d}"]).sum() / r.n_tokens.sum() - goal) <= 1e-3
+        assert (r.rate >= 0).all() and r.share_gap.max() <= 1e-3
+    assert mixing.mix(odd, labels).count() == len(ODD) and mixing.mix(odd.limit(0), labels).count() == 0
+    lost = mixing.mix(odd, labels.limit(0)).toPandas()
+    assert len(lost) == len(ODD) and (lost.share_gap > 0.1).all()
+    clash = labels.selectExpr("doc_id", "quality", "toxic", "doc_id AS text", "1 AS label", "0 AS y")
+    doubled = clash.unionByName(clash.limit(20)).unionByName(clash.limit(9).selectExpr("doc_id", "null AS quality", "toxic", "text", "label", "y"))
+    assert mixing.mix(docs.withColumn("label_quality", F.lit(1)), doubled).count() == docs.count()
 
 
 def test_cotraining_held_out(spark, odd):
