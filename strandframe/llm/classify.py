@@ -1,14 +1,16 @@
 """Features and logistic models that the mixing and quality operators train here.
 
-A text's content features are its distinct words and word shapes, hashed; each has the same weight, scaled
-to unit length. Layout features describe the page: its source and language, and statistics of its lines
-and characters. Models are fitted on the driver, on bounded samples whose bounds are parameters.
+A text's content features are its distinct words and word shapes, hashed, and, if wanted, statistics of its
+lines and characters in steps; each has the same weight, scaled to unit length. A page's metadata features come
+from recorded columns alone, never from the text. Models are fitted on the driver, on bounded samples whose
+bounds are parameters.
 """
 
 from __future__ import annotations
 
 import re
 from collections.abc import Iterator
+from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
@@ -19,9 +21,10 @@ from pyspark.sql import functions as F
 from ._common import CACHE_ENTRIES, Numbered, slices, small_batches
 
 BUCKETS = 1 << 18
-#: Layout numbers of a page, before its hashed source and language.
-LAYOUT = 10
-PAGE_BUCKETS = 256
+#: Buckets of metadata features.
+PAGE_BUCKETS = 1 << 12
+#: Steps in a unit of a text's statistics, and the last of them.
+FINE, TOP = 40, 200
 
 
 LETTERS, DIGITS = re.compile(r"[^\W\d_]+"), re.compile(r"\d+")
@@ -65,26 +68,41 @@ class Content:
 
 
 def layout(raw: bytes, at: np.ndarray) -> np.ndarray:
+    """Hashed steps that statistics of a text with word numbers `at` reach: size, lines, capitals, digits, marks, spaces, distinct and doubled words."""
     b = np.frombuffer(raw, np.uint8)
     n, lines = max(1, len(b)), int((b == 10).sum()) + 1
     upper, digit = ((b >= 65) & (b <= 90)).sum(), ((b >= 48) & (b <= 57)).sum()
     odd = ((b >= 33) & (b <= 47) | (b >= 58) & (b <= 64) | (b >= 91) & (b <= 96) | (b >= 123) & (b <= 126)).sum()
     spaces = (b == 32).sum()
     words = max(1, len(at))
-    return np.array([1.0, np.log1p(n) / 10, np.log1p(lines) / 5, np.log1p(n / lines) / 8, upper / n * 3, digit / n * 3, odd / n * 5, spaces / n * 3, len(np.unique(at)) / words, (at[1:] == at[:-1]).sum() / words * 3])
+    x = (np.log1p(n) / 10, np.log1p(lines) / 5, np.log1p(n / lines) / 8, upper / n * 3, digit / n * 3, odd / n * 5, spaces / n * 3, len(np.unique(at)) / words, (at[1:] == at[:-1]).sum() / words * 3)
+    return np.concatenate([steps(i)[: min(int(v * FINE), TOP) + 1] for i, v in enumerate(x)])
 
 
-def page_features(raw: bytes, at: np.ndarray, *names: str | None) -> np.ndarray:
-    out = np.zeros(LAYOUT + PAGE_BUCKETS)
-    out[:LAYOUT] = layout(raw, at)
-    for i, name in enumerate(names):
-        if name is not None:
-            out[LAYOUT + xxhash.xxh32_intdigest(name, i) % PAGE_BUCKETS] = 0.3
-    return out
+@lru_cache(maxsize=None)
+def steps(i: int) -> np.ndarray:
+    """Features of a statistic's steps: a value has those up to its own."""
+    return np.array([xxhash.xxh32_intdigest(f"{i}:{k}", 2) % BUCKETS for k in range(TOP + 1)], np.int32)
+
+
+def metadata(source: str | None, lang: str | None, n_chars: str | None) -> np.ndarray:
+    """Hashed features of a page's recorded source, language and size, and of pairs of them; nulls have none."""
+    size = None if n_chars is None else (int(n_chars) ** 2).bit_length()  # half powers of two
+    own = {"source": source, "lang": lang, "size": size}
+    names = [f"{k}:{v}" for k, v in own.items() if v is not None]
+    names += [f"{a}:{own[a]}/{b}:{own[b]}" for a, b in (("source", "lang"), ("source", "size"), ("lang", "size")) if own[a] is not None and own[b] is not None]
+    return np.unique(np.array([xxhash.xxh32_intdigest(x, 3) % PAGE_BUCKETS for x in names], np.int32))
+
+
+def with_layout(found: tuple[np.ndarray, np.ndarray], raw: bytes) -> np.ndarray:
+    return np.unique(np.concatenate([found[0], layout(raw, found[1])]))
 
 
 def features(df: DataFrame, keep: list[str], page: list[str]) -> DataFrame:
-    """The kept columns with content (int32 features) and page (float64) as bytes; df needs text."""
+    """The kept columns with content and, of the columns source, lang and n_chars named in page, metadata: int32 features as bytes; df needs text.
+
+    With page columns the content has the text's statistics, too.
+    """
     small_batches(df.sparkSession)
     schema = df.select(*keep).schema
     m = len(keep)
@@ -95,43 +113,32 @@ def features(df: DataFrame, keep: list[str], page: list[str]) -> DataFrame:
             if len(content.known) > CACHE_ENTRIES:
                 content.forget()
             both = [content(x) for x in raw]
-            names = list(zip(*(batch.column(m + 1 + i).to_pylist() for i in range(len(page))))) if page else [()] * len(raw)
-            yield pa.RecordBatch.from_arrays(
-                [*(batch.column(i) for i in range(m)), pa.array([f.astype("<i4").tobytes() for f, _ in both], pa.binary()), pa.array([page_features(x, at, *n).astype("<f8").tobytes() for x, (_, at), n in zip(raw, both, names)], pa.binary())],
-                names=[*keep, "content", "page"],
-            )
+            own = [with_layout(f, x) for f, x in zip(both, raw)] if page else [f for f, _ in both]
+            rows = zip(*(batch.column(m + 1 + i).to_pylist() for i in range(len(page)))) if page else ()
+            cols = [*(batch.column(i) for i in range(m)), pa.array([f.astype("<i4").tobytes() for f in own], pa.binary())]
+            if page:
+                cols.append(pa.array([metadata(*r).astype("<i4").tobytes() for r in rows], pa.binary()))
+            yield pa.RecordBatch.from_arrays(cols, names=[*keep, "content", *["page"] * bool(page)])
 
     kinds = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in schema)
-    return df.select(*keep, F.col("text").cast("string"), *[F.col(c).cast("string").alias(f"page_{c}") for c in page]).mapInArrow(run, f"{kinds}, content binary, page binary")
+    return df.select(*keep, F.col("text").cast("string"), *[F.col(c).cast("string").alias(f"page_{c}") for c in page]).mapInArrow(run, f"{kinds}, content binary" + ", page binary" * bool(page))
 
 
 class Sparse:
-    """Rows of unit-length 0/1 features."""
+    """Rows of unit-length 0/1 features below `width`."""
 
-    def __init__(self, rows: list[np.ndarray]):
+    def __init__(self, rows: list[np.ndarray], width: int = BUCKETS):
         self.n = np.fromiter(map(len, rows), np.int64, len(rows))
         self.col = np.concatenate(rows) if rows else np.zeros(0, np.int32)
         self.row = np.repeat(np.arange(len(rows)), self.n)
         self.value = np.repeat(1 / np.sqrt(np.maximum(self.n, 1)), self.n)
-        self.shape = (len(rows), BUCKETS)
+        self.shape = (len(rows), width)
 
     def times(self, w: np.ndarray) -> np.ndarray:
         return np.stack([np.bincount(self.row, w[self.col, k] * self.value, minlength=self.shape[0]) for k in range(w.shape[1])], axis=1)
 
     def back(self, g: np.ndarray) -> np.ndarray:
-        return np.stack([np.bincount(self.col, g[self.row, k] * self.value, minlength=BUCKETS) for k in range(g.shape[1])], axis=1)
-
-
-class Dense:
-    def __init__(self, rows: list[np.ndarray]):
-        self.x = np.array(rows).reshape(len(rows), -1)
-        self.shape = self.x.shape
-
-    def times(self, w: np.ndarray) -> np.ndarray:
-        return self.x @ w
-
-    def back(self, g: np.ndarray) -> np.ndarray:
-        return self.x.T @ g
+        return np.stack([np.bincount(self.col, g[self.row, k] * self.value, minlength=self.shape[1]) for k in range(g.shape[1])], axis=1)
 
 
 def softmax(z: np.ndarray) -> np.ndarray:
@@ -139,7 +146,7 @@ def softmax(z: np.ndarray) -> np.ndarray:
     return e / e.sum(axis=1, keepdims=True)
 
 
-def fit(x: Sparse | Dense, y: np.ndarray, classes: int, steps: int = 80, rate: float = 0.5, ridge: float = 1e-5, weight: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray]:
+def fit(x: Sparse, y: np.ndarray, classes: int, steps: int = 80, rate: float = 0.5, ridge: float = 1e-5, weight: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray]:
     """Multinomial logistic weights and offsets by Adam over the whole sample."""
     w, b = np.zeros((x.shape[1], classes)), np.zeros(classes)
     if not x.shape[0]:

@@ -1,7 +1,7 @@
 """Co-training of a quality classifier on two views of a page.
 
-One classifier sees a document's content, its hashed words and word shapes; the other its page's metadata:
-source, language, and numbers of its layout. Each learns from the labelled documents. In every round each
+One classifier sees a document's content, its hashed words, word shapes and statistics of its text; the other its
+page's recorded metadata alone: source, language, and size. Each learns from the labelled documents. In every round each
 scores every unlabelled document, in a map, and the ones it is surest of, in the classes' proportions, become
 pseudo-labels of the other view: those at or above a threshold of log-odds, read from a summed histogram, so that
 equally sure ones come in together. The views then learn on, by gradients that are the driver's sum over the labelled
@@ -10,10 +10,11 @@ documents that neither learnt from, and the calibrated log-odds, weighted by how
 the score of every document.
 
 Only the labelled sample is bounded, by a parameter; every unlabelled document takes part in each round, and every
-document is scored, whole. Null text is empty; null metadata has no feature. Documents without doc_id are scored but
-don't teach, nor do rows whose label is null; with labels of one class only, or none, the score is that class's
-share, 0.5 if there is none. Repeated rows each get a score, and empty tables give no rows. Columns other than
-doc_id, text, source, lang aren't read.
+document is scored, whole: a long text is one row in a worker's memory, and its features are no more than its distinct
+words. Null text is empty; null metadata has no feature. Documents without doc_id are scored but don't teach, nor do
+rows whose label is null; of several label rows of a document the least counts. With labels of one class only, or
+none, the score is that class's share, 0.5 if there is none. Repeated rows each get a score, and empty tables give no
+rows. Columns other than doc_id, text, source, lang and n_chars aren't read, so their names can't clash.
 """
 
 from __future__ import annotations
@@ -27,11 +28,11 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ._common import CACHE_ENTRIES, discard, materialize, partitions, sieve, slices, small_batches
-from .classify import BUCKETS, LAYOUT, PAGE_BUCKETS, Content, Dense, Sparse, features, one_label, page_features, sampled
+from .classify import BUCKETS, PAGE_BUCKETS, Content, Sparse, features, metadata, one_label, sampled, with_layout
 
-PAGE = ["source", "lang"]
-VIEWS = (Sparse, Dense)
-WIDTHS = (BUCKETS, LAYOUT + PAGE_BUCKETS)
+PAGE = ["source", "lang", "n_chars"]
+#: Buckets of each view's features.
+WIDTHS = (BUCKETS, PAGE_BUCKETS)
 #: Weight of a pseudo-label; a label has 1.
 PSEUDO = 0.5
 #: Bins of log-odds in a unit, and the log-odds from which all are in one bin.
@@ -48,7 +49,7 @@ class Fit:
         self.m, self.v = ([np.zeros(width), np.zeros(1)] for _ in range(2))
         self.rate, self.ridge, self.t = rate, ridge, 0
 
-    def log_odds(self, x: Sparse | Dense) -> np.ndarray:
+    def log_odds(self, x: Sparse) -> np.ndarray:
         return log_odds(self.w, self.b[0], x)
 
     def step(self, g: np.ndarray) -> None:
@@ -60,19 +61,19 @@ class Fit:
             p -= self.rate * (self.m[k] / (1 - 0.9**self.t)) / (np.sqrt(self.v[k] / (1 - 0.99**self.t)) + 1e-8)
 
 
-def log_odds(w: np.ndarray, b: float, x: Sparse | Dense) -> np.ndarray:
+def log_odds(w: np.ndarray, b: float, x: Sparse) -> np.ndarray:
     return 2 * (x.times(w[:, None])[:, 0] + b)
 
 
-def gradient(w: np.ndarray, b: float, x: Sparse | Dense, y: np.ndarray, weight: float) -> np.ndarray:
+def gradient(w: np.ndarray, b: float, x: Sparse, y: np.ndarray, weight: float) -> np.ndarray:
     """As Fit.step takes it."""
     r = weight * (1 / (1 + np.exp(-np.clip(log_odds(w, b, x), -500, 500))) - y)
     return np.concatenate([x.back(r[:, None])[:, 0], [r.sum(), weight * len(y)]])
 
 
-def views_of(batch: pa.RecordBatch) -> tuple[Sparse, Dense]:
+def views_of(batch: pa.RecordBatch) -> tuple[Sparse, Sparse]:
     """Both views of a batch with columns content and page."""
-    return tuple(make([np.frombuffer(x, kind) for x in batch.column(c).to_pylist()]) for make, c, kind in zip(VIEWS, ("content", "page"), ("<i4", "<f8")))
+    return tuple(Sparse([np.frombuffer(x, "<i4") for x in batch.column(c).to_pylist()], width) for c, width in zip(("content", "page"), WIDTHS))
 
 
 def histogram(pool: DataFrame, views: list[tuple[np.ndarray, float]], least: float) -> list[dict[int, dict[int, int]]]:
@@ -165,7 +166,7 @@ def gradient_sums(pseudo: DataFrame, views: list[tuple[np.ndarray, float]]) -> l
         for batch in batches:
             if not batch.num_rows:
                 continue
-            for v, make in enumerate(VIEWS):
+            for v in range(len(WIDTHS)):
                 y = batch.column(f"y{v}").to_numpy()
                 some = batch.filter(pa.array(y >= 0))
                 if some.num_rows:
@@ -219,9 +220,9 @@ class CoTrained:
         out = cls(float(y.mean()) if len(y) else 0.5)
         if len(set(y[teach].tolist())) < 2 or len(set(y[test].tolist())) < 2:
             return out
-        own = [make([x for x, t in zip(rows, teach) if t]) for make, rows in zip(VIEWS, (content, page))]
+        own = [Sparse([x for x, t in zip(rows, teach) if t], width) for width, rows in zip(WIDTHS, (content, page))]
         fits = [Fit(width, rate, y[teach]) for width, rate in zip(WIDTHS, (0.5, 0.2))]
-        for fitted, x, steps in zip(fits, own, (60, 300)):
+        for fitted, x, steps in zip(fits, own, (60, 120)):
             for _ in range(steps):
                 fitted.step(gradient(fitted.w, fitted.b[0], x, y[teach], 1.0))
         pool = materialize(pool, "unlabelled")
@@ -238,8 +239,8 @@ class CoTrained:
             discard(pseudo)
         discard(pool)
         views = []
-        for fitted, make, rows in zip(fits, VIEWS, (content, page)):
-            z = fitted.log_odds(make([x for x, t in zip(rows, test) if t]))
+        for fitted, width, rows in zip(fits, WIDTHS, (content, page)):
+            z = fitted.log_odds(Sparse([x for x, t in zip(rows, test) if t], width))
             a, b = platt(z, y[test])
             views.append((np.stack([-fitted.w, fitted.w], axis=1), np.array([-fitted.b[0], fitted.b[0]]), a, b, 1 / max(loss(a * z + b, y[test]), 1e-2)))
         total = sum(v[-1] for v in views)
@@ -265,10 +266,10 @@ def train(docs: DataFrame, labels: DataFrame, label: str = "quality", labelled:
     rows = one_label(sampled(labels, labelled, "co-training"), own, [label])
     rows = rows.withColumn("y", F.col(f"label_{label}").cast("int")).withColumn("test", F.crc32(F.col("doc_id").cast("string")) % 5 == 0)
     got = features(rows, ["y", "test"], PAGE).collect()  # about `labelled` rows
-    bits = lambda c, t: [np.frombuffer(r[c], t) for r, k in zip(got, ok) if k]
+    bits = lambda c: [np.frombuffer(r[c], "<i4") for r, k in zip(got, ok) if k]
     y = np.array([r["y"] for r in got], np.int64)
     ok = np.isin(y, (0, 1))
-    return CoTrained.learn(bits("content", "<i4"), bits("page", "<f8"), y[ok], np.array([r["test"] for r in got], bool)[ok], unlabelled(docs, labels), rounds, sure, most, passes)
+    return CoTrained.learn(bits("content"), bits("page"), y[ok], np.array([r["test"] for r in got], bool)[ok], unlabelled(docs, labels), rounds, sure, most, passes)
 
 
 def score(docs: DataFrame, model: CoTrained) -> DataFrame:
@@ -278,22 +279,21 @@ def score(docs: DataFrame, model: CoTrained) -> DataFrame:
         return docs.select(F.col("doc_id").cast("long").alias("doc_id"), p.alias("p_content"), p.alias("p_page"), p.alias("score"), (p >= 0.5).cast("int").alias("quality_pred"))
     small_batches(docs.sparkSession)
     (w, b, a, c, k), page = model.views
-    delta = (w[:, 1] - w[:, 0]).astype(np.float32)
-    sent = docs.sparkSession.sparkContext.broadcast(delta)  # one number for each hashed bucket
+    pw, pb, pa_, pc, pk = page
+    # one number for each hashed bucket, and one for each of the metadata
+    sent = docs.sparkSession.sparkContext.broadcast(((w[:, 1] - w[:, 0]).astype(np.float32), (pw[:, 1] - pw[:, 0]).astype(np.float32)))
+    offsets = np.array([b[1] - b[0], pb[1] - pb[0]])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         content, weights = Content(), sent.value
-        pw, pb, pa_, pc, pk = page
         for batch, raw in slices(batches, 1):
             if len(content.known) > CACHE_ENTRIES:
                 content.forget()
             z = np.zeros((len(raw), 2))
-            for i, (x, *names) in enumerate(zip(raw, *(batch.column(2 + j).to_pylist() for j in range(len(PAGE))))):
-                f, at = content(x)
-                z[i, 0] = weights[f].sum() / np.sqrt(max(1, len(f))) + b[1] - b[0]
-                v = page_features(x, at, *names)
-                z[i, 1] = v @ (pw[:, 1] - pw[:, 0]) + pb[1] - pb[0]
-            z = z * np.array([a, pa_]) + np.array([c, pc])
+            for i, (x, *own) in enumerate(zip(raw, *(batch.column(2 + j).to_pylist() for j in range(len(PAGE))))):
+                for v, f in enumerate((with_layout(content(x), x), metadata(*own))):
+                    z[i, v] = weights[v][f].sum() / np.sqrt(max(1, len(f)))
+            z = (z + offsets) * np.array([a, pa_]) + np.array([c, pc])
             p = 1 / (1 + np.exp(-np.clip(np.column_stack([z, z @ np.array([k, pk])]), -30, 30)))
             yield pa.RecordBatch.from_arrays([batch.column(0), *(pa.array(p[:, j]) for j in range(3)), pa.array((p[:, 2] >= 0.5).astype(np.int32))], names=["doc_id", "p_content", "p_page", "score", "quality_pred"])
 

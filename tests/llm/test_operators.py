@@ -14,6 +14,7 @@ from tokenizers import Tokenizer
 
 from strandframe.llm import bpe, caps, cotrain, hamming, id_files, langid, mixing, simhash, substring, token_counts
 from strandframe.llm._common import HashTable, sieve
+from strandframe.llm.classify import Sparse, features, metadata
 from strandframe.llm.queries import BYTE_BPE, PATTERN, PIECES, QUERIES, WORD_BPE
 
 DOC = "doc_id long, text string, lang string, source string, n_chars long, id long, key string"
@@ -252,16 +253,28 @@ def test_cotraining_held_out(spark, odd):
     r = cotrain.score(docs, cotrain.train(docs, labels)).join(labels, "doc_id").where(F.crc32(F.col("doc_id").cast("string")) % 5 == 0).toPandas()
     assert (r.quality_pred == r.quality).mean() >= 0.95
     assert cotrain.score(odd, cotrain.train(odd, labels)).count() == len(ODD) and cotrain.score(odd.limit(0), cotrain.train(odd, labels.limit(0))).count() == 0
+    some = docs.limit(200)
+    clash = labels.selectExpr("doc_id", "quality", "doc_id AS text", "1 AS source", "2 AS y", "true AS test")
+    mixed = clash.unionByName(clash.limit(30)).unionByName(clash.limit(20).selectExpr("doc_id", "null AS quality", "text", "source", "y", "test"))
+    assert cotrain.score(some, cotrain.train(some, mixed)).count() == 200
+
+
+def test_views_are_apart(spark):
+    """The metadata view doesn't change with the text, nor the content view with the metadata."""
+    rows = [(1, "one text here", "en", "s", 10), (2, "Quite ANOTHER 77\ntext", "en", "s", 10), (3, "one text here", "de", "t", 9999)]
+    a, b, c = features(spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long"), ["doc_id"], cotrain.PAGE).orderBy("doc_id").collect()
+    assert a["page"] == b["page"] != c["page"] and a["content"] == c["content"] != b["content"]
+    assert len(metadata(None, None, None)) == 0 and len(metadata("s", "en", "12")) == 6
 
 
 def test_cotraining_pool_is_every_unlabelled_document(spark, odd):
     rng = random.Random(8)
     n = 6000  # more than the 5,000 once sampled
-    docs = spark.createDataFrame([(i, " ".join(rng.choices("abcdefghij", k=5)), "de", "s") for i in range(n)] + [(None, "a", "de", "s")], "doc_id long, text string, lang string, source string")
+    docs = spark.createDataFrame([(i, " ".join(rng.choices("abcdefghij", k=5)), "de", rng.choice("st"), rng.randrange(900)) for i in range(n)] + [(None, "a", "de", "s", 1)], "doc_id long, text string, lang string, source string, n_chars long")
     pool = cotrain.unlabelled(docs, spark.createDataFrame([(i, None) for i in range(0, n, 10)] + [(None, 1), (1, 1)], "doc_id long, quality int")).cache()
     rows = pool.collect()
     assert len(rows) == n - n // 10 - 1
-    x = [make([np.frombuffer(r[c], t) for r in rows]) for make, c, t in zip(cotrain.VIEWS, ("content", "page"), ("<i4", "<f8"))]
+    x = [Sparse([np.frombuffer(r[c], "<i4") for r in rows], width) for c, width in zip(("content", "page"), cotrain.WIDTHS)]
     g = np.random.default_rng(8)
     views = [(g.normal(size=w) * 3, 0.1) for w in cotrain.WIDTHS]
     z = [cotrain.log_odds(*views[v], x[v]) for v in (0, 1)]
@@ -279,7 +292,7 @@ def test_cotraining_pool_is_every_unlabelled_document(spark, odd):
     assert pseudo.count() == ((y[0] >= 0) | (y[1] >= 0)).sum() > 0
     for v, got in enumerate(cotrain.gradient_sums(pseudo, views)):
         some = np.flatnonzero(y[v] >= 0)
-        part = cotrain.VIEWS[v]([np.frombuffer(rows[i][("content", "page")[v]], ("<i4", "<f8")[v]) for i in some])
+        part = Sparse([np.frombuffer(rows[i][("content", "page")[v]], "<i4") for i in some], cotrain.WIDTHS[v])
         assert np.allclose(got, cotrain.gradient(*views[v], part, y[v][some], 0.5), rtol=1e-4, atol=1e-4)
     assert cotrain.unlabelled(odd.limit(0), odd.select("doc_id")).count() == 0
 
