@@ -29,6 +29,8 @@ import uuid
 import zlib
 from collections.abc import Iterator
 from functools import lru_cache
+from os.path import commonprefix
+from string import ascii_lowercase
 
 import numpy as np
 import pyarrow as pa
@@ -136,9 +138,14 @@ class WordEncoder:
         added = self.tokenizer.get_added_tokens_decoder().values()
         self.added = [t.content.encode() for t in added if not t.normalized]
         self.added_normalized = [t.content for t in added if t.normalized]
+        self.added_start = commonprefix(self.added) or b""
         vocab = self.tokenizer.get_vocab()
         self.closes = np.zeros(max(vocab.values()) + 1, bool)
         self.closes[[i for t, i in vocab.items() if t.endswith("</w>")]] = True
+        probe = ascii_lowercase * 2
+        pieces = self.tokenizer.pre_tokenizer.pre_tokenize_str(probe) if self.tokenizer.pre_tokenizer else []
+        kept = self.tokenizer.normalizer.normalize_str(probe) if self.tokenizer.normalizer else probe
+        self.letters_stay = kept == probe and [x for x, _ in pieces] == [probe]
         self.forget_stems()
         self.forget()
 
@@ -152,18 +159,29 @@ class WordEncoder:
         self.start, self.length = np.zeros(1, np.int64), np.ones(1, np.int64)
 
     def parts(self, word: bytes) -> tuple[bytes, bytes]:
-        if word.isascii() and not any(t in word.lower() for t in self.added):  # the library looks for those in the text as it is
-            word = word.lower()
+        if word.isascii():
+            low = word.lower()
+            if self.added_start not in low or not any(t in low for t in self.added):  # the library looks for those in the text as it is
+                word = low
         stem = word.rstrip(TAIL)
         if len(stem) < len(word) and stem and stem[-1:].isalpha():
             return stem, word[len(stem) :]
         return word, b""
 
     def encode_stems(self, stems: list[bytes]) -> None:
-        """Encodes stems of letters alone as one text: each is one piece, which its last token closes."""
+        """Stems of ASCII letters go straight to the library's merges, as its normaliser and its pattern leave them as they are.
+
+        Other stems of letters alone are encoded as one text: each is one piece, which its last token closes.
+        """
+        n, ids = np.zeros(len(stems), np.int64), [np.zeros(0, self.kind)] * len(stems)
+        merge = self.tokenizer.model.tokenize
+        letters = [i for i, x in enumerate(stems) if x.isalpha() and x.islower()] if self.letters_stay else []
+        got = [[t.id for t in merge(stems[i].decode())] for i in letters]
+        n[letters] = [len(x) for x in got]
+        for i, x in zip(letters, got):
+            ids[i] = np.array(x, self.kind)
         texts = [x.decode("utf-8", "replace") for x in stems]
-        plain = [i for i, x in enumerate(texts) if x.isalpha()]
-        n, ids = np.zeros(len(texts), np.int64), [np.zeros(0, self.kind)] * len(texts)
+        plain = [i for i, x in enumerate(texts) if not n[i] and x.isalpha()]
         for k in range(0, len(plain), 4096):
             part = plain[k : k + 4096]
             got = np.array(self.tokenizer.encode_batch_fast([" ".join(texts[i] for i in part)], add_special_tokens=False)[0].ids, self.kind)
@@ -181,7 +199,7 @@ class WordEncoder:
         self.stem_ids = np.concatenate([self.stem_ids, *ids])
 
     def learn(self, words: list[bytes]) -> None:
-        if len(self.stems) > 2 * CACHE_ENTRIES:
+        if len(self.stems) > CACHE_ENTRIES:
             self.forget_stems()
         flat = np.fromiter((self.stems[x] for w in words for x in self.parts(w)), np.int64, 2 * len(words))
         if self.stems.new:
