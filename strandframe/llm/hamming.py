@@ -1,16 +1,15 @@
 """Exact nearest binary codes by incremental multi-index hashing.
 
-Distinct 64-bit codes are dealt into shards by hash, and every query goes to every shard. A shard cuts its codes
-into m segments, no longer than the logarithm of their number, and lists them in order of each segment's value.
-A search grows the segments' radii one after another: radius r looks up the values r bits from the query's own.
-With radius r in the first a + 1 segments and r - 1 in the others, every code within m * r + a bits has been
-met, so the search ends once its k-th best verified distance is no more than that. When it has looked up more
-values than the shard has codes, it compares all the codes instead, which is as exact. The shards' results
-are merged.
+Distinct 64-bit codes are dealt by hash into shards of bounded size, and queries into blocks of bounded size; every
+block meets every shard in a task of its own. A shard cuts its codes into m segments, no longer than the logarithm
+of their number, and lists them in order of each segment's value. A search grows the segments' radii one after
+another: radius r looks up the values r bits from the query's own. With radius r in the first a + 1 segments and
+r - 1 in the others, every code within m * r + a bits has been met, so the search ends once its k-th best verified
+distance is no more than that, or once it has met every code. The shards' results are merged.
 
 Copies of a code are one entry with the k least ids of its rows, which is all a top k can need. Ties go to
-the lesser id. Rows or queries without id or code take no part; repeated rows count as rows. Empty tables
-give no rows. Other columns aren't read.
+the lesser id. Rows or queries without id or code take no part; repeated rows count as rows, and so do repeated
+queries: each has a result. Empty tables give no rows. Other columns aren't read, so their names can't clash.
 """
 
 from __future__ import annotations
@@ -28,8 +27,10 @@ from pyspark.sql import functions as F
 from ._common import materialize, partitions, ragged
 
 BITS = 64
-#: Codes of a shard at least, but for a single one.
-SHARD = 1 << 14
+#: Codes of a shard: at least, but for a single one, while there are no more shards than partitions; and at most, about.
+SHARD, FULL = 1 << 14, 1 << 20
+#: Queries of a block, about.
+QUERIES = 1 << 17
 
 
 def sign_codes(df: DataFrame, id_col: str = "vec_id", vector_col: str = "embedding") -> DataFrame:
@@ -71,22 +72,17 @@ class Shard:
     def nearest(self, code: int, k: int) -> tuple[np.ndarray, np.ndarray]:
         """Places of the k nearest codes, ties by id, and their distances."""
         q, m, n = np.uint64(code & (1 << BITS) - 1), len(self.cut), len(self.codes)
-        seen, at, distance, looked = np.zeros(n, bool), np.zeros(0, np.int64), np.zeros(0, np.int64), 0
+        seen, at, distance = np.zeros(n, bool), np.zeros(0, np.int64), np.zeros(0, np.int64)
         for radius in range(max(w for _, w in self.cut) + 1):
             for a, (shift, width) in enumerate(self.cut):
                 probe = self.part(q, shift, width) ^ masks(width, radius) if radius <= width else np.zeros(0, np.uint64)
-                looked += len(probe)
-                if looked > n:
-                    d = np.bitwise_count(self.codes ^ q).astype(np.int64)
-                    best = np.lexsort((np.arange(n), d))[:k]
-                    return best, d[best]
                 low, high = np.searchsorted(self.values[a], probe), np.searchsorted(self.values[a], probe, side="right")
                 met = self.order[a][ragged(low, high - low)]
                 met = met[~seen[met]]
                 seen[met] = True
                 at = np.concatenate([at, met])
                 distance = np.concatenate([distance, np.bitwise_count(self.codes[met] ^ q).astype(np.int64)])
-                if len(at) >= k and np.partition(distance, k - 1)[k - 1] <= m * radius + a:
+                if len(at) == n or len(at) >= k and np.partition(distance, k - 1)[k - 1] <= m * radius + a:
                     break
             else:
                 continue
@@ -102,11 +98,15 @@ def nearest_codes(rows: DataFrame, queries: DataFrame, k: int = 10) -> DataFrame
     by_code = Window.partitionBy("code").orderBy("id")
     ids = materialize(rows.withColumn("r", F.row_number().over(by_code)).where(F.col("r") <= k).select("code", "id", "r"), "code-ids")
     codes = ids.where("r = 1").select("code", "id")
-    shards = max(1, min(partitions(spark), -(-codes.count() // SHARD)))
+    many = codes.count()
+    shards = max(1, -(-many // FULL), min(partitions(spark), -(-many // SHARD)))
     # several rows may ask with one id: each query row has a number of its own
     asked = materialize(queries.select(F.col("id").alias("qid"), "code", F.expr("uuid()").alias("q")), "queries")
-    listed = codes.select(F.pmod(F.xxhash64("code"), F.lit(shards)).cast("int").alias("shard"), F.lit(None).cast("string").alias("q"), "code", "id")
-    sent = asked.select(F.explode(F.sequence(F.lit(0), F.lit(shards - 1))).alias("shard"), "q", "code", F.col("qid").alias("id"))
+    blocks = max(1, -(-asked.count() // QUERIES))
+    each = lambda n: F.explode(F.sequence(F.lit(0), F.lit(n - 1)))
+    listed = codes.select(F.pmod(F.xxhash64("code"), F.lit(shards)).cast("int").alias("s"), each(blocks).alias("b"), F.lit(None).cast("string").alias("q"), "code", "id")
+    sent = asked.select(each(shards).alias("s"), F.pmod(F.xxhash64("q"), F.lit(blocks)).cast("int").alias("b"), "q", "code", F.col("qid").alias("id"))
+    both = listed.unionByName(sent).select((F.col("s") * blocks + F.col("b")).alias("shard"), "q", "code", "id")
 
     def search(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         now, held, shard = None, [], None
@@ -129,7 +129,7 @@ def nearest_codes(rows: DataFrame, queries: DataFrame, k: int = 10) -> DataFrame
                             x.extend(y)
             yield pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in zip(out, (pa.string(), pa.int64(), pa.int64(), pa.int32()))], names=["q", "code", "id", "distance"])
 
-    found = listed.unionByName(sent).repartition(shards, "shard").sortWithinPartitions("shard", F.col("q").asc_nulls_first()).mapInArrow(search, "q string, code long, id long, distance int")
+    found = both.repartition(shards * blocks, "shard").sortWithinPartitions("shard", F.col("q").asc_nulls_first()).mapInArrow(search, "q string, code long, id long, distance int")
     by_query = Window.partitionBy("q").orderBy("distance", "id")
     # of one order by distance and id, k codes hold the k best rows
     few = materialize(found.withColumn("n", F.row_number().over(by_query)).where(F.col("n") <= k).select("q", "code", "distance"), "nearest-codes")

@@ -172,17 +172,24 @@ def test_caps_against_all_pairs(spark):
     assert caps.near_vectors(df.limit(0)).count() == 0
 
 
-def test_hamming_is_exact(spark):
+@pytest.mark.parametrize("shard, full, block", [(hamming.SHARD, hamming.FULL, hamming.QUERIES), (16, 64, 9)])
+def test_hamming_is_exact(spark, monkeypatch, shard, full, block):
+    for name, value in (("SHARD", shard), ("FULL", full), ("QUERIES", block)):
+        monkeypatch.setattr(hamming, name, value)
     rng = np.random.default_rng(6)
     codes = rng.integers(-(2**63), 2**63 - 1, 400)
-    codes = np.concatenate([codes, codes[:50] ^ 5, codes[:20]])
-    rows = spark.createDataFrame([(i, int(c)) for i, c in enumerate(codes)] + [(None, 1), (999, None)], "id long, code long")
-    got = hamming.nearest_codes(rows, rows.where("id % 10 = 0"), 5).orderBy("query_id", "rank").collect()
+    codes = np.concatenate([codes, codes[:50] ^ 5, codes[:20], [7] * 30])  # near codes, repeated ones, and one that many rows have
+    rows = spark.createDataFrame([(i, int(c), 1, "s") for i, c in enumerate(codes)] + [(None, 1, 1, ""), (999, None, 1, "")], "id long, code long, shard int, q string")
+    asked = rows.where("id % 10 = 0")
+    got = hamming.nearest_codes(rows, asked, 5).orderBy("query_id", "rank").collect()
     want = []
     for q in range(0, len(codes), 10):
         d = np.bitwise_count(codes.view(np.uint64) ^ codes.view(np.uint64)[q]).astype(int)
         want += [(q, r + 1, int(i), int(d[i])) for r, i in enumerate(np.lexsort((np.arange(len(d)), d))[:5])]
     assert [tuple(r) for r in got] == want
+    twice = hamming.nearest_codes(rows, asked.unionByName(asked.where("id = 20")), 5).where("query_id = 20").orderBy("rank").collect()
+    assert [tuple(r) for r in twice] == [w for w in want if w[0] == 20 for _ in (0, 1)]
+    assert len(hamming.nearest_codes(rows.where("id < 3"), asked.where("id = 0"), 5).collect()) == 3
     assert hamming.nearest_codes(rows.limit(0), rows, 5).count() == 0 == hamming.nearest_codes(rows, rows.limit(0), 5).count()
 
 
