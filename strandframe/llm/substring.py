@@ -10,15 +10,16 @@ equal minimiser. The steps:
 4. Where it has several, one copy of each travels as a packed string of words to the minimiser's bucket,
    where windows are sorted and equal ones, compared word for word, get the least of their documents.
    A minimiser with more than `crowd` different super-k-mers isn't one bucket: tasks take any of them, sum
-   up windows by 128-bit digest, and look up the sums.
+   up windows by 128-bit digest, and the windows that stand in several are joined to the sums.
 5. Windows that stand in an earlier document come back to their documents, and words they cover go.
 
 Texts are shuffled only where a bitmap of bounded size says that strings are to be cut or words may go.
 
-Words are runs of other bytes than space and U+0009 to U+000D, unchanged; null text has none. Rows without
-doc_id keep everything and take nothing from others. Rows with one doc_id are told apart by their texts
-and, having no smaller doc_id, take nothing from each other. Empty tables give no rows; other columns
-aren't read.
+Words are runs of other bytes than space and U+0009 to U+000D, unchanged; null text has none. A long text is one
+row, whole in a worker's memory with a few numbers for each word. Rows without doc_id keep everything and take
+nothing from others. Rows with one doc_id are told apart by 64-bit hashes of their texts and, having no smaller
+doc_id, take nothing from each other; equal rows all come back alike. Empty tables give no rows; other columns
+aren't read, so their names can't clash.
 """
 
 from __future__ import annotations
@@ -109,7 +110,7 @@ def list_super_kmers(docs: DataFrame, window: int, mer: int) -> DataFrame:
             start, count, least, s1, s2 = (np.concatenate(x) for x in zip(*found))
             yield pa.RecordBatch.from_arrays([pa.array(own[0]), pa.array(own[1]), pa.array(start.astype(np.int32)), pa.array(count.astype(np.int32)), _long(least), _long(s1), _long(s2)], names=["id", "t", "start", "windows", "mz", "s1", "s2"])
 
-    return docs.where("id is not null").mapInArrow(run, "id long, t int, start int, windows int, mz long, s1 long, s2 long")
+    return docs.where("id is not null").mapInArrow(run, "id long, t long, start int, windows int, mz long, s1 long, s2 long")
 
 
 def word_ends(packed: bytes) -> tuple[np.ndarray, np.ndarray]:
@@ -242,6 +243,7 @@ def deal_windows(strings: DataFrame, window: int) -> DataFrame:
             once |= a
         return pa.table({"block": t.column("block")[:1], "twice": pa.array([twice.tobytes()], pa.binary())})
 
+    own = strings.select("s1", "s2", "first", "last", "windows")
     strings = strings.select("mz", "s1", "s2", "first", "packed", "last")
     blocks = strings.mapInArrow(count, "block int, once binary, twice binary").groupBy("block").applyInArrow(join_blocks, "block int, twice binary")
     shared = np.zeros(SLOTS // 8, np.uint8)
@@ -272,24 +274,34 @@ def deal_windows(strings: DataFrame, window: int) -> DataFrame:
             yield out()
 
     low = strings.mapInArrow(sum_up, "mz long, w1 long, w2 long, first long, last long").groupBy("mz", "w1", "w2").agg(F.min("first").alias("f"), F.max("last").alias("z")).where("f < z")
-    low = materialize(low.groupBy("mz").agg(F.collect_list(F.struct("w1", "w2", "f")).alias("low")), "crowded-windows")
+    low = materialize(low.select("mz", "w1", "w2", "f"), "crowded-windows")
 
-    def look_up(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        hashes = WordHashes()
+    def spell(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        hashes, bits = WordHashes(), sent.value
         for batch, raw in slices(batches, 4):
-            cols: list[list] = [[], [], []]
-            known: dict = {}
-            for s1, s2, mz, own, last, x, low in zip(*(batch.column(c).to_pylist() for c in ("s1", "s2", "mz", "first", "last")), raw, batch.column(batch.schema.names.index("low"))):
-                if mz not in known:
-                    known[mz] = {(r["w1"], r["w2"]): r["f"] for r in low.as_py() or ()}
-                _, w1, w2 = window_digests(hashes, [x], window)
-                firsts = np.array([known[mz].get(k, own) for k in zip(w1.view(np.int64).tolist(), w2.view(np.int64).tolist())], np.int64)
-                if firsts.min() < last:
-                    for c, v in zip(cols, (s1, s2, firsts.astype("<i8").tobytes())):
-                        c.append(v)
-            yield pa.RecordBatch.from_arrays([pa.array(cols[0], pa.int64()), pa.array(cols[1], pa.int64()), pa.array(cols[2], pa.binary())], names=["s1", "s2", "firsts"])
+            n, w1, w2 = window_digests(hashes, raw, window)
+            slot = (w1 & np.uint64(SLOTS - 1)).astype(np.int64)
+            keep = np.flatnonzero(bits[slot >> 3] >> (slot & 7).astype(np.uint8) & 1)
+            row = np.repeat(np.arange(len(raw)), n)[keep]
+            place = keep - (np.cumsum(n) - n)[row]
+            mz, s1, s2, first = (batch.column(i).to_numpy()[row] for i in range(4))
+            yield pa.RecordBatch.from_arrays([pa.array(mz), _long(w1[keep]), _long(w2[keep]), pa.array(s1), pa.array(s2), pa.array(first), pa.array(place.astype(np.int32))], names=["mz", "w1", "w2", "s1", "s2", "first", "place"])
+
+    # a window that stands everywhere meets one row, and adaptive execution can split its side of the join
+    earlier = strings.mapInArrow(spell, "mz long, w1 long, w2 long, s1 long, s2 long, first long, place int").join(low, ["mz", "w1", "w2"]).where("f < first")
+    earlier = earlier.groupBy("s1", "s2").agg(F.collect_list(F.struct("place", "f")).alias("of"))  # of one super-k-mer's windows
+
+    def fill(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            out = []
+            for first, windows, of in zip(*(batch.column(c).to_pylist() for c in ("first", "windows", "of"))):
+                firsts = np.full(windows, first, np.int64)
+                for r in of or ():
+                    firsts[r["place"]] = r["f"]
+                out.append(firsts.astype("<i8").tobytes())
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(out, pa.binary())], names=["s1", "s2", "firsts"])
 
-    return strings.join(low, "mz", "left").select("mz", "s1", "s2", "first", "packed", "last", "low").mapInArrow(look_up, "s1 long, s2 long, firsts binary")
+    return own.join(earlier, ["s1", "s2"], "left").where("first < last or of is not null").select("s1", "s2", "first", "windows", "of").mapInArrow(fill, "s1 long, s2 long, firsts binary")
 
 
 def _first_docs(docs: DataFrame, listed: DataFrame, window: int, crowd: int) -> DataFrame:
@@ -321,12 +333,13 @@ def dedup_substrings(df: DataFrame, window: int = 50, mer: int = 10, crowd: int
     """
     small_batches(df.sparkSession)
     more = [f"carried_{i}" for i in range(len(carry))]
-    whole = df.select(*[F.col(c).alias(m) for c, m in zip(carry, more)], F.col(id_col).cast("long").alias("id"), F.hash(F.col(text_col).cast("string")).alias("t"), F.col(text_col).cast("string").alias("text"))
+    whole = df.select(*[F.col(c).alias(m) for c, m in zip(carry, more)], F.col(id_col).cast("long").alias("id"), F.xxhash64(F.col(text_col).cast("string")).alias("t"), F.col(text_col).cast("string").alias("text"))
     docs = whole.select("id", "t", "text")
     listed = materialize(list_super_kmers(docs, window, mer), "super-k-mer-places")
     origins = _first_docs(docs, listed, window, crowd)
     marks = sieve(origins, "s1", "s2")(listed).where("maybe").join(origins, ["s1", "s2"]).where("first < id or firsts is not null")
-    marks = materialize(marks.groupBy("id", "t").agg(F.collect_list(F.struct("start", "windows", "firsts")).alias("of")), "window-marks")
+    # of one text's super-k-mers: a set, as equal rows have the same ones
+    marks = materialize(marks.groupBy("id", "t").agg(F.collect_set(F.struct("start", "windows", "firsts")).alias("of")), "window-marks")
     for x in (listed, origins):
         discard(x)
 

@@ -109,6 +109,24 @@ def test_substrings_match_brute_force(spark, docs, odd, crowd):
     assert substring.substring_digests(odd.limit(0)).count() == 0
 
 
+@pytest.mark.parametrize("crowd", [256, 2])
+def test_substrings_with_crowds_and_repeated_ids(spark, crowd):
+    """A passage that most documents share in other surroundings, copies of one row, one doc_id with several texts, words that go on and on."""
+    rng = random.Random(21)
+    word = lambda: "".join(rng.choice("abcdefgh") for _ in range(4))
+    passage = [word() for _ in range(30)]
+    texts = []
+    for i in range(120):
+        own = [word() for _ in range(rng.randrange(0, 25))]
+        at = rng.randrange(len(own) + 1)
+        a, b = sorted(rng.sample(range(31), 2))
+        texts.append((i if i % 10 else 7, " ".join(own[:at] + passage[a:b] + own[at:])))
+    texts += [(500, texts[3][1])] * 40 + [(3, "x " * 60), (4, "x " * 90 + "y"), (501, "x " * 4000)]
+    df = spark.createDataFrame([(*r, 1, "s1") for r in texts], "doc_id long, text string, start int, mz string")
+    got = substring.dedup_substrings(df, 6, 3, crowd).select("doc_id", "n_words", "n_removed", F.sha2("kept", 256)).collect()
+    assert sorted(map(tuple, got)) == sorted(substring.brute_force(texts, 6))
+
+
 def test_simhash_matches_all_pairs(spark, odd):
     rng = random.Random(3)
     base = [" ".join(rng.choice("abcdefghij") * 3 for _ in range(60)) for _ in range(40)]
