@@ -8,8 +8,10 @@ turn them into expected piece counts, summed over the cluster in each round.
 
 Words are runs between white space, lower-cased, with all but letters removed. A character that no piece
 covers alone has a small fixed probability in every language. Null text, and text without a letter, is
-`und` with score 0. Rows whose label is null don't teach; a table without labelled rows makes every text
-`und`. Empty tables give no rows, repeated rows each a result, and other columns aren't read.
+`und` with score 0. A long text is one row in a worker's memory; a long word takes time in proportion to its
+letters, and about as much memory for each letter as the longest piece has. Languages equally likely go by name.
+Rows whose label is null don't teach; a table without labelled rows makes every text `und`. Empty tables give no
+rows, repeated rows each a result, and other columns aren't read, so their names can't clash.
 """
 
 from __future__ import annotations
@@ -69,15 +71,17 @@ class Pieces:
 
 
 def forward(at: list[np.ndarray], p: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Scaled forward sums (words, places + 1, languages) and the logs of the scales (words, places + 1)."""
-    n, width = at[0].shape
-    alpha = np.zeros((n, width + 1, p.shape[1]))
+    """Scaled forward sums (words, places + 1, languages) and the logs of the scales (words, places + 1); all pieces that end at a place are taken at once."""
+    (n, width), longest = at[0].shape, len(at)
+    ends = np.full((width + 1, n, longest), len(p) - 2)  # the last but one row of p stands for no piece
+    for l, ids in enumerate(at, 1):
+        ends[l:, :, longest - l] = ids.T
+    alpha, log = np.zeros((n, width + 1, p.shape[1])), np.zeros((n, width + 1))
     alpha[:, 0] = 1
-    log = np.zeros((n, width + 1))
     for j in range(1, width + 1):
-        for l in range(1, min(len(at), j) + 1):
-            scale = np.exp(log[:, j - l] - log[:, j - 1])[:, None]
-            alpha[:, j] += alpha[:, j - l] * p[at[l - 1][:, j - l]] * scale
+        m = min(longest, j)
+        scale = np.exp(log[:, j - m : j] - log[:, j - 1 : j])
+        alpha[:, j] = np.einsum("nmk,nmk,nm->nk", alpha[:, j - m : j], p[ends[j, :, longest - m :]], scale)
         top = np.maximum(alpha[:, j].max(axis=1), 1e-300)
         alpha[:, j] /= top[:, None]
         log[:, j] = log[:, j - 1] + np.log(top)
@@ -85,20 +89,40 @@ def forward(at: list[np.ndarray], p: np.ndarray) -> tuple[np.ndarray, np.ndarray
 
 
 def backward(at: list[np.ndarray], p: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    n, width = at[0].shape
-    beta = np.zeros((n, width + 1, p.shape[1]))
+    (n, width), longest = at[0].shape, len(at)
+    starts = np.full((width, n, longest), len(p) - 2)
+    for l, ids in enumerate(at, 1):
+        starts[: width - l + 1, :, l - 1] = ids.T
+    beta, log = np.zeros((n, width + 1, p.shape[1])), np.zeros((n, width + 1))
     beta[:, width] = 1
-    log = np.zeros((n, width + 1))
     for i in range(width - 1, -1, -1):
-        for l in range(1, min(len(at), width - i) + 1):
-            scale = np.exp(log[:, i + l] - log[:, i + 1])[:, None]
-            beta[:, i] += beta[:, i + l] * p[at[l - 1][:, i]] * scale
+        m = min(longest, width - i)
+        scale = np.exp(log[:, i + 1 : i + m + 1] - log[:, i + 1 : i + 2])
+        beta[:, i] = np.einsum("nmk,nmk,nm->nk", beta[:, i + 1 : i + m + 1], p[starts[i, :, :m]], scale)
         top = np.maximum(beta[:, i].max(axis=1), 1e-300)
         beta[:, i] /= top[:, None]
         log[:, i] = log[:, i + 1] + np.log(top)
     return beta, log
 
 
+def expected_pieces(finder: Pieces, p: np.ndarray, words: list[str], weight: np.ndarray) -> np.ndarray:
+    """How often each row of p is expected in the words' segmentations, by language; weight is words x languages."""
+    total = np.zeros(p.shape)
+    for part, codes in by_length(words):
+        at = finder.at(codes)
+        alpha, la = forward(at, p)
+        beta, lb = backward(at, p)
+        share = weight[part] / np.maximum(alpha[:, -1], 1e-300)
+        for l, ids in enumerate(at, 1):
+            row, i = np.nonzero(ids != finder.size)
+            scale = np.exp(la[row, i] + lb[row, i + l] - la[row, -1])[:, None]
+            piece = ids[row, i]
+            here = alpha[row, i] * p[piece] * beta[row, i + l] * scale * share[row]
+            for k in range(p.shape[1]):
+                total[:, k] += np.bincount(piece, here[:, k], minlength=len(p))
+    return total
+
+
 def letters(word: str) -> str:
     return word if word.isalpha() else "".join(c for c in word if c.isalpha())
 
@@ -208,18 +232,7 @@ def train(df: DataFrame, vocab_path: str, learn: Column, id_col: str = "doc_id",
                 for i, pairs in enumerate(table_.column(1).to_pylist()):
                     for lang, n in pairs:
                         weight[i, lang] = n
-                for part, codes in by_length(words):
-                    at = finder.at(codes)
-                    alpha, la = forward(at, table)
-                    beta, lb = backward(at, table)
-                    z = np.maximum(alpha[:, -1], 1e-300)
-                    for l, ids in enumerate(at, 1):
-                        for i in range(ids.shape[1]):
-                            some = ids[:, i] != size
-                            if some.any():
-                                scale = np.exp(la[some, i] + lb[some, i + l] - la[some, -1])[:, None]
-                                here = alpha[some, i] * table[ids[some, i]] * beta[some, i + l] * scale / z[some] * weight[part[some]]
-                                np.add.at(total, ids[some, i], here)
+                total += expected_pieces(finder, table, words, weight)
             some = np.flatnonzero(total[:size].any(axis=1))
             yield pa.RecordBatch.from_arrays([pa.array(some, pa.int32()), *[pa.array(total[some, j]) for j in range(k)]], names=["piece", *[f"e{j}" for j in range(k)]])
 

@@ -167,12 +167,41 @@ def test_language_held_out_accuracy(spark, docs, odd):
     assert langid.identify(odd.limit(0), PIECES).count() == 0
 
 
-def test_forward_sums_all_segmentations():
-    pieces = ["▁", "▁a", "a", "ab", "b", "▁ab"]
-    p = np.array([0.1, 0.2, 0.3, 0.15, 0.2, 0.05])
-    model = langid.LanguageModel(["x"], np.ones(1), pieces, p[:, None])
-    got = model.score_words(langid.Pieces(pieces), ["ab"])[0, 0]
-    assert np.isclose(np.exp(got), 0.05 + 0.2 * 0.2 + 0.1 * 0.15 + 0.1 * 0.3 * 0.2)
+def segmentations(word, pieces):
+    if not word:
+        return [[]]
+    return [[x, *rest] for x in pieces if word.startswith(x) for rest in segmentations(word[len(x) :], pieces)]
+
+
+def test_segmentations_against_enumeration():
+    """Word probabilities and expected piece counts against all segmentations, one by one, for two languages."""
+    rng = random.Random(31)
+    pieces = sorted({"▁", "a", "b", "c", *("▁" * rng.randrange(2) + "".join(rng.choice("abc") for _ in range(rng.randrange(1, 5))) for _ in range(25))})
+    g = np.random.default_rng(31)
+    p = g.dirichlet(np.ones(len(pieces)), 2).T
+    words = ["".join(rng.choice("abc") for _ in range(rng.randrange(1, 8))) for _ in range(30)]
+    weight = g.integers(0, 4, (len(words), 2)).astype(float)
+    model, finder = langid.LanguageModel(["x", "y"], np.ones(2) / 2, pieces, p), langid.Pieces(pieces)
+    number, want = {x: i for i, x in enumerate(pieces)}, np.zeros((len(pieces) + 2, 2))
+    for w, n, got in zip(words, weight, model.score_words(finder, words)):
+        ways = segmentations("▁" + w, pieces)
+        q = np.array([np.prod([p[number[x]] for x in way], axis=0) for way in ways])
+        assert np.allclose(got, np.log(q.sum(axis=0)))
+        for way, r in zip(ways, q / q.sum(axis=0)):
+            for x in way:
+                want[number[x]] += n * r
+    assert np.allclose(langid.expected_pieces(finder, model.table(), words, weight), want)
+
+
+def test_languages_of_ties_and_long_words(spark):
+    model = langid.LanguageModel(["aa", "bb"], np.ones(2) / 2, ["▁", "x"], np.full((2, 2), 0.5))
+    long = "x" * 100_000
+    df = spark.createDataFrame([(1, "x xx"), (2, long), (2, long), (None, "é"), (3, "1 2")], "doc_id long, text string").selectExpr("*", "1 AS lang_pred_", "2 AS id")
+    got = sorted((tuple(r) for r in langid.predict(df, model).collect()), key=repr)
+    assert got == sorted([(1, "aa", 0.5), (2, "aa", 0.5), (2, "aa", 0.5), (None, "aa", 0.5), (3, "und", 0.0)], key=repr)
+    finder, word = langid.Pieces(["▁", "a", "ab", "b"]), "ab" * 700
+    other = langid.LanguageModel(["x"], np.ones(1), ["▁", "a", "ab", "b"], np.array([[0.1], [0.2], [0.3], [0.4]]))
+    assert np.isclose(other.score_words(finder, [word])[0, 0], np.log(0.1) + 700 * np.log(0.3 + 0.2 * 0.4))
 
 
 def test_caps_against_all_pairs(spark):
