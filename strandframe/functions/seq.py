@@ -76,10 +76,14 @@ def locus(chrom: Column, start: Column, end: Column, strand: Column | None = Non
     return out if strand is None else F.concat(out, F.lit("("), strand, F.lit(")"))
 
 
+def fasta_name(name: Column) -> Column:
+    """Cuts ::... and joins alternatives by _."""
+    return F.replace(F.regexp_replace(name, "::.*$", ""), F.lit("|"), F.lit("_"))
+
+
 def header_name(name: Column) -> Column:
-    """Cuts ::..., joins alternatives by _, drops .idN."""
-    out = F.regexp_replace(name, "::.*$", "")
-    return F.regexp_replace(F.replace(out, F.lit("|"), F.lit("_")), r"\.id\d+$", "")
+    """The same without .idN at the end."""
+    return F.regexp_replace(fasta_name(name), r"\.id\d+$", "")
 
 
 def accession_number(acc: Column) -> Column:

@@ -2,55 +2,24 @@
 
 from __future__ import annotations
 
-import sys
 from collections.abc import Iterator
 
-import numpy as np
-import pandas as pd
 import pyarrow as pa
-from pyspark import cloudpickle
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.seq import revcomp
+from .align import align
+from .kmers import bitmap, kmer_hashes
 
-#: Match and mismatch scores of the usual DNA matrix. Fixed values.
-MATCH, MISMATCH = 5.0, -4.0
-BASE = np.uint64(0x9E3779B97F4A7C15)
-# Workers that lack the package get this module's functions with their tasks.
-cloudpickle.register_pickle_by_value(sys.modules[__name__])
+#: Sequences of a block that is aligned with other blocks, about.
+BLOCK = 256
 
 
 def _sides(a: DataFrame, b: DataFrame) -> tuple[DataFrame, DataFrame]:
     return a.select(F.col("name").alias("a_name"), F.col("seq").alias("a_seq")), b.select(F.col("name").alias("b_name"), F.col("seq").alias("b_seq"))
 
 
-def kmer_hashes(df: DataFrame, sizes: list[int], whole: bool = False) -> DataFrame:
-    """df's first column and kmer: 64-bit hashes of the distinct k-mers of its second, or of it as a whole up to the size given.
-
-    Strings are indexed as code points in numpy; substrings of long texts cost their place in the JVM.
-    """
-    name = df.columns[0]
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            ids, hashes = [], []
-            for row, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
-                codes = np.frombuffer((text or "").encode("utf-32-le"), np.uint32).astype(np.uint64) + np.uint64(1)
-                for k in [len(codes)] if whole else sizes:
-                    if 0 < k <= len(codes):
-                        h = np.zeros(len(codes) - k + 1, np.uint64)
-                        for j in range(k):
-                            h = h * BASE + codes[j : len(codes) - k + 1 + j]
-                        h = np.unique(h * BASE + np.uint64(k))
-                        hashes.append(h)
-                        ids.append(np.full(len(h), row, np.int64))
-            flat = (np.concatenate(ids), np.concatenate(hashes).view(np.int64)) if ids else (np.zeros(0, np.int64),) * 2
-            yield pa.RecordBatch.from_arrays([pa.array(flat[0]), pa.array(flat[1])], names=[name, "kmer"])
-
-    return df.mapInArrow(run, f"{name} long, kmer long")
-
-
 def exact(a: DataFrame, b: DataFrame) -> DataFrame:
     x, y = _sides(a, b)
     return x.join(y, x["a_seq"] == y["b_seq"])
@@ -64,8 +33,9 @@ def reverse_complement(a: DataFrame, b: DataFrame) -> DataFrame:
 def containment(a: DataFrame, b: DataFrame, k: int = 20, min_len: int = 0) -> DataFrame:
     """Pairs with one sequence inside the other, relation b_in_a before a_in_b, with the length of the inner one.
 
-    The inner sequence's first k bases must be a k-mer of the outer one, which makes it an equality join. Inner sequences
-    shorter than k meet on all their bases. b below min_len takes no part.
+    An inner sequence meets the outer ones that have its rarest k-mer, of those at its places 0, k, 2k and so on, so a stock
+    phrase or a run of one letter that many sequences have isn't what they meet by. Inner sequences shorter than k meet on all
+    their bases. b below min_len takes no part.
     """
     x, y = _sides(a, b)
     y = y.where(F.length("b_seq") >= max(1, min_len))
@@ -74,10 +44,15 @@ def containment(a: DataFrame, b: DataFrame, k: int = 20, min_len: int = 0) -> Da
     def inside(inner: DataFrame, i: str, outer: DataFrame, o: str) -> DataFrame:
         """Meets on hashes of k-mers by row ids; sequences come back for the pairs that met."""
         inner, outer = (df.withColumn(f"{c}_id", F.xxhash64(*df.columns)) for df, c in ((inner, i), (outer, o)))
-        sizes = sorted(r[0] for r in inner.select(F.least(F.length(i), F.lit(k))).distinct().collect())  # k values at most
-        anchors = kmer_hashes(outer.select(f"{o}_id", o), sizes)
-        heads = kmer_hashes(inner.select(f"{i}_id", F.substring(F.col(i), 1, k).alias(i)), [k], whole=True)
-        met = heads.join(anchors, "kmer").select(f"{i}_id", f"{o}_id").distinct()
+        short = F.length(i) < k
+        anchors = kmer_hashes(inner.where(~short).select(f"{i}_id", i), [k], step=k)
+        sizes = sorted(r[0] for r in inner.where(short).select(F.length(i)).distinct().collect())  # k values at most
+        for n in sizes:
+            anchors = anchors.unionByName(kmer_hashes(inner.where(F.length(i) == n).select(f"{i}_id", i), [n]))
+        found = kmer_hashes(outer.select(f"{o}_id", o), [*sizes, k], only=bitmap(anchors.select("kmer").distinct()))
+        often = found.groupBy("kmer").agg(F.count("*").alias("n"))
+        rarest = anchors.join(often, "kmer", "left").groupBy(f"{i}_id").agg(F.min(F.struct(F.coalesce("n", F.lit(0)).alias("n"), "kmer")).alias("m"))
+        met = rarest.where("m.n > 0").select(f"{i}_id", F.col("m.kmer").alias("kmer")).join(found, "kmer").select(f"{i}_id", f"{o}_id").distinct()
         return met.join(inner, f"{i}_id").join(outer, f"{o}_id").where(F.contains(F.col(o), F.col(i)))
 
     first = inside(y, "b_seq", x, "a_seq").select("a_name", "a_seq", "b_name", "b_seq", F.lit("b_in_a").alias("relation"), F.length("b_seq").alias("overlap_len"))
@@ -95,70 +70,46 @@ def first_containing(sno: DataFrame, union: DataFrame, k: int = 20) -> DataFrame
 
 
 def sharing_kmer(a: DataFrame, b: DataFrame, k: int = 20) -> DataFrame:
-    """Rows of b with a k-mer of any a."""
+    """Rows of b with a k-mer of any a, told by a 64-bit hash."""
     ids = b.withColumn("b_id", F.xxhash64("name", "seq"))
     keys = kmer_hashes(a.select(F.lit(0).cast("long").alias("a_id"), "seq"), [k]).select("kmer").distinct()
-    hits = kmer_hashes(ids.select("b_id", "seq"), [k]).join(keys, "kmer", "left_semi").select("b_id").distinct()
+    hits = kmer_hashes(ids.select("b_id", "seq"), [k], only=bitmap(keys)).join(keys, "kmer", "left_semi").select("b_id").distinct()
     return ids.join(hits, "b_id", "left_semi").drop("b_id")
 
 
-def smith_waterman(a: str, b: str, gap_open: float = 10.0, gap_extend: float = 0.5) -> tuple[int, int, float]:
-    """Identities, columns with gaps, and score of the best local alignment with affine gaps.
-
-    Of cells with the best score the first by row, then by column ends it; on the way back a match comes before a gap in b, and
-    that before one in a.
-    """
-    n, m = len(a), len(b)
-    x, y = np.frombuffer(a.encode("utf-32-le"), np.uint32), np.frombuffer(b.encode("utf-32-le"), np.uint32)
-    h, e, f = (np.zeros((n + 1, m + 1)) for _ in range(3))
-    e[:], f[:] = -np.inf, -np.inf
-    for i in range(1, n + 1):
-        f[i] = np.maximum(h[i - 1] - gap_open, f[i - 1] - gap_extend)
-        diagonal = h[i - 1, :-1] + np.where(y == x[i - 1], MATCH, MISMATCH)
-        row = np.maximum(np.maximum(diagonal, f[i, 1:]), 0.0)
-        left, run = 0.0, -np.inf
-        for j in range(1, m + 1):
-            run = max(left - gap_open, run - gap_extend)
-            e[i, j] = run
-            left = h[i, j] = max(row[j - 1], run)
-    if not n or not m or h.max() <= 0:
-        return 0, 0, 0.0
-    i, j = divmod(int(h.argmax()), m + 1)
-    score, same, columns, state = float(h[i, j]), 0, 0, "h"
-    while i > 0 and j > 0 and (state != "h" or h[i, j] > 0):
-        if state == "h":
-            s = MATCH if x[i - 1] == y[j - 1] else MISMATCH
-            if h[i, j] == h[i - 1, j - 1] + s:
-                same, columns, i, j = same + (s == MATCH), columns + 1, i - 1, j - 1
-            else:
-                state = "f" if h[i, j] == f[i, j] else "e"
-        elif state == "f":
-            state = "h" if f[i, j] == h[i - 1, j] - gap_open else "f"
-            columns, i = columns + 1, i - 1
-        else:
-            state = "h" if e[i, j] == h[i, j - 1] - gap_open else "e"
-            columns, j = columns + 1, j - 1
-    return same, columns, score
-
-
 def align_best(a: DataFrame, b: DataFrame, k: int = 20, min_cov: float = 0.8, gap_open: float = 10.0, gap_extend: float = 0.5) -> DataFrame:
     """For each b that shares a k-mer with any a its best a by identity, then length, then a's order, among alignments that cover min_cov of the shorter.
 
-    A kept b is aligned with every a, also those that it shares no k-mer with.
+    A kept b is aligned with every a, also those that it shares no k-mer with: blocks of b meet blocks of a, and a task gives the
+    best of a block for each b, so pairs are never written out.
     """
-    x, y = _sides(a, sharing_kmer(a, b, k))
-    pairs = y.distinct().crossJoin(x.distinct()).select("a_name", "a_seq", "b_name", "b_seq")
-
-    def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for p in frames:
-            got = [smith_waterman(x, y, gap_open, gap_extend) for x, y in zip(p["a_seq"], p["b_seq"])]
-            yield p.assign(identical=[g[0] for g in got], columns=[g[1] for g in got])
-
-    done = pairs.mapInPandas(run, "a_name string, a_seq string, b_name string, b_seq string, identical long, columns long").where("columns > 0")
-    done = done.withColumn("identity_pct", 100.0 * F.col("identical") / F.col("columns")).withColumn("coverage", F.col("columns") / F.least(F.length("a_seq"), F.length("b_seq")))
-    order = a.select(F.col("name").alias("a_name"), F.col("seq").alias("a_seq"), F.col("ord") if "ord" in a.columns else F.lit(0).alias("ord"))
-    w = Window.partitionBy("b_name").orderBy(F.desc("identity_pct"), F.desc("columns"), "ord", "a_name")
-    return done.where(F.col("coverage") >= min_cov).join(order, ["a_name", "a_seq"]).withColumn("n", F.row_number().over(w)).where("n = 1").drop("n", "ord")
+    order = F.col("ord") if "ord" in a.columns else F.lit(0)
+    x = a.select(F.col("name").alias("a_name"), F.col("seq").alias("a_seq"), order.cast("long").alias("a_ord")).where(F.length("seq") > 0).distinct()
+    y = sharing_kmer(a, b, k).select(F.col("name").alias("b_name"), F.col("seq").alias("b_seq")).distinct()
+    dealt = lambda df, of: df.groupBy(F.pmod(F.xxhash64(*df.columns), F.lit(of)).cast("int").alias("block")).agg(F.collect_list(F.struct(*df.columns)).alias("rows"))  # noqa: E731  about BLOCK rows each
+    n = max(1, -(-x.count() // BLOCK))
+    a_blocks = dealt(x, n).select("block", F.col("rows").alias("a_rows"))
+    b_blocks = dealt(y, max(1, -(-y.count() // BLOCK))).select(F.explode(F.sequence(F.lit(0), F.lit(n - 1))).alias("block"), F.col("rows").alias("b_rows"))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            out: list[dict] = []
+            for xs, ys in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
+                for y in ys:
+                    same, columns, _ = align([r["a_seq"] for r in xs], [y["b_seq"]] * len(xs), gap_open, gap_extend)
+                    best = None
+                    for r, i, c in zip(xs, same.tolist(), columns.tolist()):
+                        if c and c / min(len(r["a_seq"]), len(y["b_seq"])) >= min_cov:
+                            key = (-100.0 * i / c, -c, r["a_ord"], r["a_name"], r["a_seq"], i)
+                            best = key if best is None or key < best else best
+                    if best:
+                        out.append({**y, **dict(zip(("key", "less", "a_ord", "a_name", "a_seq", "identical"), best))})
+            names = {"b_name": pa.string(), "b_seq": pa.string(), "key": pa.float64(), "less": pa.int64(), "a_ord": pa.int64(), "a_name": pa.string(), "a_seq": pa.string(), "identical": pa.int64()}
+            yield pa.RecordBatch.from_arrays([pa.array([r[c] for r in out], t) for c, t in names.items()], names=list(names))
+
+    done = b_blocks.join(a_blocks, "block").select("a_rows", "b_rows").mapInArrow(run, "b_name string, b_seq string, key double, less long, a_ord long, a_name string, a_seq string, identical long")
+    best = done.groupBy("b_name").agg(F.min(F.struct("key", "less", "a_ord", "a_name", "a_seq", "identical", "b_seq")).alias("m")).select("b_name", "m.*").withColumn("columns", -F.col("less"))
+    return best.select("a_name", "a_seq", "b_name", "b_seq", "identical", "columns", (-F.col("key")).alias("identity_pct"), (F.col("columns") / F.least(F.length("a_seq"), F.length("b_seq"))).alias("coverage"))
 
 
 def overlap_report(a: DataFrame, b: DataFrame, align: bool = False, k: int = 20, min_cov: float = 0.8, min_len: int = 40) -> DataFrame:

@@ -1,7 +1,11 @@
 """Interval joins and merges over (chrom, start, end, name, score, strand), 0-based and half-open.
 
-Overlap joins are binned: each interval is listed in the bins it touches, bins are joined by equality, and a pair
-comes out only in the first bin that both touch, so once. A chromosome with most of the rows is dealt over its bins.
+Overlap joins are equality joins on bins. One side, the home side, has each row in one bin: bins are as wide as the row's
+class of length, `width` or that times a power of two, so a row reaches from its own bin into the next one at most. The
+other side's rows are listed, for each class there is, in the bins where a home row that they overlap may start. So every
+pair meets once, and left, semi and anti joins by overlap are plain joins of Spark's: one pass, no row numbers, and rows
+that are equal stay apart. A chromosome with most of the rows is dealt over its bins, and adaptive execution splits a
+crowded bin's partition, as joins read their shuffles directly.
 """
 
 from __future__ import annotations
@@ -21,30 +25,41 @@ def prefixed(df: DataFrame, prefix: str) -> DataFrame:
     return df.select(*[F.col(c).alias(f"{prefix}{c}") for c in df.columns])
 
 
-def _binned(df: DataFrame, p: str, width: int) -> DataFrame:
-    first, last = F.floor(F.col(f"{p}start") / width), F.floor((F.col(f"{p}end") - 1) / width)
-    return df.withColumn("bin", F.explode(F.sequence(first, last)))
+def _length_class(p: str, width: int) -> Column:
+    """The least c so that the row is no longer than width * 2^c."""
+    over = F.floor((F.col(f"{p}end") - F.col(f"{p}start") - 1) / width)
+    return F.when(over > 0, F.length(F.bin(over))).otherwise(0)
 
 
-def overlap(a: DataFrame, b: DataFrame, stranded: bool, width: int = 16384) -> DataFrame:
-    """Every overlapping pair, columns a_* and b_*."""
-    x, y = _binned(prefixed(checked(a), "a_"), "a_", width), _binned(prefixed(checked(b), "b_"), "b_", width)
-    on = (F.col("a_chrom") == F.col("b_chrom")) & (x["bin"] == y["bin"]) & (F.col("a_start") < F.col("b_end")) & (F.col("b_start") < F.col("a_end"))
-    on = on & (x["bin"] == F.floor(F.greatest("a_start", "b_start") / width))
+def _wide(width: int, c: Column) -> Column:
+    return F.call_function("shiftleft", F.lit(width).cast("long"), c)
+
+
+def _meet(home: DataFrame, other: DataFrame, p: str, q: str, stranded: bool, width: int, how: str) -> DataFrame:
+    """home joined to other where they overlap; both have prefixed columns."""
+    c = _length_class(p, width)
+    x = home.withColumn("_c", c).withColumn("_bin", F.floor(F.col(f"{p}start") / _wide(width, F.col("_c"))))
+    classes = home.where(f"{p}start < {p}end").agg(F.collect_set(c).alias("_cs"))  # one row of some thirty numbers at most
+    y = other.where(f"{q}start < {q}end and {q}chrom is not null").join(F.broadcast(classes), F.lit(True)).withColumn("_oc", F.explode("_cs")).drop("_cs")
+    w = _wide(width, F.col("_oc"))
+    y = y.withColumn("_obin", F.explode(F.sequence(F.floor((F.col(f"{q}start") + 1 - w) / w), F.floor((F.col(f"{q}end") - 1) / w))))
+    on = (F.col(f"{p}chrom") == F.col(f"{q}chrom")) & (F.col("_c") == F.col("_oc")) & (F.col("_bin") == F.col("_obin"))
     if stranded:
-        on = on & (F.col("a_strand") == F.col("b_strand"))
-    return x.join(y, on).drop("bin")
+        on = on & (F.col(f"{p}strand") == F.col(f"{q}strand"))
+    on = on & (F.col(f"{p}start") < F.col(f"{q}end")) & (F.col(f"{q}start") < F.col(f"{p}end")) & (F.col(f"{p}start") < F.col(f"{p}end"))
+    return x.join(y, on, how).drop("_c", "_bin", "_oc", "_obin")
+
+
+def overlap(a: DataFrame, b: DataFrame, stranded: bool, width: int = 16384, home: str = "a") -> DataFrame:
+    """Every overlapping pair, columns a_* and b_*; `home` names the side that each pair is found from, which can't be a stream."""
+    x, y = prefixed(a, "a_"), prefixed(b, "b_")
+    out = _meet(x, y, "a_", "b_", stranded, width, "inner") if home == "a" else _meet(y, x, "b_", "a_", stranded, width, "inner")
+    return out.select(*x.columns, *y.columns)
 
 
 def _matched(a: DataFrame, b: DataFrame, stranded: bool, how: str, width: int) -> DataFrame:
-    """Semi or anti join by overlap: the rows of `a` are told apart by all their columns, so equal rows go together."""
-    hits = overlap(a, b, stranded, width).select(*[F.col(f"a_{c}").alias(c) for c in a.columns]).distinct()
-    x, y = a.alias("x"), hits.alias("y")
-    on = None
-    for c in a.columns:
-        e = F.col(f"x.{c}").eqNullSafe(F.col(f"y.{c}"))
-        on = e if on is None else on & e
-    return x.join(y, on, how)
+    out = _meet(prefixed(a, "a_"), prefixed(b.select("chrom", "start", "end", *(["strand"] if stranded else [])), "b_"), "a_", "b_", stranded, width, how)
+    return out.select(*[F.col(f"a_{c}").alias(c) for c in a.columns])
 
 
 def overlap_semi(a: DataFrame, b: DataFrame, stranded: bool = False, width: int = 16384) -> DataFrame:
@@ -57,10 +72,9 @@ def overlap_anti(a: DataFrame, b: DataFrame, stranded: bool = True, width: int =
 
 def overlap_left(a: DataFrame, b: DataFrame, stranded: bool = False, width: int = 16384) -> DataFrame:
     """Every pair, and each unmatched row of `a` with nulls; with the overlap in bases, 0 where there is none."""
-    pairs = overlap(a, b, stranded, width)
-    pairs = pairs.withColumn("bp", F.least("a_end", "b_end") - F.greatest("a_start", "b_start"))
-    lone = prefixed(overlap_anti(a, b, stranded, width), "a_").withColumn("bp", F.lit(0).cast("long"))
-    return pairs.unionByName(lone, allowMissingColumns=True)
+    out = _meet(prefixed(a, "a_"), prefixed(b, "b_"), "a_", "b_", stranded, width, "left")
+    bp = F.when(F.col("b_chrom").isNotNull(), F.least("a_end", "b_end") - F.greatest("a_start", "b_start")).otherwise(0)
+    return out.withColumn("bp", bp.cast("long"))
 
 
 def reciprocal(a: DataFrame, b: DataFrame, fraction: float, stranded: bool = False, width: int = 16384) -> DataFrame:
@@ -129,16 +143,19 @@ def longest_wins(a: DataFrame, b: DataFrame, max_len: int = 0, a_tag: str = "a",
     With max_len, an over-long winner yields to a partner below it; pairs with neither below it and lone intervals not below it go.
     """
     la, lb = F.col("a_end") - F.col("a_start"), F.col("b_end") - F.col("b_start")
-    b_wins = lb >= la
-    pairs = overlap(a, b, True, width)
+    lone, b_wins = F.col("b_chrom").isNull(), lb >= la
+    rows = overlap_left(a.select(*BED), b.select(*BED), True, width)  # pairs, and what is a's alone
     if max_len > 0:
-        pairs = pairs.where((la < max_len) | (lb < max_len))
+        rows = rows.where((la < max_len) | (lb < max_len))
         b_wins = F.when(la >= max_len, True).when(lb >= max_len, False).otherwise(b_wins)
-    pick = lambda c: F.when(b_wins, F.col(f"b_{c}")).otherwise(F.col(f"a_{c}")).alias(c)
-    both = pairs.select("a_chrom", pick("start"), pick("end"), F.concat_ws("|", "a_name", "b_name").alias("name"), F.lit(0).cast("long").alias("score"), "a_strand", F.when(b_wins, f"both_{b_tag}").otherwise(f"both_{a_tag}").alias("source"))
-    both = both.withColumnsRenamed({"a_chrom": "chrom", "a_strand": "strand"})
-    alone = lambda x, y, tag: keep_short(overlap_anti(x.select(*BED), y, True, width), max_len).withColumn("score", F.lit(0).cast("long")).withColumn("source", F.lit(tag))
-    return both.unionByName(alone(a, b, f"{a_tag}_only")).unionByName(alone(b, a, f"{b_tag}_only"))
+    own = lone | ~b_wins
+    pick = lambda c: F.when(own, F.col(f"a_{c}")).otherwise(F.col(f"b_{c}")).alias(c)
+    name = F.when(lone, F.col("a_name")).otherwise(F.concat_ws("|", "a_name", "b_name")).alias("name")
+    source = F.when(lone, f"{a_tag}_only").when(b_wins, f"both_{b_tag}").otherwise(f"both_{a_tag}").alias("source")
+    score = F.lit(0).cast("long").alias("score")
+    out = rows.select(F.col("a_chrom").alias("chrom"), pick("start"), pick("end"), name, score, F.col("a_strand").alias("strand"), source)
+    rest = keep_short(overlap_anti(b.select(*BED), a, True, width), max_len)
+    return out.unionByName(rest.select("chrom", "start", "end", "name", score, "strand", F.lit(f"{b_tag}_only").alias("source")))
 
 
 def clipped(pairs: DataFrame) -> DataFrame:

@@ -6,11 +6,13 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions.seq import accession_number, is_rna, no_host, repeat_class, source_tag
-from .intervals import merge, overlap, reciprocal
+from .intervals import merge, overlap
 
 
-def group_counts(df: DataFrame, key: str | Column, name: str = "key") -> DataFrame:
-    return df.groupBy((F.col(key) if isinstance(key, str) else key).alias(name)).agg(F.count("*").alias("n"))
+def group_counts(df: DataFrame, key: str | Column, name: str = "key", ordered: bool = False) -> DataFrame:
+    """How many rows each key has; ordered: the commonest first, then by key."""
+    out = df.groupBy((F.col(key) if isinstance(key, str) else key).alias(name)).agg(F.count("*").alias("n"))
+    return out.orderBy(F.desc("n"), name) if ordered else out
 
 
 def with_counts(df: DataFrame, key: str, name: str) -> DataFrame:
@@ -26,14 +28,27 @@ def symbol_sources(id_gene: DataFrame) -> DataFrame:
     return group_counts(id_gene, source_tag(F.col("source")), "source")
 
 
+def cross_table(df: DataFrame, row: Column, column: Column) -> DataFrame:
+    return df.groupBy(row, column).agg(F.count("*").alias("n"))
+
+
 def repeat_table(loci: DataFrame) -> DataFrame:
     """source by Alu, other, none."""
-    return loci.groupBy("source", repeat_class(F.col("repeat_family")).alias("class")).agg(F.count("*").alias("n"))
+    return cross_table(loci, F.col("source"), repeat_class(F.col("repeat_family")).alias("class"))
+
+
+def top_counts(df: DataFrame, key: str, n: int = 12) -> DataFrame:
+    """The n commonest keys, ties in order of the key."""
+    return group_counts(df, key, "name", ordered=True).limit(n)
 
 
 def top_repeats(loci: DataFrame, n: int = 12) -> DataFrame:
-    names = loci.where("repeat_family <> 'none'").select(F.explode(F.split("repeat_family", r"\|")).alias("name"))
-    return group_counts(names, "name", "name").orderBy(F.desc("n"), "name").limit(n)
+    return top_counts(loci.where("repeat_family <> 'none'").select(F.explode(F.split("repeat_family", r"\|")).alias("name")), "name", n)
+
+
+def conditional_counts(df: DataFrame, all_rows: str, **conditions: Column) -> DataFrame:
+    """One row: how many rows there are, and how many meet each condition."""
+    return df.agg(F.count("*").alias(all_rows), *[F.count_if(c).alias(k) for k, c in conditions.items()])
 
 
 def duplicate_sequences(seqs: DataFrame) -> DataFrame:
@@ -97,26 +112,29 @@ def csv_profile(lines: DataFrame) -> DataFrame:
 
 
 def catalogue_check(a: DataFrame, b: DataFrame) -> DataFrame:
-    """measure, n: overlaps on either strand and on the same, identical places, rows of a among them, and what merging leaves of a."""
-    sizes = {
-        "overlap_either_strand": overlap(a, b, False),
-        "overlap_same_strand": overlap(a, b, True),
-        "identical_place": reciprocal(a, b, 1.0),
-        "a_with_identical_place": reciprocal(a, b, 1.0).select("a_name", "a_chrom", "a_start", "a_end").distinct(),
-        "a_merged_stranded": merge(a, True),
-        "a_merged_unstranded": merge(a, False),
-    }
-    out = None
-    for k, df in sizes.items():
-        one = df.agg(F.lit(k).alias("measure"), F.count("*").alias("n"))
-        out = one if out is None else out.unionByName(one)
+    """measure, n: overlaps on either strand and on the same, identical places, rows of a among them, and what merging leaves of a.
+
+    Identical places overlap, so one join gives the first four.
+    """
+    same_place = (F.col("a_start") == F.col("b_start")) & (F.col("a_end") == F.col("b_end"))
+    met = overlap(a, b, False).agg(
+        F.count("*").alias("overlap_either_strand"),
+        F.count_if(F.col("a_strand") == F.col("b_strand")).alias("overlap_same_strand"),
+        F.count_if(same_place).alias("identical_place"),
+        F.count_distinct(F.when(same_place, F.struct("a_name", "a_chrom", "a_start", "a_end"))).alias("a_with_identical_place"),
+    )
+    out = met.select(F.explode(F.array(*[F.struct(F.lit(c).alias("measure"), F.col(c).alias("n")) for c in met.columns])).alias("r")).select("r.*")
+    for name, stranded in (("a_merged_stranded", True), ("a_merged_unstranded", False)):
+        out = out.unionByName(merge(a, stranded).agg(F.lit(name).alias("measure"), F.count("*").alias("n")))
     return out
 
 
 def placement_check(hits: DataFrame, bed: DataFrame) -> DataFrame:
-    """Pairs and distinct placements that overlap the catalogue, by strand rule."""
-    parts = [overlap(hits, bed, s).agg(F.lit("same" if s else "either").alias("strand_rule"), F.count("*").alias("pairs"), F.count_distinct("a_name", "a_chrom", "a_start", "a_end", "a_strand").alias("placements")) for s in (True, False)]
-    return parts[0].unionByName(parts[1])
+    """Pairs and distinct placements that overlap the catalogue, by strand rule; one join for both rules."""
+    same, place = F.col("a_strand") == F.col("b_strand"), F.struct("a_name", "a_chrom", "a_start", "a_end", "a_strand")
+    n = overlap(hits, bed, False).agg(F.count_if(same).alias("sp"), F.count_distinct(F.when(same, place)).alias("sd"), F.count("*").alias("ep"), F.count_distinct(place).alias("ed"))
+    row = lambda rule, pairs, places: F.struct(F.lit(rule).alias("strand_rule"), F.col(pairs).alias("pairs"), F.col(places).alias("placements"))
+    return n.select(F.explode(F.array(row("same", "sp", "sd"), row("either", "ep", "ed"))).alias("r")).select("r.*")
 
 
 def accession_check(seqs: DataFrame, first: int, last: int) -> DataFrame:

@@ -13,12 +13,12 @@ from ..operators import catalog, intervals, resolve, search
 
 @dataclass
 class Inputs:
-    """seqs(name, accession, seq, ord), lines(value), genes, tiles, catalogue BED, and small tables of hand-given values."""
+    """seqs(name, accession, seq, ord), lines(value), genes, genome, catalogue BED, and small tables of hand-given values."""
 
     seqs: DataFrame
     lines: DataFrame
     genes: DataFrame
-    tiles: DataFrame
+    genome: search.Genome
     catalogue: DataFrame
     alias: DataFrame
     before: DataFrame
@@ -31,10 +31,10 @@ def deliverables(i: Inputs, config: EngineConfig | None = None) -> dict[str, Dat
     c = config or EngineConfig()
     id_gene = resolve.resolve_symbols(i.lines, i.genes, i.alias, i.before, i.after)
     spans = resolve.needed_spans(i.genes, id_gene).withColumn("name", F.col("gene_name")).withColumn("score", F.lit(0))
-    spans = search.extract(spans, i.tiles, c.tile, stranded=False).withColumn("gene", F.col("gene_name"))
+    spans = search.extract(spans, i.genome, stranded=False).withColumn("gene", F.col("gene_name"))
     located = search.locate_in_genes(i.seqs, id_gene, spans)
     left = i.seqs.join(located.where("status in ('no_gene', 'not_found_in_gene')").select("name").distinct(), "name", "left_semi")
-    hits = search.with_hit_counts(left, search.place(left, i.tiles, c.tile))
+    hits = search.with_hit_counts(left, search.place(left, i.genome))
     placed = catalog.assemble(located, hits, i.overrides)
     bed = intervals.merge(placed, True).select("chrom", "start", "end", "name", F.lit(0).cast("long").alias("score"), "strand")
     union = intervals.longest_wins(bed, i.catalogue.withColumn("score", F.col("score").cast("long")), c.max_len, width=c.bin_width)

@@ -12,7 +12,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .functions import seq as S
-from .operators import catalog, compare, intervals, report, search
+from .operators import catalog, compare, intervals, report, search, tables
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -112,13 +112,13 @@ def j7_identical(spark, d):
 
 @query("SELECT n_nationkey, n_name FROM nation WHERE n_nationkey IN (SELECT c_nationkey FROM customer WHERE c_acctbal > 0)")
 def j8_semi_by_key(spark, d):
-    return t(spark, d, "nation").join(t(spark, d, "customer").where("c_acctbal > 0").select(F.col("c_nationkey").alias("n_nationkey")).distinct(), "n_nationkey", "left_semi").select("n_nationkey", "n_name")
+    rich = t(spark, d, "customer").where("c_acctbal > 0").select(F.col("c_nationkey").alias("n_nationkey"))
+    return tables.having_key(t(spark, d, "nation"), rich, "n_nationkey").select("n_nationkey", "n_name")
 
 
 @query("SELECT d.doc_id, coalesce(l.quality::VARCHAR, '-') AS quality, coalesce(l.toxic::VARCHAR, 'missing') AS toxic FROM documents d LEFT JOIN labels l USING (doc_id)")
 def j9_lookup_default(spark, d):
-    out = t(spark, d, "documents").select("doc_id").join(t(spark, d, "labels"), "doc_id", "left")
-    return out.select("doc_id", F.coalesce(F.col("quality").cast("string"), F.lit("-")).alias("quality"), F.coalesce(F.col("toxic").cast("string"), F.lit("missing")).alias("toxic"))
+    return tables.lookup(t(spark, d, "documents").select("doc_id"), t(spark, d, "labels"), "doc_id", {"quality": "-", "toxic": "missing"})
 
 
 @query(DOC + "x AS (SELECT 1) SELECT a.name AS a, b.name AS b FROM d a JOIN d b ON a.seq = b.seq WHERE a.ord < b.ord")
@@ -148,22 +148,21 @@ def j17_sharing_kmer(spark, d):
     return compare.sharing_kmer(items(spark, d), docs(spark, d), 20).select("name").distinct()
 
 
-GENOME = 'z AS (SELECT name, seq FROM di WHERE length(seq) >= 12), q AS (SELECT name, substr(seq, 1, 12) AS p FROM z), pats AS (SELECT name, p, \'+\' AS strand FROM q UNION ALL SELECT name, reverse(translate(p, \'ACGTN\', \'TGCAN\')), \'-\' FROM q)'
+PATTERNS = "z AS (SELECT name, seq FROM di WHERE length(seq) > 0), pats AS (SELECT name, seq AS p, '+' AS strand FROM z UNION ALL SELECT name, reverse(translate(seq, 'ACGTN', 'TGCAN')), '-' FROM z), sizes AS (SELECT DISTINCT length(p) AS n FROM pats)"
+PLACES = PATTERNS + ", w AS (SELECT name AS chrom, i - 1 AS start, substr(seq, i, n) AS p FROM (SELECT name, seq, n, unnest(range(1, length(seq) - n + 2)) AS i FROM dd, sizes WHERE length(seq) >= n))"
 
 
-@query(DNA.rstrip() + ", " + GENOME + ", w AS (SELECT name AS chrom, i - 1 AS start, substr(seq, i, 12) AS p FROM (SELECT name, seq, unnest(range(1, length(seq) - 10)) AS i FROM dd WHERE length(seq) >= 12)) SELECT pats.name, w.chrom, w.start::BIGINT AS start, pats.strand FROM w JOIN pats USING (p)")
+@query(DNA.rstrip() + ", " + PLACES + " SELECT pats.name, w.chrom, w.start::BIGINT AS start, pats.strand FROM w JOIN pats USING (p)")
 def c3_place_in_genome(spark, d):
-    seqs = dna(items(spark, d)).where("length(seq) > 0")
-    reach = (seqs.agg(F.max(F.length("seq"))).first()[0] or 1) - 1
-    tiles = search.tile(dna(docs(spark, d)).select(F.col("name").alias("chrom"), "seq"), 2048, reach)
-    return search.place(seqs, tiles, 2048).select("name", "chrom", "start", "strand")
+    genome = search.tile(dna(docs(spark, d)).select(F.col("name").alias("chrom"), "seq"), 2048, 31)  # most items are longer than reach + 1
+    return search.place(dna(items(spark, d)), genome).select("name", "chrom", "start", "strand")
 
 
-@query(DNA.rstrip() + ", s AS (SELECT name, seq, least(7, length(seq)) AS a, least(4007, length(seq)) AS b FROM dd) SELECT name, CASE WHEN ord2 = 0 THEN x ELSE reverse(translate(x, 'ACGTN', 'TGCAN')) END AS seq FROM (SELECT name, substr(seq, a + 1, b - a) AS x, name::BIGINT % 2 AS ord2 FROM s WHERE a < b)")
+@query(DNA.rstrip() + ", s AS (SELECT name, seq, least(7, length(seq)) AS a, length(seq) AS b FROM dd) SELECT name, CASE WHEN ord2 = 0 THEN x ELSE reverse(translate(x, 'ACGTN', 'TGCAN')) END AS seq FROM (SELECT name, substr(seq, a + 1, b - a) AS x, name::BIGINT % 2 AS ord2 FROM s WHERE a < b)")
 def c4_extract(spark, d):
     x = dna(docs(spark, d)).select(F.col("name").alias("chrom"), "seq")
     bed = x.select("chrom", F.least(F.lit(7), F.length("seq")).cast("long").alias("start"), F.length("seq").cast("long").alias("end"), F.col("chrom").alias("name"), F.when(F.col("chrom").cast("long") % 2 == 0, "+").otherwise("-").alias("strand")).where("start < end")
-    return search.extract(bed.withColumn("row", F.col("name").cast("long")), search.tile(x, 1024, 64), 1024).select("name", "seq")
+    return search.extract(bed, search.tile(x, 1024, 64)).select("name", "seq")
 
 
 ISLAND = EV + "SELECT chrom, strand, min(s) AS start, max(t) AS \"end\", string_agg(DISTINCT name, '|' ORDER BY name) AS name FROM (SELECT *, sum(n) OVER (PARTITION BY chrom, strand ORDER BY s, t, name) AS g FROM (SELECT *, CASE WHEN s <= max(t) OVER (PARTITION BY chrom, strand ORDER BY s, t, name ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) THEN 0 ELSE 1 END AS n FROM e)) GROUP BY chrom, strand, g"
@@ -186,12 +185,18 @@ def g6_group_counts(spark, d):
 
 @query("SELECT l_returnflag AS source, l_linestatus AS class, count(*) AS n FROM lineitem GROUP BY 1, 2")
 def g7_cross_table(spark, d):
-    return t(spark, d, "lineitem").groupBy(F.col("l_returnflag").alias("source"), F.col("l_linestatus").alias("class")).agg(F.count("*").alias("n"))
+    return report.cross_table(t(spark, d, "lineitem"), F.col("l_returnflag").alias("source"), F.col("l_linestatus").alias("class"))
+
+
+@query("SELECT l_returnflag AS source, CASE WHEN l_linenumber = 1 THEN 'none' WHEN l_linenumber < 4 THEN 'Alu' ELSE 'other' END AS class, count(*) AS n FROM lineitem GROUP BY 1, 2")
+def g7_repeat_table(spark, d):
+    n = F.col("l_linenumber")
+    return report.repeat_table(t(spark, d, "lineitem").select(F.col("l_returnflag").alias("source"), F.when(n == 1, "none").when(n < 4, "AluY|L1").otherwise("L1|AluY").alias("repeat_family")))
 
 
 @query("SELECT count(*) AS compared, count(*) FILTER (WHERE quality = 1) AS good, count(*) FILTER (WHERE quality <> 1) AS rest FROM labels")
 def g8_conditional_counts(spark, d):
-    return t(spark, d, "labels").agg(F.count("*").alias("compared"), F.count_if(F.col("quality") == 1).alias("good"), F.count_if(F.col("quality") != 1).alias("rest"))
+    return report.conditional_counts(t(spark, d, "labels"), "compared", good=F.col("quality") == 1, rest=F.col("quality") != 1)
 
 
 @query("SELECT event_id, count(*) OVER (PARTITION BY user_id) AS n_hits FROM events")
@@ -282,10 +287,16 @@ def c20_placement_check(spark, d):
 
 @query("SELECT p_name AS name, count(*) AS n FROM part GROUP BY 1 ORDER BY n DESC, name LIMIT 12")
 def o4_top_names(spark, d):
-    return report.group_counts(t(spark, d, "part"), "p_name", "name").orderBy(F.desc("n"), "name").limit(12)
+    return report.top_counts(t(spark, d, "part"), "p_name", 12)
+
+
+@query("SELECT name, count(*) AS n FROM (SELECT unnest(string_split(p_name, ' ')) AS name FROM part WHERE p_partkey % 9 <> 0) GROUP BY 1 ORDER BY n DESC, name LIMIT 12")
+def o4_top_repeats(spark, d):
+    families = F.when(F.col("p_partkey") % 9 == 0, "none").otherwise(F.replace("p_name", F.lit(" "), F.lit("|")))
+    return report.top_repeats(t(spark, d, "part").select(families.alias("repeat_family")))
 
 
-@query("SELECT v.number FROM (SELECT unnest(range(0, 1000)) AS number) v WHERE v.number NOT IN (SELECT doc_id FROM labels)")
+@query("SELECT v.number FROM (SELECT unnest(range((SELECT min(doc_id) FROM documents), (SELECT max(doc_id) + 1 FROM documents))) AS number) v WHERE v.number NOT IN (SELECT doc_id FROM labels)")
 def u7_missing_numbers(spark, d):
     first, last = id_bounds(t(spark, d, "documents"), F.col("doc_id"))
     return report.missing_numbers(t(spark, d, "labels"), F.col("doc_id"), first, last)
@@ -313,7 +324,7 @@ def f18_json_field(spark, d):
 
 @query()
 def c15_align_best(spark, d):
-    return compare.align_best(dna(items(spark, d)), dna(items(spark, d)).withColumn("seq", F.substring("seq", 2, 80)), 12).select("b_name", "a_name", "identical", "columns", "identity_pct", "coverage")
+    return compare.align_best(dna(items(spark, d)), dna(docs(spark, d))).select("b_name", "a_name", "identical", "columns", "identity_pct", "coverage")
 
 
 @query()

@@ -9,8 +9,8 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .functions import seq as S
-from .operators import catalog, compare, intervals, report, resolve, search
-from .queries import DNA, DOC, EV, ON, ORACLE_SQL, QUERIES, RC, ab, dna, docs, ev, id_bounds, items, query, t
+from .operators import catalog, compare, intervals, report, resolve, search, tables
+from .queries import DNA, DOC, EV, ON, ORACLE_SQL, PATTERNS, PLACES, QUERIES, RC, ab, dna, docs, ev, id_bounds, items, query, t
 from .sources import writers
 
 __all__ = ["ORACLE_SQL", "QUERIES"]
@@ -33,33 +33,35 @@ def table_lines(spark: SparkSession, d: str) -> DataFrame:
 LINES = "ln AS (SELECT 'AluACA' || p_partkey AS name, p_partkey, 'S' || (p_partkey % 100) AS raw, p_partkey % 10 = 0 AS nohost FROM part)"
 
 
-@query(f"""WITH {LINES}, b AS (SELECT 'AluACA' || (r_regionkey + 1) AS name, 'S3' AS b FROM region), a AS (SELECT 'AluACA' || (r_regionkey + 11) AS name, 'M' || r_regionkey AS a FROM region),
+@query(f"""WITH {LINES}, b AS (SELECT 'AluACA' || (r_regionkey + 1) * 5 AS name, 'S3' AS b FROM region), a AS (SELECT 'AluACA' || (r_regionkey * 3 + 11) AS name, 'M' || r_regionkey AS a FROM region),
 g AS (SELECT 'S' || n_nationkey AS symbol FROM nation), al AS (SELECT 'S' || (25 + s_suppkey % 50) AS symbol, max('S' || (s_suppkey % 40)) AS current FROM supplier GROUP BY 1),
 r AS (SELECT ln.name, ln.nohost, b.b, a.a, coalesce(b.b, ln.raw) AS symbol FROM ln LEFT JOIN b ON ln.name = b.name LEFT JOIN a ON ln.name = a.name),
 x AS (SELECT r.*, g.symbol IS NOT NULL AS known, al.current, h.symbol IS NOT NULL AS ck FROM r LEFT JOIN g ON r.symbol = g.symbol LEFT JOIN al ON al.symbol = r.symbol LEFT JOIN g h ON h.symbol = al.current)
-SELECT name, CASE WHEN a IS NOT NULL THEN a WHEN nohost AND b IS NULL THEN 'NA' WHEN known THEN symbol WHEN current IS NOT NULL THEN current ELSE symbol END AS gene,
-CASE WHEN a IS NOT NULL THEN 'manual_desc' WHEN nohost AND b IS NULL THEN 'none' WHEN known THEN 'gencode_direct' WHEN ck THEN 'ncbi_alias:' || symbol WHEN current IS NOT NULL THEN 'ncbi_notin_gencode:' || symbol ELSE 'UNRESOLVED' END AS source FROM x""")
+SELECT name, CASE WHEN a IS NOT NULL THEN a WHEN nohost THEN 'NA' WHEN known THEN symbol WHEN current IS NOT NULL THEN current ELSE symbol END AS gene,
+CASE WHEN a IS NOT NULL THEN 'manual_desc' WHEN nohost THEN 'none' WHEN known THEN 'gencode_direct' WHEN ck THEN 'ncbi_alias:' || symbol WHEN current IS NOT NULL THEN 'ncbi_notin_gencode:' || symbol ELSE 'UNRESOLVED' END AS source FROM x""")
 def c1_resolve_symbols(spark, d):
     region, supplier = t(spark, d, "region"), t(spark, d, "supplier")
     genes = t(spark, d, "nation").select(text("S", F.col("n_nationkey")).alias("gene_name"))
     alias = supplier.select(text("S", 25 + F.col("s_suppkey") % 50).alias("old"), text("S", F.col("s_suppkey") % 40).alias("current"))
-    before = region.select(text("AluACA", F.col("r_regionkey") + 1).alias("name"), F.lit("S3").alias("symbol"))
-    after = region.select(text("AluACA", F.col("r_regionkey") + 11).alias("name"), text("M", F.col("r_regionkey")).alias("symbol"))
+    before = region.select(text("AluACA", (F.col("r_regionkey") + 1) * 5).alias("name"), F.lit("S3").alias("symbol"))
+    after = region.select(text("AluACA", F.col("r_regionkey") * 3 + 11).alias("name"), text("M", F.col("r_regionkey")).alias("symbol"))
     return resolve.resolve_symbols(table_lines(spark, d), genes, alias, before, after)
 
 
-WINDOWS = "z AS (SELECT name, substr(seq, 1, 12) AS p FROM di WHERE length(seq) >= 12), pats AS (SELECT name, p, '+' AS strand FROM z UNION ALL SELECT name, reverse(translate(p, 'ACGTN', 'TGCAN')), '-' FROM z), w AS (SELECT name AS chrom, i - 1 AS off, substr(seq, i, 12) AS p FROM (SELECT name, seq, unnest(range(1, length(seq) - 10)) AS i FROM dd WHERE length(seq) >= 12))"
+RECORDS = PLACES.replace("z AS (SELECT name, seq FROM di WHERE length(seq) > 0)", "z AS (SELECT name || '/' || k AS name, CASE WHEN k = 0 THEN seq ELSE seq || 'ACA' END AS seq FROM di, range(2) v(k) WHERE length(seq) > 0)")
 
 
-@query(DNA_OF + WINDOWS + """, h AS (SELECT pats.name, w.chrom, w.chrom::BIGINT * 1000 + w.off AS start, pats.strand FROM w JOIN pats ON w.p = pats.p WHERE pats.name::BIGINT % 7 <> 0 AND pats.name::BIGINT % 5 = w.chrom::BIGINT % 5)
-SELECT z.name, h.chrom, h.start, h.start + 12 AS "end", h.strand, count(h.chrom) OVER (PARTITION BY z.name) AS n_hits,
-CASE WHEN z.name::BIGINT % 7 = 0 THEN 'no_gene' ELSE (CASE count(h.chrom) OVER (PARTITION BY z.name) WHEN 0 THEN 'not_found_in_gene' WHEN 1 THEN 'unique' ELSE 'multi_in_gene' END) END AS status FROM z LEFT JOIN h ON z.name = h.name""")
+@query(DNA_OF + RECORDS + """, h AS (SELECT pats.name, w.chrom, w.chrom::BIGINT * 1000 + w.start AS start, length(pats.p) AS n, pats.strand FROM w JOIN pats USING (p) WHERE split_part(pats.name, '/', 1)::BIGINT % 7 <> 0 AND split_part(pats.name, '/', 1)::BIGINT % 5 = w.chrom::BIGINT % 5),
+x AS (SELECT z.name AS r, h.chrom, h.start, h.start + h.n AS e, h.strand, count(h.chrom) OVER (PARTITION BY z.name) AS n_hits FROM z LEFT JOIN h ON z.name = h.name)
+SELECT split_part(r, '/', 1) AS name, 'AC' || split_part(r, '/', 2) AS accession, chrom, start, e AS "end", strand, n_hits, CASE n_hits WHEN 0 THEN (CASE WHEN split_part(r, '/', 1)::BIGINT % 7 = 0 THEN 'no_gene' ELSE 'not_found_in_gene' END) WHEN 1 THEN 'unique' ELSE 'multi_in_gene' END AS status FROM x""")
 def c2_locate_in_genes(spark, d):
-    seqs = dna(items(spark, d)).where("length(seq) > 0").select("name", text("AC", F.col("name")).alias("accession"), "seq")
+    """Two records of each name: an item, and one that goes on by three letters."""
+    own = dna(items(spark, d)).where("length(seq) > 0")
+    seqs = own.select("name", F.lit("AC0").alias("accession"), "seq").unionByName(own.select("name", F.lit("AC1").alias("accession"), text(F.col("seq"), "ACA").alias("seq")))
     key = F.col("name").cast("long")
-    id_gene = seqs.select("name", F.when(key % 7 == 0, "NA").otherwise(text("G", key % 5)).alias("gene"), F.lit("gencode_direct").alias("source"))
+    id_gene = own.select("name", F.when(key % 7 == 0, "NA").otherwise(text("G", key % 5)).alias("gene"), F.lit("gencode_direct").alias("source"))
     spans = dna(docs(spark, d)).select(text("G", key % 5).alias("gene"), F.col("name").alias("chrom"), (key * 1000).alias("start"), "seq")
-    return search.locate_in_genes(seqs, id_gene, spans).select("name", "chrom", "start", "end", "strand", "n_hits", "status")
+    return search.locate_in_genes(seqs, id_gene, spans).select("name", "accession", "chrom", "start", "end", "strand", "n_hits", "status")
 
 
 def user_hits(spark: SparkSession, d: str) -> tuple[DataFrame, DataFrame, DataFrame]:
@@ -81,25 +83,27 @@ def c3_hit_counts(spark, d):
     return user_hits(spark, d)[0].select("name", "chrom", "start", "strand", "n_hits")
 
 
-@query(HITS + """SELECT DISTINCT 'c' AS chrom, s AS start, t AS "end", name, strand, 'gene_anchored' AS located_by FROM e WHERE event_id % 4 < 2
-UNION ALL SELECT chrom, s, t, name, strand, 'genome_unique' FROM hits WHERE n_hits = 1 UNION ALL SELECT hits.chrom, s, t, hits.name, strand, 'override' FROM hits JOIN ov ON hits.name = ov.name AND hits.chrom = ov.m.c AND hits.s = ov.m.s""")
+@query(HITS + """SELECT DISTINCT 'c' AS chrom, s AS start, t AS "end", name, 'G' || (event_id % 3) AS score, strand, 'gene_anchored' AS located_by FROM e WHERE event_id % 4 < 2
+UNION ALL SELECT chrom, s, t, name, '-', strand, 'genome_unique' FROM hits WHERE n_hits = 1 UNION ALL SELECT hits.chrom, s, t, hits.name, '-', strand, 'override' FROM hits JOIN ov ON hits.name = ov.name AND hits.chrom = ov.m.c AND hits.s = ov.m.s""")
 def c5_assemble_tiers(spark, d):
     hits, chosen, _ = user_hits(spark, d)
     k = F.col("name").cast("long") % 4
     status = F.when(k == 0, "unique").when(k == 1, "multi_in_gene").when(k == 2, "no_gene").otherwise("not_found_in_gene")
-    located = ev(spark, d).withColumn("status", status).withColumn("chrom", F.lit("c"))
-    return catalog.assemble(located, hits, chosen).select("chrom", "start", "end", "name", "strand", "located_by")
+    located = ev(spark, d).withColumn("status", status).withColumn("chrom", F.lit("c")).withColumn("gene", text("G", F.col("name").cast("long") % 3))
+    return catalog.assemble(located.unionByName(located), hits, chosen).select("chrom", "start", "end", "name", "score", "strand", "located_by")
 
 
-@query(HITS + """SELECT x.name, q.gene, CASE WHEN n = 0 THEN 'no exact match in genome' ELSE 'ambiguous: ' || n || ' exact matches' END AS reason, CASE WHEN n = 0 THEN '-' ELSE loci END AS candidate_loci FROM (
-SELECT name, max(n_hits) AS n, string_agg(chrom || ':' || s || '-' || t || '(' || strand || ');', '' ORDER BY chrom, s, t, strand) AS loci FROM hits WHERE n_hits <> 1 AND name NOT IN (SELECT name FROM ov) GROUP BY 1) x JOIN q ON x.name = q.name""")
+@query(HITS + """SELECT x.name, CASE WHEN substr(x.name, 2)::BIGINT % 10 = 5 THEN '' ELSE q.gene END AS gene, CASE WHEN n = 0 THEN 'no exact match anywhere in hg38 (likely SNP/assembly diff vs deposited seq)' ELSE 'multi-mapping paralog family; exact match at >1 locus' END AS reason, CASE WHEN n = 0 THEN '-' ELSE loci END AS candidate_loci FROM (
+SELECT name, max(n_hits) AS n, string_agg(chrom || ':' || s || '-' || t || '(' || strand || ');', '' ORDER BY chrom, s, t, strand) AS loci FROM hits WHERE n_hits = 0 OR n_hits > 1 AND substr(name, 2)::BIGINT % 10 NOT IN (3, 4) GROUP BY 1) x JOIN q ON x.name = q.name""")
 def c6_unresolved(spark, d):
+    """Every name that ends in 4 has an override, also those without a hit, which it doesn't help; names that end in 5 have no gene."""
     hits, chosen, seqs = user_hits(spark, d)
-    return catalog.unresolved(hits, seqs, chosen)
+    more = seqs.where("cast(substring(name, 2) as long) % 10 = 4").select("name", F.lit("c0").alias("chrom"), F.lit(0).cast("long").alias("start"), F.lit("override").alias("label"))
+    return catalog.unresolved(hits, seqs.where("cast(substring(name, 2) as long) % 10 <> 5"), chosen.unionByName(more))
 
 
 @query(EV + f"""SELECT a.name AS id, CASE WHEN a.event_id % 3 = 0 THEN '-' ELSE 'AC' || a.name END AS accession, CASE WHEN a.event_id % 5 = 0 THEN '-' ELSE 'G' || (a.event_id % 5) END AS table_gene, a.chrom, a.s AS start, a.t AS "end", a.strand, 'gene_anchored' AS located_by,
-coalesce(b.name, '-') AS match_id, CASE WHEN b.name IS NULL THEN '-' ELSE b.chrom || ':' || b.s || '-' || b.t || '(' || b.strand || ')' END AS match_locus FROM a LEFT JOIN b ON {ON}""")
+coalesce(b.name, '-') AS match_id, CASE WHEN b.name IS NULL THEN '-' ELSE b.chrom || ':' || b.s || '-' || b.t END AS match_locus FROM a LEFT JOIN b ON {ON}""")
 def c7_match_catalogue(spark, d):
     a, b = ab(spark, d)
     key = F.col("name").cast("long")
@@ -142,13 +146,18 @@ def c17_collapse(spark, d):
     return catalog.collapse(dna(items(spark, d)), dna(docs(spark, d)))[0].select("part", "name", F.md5("seq").alias("h"))
 
 
-@query(EV + """, g AS (SELECT *, CASE WHEN event_id % 3 = 0 THEN 100 + event_id % 900 - (t - s) ELSE 0 END AS grow FROM e)
-SELECT chrom, CASE WHEN strand = '+' THEN s - grow ELSE s END AS start, CASE WHEN strand = '-' THEN t + grow ELSE t END AS "end", name FROM g""")
+@query(EV + """, n AS (SELECT *, CASE WHEN event_id % 4 = 0 THEN name || '|x' WHEN event_id % 7 = 0 THEN name || '.id7' ELSE name END AS bed_name, CASE WHEN event_id % 5 = 0 THEN '.' ELSE strand END AS st FROM e),
+g AS (SELECT *, CASE WHEN event_id % 3 = 0 AND bed_name NOT LIKE '%.id7' THEN 100 + event_id % 900 - (t - s) ELSE 0 END AS grow FROM n)
+SELECT chrom, CASE WHEN st = '-' THEN s ELSE s - grow END AS start, CASE WHEN st = '-' THEN t + grow ELSE t END AS "end", bed_name AS name FROM g""")
 def c18_corrected_intervals(spark, d):
-    e = ev(spark, d)
+    """Names with |, names that end in .idN themselves, rows without strand, and two new sequences for a name, of which the last counts."""
     key = F.col("name").cast("long")
-    new = e.where(key % 3 == 0).select(text(F.col("name"), ".id7").alias("name"), F.repeat(F.lit("A"), (100 + key % 900).cast("int")).alias("seq"))
-    return catalog.corrected_intervals(e, new).select("chrom", "start", "end", "name")
+    e = ev(spark, d)
+    fasta = F.when(key % 4 == 0, text(F.col("name"), "_x.id", key + 3000)).otherwise(text(F.col("name"), ".id", key + 3000))
+    new = e.where(key % 3 == 0).select(fasta.alias("name"), F.repeat(F.lit("A"), (100 + key % 900).cast("int")).alias("seq"), F.lit(2).alias("ord"))
+    old = new.select("name", F.concat("seq", F.lit("ACGT")).alias("seq"), F.lit(1).alias("ord"))
+    bed = e.withColumn("strand", F.when(key % 5 == 0, ".").otherwise(F.col("strand"))).withColumn("name", F.when(key % 4 == 0, text(F.col("name"), "|x")).when(key % 7 == 0, text(F.col("name"), ".id7")).otherwise(F.col("name")))
+    return catalog.corrected_intervals(bed, new.unionByName(old)).select("chrom", "start", "end", "name")
 
 
 def islands(rows: str, keys: str) -> str:
@@ -162,13 +171,13 @@ def c19_catalogue_check(spark, d):
     return report.catalogue_check(*ab(spark, d))
 
 
-@query("SELECT (SELECT count(*) FROM documents) AS records, (SELECT count(*) FROM documents WHERE coalesce(text, '') = '') AS empty, (SELECT min(doc_id) FROM documents) AS least, (SELECT max(doc_id) FROM documents) AS greatest, (SELECT count(*) = 1200 FROM documents) AS complete, (SELECT count(*) FROM range(0, 1200) v(k) WHERE k NOT IN (SELECT doc_id FROM documents)) AS missing")
+@query("SELECT (SELECT count(*) FROM documents) AS records, (SELECT count(*) FROM documents WHERE coalesce(text, '') = '') AS empty, (SELECT min(doc_id) FROM documents) AS least, (SELECT max(doc_id) FROM documents) AS greatest, (SELECT count(*) = max(doc_id) - min(doc_id) + 1 FROM documents) AS complete, (SELECT max(doc_id) - min(doc_id) + 1 - count(DISTINCT doc_id) FROM documents) AS missing")
 def c21_accession_check(spark, d):
     seqs = t(spark, d, "documents").select(text("AB", F.col("doc_id"), ".1").alias("accession"), F.coalesce("text", F.lit("")).alias("seq"))
     return report.accession_check(seqs, *id_bounds(t(spark, d, "documents"), F.col("doc_id")))
 
 
-@query("SELECT (SELECT count(*) FROM part) AS entries, (SELECT count(*) FROM part WHERE p_partkey % 10 = 0) AS no_host, (SELECT count(*) FROM range(1, 2501) v(k) WHERE k NOT IN (SELECT p_partkey FROM part)) AS missing, (SELECT count(*) FROM (SELECT p_partkey FROM part GROUP BY 1 HAVING count(*) > 1)) AS repeated")
+@query("SELECT (SELECT count(*) FROM part) AS entries, (SELECT count(*) FROM part WHERE p_partkey % 10 = 0) AS no_host, (SELECT max(p_partkey) - count(DISTINCT p_partkey) FILTER (WHERE p_partkey >= 1) FROM part) AS missing, (SELECT count(*) FROM (SELECT p_partkey FROM part GROUP BY 1 HAVING count(*) > 1)) AS repeated")
 def c22_table_check(spark, d):
     return report.table_check(table_lines(spark, d), S.id_number(S.field(F.col("value"), 1)), id_bounds(t(spark, d, "part"), F.col("p_partkey"))[1])
 
@@ -214,7 +223,7 @@ def g21_csv_profile(spark, d):
 @query("SELECT p_partkey, 'AluACA' || p_partkey AS name FROM part ORDER BY p_partkey")
 def o2_numeric_id_order(spark, d):
     rows = t(spark, d, "part").select("p_partkey", text("AluACA", F.col("p_partkey")).alias("name"))
-    return rows.orderBy(S.id_number(F.col("name")))
+    return tables.by_id_number(rows)
 
 
 @query(EV + "SELECT chrom, s AS start, t AS \"end\", name, strand FROM e ORDER BY chrom, s, t, name, strand")
@@ -225,14 +234,13 @@ def o1_coordinate_order(spark, d):
 @query(EV + f"SELECT b, a, bp FROM (SELECT b.name AS b, a.name AS a, least(a.t, b.t) - greatest(a.s, b.s) AS bp, row_number() OVER (PARTITION BY b.name ORDER BY least(a.t, b.t) - greatest(a.s, b.s) DESC, a.name) AS n FROM a JOIN b ON {ON}) WHERE n = 1")
 def o8_best_hit(spark, d):
     pairs = intervals.overlap_left(*ab(spark, d)).where("b_name is not null")
-    return pairs.groupBy(F.col("b_name").alias("b")).agg(F.min(F.struct((-F.col("bp")).alias("k"), "a_name")).alias("m")).select("b", F.col("m.a_name").alias("a"), (-F.col("m.k")).alias("bp"))
+    return tables.best_per_key(pairs.select(F.col("b_name").alias("b"), F.col("a_name").alias("a"), "bp"), "b", -F.col("bp"), F.col("a"))
 
 
 @query(EV + f"SELECT a.name AS a, b.name AS b FROM a JOIN b ON {ON} AND a.strand = b.strand UNION SELECT a.name, b.name FROM a JOIN b ON a.chrom = b.chrom AND a.s = b.s AND a.t = b.t")
 def u8_pair_set_union(spark, d):
     a, b = ab(spark, d)
-    names = ["a_name", "b_name"]
-    return intervals.overlap(a, b, True).select(*names).union(intervals.reciprocal(a, b, 1.0).select(*names)).distinct().toDF("a", "b")
+    return tables.pair_union(intervals.overlap(a, b, True), intervals.reciprocal(a, b, 1.0)).toDF("a", "b")
 
 
 @query("SELECT DISTINCT user_id, event_type FROM events")
@@ -242,13 +250,13 @@ def u5_distinct_rows(spark, d):
 
 @query(EV + "SELECT a.chrom || '_' || a.s || '_' || a.t AS key, a.name AS a, b.name AS b FROM e a JOIN e b ON a.chrom || '_' || a.s || '_' || a.t = b.chrom || '_' || b.s || '_' || b.t")
 def j12_text_key(spark, d):
-    x = ev(spark, d).select(F.concat_ws("_", "chrom", F.col("start").cast("string"), F.col("end").cast("string")).alias("key"), "name")
-    return x.withColumnRenamed("name", "a").join(x.withColumnRenamed("name", "b"), "key")
+    x = ev(spark, d)
+    return tables.text_key_join(x, x).select("key", F.col("a_name").alias("a"), F.col("b_name").alias("b"))
 
 
 @query("SELECT p_partkey, p_name FROM part WHERE regexp_matches(p_name, '^[a-m][a-z]* ', 'i')")
 def p13_pattern_filter(spark, d):
-    return t(spark, d, "part").where(F.rlike("p_name", F.lit("(?i)^[a-m][a-z]* "))).select("p_partkey", "p_name")
+    return tables.matching(t(spark, d, "part"), "p_name", "^[a-m][a-z]* ").select("p_partkey", "p_name")
 
 
 @query(EV + "SELECT name FROM e WHERE t - s < 3000")
@@ -315,6 +323,7 @@ def c10_strand_concordance(spark, d):
     return catalog.strand_concordance(*ab(spark, d))
 
 
-@query(EV + "SELECT name || '.id' || (3000 + row_number() OVER (ORDER BY chrom, s, t, name, strand)) AS name, s AS start FROM e")
+@query(EV + ", n AS (SELECT *, CASE WHEN event_id % 9 = 0 THEN name || '|b.id7' ELSE name END AS own FROM e) SELECT replace(own, '|', '_') || '.id' || (3000 + row_number() OVER (ORDER BY chrom, s, t, own, strand)) AS name, s AS start FROM n")
 def k2_numbered_headers(spark, d):
-    return writers.numbered_headers(ev(spark, d).withColumn("seq", F.lit("a")), width=1 << 14).select("name", "start")
+    own = F.when(F.col("name").cast("long") % 9 == 0, text(F.col("name"), "|b.id7")).otherwise(F.col("name"))
+    return writers.numbered_headers(ev(spark, d).withColumn("name", own).withColumn("seq", F.lit("a")), width=1 << 14).select("name", "start")

@@ -2,11 +2,14 @@
 
 from __future__ import annotations
 
+import uuid
+from collections.abc import Callable
+
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..functions.seq import header_name, locus
+from ..functions.seq import fasta_name, locus
 from ..operators.intervals import coordinate_order
 
 
@@ -38,7 +41,7 @@ def numbered_headers(df: DataFrame, base: int = 3000, width: int = 1 << 20) -> D
     sizes = sizes.withColumn("before", F.coalesce(F.sum("n").over(earlier), F.lit(0))).drop("n").alias("y")
     x = binned.withColumn("at", F.row_number().over(Window.partitionBy("chrom", "bin").orderBy(*coordinate_order()))).alias("x")
     out = x.join(sizes, F.col("x.chrom").eqNullSafe(F.col("y.chrom")) & F.col("x.bin").eqNullSafe(F.col("y.bin"))).select("x.*", "before")
-    return out.withColumn("name", F.concat(header_name(F.col("name")), F.lit(".id"), (F.col("before") + F.col("at") + base).cast("string"))).withColumn("seq", F.upper("seq")).drop("bin", "at", "before")
+    return out.withColumn("name", F.concat(fasta_name(F.col("name")), F.lit(".id"), (F.col("before") + F.col("at") + base).cast("string"))).withColumn("seq", F.upper("seq")).drop("bin", "at", "before")
 
 
 def locus_header() -> Column:
@@ -56,8 +59,24 @@ def write_tsv(df: DataFrame, path: str, order: list | None = None) -> None:
     (df.orderBy(*order) if order else df).coalesce(1).write.mode("overwrite").option("sep", "\t").option("header", True).option("nullValue", "-").option("quote", "").csv(path)
 
 
-def rewrite(df: DataFrame, path: str) -> str:
-    """Writes beside a path that df may still read and gives the new path; the caller swaps them."""
-    out = f"{path.rstrip('/')}.new"
-    df.write.mode("overwrite").parquet(out)
-    return out
+def write_placements(hits: DataFrame, path: str) -> None:
+    """Hits as BED of six columns, score 0, in the order of place, name and strand."""
+    write_bed(hits.withColumn("score", F.lit(0)), path, ["chrom", "start", "end", "name", "score", "strand"])
+
+
+def rewrite(df: DataFrame, path: str, write: Callable[[DataFrame, str], None] | None = None) -> str:
+    """Writes what was at path anew, say with a column more, while df may still read it, in the format that `write` has (Parquet if none).
+
+    The new files are written beside the old ones and then take their place; a failure before that leaves the old ones.
+    """
+    spark = df.sparkSession
+    top, beside = path.rstrip("/"), f"{path.rstrip('/')}.new-{uuid.uuid4().hex}"
+    (write or (lambda d, p: d.write.parquet(p)))(df, beside)
+    jvm = spark.sparkContext._jvm
+    old, new = (jvm.org.apache.hadoop.fs.Path(p) for p in (top, beside))
+    fs = old.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+    fs.delete(old, True)
+    if not fs.rename(new, old):
+        raise OSError(f"{beside} could not take the place of {top}")
+    spark.catalog.refreshByPath(top)
+    return top

@@ -9,4 +9,4 @@ from ..operators.intervals import overlap
 
 def annotate_stream(stream: DataFrame, catalogue: DataFrame, stranded: bool = True, width: int = 16384) -> DataFrame:
     """a_* and b_* of each overlap of a streamed interval with the catalogue."""
-    return overlap(stream, catalogue, stranded, width)
+    return overlap(stream, catalogue, stranded, width, home="b")

@@ -5,7 +5,7 @@ from pyspark.sql import functions as F
 
 from strandframe.config import EngineConfig, validate
 from strandframe.functions import seq as S
-from strandframe.operators import catalog, compare, intervals, report, resolve, search
+from strandframe.operators import align, catalog, compare, intervals, kmers, report, resolve, search, tables
 from strandframe.plans import locus
 from strandframe.sources import readers, writers
 from strandframe.streaming import lookup
@@ -43,6 +43,33 @@ def test_overlaps_match_all_pairs(spark, stranded):
     assert {r[0] for r in intervals.overlap_semi(x, y, stranded, 7).select("name").collect()} == {e[0] for e in expected}
 
 
+def test_left_join_by_overlap_keeps_every_row(spark):
+    """Equal rows, rows of very unlike lengths, empty ones and nulls; semi and anti joins agree with it."""
+    rng = random.Random(7)
+    a = some_bed(rng, 60) + [("c1", 10, 290, "long", 0, "+"), ("c1", 10, 290, "long", 0, "+"), ("c1", 9, 9, "empty", 0, "+"), (None, 1, 5, "none", 0, "+"), ("c3", 1, 5, "alone", 0, "+"), ("c1", 40, 41, "one", 0, None)]
+    b = some_bed(rng, 40) + [("c2", 0, 300, "all", 0, "-"), ("c1", 9, 9, "empty", 0, "+"), (None, 1, 5, "none", 0, "+")]
+    hit = lambda x, y, stranded: x[0] is not None and x[0] == y[0] and x[1] < x[2] and y[1] < y[2] and x[1] < y[2] and y[1] < x[2] and (not stranded or x[5] == y[5] and x[5] is not None)
+    x, y = spark.createDataFrame(a, BED), spark.createDataFrame(b, BED)
+    for stranded in (False, True):
+        want = []
+        for p in a:
+            own = [(p[3], q[3], min(p[2], q[2]) - max(p[1], q[1])) for q in b if hit(p, q, stranded)]
+            want += own or [(p[3], None, 0)]
+        for width in (1, 16, 1000):
+            assert rows(intervals.overlap_left(x, y, stranded, width).select("a_name", "b_name", "bp")) == sorted(want, key=repr)
+            assert rows(intervals.overlap(x, y, stranded, width, home="b").select("a_name", "b_name")) == sorted([w[:2] for w in want if w[1]], key=repr)
+            lone = sorted(w[0] for w in want if w[1] is None)
+            assert sorted(r["name"] for r in intervals.overlap_anti(x, y, stranded, width).collect()) == lone
+            assert sorted(r["name"] for r in intervals.overlap_semi(x, y, stranded, width).collect()) == sorted(p[3] for p in a if any(hit(p, q, stranded) for q in b))
+    assert intervals.overlap_left(x, y.where("false"), True).count() == len(a) and intervals.overlap_left(x.where("false"), y, True).count() == 0
+
+
+def test_overlap_joins_once(spark):
+    x = spark.createDataFrame(some_bed(random.Random(1), 20), BED)
+    plan = lambda df: df._jdf.queryExecution().analyzed().toString().count("Join ") - df._jdf.queryExecution().analyzed().toString().count("Join Inner, true")
+    assert plan(intervals.overlap_left(x, x)) == 1 and plan(intervals.longest_wins(x, x)) == 2 and plan(catalog.annotate_repeats(x, x)) == 1 and plan(report.catalogue_check(x, x)) == 1
+
+
 def test_book_ended_merge_but_not_overlap(spark):
     x = spark.createDataFrame([("c", 0, 10, "a", 0, "+"), ("c", 10, 20, "b", 0, "+"), ("c", 5, 8, "c", 0, "-"), ("c", 9, 9, "bad", 0, "+")], BED)
     assert rows(intervals.merge(x, True)) == [("c", "+", 0, 20, "a|b"), ("c", "-", 5, 8, "c")]
@@ -100,26 +127,52 @@ def test_longest_wins_with_limit(spark):
     assert got == {("a1|b1", 50, "both_b"), ("a2|b2", 500, "both_a"), ("anti", 50, "b_only")}
 
 
+def all_hits(pats, chroms):
+    out = []
+    for c, s in chroms:
+        for n, p in pats:
+            for q, strand in ((p, "+"), (rc(p), "-")) if p else ():
+                out += [(n, c, i, i + len(q), strand) for i in range(len(s)) if s.upper().startswith(q, i)]
+    return sorted(out, key=repr)
+
+
 def test_tiled_placement_matches_scan(spark):
+    """Patterns shorter than a seed, longer than a tile's reach, longer than several tiles, and ones that end at a chromosome's end."""
     rng = random.Random(2)
     chroms = [("c1", "".join(rng.choice("ACGT") for _ in range(700)) + "AAAAAAAA"), ("c2", "acgtacgt" * 40)]
-    pats = [("p1", chroms[0][1][60:75]), ("p2", rc(chroms[0][1][127:140])), ("p3", "AAAA"), ("p4", "ACGT"), ("none", "T" * 30), ("empty", "")]
+    g = chroms[0][1]
+    pats = [("p1", g[60:75]), ("p2", rc(g[127:140])), ("p3", "AAAA"), ("p4", "ACGT"), ("none", "T" * 30), ("empty", ""), ("l1", g[100:500]), ("l2", rc(g[3:420])), ("l3", g[300:]), ("l4", "ACGT" * 30), ("l5", g[100:480] + "T" + g[481:500]), ("l5", g[50:84]), ("x", g[640:] + "A"), ("whole", g)]
     seqs = spark.createDataFrame(pats, "name string, seq string")
-    tiles = search.tile(spark.createDataFrame(chroms, "chrom string, seq string"), 64, 32)
-    expected = []
-    for c, s in chroms:
-        s = s.upper()
-        for n, p in pats:
-            for q, strand in ((p, "+"), (rc(p), "-")) if p else ():
-                expected += [(n, c, i, i + len(q), strand) for i in range(len(s)) if s.startswith(q, i)]
-    hits = search.place(seqs, tiles, 64)
-    assert rows(hits) == sorted(expected, key=repr)
-    assert rows(search.place(seqs, tiles, 64, bound=0)) == sorted(expected, key=repr)
+    genome = search.tile(spark.createDataFrame(chroms, "chrom string, seq string"), 64, 32)
+    hits = search.place(seqs, genome)
+    assert rows(hits) == rows(search.place(seqs, genome, bound=0)) == all_hits(pats, chroms)
     counted = search.with_hit_counts(seqs, hits)
     assert counted.where("name = 'none'").first()["n_hits"] == 0
-    bed = spark.createDataFrame([("c1", 60, 200, "x", 0, "+"), ("c1", 60, 200, "y", 0, "-")], BED)
-    got = {r["name"]: r["seq"] for r in search.extract(bed, tiles, 64).collect()}
-    assert got == {"x": chroms[0][1][60:200], "y": rc(chroms[0][1][60:200])}
+    bed = spark.createDataFrame([("c1", 60, 200, "x", 0, "+"), ("c1", 60, 200, "y", 0, "-"), ("c1", 60, 200, "y", 0, "-"), ("c1", 5, 5, "z", 0, "+")], BED)
+    got = [(r["name"], r["seq"]) for r in search.extract(bed, genome).collect()]
+    assert sorted(got, key=repr) == sorted([("x", g[60:200]), ("y", rc(g[60:200])), ("y", rc(g[60:200])), ("z", None)], key=repr)
+
+
+def test_genome_is_tiled_over_file_splits(spark, tmp_path):
+    """Chromosomes over many splits, several in one, empty ones, blank lines, text before the first header: the same tiles as from whole sequences."""
+    rng = random.Random(41)
+    chroms = [("chrA", "".join(rng.choice("ACGTacgtN") for _ in range(9000))), ("chrB", ""), ("chrC", "ACG"), ("chrD", "".join(rng.choice("ACGT") for _ in range(64 * 7))), ("chrE", "".join(rng.choice("ACGT") for _ in range(5000)))]
+    (tmp_path / "g").mkdir()
+    for k, part in enumerate((chroms[:3], chroms[3:])):
+        text = "; stray\n" * k + "".join(f">{n} about {n}\n" + "".join(s[i : i + 50] + "\n" for i in range(0, len(s), 50)) + "\n" for n, s in part)
+        (tmp_path / "g" / f"{k}.fa").write_text(text)
+    old = spark.conf.get("spark.sql.files.maxPartitionBytes"), spark.conf.get("spark.sql.files.openCostInBytes")
+    try:
+        for size in ("700", "3000", "100000"):
+            spark.conf.set("spark.sql.files.maxPartitionBytes", size)
+            spark.conf.set("spark.sql.files.openCostInBytes", "10")
+            for stride, reach in ((64, 40), (64, 200), (500, 7)):
+                genome = readers.genome_tiles(spark, str(tmp_path / "g"), stride, reach)
+                want = sorted((n, i, s.upper()[i : i + stride + reach]) for n, s in chroms for i in range(0, len(s), stride))
+                assert rows(genome.tiles.select("chrom", "tile_start", "seq")) == sorted(want, key=repr)
+    finally:
+        spark.conf.set("spark.sql.files.maxPartitionBytes", old[0])
+        spark.conf.set("spark.sql.files.openCostInBytes", old[1])
 
 
 def test_queries_place_whole_items(spark, tmp_path):
@@ -128,18 +181,30 @@ def test_queries_place_whole_items(spark, tmp_path):
 
     rng = random.Random(17)
     genome = ["".join(rng.choice("ACGT") for _ in range(4500)) for _ in range(10)]
-    found = [(1, genome[1][2000:2110]), (2, genome[2][:12] + "ACGTACGTTTGACC"), (3, rc(genome[3][4010:4085])), (4, genome[4][7:15]), (5, "A"), (6, "xyz"), (8, genome[3][50:60])]
+    found = [(1, genome[1][2000:2110]), (2, genome[2][:12] + "ACGTACGTTTGACC"), (3, rc(genome[3][4010:4085])), (4, genome[4][7:15]), (5, "A"), (6, "xyz"), (8, genome[3][50:60]), (9, genome[5][100:4400])]
     spark.createDataFrame(list(enumerate(genome)), "doc_id long, text string").write.parquet(str(tmp_path / "documents.parquet"))
     spark.createDataFrame(found, "item_id long, text string").write.parquet(str(tmp_path / "benchmark.parquet"))
-    items = [(i, x) for i, x in found if x != "xyz"]
-    hits = [(str(i), str(c), p, s) for i, x in items for s, y in (("+", x), ("-", rc(x))) for c, g in enumerate(genome) for p in range(len(g)) if g.startswith(y, p)]
+    items = [(str(i), x) for i, x in found if x != "xyz"]
+    chroms = [(str(c), g) for c, g in enumerate(genome)]
+    hits = [(n, c, a, s) for n, c, a, _, s in all_hits(items, chroms)]
     assert rows(QUERIES["c3_place_in_genome"](spark, str(tmp_path))) == sorted(hits, key=repr)
-    size = {str(i): len(x) for i, x in items}
-    want = sorted((i, c, int(c) * 1000 + p, int(c) * 1000 + p + size[i], s) for i, c, p, s in hits if int(i) % 5 == int(c) % 5)
-    want.sort(key=repr)
+    both = [((n, f"AC{k}"), x + "ACA" * k) for n, x in items for k in (0, 1)]
+    want = [(*n, c, int(c) * 1000 + a, int(c) * 1000 + b, s) for n, c, a, b, s in all_hits(both, chroms) if int(n[0]) % 5 == int(c) % 5]
     got = c2_locate_in_genes(spark, str(tmp_path))
-    assert rows(got.where("chrom is not null").select("name", "chrom", "start", "end", "strand")) == want
-    assert {r[0] for r in got.select("name").collect()} == set(size)
+    assert rows(got.where("chrom is not null").select("name", "accession", "chrom", "start", "end", "strand")) == sorted(want, key=repr)
+    assert {(r["name"], r["accession"]) for r in got.collect()} == {n for n, _ in both}
+
+
+def test_records_are_told_apart(spark):
+    """Two records of one name, one of them without a hit; repeated records and repeated gene rows; names without a gene."""
+    t = lambda r, s: spark.createDataFrame(r, s)
+    seqs = t([("a", "x1", "ACGTT"), ("a", "x2", "CCCCCC"), ("a", None, "ACGTT"), ("b", "x3", "ACGTT"), ("c", "x4", "GGTT"), ("d", "x5", "ACGTT"), ("a", "x1", "ACGTT")], "name string, accession string, seq string")
+    genes = t([("a", "G", "gencode_direct"), ("a", "G", "gencode_direct"), ("b", "NA", "none"), ("c", "G", "gencode_direct")], "name string, gene string, source string")
+    spans = t([("G", "c", 100, 200, "ttACGTTacgttt"), ("NA2", "c", 0, 9, "ACGTT")], "gene string, chrom string, start long, end long, seq string")
+    got = search.locate_in_genes(seqs, genes, spans).select("name", "accession", "start", "strand", "n_hits", "status")
+    two = [("a", acc, s, "+", 2, "multi_in_gene") for acc in ("x1", None) for s in (102, 107)]
+    want = [*two, ("a", "x2", None, None, 0, "not_found_in_gene"), ("b", "x3", None, None, 0, "no_gene"), ("c", "x4", None, None, 0, "not_found_in_gene"), ("d", "x5", None, None, 0, "no_gene")]
+    assert rows(got) == sorted(want, key=repr)
 
 
 def test_missing_ids_follow_the_tables(spark, tmp_path):
@@ -166,22 +231,97 @@ def test_extraction_reaches_the_end(spark, tmp_path):
     assert rows(QUERIES["c4_extract"](spark, str(tmp_path))) == want
 
 
-def test_best_alignment_is_sought_among_all(spark):
+def scalar_alignment(a, b, gap_open=10.0, gap_extend=0.5):
+    """Cell by cell with a traceback: a match or mismatch before a gap in b, that before a gap in a; a gap opened before one extended."""
+    low = float("-inf")
+    n, m = len(a), len(b)
+    h, e, f = ([[0.0 if k == 0 else low] * (m + 1) for _ in range(n + 1)] for k in range(3))
+    best = (0.0, 0, 0)
+    for i in range(1, n + 1):
+        for j in range(1, m + 1):
+            e[i][j] = max(h[i][j - 1] - gap_open, e[i][j - 1] - gap_extend)
+            f[i][j] = max(h[i - 1][j] - gap_open, f[i - 1][j] - gap_extend)
+            h[i][j] = max(0.0, h[i - 1][j - 1] + (5.0 if a[i - 1] == b[j - 1] else -4.0), e[i][j], f[i][j])
+            if h[i][j] > best[0]:
+                best = (h[i][j], i, j)
+    score, i, j = best
+    same = columns = 0
+    state = "h"
+    while i and j and (state != "h" or h[i][j] > 0):
+        if state == "h":
+            s = 5.0 if a[i - 1] == b[j - 1] else -4.0
+            if h[i][j] == h[i - 1][j - 1] + s:
+                same, columns, i, j = same + (s > 0), columns + 1, i - 1, j - 1
+            else:
+                state = "f" if h[i][j] == f[i][j] else "e"
+        elif state == "f":
+            state, columns, i = "h" if f[i][j] == h[i - 1][j] - gap_open else "f", columns + 1, i - 1
+        else:
+            state, columns, j = "h" if e[i][j] == h[i][j - 1] - gap_open else "e", columns + 1, j - 1
+    return same, columns, score
+
+
+def some_pairs(rng, n):
+    out = []
+    for _ in range(n):
+        a = "".join(rng.choice("ACGT"[: rng.randrange(2, 5)]) for _ in range(rng.randrange(0, 50)))
+        b = a if rng.random() < 0.6 else "".join(rng.choice("ACGT") for _ in range(rng.randrange(0, 50)))
+        b = "".join(rng.choice("ACGT") if rng.random() < 0.1 else c + rng.choice(["", "", "", "GG"]) for c in b if rng.random() > 0.1)
+        out.append((a, b))
+    return out
+
+
+@pytest.mark.parametrize("gaps", [(10.0, 0.5), (3.0, 1.0), (2.0, 0.25)])
+def test_alignment_against_cell_by_cell(monkeypatch, gaps):
+    pairs = some_pairs(random.Random(29), 250)
+    want = [scalar_alignment(a, b, *gaps) for a, b in pairs]
+    for cells in (align.CELLS, 200):
+        monkeypatch.setattr(align, "CELLS", cells)
+        assert list(zip(*(x.tolist() for x in align.align(*map(list, zip(*pairs)), *gaps)))) == want
+
+
+def test_best_alignment_is_sought_among_all(spark, monkeypatch):
     rng = random.Random(23)
     b = "".join(rng.choice("ACGT") for _ in range(120))
     broken = "".join({"A": "C", "C": "A", "G": "T", "T": "G"}[c] if i % 16 == 15 else c for i, c in enumerate(b))  # 94 %, no common 20-mer
     worse = b[:40] + "".join(c if i % 4 else rng.choice("ACGT".replace(c, "")) for i, c in enumerate(b[40:]))
     other = "".join(rng.choice("ACGT") for _ in range(120))
-    a_rows, b_rows = [("broken", broken, 1), ("worse", worse, 2)], [("b", b, 1), ("other", other, 2)]
-    a, y = spark.createDataFrame(a_rows, SEQ), spark.createDataFrame(b_rows, SEQ)
-    best = {}
-    for name, x, _ in a_rows:
-        same, columns, _ = compare.smith_waterman(x, b)
-        if columns >= 0.8 * 120:
-            best[name] = (100 * same / columns, columns)
-    got = compare.align_best(a, y).collect()
-    assert [(r["b_name"], r["a_name"]) for r in got] == [("b", max(best, key=best.get))] == [("b", "broken")]
-    assert (got[0]["identity_pct"], got[0]["columns"]) == best["broken"]
+    a_rows = [("broken", broken, 1), ("worse", worse, 2), ("again", broken, 0), ("late", broken, 5), *((f"r{i}", x, 9 + i) for i, (x, _) in enumerate(some_pairs(rng, 30)))]
+    b_rows = [("b", b, 1), ("other", other, 2), ("part", broken[20:100], 3)]
+    for block in (compare.BLOCK, 3):
+        monkeypatch.setattr(compare, "BLOCK", block)
+        got = {r["b_name"]: r for r in compare.align_best(spark.createDataFrame(a_rows, SEQ), spark.createDataFrame(b_rows, SEQ)).collect()}
+        assert set(got) == {"b", "part"}
+        for name, y, _ in b_rows[::2]:
+            best = {}
+            for a_name, x, order in a_rows:
+                same, columns, _ = scalar_alignment(x, y)
+                if columns and columns / min(len(x), len(y)) >= 0.8:
+                    best[a_name] = (-100.0 * same / columns, -columns, order)
+            first = min(best, key=best.get)
+            assert (got[name]["a_name"], got[name]["identity_pct"], got[name]["columns"]) == (first, -best[first][0], -best[first][1])
+
+
+def test_window_hashes():
+    s = "ACGTACGTTACGTAACGT"
+    for k in (1, 2, 3, 5, 7, 8, 12, 18, 19):
+        h = kmers.window_hashes(kmers.codes_of(s), k)
+        assert len(h) == max(0, len(s) - k + 1)
+        assert all((h[i] == h[j]) == (s[i : i + k] == s[j : j + k]) for i in range(len(h)) for j in range(len(h)))
+
+
+def test_containment_of_crowded_kmers(spark):
+    """Many sequences that start alike, runs of one letter, copies, and texts shorter than a k-mer: the same pairs as all against all."""
+    rng = random.Random(37)
+    stock = "the same old words "
+    outer = [stock + "".join(rng.choice("abc") for _ in range(30)) for _ in range(40)] + ["a" * 60, "", "ab"]
+    inner = [o[: rng.randrange(20, 45)] for o in outer[:20]] + [o[5:40] for o in outer[20:30]] + ["a" * 25, "a" * 70, "ab", "b", stock, outer[3], outer[3], "nothing like it at all here"]
+    a = spark.createDataFrame([(f"a{i}", s, i) for i, s in enumerate(outer)], SEQ)
+    b = spark.createDataFrame([(f"b{i}", s, i) for i, s in enumerate(inner)], SEQ)
+    want = [(f"a{i}", f"b{j}", "b_in_a" if y in x else "a_in_b") for i, x in enumerate(outer) for j, y in enumerate(inner) if x and y and (y in x or x in y)]
+    for k in (5, 20):
+        assert rows(compare.containment(a, b, k).select("a_name", "b_name", "relation")) == sorted(want, key=repr)
+    assert compare.containment(a, b.where("false")).count() == compare.containment(a.where("false"), b).count() == 0
 
 
 def test_containment_kmers_and_report(spark):
@@ -194,12 +334,6 @@ def test_containment_kmers_and_report(spark):
     assert {(r["sno_name"], r["union_name"]) for r in first.collect()} == {("b1", "a1"), ("b2", "a2"), ("b4", "a2")}
 
 
-def test_local_alignment():
-    assert compare.smith_waterman("ACGTACGT", "ACGTACGT") == (8, 8, 40.0)
-    assert compare.smith_waterman("TTACGTACGTAA", "ACGTCGT")[0] == 7
-    assert compare.smith_waterman("", "A") == (0, 0, 0.0)
-
-
 def test_winner_rules_collapse_and_correction(spark):
     uni = "GGGGGGGGGG"
     sno = spark.createDataFrame([("same", uni, 0), ("off", "A" + uni + "T", 1), ("long", "AAAA" + uni + "CCC", 2), ("canon", "TT" + uni[:4] + uni + "ACATTT", 3), ("alone", "CTCTCTCTCTCTCT", 4)], SEQ)
@@ -209,13 +343,16 @@ def test_winner_rules_collapse_and_correction(spark):
     bed = spark.createDataFrame([("c", 10, 20, "u|x", 0, "+"), ("c", 10, 20, "v", 0, "-")], BED)
     new = spark.createDataFrame([("u_x.id3001", "A" * 13), ("v", "A" * 12)], "name string, seq string")
     assert rows(catalog.corrected_intervals(bed, new).select("start", "end")) == [(10, 22), (7, 20)]
+    odd = spark.createDataFrame([("c", 10, 20, "w", 0, "."), ("c", 10, 20, "w.id7", 0, "+"), ("c", 10, 20, "w", 0, "-")], BED)
+    twice = spark.createDataFrame([("w.id1", "A" * 15, 1), ("w.id2", "A" * 11, 2)], SEQ.replace("ord long", "ord int"))
+    assert rows(catalog.corrected_intervals(odd, twice).select("start", "end", "strand")) == sorted([(9, 20, "."), (10, 20, "+"), (10, 21, "-")], key=repr)
 
 
 def test_symbol_cascade(spark):
-    lines = spark.createDataFrame([("\fAluACA1, AAA, x",), ("AluACA2, OLD, x",), ("AluACA3, GONE, x",), ("ALuACA4, no apparent host gene",), ("AluACA5, ZZZ, x",), ("AluACA6, BAD, x",), ("AluACA7, Q, x",), ("other",)], "value string")
+    lines = spark.createDataFrame([("\fAluACA1, AAA, x",), ("AluACA2, OLD, x",), ("AluACA3, GONE, x",), ("ALuACA4, no apparent host gene",), ("AluACA5, ZZZ, x",), ("AluACA6, BAD, x",), ("AluACA7, Q, x",), ("AluACA8, no apparent host gene",), ("AluACA9, no apparent host gene",), ("AluACA10, EMPTY, x",), ("other",)], "value string")
     t = lambda r, s: spark.createDataFrame(r, s)
-    got = resolve.resolve_symbols(lines, t([("AAA",), ("NEW",), ("HAND",)], "gene_name string"), t([("OLD", "NEW"), ("GONE", "ELSE")], "old string, current string"), t([("AluACA6", "AAA")], "name string, symbol string"), t([("AluACA7", "HAND")], "name string, symbol string"))
-    assert {tuple(r) for r in got.collect()} == {("AluACA1", "AAA", "gencode_direct"), ("AluACA2", "NEW", "ncbi_alias:OLD"), ("AluACA3", "ELSE", "ncbi_notin_gencode:GONE"), ("AluACA4", "NA", "none"), ("AluACA5", "ZZZ", "UNRESOLVED"), ("AluACA6", "AAA", "gencode_direct"), ("AluACA7", "HAND", "manual_desc")}
+    got = resolve.resolve_symbols(lines, t([("AAA",), ("NEW",), ("HAND",)], "gene_name string"), t([("OLD", "NEW"), ("GONE", "ELSE"), ("EMPTY", "")], "old string, current string"), t([("AluACA6", "AAA"), ("AluACA8", "AAA")], "name string, symbol string"), t([("AluACA7", "HAND"), ("AluACA9", "HAND")], "name string, symbol string"))
+    assert {tuple(r) for r in got.collect()} == {("AluACA1", "AAA", "gencode_direct"), ("AluACA2", "NEW", "ncbi_alias:OLD"), ("AluACA3", "ELSE", "ncbi_notin_gencode:GONE"), ("AluACA4", "NA", "none"), ("AluACA5", "ZZZ", "UNRESOLVED"), ("AluACA6", "AAA", "gencode_direct"), ("AluACA7", "HAND", "manual_desc"), ("AluACA8", "NA", "none"), ("AluACA9", "HAND", "manual_desc"), ("AluACA10", "EMPTY", "UNRESOLVED")}
 
 
 def test_whole_locus_plan(spark):
@@ -236,7 +373,10 @@ def test_readers_and_writers(spark, tmp_path):
     (tmp_path / "x.fa").write_text(">X1.1 some AluACA7 text\nacg\ntt\n>X2.2 AluACA8\nGG\n>X1.1 AluACA9\nTT\n")
     assert rows(readers.fasta_ids(spark, str(tmp_path / "x.fa")).select("name", "accession", "seq")) == [("AluACA7", "X1.1", "ACGTT"), ("AluACA8", "X2.2", "GG"), ("AluACA9", "X1.1", "TT")]
     assert rows(readers.fasta_named(spark, str(tmp_path / "x.fa")).select("name", "seq")) == [("X1.1", "TT"), ("X2.2", "GG")]
-    assert rows(readers.genome_tiles(spark, str(tmp_path / "x.fa"), 4, 2))[0] == ("X1.1", 0, "ACGTT")
+    (tmp_path / "x2.fa").write_text(">X1.1 a\nacg\nttg\n>X2.2\nGG\n")
+    assert rows(readers.genome_tiles(spark, str(tmp_path / "x2.fa"), 4, 2).tiles.select("chrom", "tile_start", "seq"))[:2] == [("X1.1", 0, "ACGTTG"), ("X1.1", 4, "TG")]
+    (tmp_path / "x3.fa").write_text(">X1.1 some AluACA7, text\nacg\n>X1.1 AluACA7, again\nTT\n>X9.1 none\nA\n")
+    assert rows(readers.fasta_ids(spark, str(tmp_path / "x3.fa")).select("name", "accession", "seq")) == [("AluACA7,", "X1.1", "TT"), ("X9.1", "X9.1", "A")]
     (tmp_path / "g.gtf").write_text('#x\nchr1\ts\tgene\t11\t20\t.\t+\t.\tgene_name "A"; gene_type "p";\nchr1\ts\texon\t11\t12\t.\t+\t.\tgene_name "A"\nGL1\ts\tgene\t1\t2\t.\t+\t.\tx\n')
     assert rows(readers.gtf_genes(spark, str(tmp_path / "g.gtf"))) == [("chr1", 10, 20, "A", "p", "+")]
     bed = spark.createDataFrame([("chr2", 5, 9, "b|c", 0, "+"), ("chr10", 1, 4, "a", 0, "-")], BED)
@@ -244,6 +384,11 @@ def test_readers_and_writers(spark, tmp_path):
     assert [r["name"] for r in readers.bed(spark, str(tmp_path / "o.bed")).collect()] == ["a", "b|c"]
     named = writers.numbered_headers(bed.withColumn("seq", F.lit("acg")))
     assert rows(named.select("name", "seq")) == [("a.id3001", "ACG"), ("b_c.id3002", "ACG")]
+    own = writers.numbered_headers(spark.createDataFrame([("c", 1, 2, "n.id7", 0, "+")], BED).withColumn("seq", F.lit("a")))
+    assert own.first()["name"] == "n.id7.id3001"
+    more = readers.bed(spark, str(tmp_path / "o.bed")).withColumn("family", F.lit("AluY"))
+    writers.rewrite(more, str(tmp_path / "o.bed"), lambda df, p: writers.write_bed(df, p, ["chrom", "start", "end", "name", "family"]))
+    assert rows(spark.read.text(str(tmp_path / "o.bed"))) == [("chr10\t1\t4\ta\tAluY",), ("chr2\t5\t9\tb|c\tAluY",)]
     writers.write_fasta(named, str(tmp_path / "o.fa"))
     assert readers.fasta_named(spark, str(tmp_path / "o.fa")).count() == 2
     with pytest.raises(FileNotFoundError, match="one.*two"):
@@ -251,6 +396,14 @@ def test_readers_and_writers(spark, tmp_path):
     assert EngineConfig.resolve({"STRANDFRAME_KMER": "12"}, min_cov=0.5) == EngineConfig(kmer=12, min_cov=0.5)
 
 
+def test_lookups_by_key(spark):
+    t = lambda r, s: spark.createDataFrame(r, s)
+    x, y = t([(1,), (2,), (2,), (None,)], "k int"), t([(2, "a", 1), (2, "b", 2), (None, "c", 3)], "k int, v string, ord int")
+    assert rows(tables.lookup(x, y, "k", {"v": "-"})) == rows(tables.lookup(x, y, "k", {"v": "-"}, "ord")) == sorted([(1, "-"), (2, "b"), (2, "b"), (None, "-")], key=repr)
+    assert rows(tables.having_key(x, y, "k")) == [(2,), (2,)]
+    assert rows(tables.best_per_key(y, "k", -F.col("ord"))) == sorted([(2, "b", 2), (None, "c", 3)], key=repr)
+
+
 def test_reports_and_functions(spark):
     loci = spark.createDataFrame([("s1", "AluY|L1"), ("s1", "none"), ("s2", "L1")], "source string, repeat_family string")
     assert rows(report.repeat_table(loci)) == [("s1", "Alu", 1), ("s1", "none", 1), ("s2", "other", 1)]
