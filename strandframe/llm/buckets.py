@@ -21,9 +21,12 @@ from ._common import discard, materialize, partitions
 BLOCK = 2048
 
 
-def in_buckets(rows: DataFrame, kernel: Callable[[pa.Table, Iterator], Iterator[pa.RecordBatch]], schema: str, key: str = "key", node: str = "node", order: list[str] | None = None, block: int = BLOCK) -> DataFrame:
-    """kernel(table, pairs) for runs of whole buckets; pairs yields (left, right) index arrays, each pair once."""
-    counts = rows.groupBy(key).agg(F.count("*").alias("n"))
+def in_buckets(rows: DataFrame, kernel: Callable[[pa.Table, Iterator], Iterator[pa.RecordBatch]], schema: str, key: str = "key", node: str = "node", order: list[str] | None = None, block: int = BLOCK, counts: DataFrame | None = None) -> DataFrame:
+    """kernel(table, pairs) for runs of whole buckets; pairs yields (left, right) index arrays, each pair once.
+
+    counts(key, n) may come from elsewhere if that is cheaper than reading the rows once more.
+    """
+    counts = rows.groupBy(key).agg(F.count("*").alias("n")) if counts is None else counts
     hot = materialize(counts.where(F.col("n") > block).select(key, F.ceil(F.col("n") / block).cast("int").alias("blocks")), "hot-buckets")
     dealt = rows.join(hot, key, "left").withColumn("blocks", F.coalesce("blocks", F.lit(1)))
     dealt = dealt.withColumn("own", F.pmod(F.xxhash64(node), F.col("blocks")).cast("int"))

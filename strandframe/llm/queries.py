@@ -6,6 +6,7 @@ from collections.abc import Callable
 
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from . import bpe, caps, cotrain, hamming, id_files, langid, mixing, simhash, substring, token_counts
 
@@ -57,14 +58,29 @@ def op9_cap_embedding_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return caps.near_vectors(table(spark, sf_dir, "embeddings"), 0.95)
 
 
+def llm_planted_vector_links(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """op9's operator on vectors that have near copies: every embedding, and two more of each with small steps that its id gives."""
+    own = table(spark, sf_dir, "embeddings").select("vec_id", F.transform("embedding", lambda x: x.cast("double")).alias("embedding"))
+    step = lambda k: F.transform("embedding", lambda x, i: x + (F.pmod(F.col("vec_id") * 31 + i * 17 + k, F.lit(11)) - 5) / 500)
+    return caps.near_vectors(own.unionByName(own.select((F.col("vec_id") + 10**9).alias("vec_id"), step(0).alias("embedding"))).unionByName(own.select((F.col("vec_id") + 2 * 10**9).alias("vec_id"), step(4).alias("embedding"))), 0.95)
+
+
 def op10_id_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     return id_files.id_file_digests(table(spark, sf_dir, "documents"), WORD_BPE, end_id=2)
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
-    f.__name__: f for f in (op1_soft_mixing, op2_hamming_topk, op3_cotrained_quality, op4_byte_bpe, op5_substring_dedup, op6_simhash_pigeonring, op7_language_id, op8_section_tokens, op9_cap_embedding_dedup, op10_id_files)
+    f.__name__: f for f in (op1_soft_mixing, op2_hamming_topk, op3_cotrained_quality, op4_byte_bpe, op5_substring_dedup, op6_simhash_pigeonring, op7_language_id, op8_section_tokens, op9_cap_embedding_dedup, op10_id_files, llm_planted_vector_links)
 }
 
+LINKS = """
+WITH RECURSIVE t AS (SELECT * FROM {vectors}), v AS (SELECT vec_id, embedding::DOUBLE[] AS e FROM t WHERE embedding IS NOT NULL AND len([x FOR x IN embedding IF x IS NULL OR NOT isfinite(x)]) = 0 AND len([x FOR x IN embedding IF x <> 0]) > 0),
+     l AS (SELECT a.vec_id AS u, b.vec_id AS w FROM v a JOIN v b ON a.vec_id <> b.vec_id AND list_cosine_similarity(a.e, b.e) >= 0.95),
+     r AS (SELECT vec_id AS u, vec_id AS w FROM t UNION SELECT r.u, l.w FROM r JOIN l ON l.u = r.w),
+     c AS (SELECT u AS vec_id, min(w) AS component_id FROM r GROUP BY u),
+     n AS (SELECT u AS vec_id, count(*) AS n FROM l GROUP BY u)
+SELECT t.vec_id, coalesce(n.n, 0)::BIGINT AS n_links, c.component_id, t.vec_id = c.component_id AS kept FROM t JOIN c USING (vec_id) LEFT JOIN n USING (vec_id)"""
+
 ORACLE_SQL: dict[str, str] = {
     "op2_hamming_topk": """
 WITH c AS (SELECT vec_id, list_sum([CASE WHEN embedding[i] > 0 THEN (1::HUGEINT << (i - 1)) ELSE 0::HUGEINT END FOR i IN range(1, len(embedding) + 1)])::HUGEINT AS code FROM embeddings
@@ -80,11 +96,9 @@ WITH d AS (SELECT doc_id, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0
      p AS (SELECT doc_id, word, p FROM (SELECT doc_id, unnest(w) AS word, unnest(range(1, len(w) + 1)) AS p FROM d)),
      k AS (SELECT p.doc_id, string_agg(p.word, ' ' ORDER BY p.p) FILTER (WHERE g.p IS NULL) AS kept, count(g.p) AS n_removed FROM p LEFT JOIN g ON g.doc_id = p.doc_id AND g.p = p.p GROUP BY p.doc_id)
 SELECT d.doc_id, len(d.w)::BIGINT AS n_words, coalesce(k.n_removed, 0)::BIGINT AS n_removed, sha256(coalesce(k.kept, '')) AS kept_sha256 FROM d LEFT JOIN k USING (doc_id)""",
-    "op9_cap_embedding_dedup": """
-WITH RECURSIVE v AS (SELECT vec_id, embedding::DOUBLE[] AS e FROM embeddings WHERE embedding IS NOT NULL AND len([x FOR x IN embedding IF x IS NULL OR NOT isfinite(x)]) = 0 AND len([x FOR x IN embedding IF x <> 0]) > 0),
-     l AS (SELECT a.vec_id AS u, b.vec_id AS w FROM v a JOIN v b ON a.vec_id <> b.vec_id AND list_cosine_similarity(a.e, b.e) >= 0.95),
-     r AS (SELECT vec_id AS u, vec_id AS w FROM embeddings UNION SELECT r.u, l.w FROM r JOIN l ON l.u = r.w),
-     c AS (SELECT u AS vec_id, min(w) AS component_id FROM r GROUP BY u),
-     n AS (SELECT u AS vec_id, count(*) AS n FROM l GROUP BY u)
-SELECT e.vec_id, coalesce(n.n, 0)::BIGINT AS n_links, c.component_id, e.vec_id = c.component_id AS kept FROM embeddings e JOIN c USING (vec_id) LEFT JOIN n USING (vec_id)""",
+    "op9_cap_embedding_dedup": LINKS.format(vectors="embeddings"),
+    "llm_planted_vector_links": LINKS.format(
+        vectors="""(SELECT vec_id, embedding::DOUBLE[] AS embedding FROM embeddings UNION ALL SELECT vec_id + 1000000000, [embedding[i + 1]::DOUBLE + ((vec_id * 31 + i * 17) % 11 - 5)::DOUBLE / 500 FOR i IN range(0, len(embedding))] FROM embeddings
+UNION ALL SELECT vec_id + 2000000000, [embedding[i + 1]::DOUBLE + ((vec_id * 31 + i * 17 + 4) % 11 - 5)::DOUBLE / 500 FOR i IN range(0, len(embedding))] FROM embeddings)"""
+    ),
 }

@@ -204,19 +204,61 @@ def test_languages_of_ties_and_long_words(spark):
     assert np.isclose(other.score_words(finder, [word])[0, 0], np.log(0.1) + 700 * np.log(0.3 + 0.2 * 0.4))
 
 
-def test_caps_against_all_pairs(spark):
-    rng = np.random.default_rng(5)
-    x = rng.normal(size=(150, 32))
-    x = np.concatenate([x, x[:100] + 0.25 * rng.normal(size=(100, 32)), x[:30]]).astype(np.float32)
-    rows = [(i, v.tolist()) for i, v in enumerate(x)] + [(900, None), (901, [0.0] * 32), (902, [float("nan")] * 32), (903, [None] * 32), (904, []), (None, x[0].tolist())]
-    df = spark.createDataFrame(rows, "vec_id long, embedding array<float>")
-    got = {r["vec_id"]: r for r in caps.near_vectors(df).collect()}
+def test_cap_decoding_finds_all_filters():
+    rng = np.random.default_rng(1)
+    x = rng.normal(size=(200, 24))
+    x /= np.linalg.norm(x, axis=1, keepdims=True)
+    for blocks in (1, 2, 3):
+        c = caps.ProductCode(24, 6, blocks, 0.45, 5)
+        y = x @ c.rotation
+        sums = np.zeros((200, 1))
+        for a, b, w in zip(c.cuts, c.cuts[1:], c.code):
+            sums = (sums[:, :, None] + (y[:, a:b] @ w.T)[:, None, :]).reshape(200, -1)
+        want = {(int(i), int(f)) for i, f in zip(*np.nonzero(sums >= 0.45))}
+        want |= {(int(i), int(sums[i].argmax())) for i in np.flatnonzero(~(sums >= 0.45).any(axis=1))}
+        assert set(zip(*(v.tolist() for v in c.decode(x)))) == want
+
+
+def link_counts(x, least=0.95):
     d = x.astype(float)
     n = np.linalg.norm(d, axis=1)
-    links = ((d @ d.T) / n / n[:, None] >= 0.95).sum(axis=1) - 1
-    assert len(got) == len(rows) and sum(got[i]["n_links"] for i in range(len(x))) >= 0.9 * links.sum() > 0
-    assert all(got[i]["n_links"] <= links[i] for i in range(len(x))) and all(got[i]["n_links"] == 0 and got[i]["kept"] for i in range(900, 905))
+    return ((d @ d.T) / n / n[:, None] >= least).sum(axis=1) - 1
+
+
+@pytest.mark.parametrize("block", [caps.BLOCK, 16])
+def test_caps_against_all_pairs(spark, monkeypatch, block):
+    monkeypatch.setattr(caps, "BLOCK", block)
+    rng = np.random.default_rng(5)
+    x = rng.normal(size=(150, 32))
+    x = np.concatenate([x, x[:100] + 0.25 * rng.normal(size=(100, 32)), x[:30], x[140] + 0.1 * rng.normal(size=(60, 32))]).astype(np.float32)
+    rows = [(i, v.tolist(), "k") for i, v in enumerate(x)] + [(900, None, ""), (901, [0.0] * 32, ""), (902, [float("nan")] * 32, ""), (903, [None] * 32, ""), (904, [], ""), (905, [1.0, 2.0], ""), (None, x[0].tolist(), "")]
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<float>, node string")
+    got = {r["vec_id"]: r for r in caps.near_vectors(df.withColumn("copies", F.lit(1))).collect()}
+    links = link_counts(x)
+    assert len(got) == len(rows) and sum(got[i]["n_links"] for i in range(len(x))) >= 0.97 * links.sum() > 0
+    assert all(got[i]["n_links"] <= links[i] for i in range(len(x))) and all(got[i]["n_links"] == 0 and got[i]["kept"] for i in range(900, 906))
+    assert {got[i]["component_id"] for i in range(280, 340)} == {140}
     assert caps.near_vectors(df.limit(0)).count() == 0
+    twice = [tuple(r) for r in caps.near_vectors(spark.createDataFrame([(1, [1.0, 2.0, 0.5], 0), (1, [1.0, 2.0, 0.5], 0), (2, [-1.0, 0.5, 3.0], 0)], "vec_id long, embedding array<double>, h int")).collect()]
+    assert sorted(twice) == [(1, 1, 1, True), (1, 1, 1, True), (2, 0, 2, True)]
+
+
+def test_caps_decide_in_double_precision(spark):
+    """Cosines so near the least one that only double precision tells them."""
+    rng = np.random.default_rng(7)
+    rows, want = [], {}
+    for i in range(40):
+        u, v = rng.normal(size=(2, 48))
+        u /= np.linalg.norm(u)
+        v -= (v @ u) * u
+        v /= np.linalg.norm(v)
+        c = 0.95 + (1e-7 if i % 2 else -1e-7)
+        w = 3.0 * (c * u + np.sqrt(1 - c * c) * v)
+        rows += [(2 * i, u.tolist()), (2 * i + 1, w.tolist())]
+        want[2 * i] = i % 2
+    got = {r["vec_id"]: r["n_links"] for r in caps.near_vectors(spark.createDataFrame(rows, "vec_id long, embedding array<double>")).collect()}
+    found = {i: got[i] for i in want}
+    assert all(found[i] <= n for i, n in want.items()) and sum(found.values()) >= 0.9 * sum(want.values())
 
 
 @pytest.mark.parametrize("shard, full, block", [(hamming.SHARD, hamming.FULL, hamming.QUERIES), (16, 64, 9)])
