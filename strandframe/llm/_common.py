@@ -2,9 +2,6 @@
 
 from __future__ import annotations
 
-import re
-import tempfile
-import uuid
 from collections.abc import Callable, Iterator
 
 import numpy as np
@@ -12,6 +9,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..sources.shared import shared_dir
+
 #: Text handled at once by a Python worker; a longer single text is handled alone.
 SLICE_BYTES = 2 << 20
 #: Distinct strings a worker remembers before it starts its cache anew.
@@ -20,18 +19,6 @@ CACHE_ENTRIES = 300_000
 BATCH_ROWS = 1000
 
 
-def shared_dir(spark: SparkSession, name: str) -> str:
-    """A new folder's path below the session's shared checkpoint folder. A session on one machine may lack one and gets its own; a cluster may not."""
-    sc = spark.sparkContext
-    top = sc.getConf().get("spark.checkpoint.dir", None) or spark.conf.get("spark.checkpoint.dir", None) or sc.getCheckpointDir()
-    if not top:
-        if not re.fullmatch(r"local(\[.*\])?", sc.master):
-            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
-        top = f"file://{tempfile.mkdtemp(prefix='strandframe-')}"
-        sc.setCheckpointDir(top)
-    return f"{top.rstrip('/')}/strandframe/{name}-{uuid.uuid4().hex}"
-
-
 def materialize(df: DataFrame, name: str) -> DataFrame:
     """Writes df as Parquet below the shared folder and reads it again: lineage ends there, and lost executors cost nothing."""
     path = shared_dir(df.sparkSession, name)

@@ -6,7 +6,9 @@ ids. A matrix of pair ranks stands beside it; each round every row merges its le
 rank, looks up the two pairs that changed in a hashed pair table, closes the gap, and leaves the
 matrix once no pair has a rank.
 
-Null text encodes like an empty one: no ids. Bytes that are not UTF-8 count as U+FFFD. Repeated rows
+Pieces above WIDEST bytes, such as long runs of one character, are the exception: a row as wide as one of them would
+make its matrix too large, so they are merged with a heap, to the same ids. A long text is one row in a worker's
+memory, cut into pieces. Null text encodes like an empty one: no ids. Bytes that are not UTF-8 count as U+FFFD. Repeated rows
 each give their own result, an empty table gives no rows, and only the columns named are read, so
 further columns can't clash.
 """

@@ -10,9 +10,10 @@ what meets, then the full distance decides.
 Equal fingerprints are one node from the start. Buckets give spanning forests, not pairs, and components
 of the forests are found by star steps, so no bucket's pairs and no list of all fingerprints is gathered.
 
-Null text is an empty one: fingerprint zero, linked like any other. Rows without doc_id get a
-fingerprint, take no part in linking, and have a null component. Repeated rows each come back. Other
-columns aren't read.
+Null text is an empty one: fingerprint zero, linked like any other. A long text is one row, whole in a worker's
+memory; its shingles are hashed in runs. Rows without doc_id get a fingerprint, take no part in linking, and have a
+null component. Repeated rows each come back; rows of one doc_id with different texts are one node. Empty tables
+give no rows. Other columns aren't read, so their names can't clash.
 """
 
 from __future__ import annotations

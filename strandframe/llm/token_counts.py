@@ -10,8 +10,9 @@ one section counts there. One that touches several counts by `rule`:
 
 Tokens that touch no section count as outside, section -1, if there are any. Sections ascend and don't
 overlap; without a column of them, they are the text's lines, each with its line feed. Null and empty texts
-have no sections and no tokens, so they give no rows, nor do empty tables. Repeated rows each give theirs;
-other columns aren't read.
+have no sections and no tokens, so they give no rows, nor do empty tables; a text whose column of sections is empty
+has tokens outside only. A long text is one row in a worker's memory, encoded whole. Repeated rows each give theirs;
+other columns aren't read, so their names can't clash.
 """
 
 from __future__ import annotations

@@ -3,12 +3,14 @@
 import base64
 import hashlib
 import random
+import re
 import zlib
 
 import numpy as np
 import public_tokenizers as P
 import pytest
 import tiktoken
+import xxhash
 from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
@@ -127,13 +129,33 @@ def test_substrings_with_crowds_and_repeated_ids(spark, crowd):
     assert sorted(map(tuple, got)) == sorted(substring.brute_force(texts, 6))
 
 
+def plain_fingerprint(text):
+    """By the contract, word for word: A-Z lowered, words between the six ASCII spaces, 4-word shingles with repeats, XXH64 with seed 42, a bit if over half have it."""
+    lowered = "".join(chr(ord(c) + 32) if "A" <= c <= "Z" else c for c in text or "")
+    words = re.findall("[^\x20\x09-\x0d]+", lowered)
+    if not words:
+        return 0
+    shingles = [" ".join(words[i : i + 4]) for i in range(len(words) - 3)] if len(words) >= 4 else [" ".join(words)]
+    hashes = [xxhash.xxh64(x.encode(), seed=42).intdigest() for x in shingles]
+    return sum(1 << b for b in range(64) if 2 * sum(h >> b & 1 for h in hashes) > len(hashes))
+
+
+def test_simhash_fingerprints_by_the_contract(spark, docs):
+    rng = random.Random(61)
+    texts = ["", " \t", "one", "One two\x0bTHREE", "ÄÖ É İ ǅ K", "a\u00a0b c\x1cd e", "x " * 300, None]
+    texts += [" ".join(rng.choice(["A", "b", "Ç", "the", "THE", "\u2003", "ı", "end.", "7"]) for _ in range(rng.randrange(30))) for _ in range(200)]
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").unionByName(docs.limit(60).selectExpr("doc_id + 1000 AS doc_id", "text"))
+    want = {r["doc_id"]: f"{plain_fingerprint(r['text']):016x}" for r in df.collect()}
+    assert {r["doc_id"]: r["fingerprint"] for r in simhash.near_duplicates(df, 4, 4).collect()} == want
+
+
 def test_simhash_matches_all_pairs(spark, odd):
     rng = random.Random(3)
     base = [" ".join(rng.choice("abcdefghij") * 3 for _ in range(60)) for _ in range(40)]
     texts = [(i, t if rng.random() < 0.4 else t.replace(t[:7], "zz yy", 1)) for i, t in enumerate(base * 3)]
     for rows in (texts, [(r[0], r[1]) for r in ODD if r[0] is not None]):
         df = spark.createDataFrame(rows, "doc_id long, text string")
-        fp = [(i, simhash.fingerprint((t or "").encode(), 4)) for i, t in rows]
+        fp = [(i, plain_fingerprint(t)) for i, t in rows]
         of = {i: i for i, _ in fp}
         for _ in fp:
             for i, a in fp:
@@ -295,6 +317,55 @@ def test_sections(spark, docs, odd):
     assert token_counts.section_tokens(odd.where("text is null or text = ''"), BYTE_BPE, PATTERN).count() == 0
 
 
+def plain_sections(enc, text, sections, rule):
+    """Tokens of each section, one token after another and character by character."""
+    at, raw, where = 0, text.encode(), []
+    for i, c in enumerate(text):
+        where += [i] * len(c.encode())
+    counts, crossing, outside = [0.0] * len(sections), [0] * len(sections), 0
+    for b in enc.decode_tokens_bytes(enc.encode_ordinary(text)):
+        chars = sorted(set(where[at : at + len(b)]))
+        at += len(b)
+        share = {k: n for k, (x, y) in enumerate(sections) if (n := sum(x <= c < y for c in chars))}
+        if not share:
+            outside += 1
+        elif len(share) == 1:
+            counts[next(iter(share))] += 1
+        else:
+            for k in share:
+                crossing[k] += 1
+            if rule == "split":
+                for k, n in share.items():
+                    counts[k] += n / sum(share.values())
+            else:
+                counts[min(share) if rule == "first" else max(share, key=lambda k: (share[k], -k))] += 1
+    assert at == len(raw)
+    out = {k: (x, y - x, counts[k], crossing[k]) for k, (x, y) in enumerate(sections)}
+    return out | ({-1: (0, 0, float(outside), 0)} if outside else {})
+
+
+@pytest.mark.parametrize("rule", token_counts.RULES)
+def test_sections_token_by_token(spark, rule):
+    ranks = {base64.b64decode(a): int(b) for a, b in map(bytes.split, open(BYTE_BPE, "rb"))}
+    enc = tiktoken.Encoding("own", pat_str=PATTERN, mergeable_ranks=ranks, special_tokens={})
+    rng = random.Random(71)
+    rows = []
+    for i in range(120):
+        text = "".join(rng.choice(["hello", " world", "é", "中文", "\n", " ", "the quick", "😀", "12345", "!!", "  "]) for _ in range(rng.randrange(1, 25)))
+        cuts = sorted(rng.sample(range(len(text) + 1), min(len(text) + 1, rng.randrange(0, 9)) // 2 * 2))
+        sections = list(zip(cuts[::2], cuts[1::2]))
+        if rng.random() < 0.5 and sections:  # next to each other
+            sections = [(a, b) for a, b in zip(cuts, cuts[1:])]
+        rows.append((i, text, [x for x in sections if x[0] < x[1]], "s"))
+    df = spark.createDataFrame(rows, "doc_id long, text string, s array<struct<start:int,end:int>>, section string")
+    got: dict = {}
+    for r in token_counts.section_tokens(df, BYTE_BPE, PATTERN, "s", rule).collect():
+        got.setdefault(r["doc_id"], {})[r["section"]] = (r["start"], r["n_chars"], round(r["n_tokens"], 9), r["n_crossing"])
+    for i, text, sections, _ in rows:
+        want = plain_sections(enc, text, sections, rule)
+        assert got.get(i, {}) == {k: (a, b, round(c, 9), d) for k, (a, b, c, d) in want.items()}, (i, text, sections)
+
+
 def nnls_cost(a, goal, metric):
     """Least squares of a @ r - goal in a metric over r >= 0, one coordinate after another until nothing moves."""
     r, gap = np.ones(a.shape[1]), a.sum(axis=1) - goal
