@@ -148,6 +148,7 @@ class LanguageModel:
     shares: np.ndarray
     pieces: list[str]
     probabilities: np.ndarray  # pieces x languages
+    usual: np.ndarray | None = None  # each language's mean negative log probability of a letter in its own texts
 
     def table(self) -> np.ndarray:
         k = len(self.languages)
@@ -241,14 +242,30 @@ def train(df: DataFrame, vocab_path: str, learn: Column, id_col: str = "doc_id",
         for r in sums.collect():  # the vocabulary's size at most
             e[r[0]] += r[1:]
         p = e / e.sum(axis=0)
+    model = LanguageModel(languages, share / share.sum(), pieces, p)
+
+    def weigh(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        finder, total = _finder(held), np.zeros((2, k))
+        for table_ in gathered(batches, 20_000):
+            words = table_.column(0).to_pylist()
+            logs = model.score_words(finder, words)
+            for i, pairs in enumerate(table_.column(1).to_pylist()):
+                for lang, n in pairs:
+                    total[:, lang] += n * logs[i, lang], n * len(words[i])
+        yield pa.RecordBatch.from_arrays([pa.array([x]) for x in total.ravel()], names=[f"w{j}" for j in range(2 * k)])
+
+    sums = np.array([x or 0.0 for x in counts.mapInArrow(weigh, ", ".join(f"w{j} double" for j in range(2 * k))).agg(*[F.sum(f"w{j}") for j in range(2 * k)]).first()]).reshape(2, k)
+    model.usual = -sums[0] / np.maximum(sums[1], 1)
     discard(counts)
-    return LanguageModel(languages, share / share.sum(), pieces, p)
+    return model
 
 
-def predict(df: DataFrame, model: LanguageModel, id_col: str = "doc_id", text_col: str = "text", carry: tuple[str, ...] = ()) -> DataFrame:
-    """id_col, lang_pred and score of every row, from its text alone, in a map without a shuffle.
+def predict(df: DataFrame, model: LanguageModel, id_col: str = "doc_id", text_col: str = "text", carry: tuple[str, ...] = (), most: float = 2.2, letters_to_tell: int = 30) -> DataFrame:
+    """id_col, lang_pred, score and foreign of every row, from its text alone, in a map without a shuffle.
 
-    The columns named in carry come along unchanged; none of them may be named lang_pred or score.
+    The score compares the learned languages with each other; foreign says that a text of enough letters to tell is in none of them: its
+    letters cost more than `most` times what those of the likeliest language's own texts do. The columns named in
+    carry come along unchanged; none of them may have the name of a result.
     """
     small_batches(df.sparkSession)
     more = ["text" if c == text_col else f"carried_{i}" for i, c in enumerate(carry)]
@@ -269,18 +286,22 @@ def predict(df: DataFrame, model: LanguageModel, id_col: str = "doc_id", text_co
                 sizes = np.concatenate([sizes, np.fromiter(map(len, new), np.int64, len(new))])
             n, flat = np.fromiter(map(len, at), np.int64, len(at)), np.concatenate(at)
             has = run_sums((sizes[flat] > 0).astype(float), n) > 0
-            lang, score = ["und"] * len(raw), np.zeros(len(raw))
+            lang, score, foreign = ["und"] * len(raw), np.zeros(len(raw)), np.zeros(len(raw), bool)
             if k:
-                log = np.stack([run_sums(logs[flat, j], n) for j in range(k)], axis=1) + np.log(model.shares)
+                own = np.stack([run_sums(logs[flat, j], n) for j in range(k)], axis=1)
+                log = own + np.log(model.shares)
                 best = log.argmax(axis=1)
+                if model.usual is not None:
+                    size = run_sums(sizes[flat].astype(float), n)
+                    foreign = (size >= letters_to_tell) & (-own[np.arange(len(raw)), best] > most * model.usual[best] * size)
                 odds = 1 / np.exp(log - log.max(axis=1, keepdims=True)).sum(axis=1)
                 for i in np.flatnonzero(has):
                     lang[i], score[i] = model.languages[best[i]], odds[i]
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(lang), pa.array(np.minimum(score, 1.0)), *(batch.column(m) for m in more)], names=["id", "lang_pred", "score", *more])
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(lang), pa.array(np.minimum(score, 1.0)), pa.array(foreign), *(batch.column(m) for m in more)], names=["id", "lang_pred", "score", "foreign", *more])
 
     src = df.select(F.col(id_col).alias("id"), F.col(text_col).cast("string").alias("text"), *[F.col(c).alias(m) for c, m in zip(carry, more) if m != "text"])
     kinds = "".join(f", {m} {src.schema[m].dataType.simpleString()}" for m in more)
-    out = src.mapInArrow(run, f"id {src.schema['id'].dataType.simpleString()}, lang_pred string, score double{kinds}")
+    out = src.mapInArrow(run, f"id {src.schema['id'].dataType.simpleString()}, lang_pred string, score double, foreign boolean{kinds}")
     return out.withColumnsRenamed({"id": id_col, **dict(zip(more, carry))})
 
 
