@@ -2,7 +2,9 @@
 
 Language ID, SimHash near-dedup, substring dedup, mixing to target weights, byte-level BPE. Every stage works on
 all that the one before kept, and all but the last give the columns of documents. Rows without doc_id
-are rejected with the texts that have no language; empty tables stay empty.
+are rejected with the texts that have no language or none of the learned ones. Of rows equal in doc_id and text one
+stays; texts that share a doc_id all stay, if theirs is the document kept of its group. Long texts are single rows in a
+worker's memory, as in the operators. Empty tables stay empty, and further columns are dropped.
 """
 
 from __future__ import annotations
@@ -20,17 +22,17 @@ LEAST_SCORE = 0.5
 
 
 def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents in one of the corpus's languages."""
+    """Documents in one of the corpus's languages, as far as their letters tell."""
     model = langid.train(docs, PIECES, F.col("doc_id").isNotNull())
     seen = langid.predict(docs, model, carry=("text", "lang", "source", "n_chars"))
-    return seen.where((F.col("lang_pred") != "und") & (F.col("score") >= LEAST_SCORE) & F.col("doc_id").isNotNull()).select(*COLUMNS)
+    return seen.where((F.col("lang_pred") != "und") & ~F.col("foreign") & (F.col("score") >= LEAST_SCORE) & F.col("doc_id").isNotNull()).select(*COLUMNS)
 
 
 def near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The document with the least doc_id of each group of near copies; of repeated doc_ids the least row."""
+    """The document with the least doc_id of each group of near copies; of rows with its doc_id one for each text."""
     kept = simhash.near_duplicates(docs, distance=4, shingle=4).where("doc_id = component_id").select("doc_id").distinct()
     rest = docs.join(kept, "doc_id", "left_semi")
-    return rest.groupBy("doc_id").agg(F.min(F.struct(*COLUMNS[1:])).alias("row")).select("doc_id", "row.*")
+    return rest.groupBy("doc_id", F.md5("text").alias("digest")).agg(F.min(F.struct(*COLUMNS[1:])).alias("row")).select("doc_id", "row.*")
 
 
 def repeated_passages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
