@@ -12,8 +12,10 @@ from ..functions.seq import revcomp
 from .align import align
 from .kmers import bitmap, kmer_hashes
 
-#: Sequences of a block that is aligned with other blocks, about.
-BLOCK = 256
+#: Sequences of a block of a, and of one of b, that are aligned with each other in one go, about.
+BLOCK, FEW = 256, 8
+#: Partitions for pairs of blocks, at most.
+SPREAD = 10_000
 
 
 def _sides(a: DataFrame, b: DataFrame) -> tuple[DataFrame, DataFrame]:
@@ -87,9 +89,9 @@ def align_best(a: DataFrame, b: DataFrame, k: int = 20, min_cov: float = 0.8, ga
     x = a.select(F.col("name").alias("a_name"), F.col("seq").alias("a_seq"), order.cast("long").alias("a_ord")).where(F.length("seq") > 0).distinct()
     y = sharing_kmer(a, b, k).select(F.col("name").alias("b_name"), F.col("seq").alias("b_seq")).distinct()
     dealt = lambda df, of: df.groupBy(F.pmod(F.xxhash64(*df.columns), F.lit(of)).cast("int").alias("block")).agg(F.collect_list(F.struct(*df.columns)).alias("rows"))  # noqa: E731  about BLOCK rows each
-    n = max(1, -(-x.count() // BLOCK))
+    n, m = max(1, -(-x.count() // BLOCK)), max(1, -(-y.count() // FEW))
     a_blocks = dealt(x, n).select("block", F.col("rows").alias("a_rows"))
-    b_blocks = dealt(y, max(1, -(-y.count() // BLOCK))).select(F.explode(F.sequence(F.lit(0), F.lit(n - 1))).alias("block"), F.col("rows").alias("b_rows"))
+    b_blocks = dealt(y, m).select(F.explode(F.sequence(F.lit(0), F.lit(n - 1))).alias("block"), F.col("rows").alias("b_rows"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -107,7 +109,7 @@ def align_best(a: DataFrame, b: DataFrame, k: int = 20, min_cov: float = 0.8, ga
             names = {"b_name": pa.string(), "b_seq": pa.string(), "key": pa.float64(), "less": pa.int64(), "a_ord": pa.int64(), "a_name": pa.string(), "a_seq": pa.string(), "identical": pa.int64()}
             yield pa.RecordBatch.from_arrays([pa.array([r[c] for r in out], t) for c, t in names.items()], names=list(names))
 
-    done = b_blocks.join(a_blocks, "block").select("a_rows", "b_rows").mapInArrow(run, "b_name string, b_seq string, key double, less long, a_ord long, a_name string, a_seq string, identical long")
+    done = b_blocks.join(a_blocks, "block").select("a_rows", "b_rows").repartition(min(n * m, SPREAD)).mapInArrow(run, "b_name string, b_seq string, key double, less long, a_ord long, a_name string, a_seq string, identical long")
     best = done.groupBy("b_name").agg(F.min(F.struct("key", "less", "a_ord", "a_name", "a_seq", "identical", "b_seq")).alias("m")).select("b_name", "m.*").withColumn("columns", -F.col("less"))
     return best.select("a_name", "a_seq", "b_name", "b_seq", "identical", "columns", (-F.col("key")).alias("identity_pct"), (F.col("columns") / F.least(F.length("a_seq"), F.length("b_seq"))).alias("coverage"))
 

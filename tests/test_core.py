@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 from strandframe.config import EngineConfig, validate
 from strandframe.functions import seq as S
 from strandframe.operators import align, catalog, compare, intervals, kmers, report, resolve, search, tables
-from strandframe.plans import locus
+from strandframe.plans import comparison, locus
 from strandframe.sources import readers, writers
 from strandframe.streaming import lookup
 
@@ -369,6 +369,26 @@ def test_whole_locus_plan(spark):
     assert {(r["name"], r["source"]) for r in out["union"].collect()} == {("AluACA1|N1", "both_a"), ("AluACA2", "a_only")}
 
 
+def test_whole_comparison_plan(spark):
+    rng = random.Random(6)
+    g = "".join(rng.choice("ACGT") for _ in range(1200))
+    t = lambda r, s: spark.createDataFrame(r, s)
+    sno = t([("s1", g[100:180], 0), ("s2", g[297:380], 1), ("s3", "".join(rng.choice("ACGT") for _ in range(60)), 2), ("s4", rc(g[600:660]), 3)], SEQ)
+    union = t([("u1.id3001", g[100:180], 0), ("u2_v.id3002", g[300:380], 1), ("u3.id3003", g[600:660], 2)], SEQ)
+    bed = t([("chr1", 100, 180, "u1", 0, "+"), ("chr1", 300, 380, "u2|v", 0, "+"), ("chr1", 600, 660, "u3", 0, "+")], BED)
+    cat = t([("k1", "chr1", 101, 180, "+", "g1", "HACA"), ("k2", "chr1", 101, 180, "-", "g1", "HACA"), ("k3", "chr1", 901, 950, "+", "", "CD"), ("k4", "chr1", 1, 9, "+", "x", "AluACA"), ("k5", None, None, None, None, "y", "CD")], "id string, chrom string, start long, end long, strand string, gene_name string, box_type string")
+    out = comparison.deliverables(comparison.Inputs(sno, union, bed, cat, search.tile(t([("chr1", g)], "chrom string, seq string"), 64, 32)))
+    assert rows(out["overlaps"].select("a_name", "b_name", "relation")) == [("u1.id3001", "s1", "exact"), ("u2_v.id3002", "s2", "a_in_b"), ("u3.id3003", "s4", "revcomp")]
+    assert out["relation_sizes"].first()[:] == (1, 1, 1, 2)
+    assert rows(out["decisions"].select("union_name", "snodb_name", "kept")) == [("u1.id3001", "s1", "union"), ("u2_v.id3002", "s2", "snodb")]
+    assert rows(out["merged"].select("name")) == [("s3",), ("s4",), ("u1.id3001",), ("u2_v.id3002",), ("u3.id3003",)]
+    assert rows(out["corrected_bed"].select("name", "start", "end")) == [("u1", 100, 180), ("u2|v", 297, 380), ("u3", 600, 660)]
+    assert rows(out["replaced"].select("name", "origin")) == [("g1_k2", "catalogue"), ("k3", "catalogue"), ("u1", "union"), ("u2|v", "union"), ("u3", "union")]
+    assert out["dropped"].first()[:] == (1, 1, 3)
+    assert rows(out["placements"].select("name", "start", "strand")) == [("s1", 100, "+"), ("s2", 297, "+"), ("s4", 600, "-")]
+    assert rows(out["placement_check"]) == [("either", 3, 3), ("same", 2, 2)]
+
+
 def test_readers_and_writers(spark, tmp_path):
     (tmp_path / "x.fa").write_text(">X1.1 some AluACA7 text\nacg\ntt\n>X2.2 AluACA8\nGG\n>X1.1 AluACA9\nTT\n")
     assert rows(readers.fasta_ids(spark, str(tmp_path / "x.fa")).select("name", "accession", "seq")) == [("AluACA7", "X1.1", "ACGTT"), ("AluACA8", "X2.2", "GG"), ("AluACA9", "X1.1", "TT")]
