@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 from .functions import seq as S
 from .operators import catalog, compare, intervals, report, resolve, search, tables
-from .queries import DNA, DOC, EV, ON, ORACLE_SQL, PATTERNS, PLACES, QUERIES, RC, ab, dna, docs, ev, id_bounds, items, query, t
+from .queries import DNA, DOC, EV, ON, ORACLE_SQL, PLACES, QUERIES, RC, ab, dna, docs, ev, id_bounds, items, query, t
 from .sources import writers
 
 __all__ = ["ORACLE_SQL", "QUERIES"]

@@ -334,6 +334,20 @@ def test_containment_kmers_and_report(spark):
     assert {(r["sno_name"], r["union_name"]) for r in first.collect()} == {("b1", "a1"), ("b2", "a2"), ("b4", "a2")}
 
 
+def test_report_with_alignment(spark):
+    """Aligned pairs come after the others, and none that is equal or contained comes again; reverse complements may."""
+    rng = random.Random(43)
+    x = "".join(rng.choice("ACGT") for _ in range(80))
+    near = x[:30] + {"A": "C", "C": "A", "G": "T", "T": "G"}[x[30]] + x[31:70]
+    a = spark.createDataFrame([("a1", x, 0), ("a2", "".join(rng.choice("ACGT") for _ in range(80)), 1)], SEQ)
+    b = spark.createDataFrame([("same", x, 0), ("part", x[10:70], 1), ("near", near, 2), ("far", "".join(rng.choice("ACGT") for _ in range(80)), 3)], SEQ)
+    got = compare.ordered_report(compare.overlap_report(a, b, align=True, k=12)).collect()
+    assert [(r["a_name"], r["b_name"], r["relation"], r["overlap_len"]) for r in got] == [("a1", "same", "exact", 80), ("a1", "part", "b_in_a", 60), ("a1", "near", "align", 70)]
+    assert got[2]["identity_pct"] == 100 * 69 / 70 and got[2]["coverage"] == 1.0
+    bands = {r["band"]: r["n"] for r in report.identity_bands(spark.createDataFrame([(r["identity_pct"],) for r in got], "identity_pct double")).collect()}
+    assert bands == {100: 2, 95: 1}
+
+
 def test_winner_rules_collapse_and_correction(spark):
     uni = "GGGGGGGGGG"
     sno = spark.createDataFrame([("same", uni, 0), ("off", "A" + uni + "T", 1), ("long", "AAAA" + uni + "CCC", 2), ("canon", "TT" + uni[:4] + uni + "ACATTT", 3), ("alone", "CTCTCTCTCTCTCT", 4)], SEQ)
