@@ -15,7 +15,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ._common import discard, materialize, partitions
+from ._common import materialize, partitions
 
 #: Rows of a block of a hot bucket.
 BLOCK = 2048
