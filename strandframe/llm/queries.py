@@ -8,9 +8,10 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, caps, cotrain, hamming, id_files, langid, mixing, simhash, substring, token_counts
+from . import bpe, caps, conversations, cotrain, hamming, id_files, langid, lexical, mixing, simhash, substring, token_automaton, token_counts
 
 BYTE_BPE = public_tokenizers.path("byte_bpe_50k.tiktoken")
+BYTE_MERGES = public_tokenizers.path("byte_bpe_50k.json")
 WORD_BPE = public_tokenizers.path("word_bpe_49k.json")
 PIECES = public_tokenizers.path("piece_bpe_32k.model")
 PATTERN = public_tokenizers.PATTERN
@@ -69,8 +70,21 @@ def op10_id_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     return id_files.id_file_digests(table(spark, sf_dir, "documents"), WORD_BPE, end_id=2)
 
 
+def op11_conversation_repair(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = table(spark, sf_dir, "conversations")
+    return conversations.repair_summaries(conversations.damage(rows), rows)
+
+
+def op12_token_automaton(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return token_automaton.automaton_digests(table(spark, sf_dir, "documents"), BYTE_MERGES, PATTERN)
+
+
+def op13_ranked_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return lexical.search(lexical.build_index(table(spark, sf_dir, "documents")), table(spark, sf_dir, "benchmark"), 10)
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
-    f.__name__: f for f in (op1_soft_mixing, op2_hamming_topk, op3_cotrained_quality, op4_byte_bpe, op5_substring_dedup, op6_simhash_pigeonring, op7_language_id, op8_section_tokens, op9_cap_embedding_dedup, op10_id_files, llm_planted_vector_links)
+    f.__name__: f for f in (op1_soft_mixing, op2_hamming_topk, op3_cotrained_quality, op4_byte_bpe, op5_substring_dedup, op6_simhash_pigeonring, op7_language_id, op8_section_tokens, op9_cap_embedding_dedup, op10_id_files, op11_conversation_repair, op12_token_automaton, op13_ranked_search, llm_planted_vector_links)
 }
 
 LINKS = """
@@ -81,6 +95,10 @@ WITH RECURSIVE t AS (SELECT * FROM {vectors}), v AS (SELECT vec_id, embedding::D
      n AS (SELECT u AS vec_id, count(*) AS n FROM l GROUP BY u)
 SELECT t.vec_id, coalesce(n.n, 0)::BIGINT AS n_links, c.component_id, t.vec_id = c.component_id AS kept FROM t JOIN c USING (vec_id) LEFT JOIN n USING (vec_id)"""
 
+#: What is known before a turn (n: no role yet), then the roles that come next, one after the other; and how each is written.
+AFTER = [("n", "u", "a"), ("s", "u", "a"), ("u", "a", "u"), ("a", "u", "a")]
+INSERTED = {"u": "user:", "a": "assistant:"}
+
 ORACLE_SQL: dict[str, str] = {
     "op2_hamming_topk": """
 WITH c AS (SELECT vec_id, list_sum([CASE WHEN embedding[i] > 0 THEN (1::HUGEINT << (i - 1)) ELSE 0::HUGEINT END FOR i IN range(1, len(embedding) + 1)])::HUGEINT AS code FROM embeddings
@@ -96,6 +114,39 @@ WITH d AS (SELECT doc_id, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0
      p AS (SELECT doc_id, word, p FROM (SELECT doc_id, unnest(w) AS word, unnest(range(1, len(w) + 1)) AS p FROM d)),
      k AS (SELECT p.doc_id, string_agg(p.word, ' ' ORDER BY p.p) FILTER (WHERE g.p IS NULL) AS kept, count(g.p) AS n_removed FROM p LEFT JOIN g ON g.doc_id = p.doc_id AND g.p = p.p GROUP BY p.doc_id)
 SELECT d.doc_id, len(d.w)::BIGINT AS n_words, coalesce(k.n_removed, 0)::BIGINT AS n_removed, sha256(coalesce(k.kept, '')) AS kept_sha256 FROM d LEFT JOIN k USING (doc_id)""",
+    "op11_conversation_repair": r"""
+WITH RECURSIVE h AS (SELECT *, coalesce(conv_id::VARCHAR, ' ') || ':' || coalesce(turn::VARCHAR, ' ') AS name FROM conversations),
+     f AS (SELECT conv_id, turn, coalesce(role, ' ') AS role, coalesce(text, ' ') AS text, xor(list_reduce([4294967295::BIGINT] || [ascii(c)::BIGINT FOR c IN string_split(name, '')],
+               lambda x, b: list_reduce([xor(x, b)] || [0::BIGINT FOR _ IN range(8)], lambda y, z: CASE WHEN y & 1 = 1 THEN xor(y >> 1, 3988292384) ELSE y >> 1 END)), 4294967295) % 20 AS fate FROM h),
+     g AS (SELECT conv_id, turn, CASE fate WHEN 4 THEN 'user' ELSE role END AS role, CASE fate WHEN 1 THEN '' WHEN 2 THEN translate(text, '.!?', '') ELSE text END AS text,
+                  unnest(CASE fate WHEN 3 THEN [0, 1] ELSE [0] END) AS c FROM f WHERE fate <> 0),
+     o AS (SELECT *, row_number() OVER (PARTITION BY conv_id ORDER BY turn NULLS FIRST, role, text, c) AS i, 
+                  row_number() OVER (PARTITION BY conv_id, role, text ORDER BY turn NULLS FIRST, c) AS k, left(role, 1) AS r, right(rtrim(text, ' ' || chr(9) || chr(10) || chr(11) || chr(12) || chr(13)), 1) AS z FROM g),
+     t AS (SELECT *, z = '' AS blank, z <> '' AND k > 1 AS dup, z <> '' AND k = 1 AND z NOT IN ('.', '!', '?') AS cut, lag(r) OVER (PARTITION BY conv_id ORDER BY i) || r AS pair FROM o),
+     v AS (SELECT conv_id, count(*)::BIGINT + 1 AS i, {'c': 0, 'a': '', 't': []::VARCHAR[]} AS n, {'c': 4, 'a': 'II', 't': ['user:', 'assistant:']} AS s, {'c': 2, 'a': 'I', 't': ['assistant:']} AS u,
+                  {'c': 0, 'a': '', 't': []::VARCHAR[]} AS a FROM t GROUP BY conv_id
+           UNION ALL SELECT conv_id, i, """ + ", ".join(f"list_sort([b{q}, {{'c': b{x}.c + 2, 'a': 'I' || b{x}.a, 't': ['{INSERTED[x]}'] || b{x}.t}}, {{'c': b{y}.c + 4, 'a': 'II' || b{y}.a, 't': ['{INSERTED[x]}', '{INSERTED[y]}'] || b{y}.t}}])[1] AS {q}" for q, x, y in AFTER) + r"""
+           FROM (SELECT v.conv_id, v.i - 1 AS i, """ + ", ".join(f"""list_sort(list_filter([{{'c': v.{q}.c + 3, 'a': 'D' || v.{q}.a, 't': v.{q}.t}},
+                  CASE WHEN NOT blank AND NOT dup THEN {{'c': v.{x}.c + 2 + cut::INT, 'a': 'R' || v.{x}.a, 't': ['{INSERTED[x]}' || text] || v.{x}.t}} END,
+                  CASE WHEN NOT blank AND NOT dup AND r = '{x}' THEN {{'c': v.{x}.c + cut::INT, 'a': 'K' || v.{x}.a, 't': [role || ':' || text] || v.{x}.t}} END,
+                  CASE WHEN NOT blank AND NOT dup AND r = 's' AND '{q}' = 'n' THEN {{'c': v.s.c + cut::INT, 'a': 'K' || v.s.a, 't': [role || ':' || text] || v.s.t}} END], lambda o: o IS NOT NULL))[1] AS b{q}""" for q, x, _ in AFTER) + r"""
+                 FROM v JOIN t ON t.conv_id IS NOT DISTINCT FROM v.conv_id AND t.i = v.i - 1)),
+     e AS (SELECT conv_id, n FROM v WHERE i = 1),
+     w AS (SELECT conv_id, coalesce(max(turn) - min(turn) + 1 - count(DISTINCT turn), 0)::BIGINT AS gaps, count(*) FILTER (blank) AS blank, count(*) FILTER (dup) AS duplicate, count(*) FILTER (cut) AS truncated,
+                  count(*) FILTER (pair NOT IN ('su', 'ua', 'au')) AS illegal FROM t GROUP BY conv_id)
+SELECT c.conv_id, coalesce(gaps, 0) AS gaps, coalesce(blank, 0) AS blank, coalesce(duplicate, 0) AS duplicate, coalesce(truncated, 0) AS truncated, coalesce(illegal, 0) AS illegal,
+       coalesce(n.c, 0)::BIGINT AS cost, coalesce(n.a, '') AS audit, sha256(coalesce(array_to_string(n.t, chr(10)), '')) AS repaired_sha256
+FROM (SELECT DISTINCT conv_id FROM conversations) c LEFT JOIN w ON w.conv_id IS NOT DISTINCT FROM c.conv_id LEFT JOIN e ON e.conv_id IS NOT DISTINCT FROM c.conv_id""",
+    "op13_ranked_search": r"""
+WITH t AS (SELECT doc_id, row_number() OVER () AS r, regexp_extract_all(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+') AS x FROM documents),
+     d AS (SELECT doc_id, r, x, len(x)::BIGINT AS n FROM t WHERE len(x) > 0),
+     s AS (SELECT count(*)::BIGINT AS all_n, sum(n)::BIGINT AS all_l FROM d),
+     p AS (SELECT doc_id, r, n, term, count(*)::BIGINT AS tf FROM (SELECT doc_id, r, n, unnest(x) AS term FROM d) GROUP BY ALL),
+     f AS (SELECT term, floor(1000 * ln((2 * any_value(all_n) + 2)::DOUBLE / (2 * count(*) + 1)::DOUBLE))::BIGINT AS w FROM p, s GROUP BY term),
+     q AS (SELECT DISTINCT item_id, unnest(regexp_extract_all(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+')) AS term FROM benchmark),
+     m AS (SELECT item_id, doc_id, r, sum(w * ((1000000000 * tf) // (1000 * tf + 8 * (10 + (90 * n * all_n) // all_l))))::BIGINT AS score FROM q JOIN f USING (term) JOIN p USING (term), s GROUP BY ALL),
+     o AS (SELECT item_id, row_number() OVER (PARTITION BY item_id ORDER BY score DESC, doc_id NULLS FIRST)::INT AS rank, doc_id, score FROM m WHERE score > 0)
+SELECT * FROM o WHERE rank <= 10""",
     "op9_cap_embedding_dedup": LINKS.format(vectors="embeddings"),
     "llm_planted_vector_links": LINKS.format(
         vectors="""(SELECT vec_id, embedding::DOUBLE[] AS embedding FROM embeddings UNION ALL SELECT vec_id + 1000000000, [embedding[i + 1]::DOUBLE + ((vec_id * 31 + i * 17) % 11 - 5)::DOUBLE / 500 FOR i IN range(0, len(embedding))] FROM embeddings
