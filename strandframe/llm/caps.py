@@ -37,6 +37,8 @@ SEED = 20240229
 BUCKET, LINKS = 2048, 3.0
 #: Rows of a block of a crowded filter, and of a tile of comparisons.
 BLOCK, TILE = 8192, 512
+#: Components beyond which a rotation is a product of sparse ones instead of a matrix, which would grow with their square.
+WIDE = 1024
 
 
 def tail(dim: int) -> tuple[np.ndarray, np.ndarray]:
@@ -70,16 +72,33 @@ class ProductCode:
     def __init__(self, dim: int, words: int, blocks: int, threshold: float, seed: int):
         rng = np.random.default_rng(seed)
         self.words, self.threshold = words, threshold
-        self.rotation = np.linalg.qr(rng.normal(size=(dim, dim)))[0]
+        self.rotation = np.linalg.qr(rng.normal(size=(dim, dim)))[0] if dim <= WIDE else None
+        self.signs = None if dim <= WIDE else rng.choice([-1.0, 1.0], size=(3, dim))
         self.cuts = [round(dim * i / blocks) for i in range(blocks + 1)]
         self.code = []
         for a, b in zip(self.cuts, self.cuts[1:]):
             w = rng.normal(size=(words, b - a))
             self.code.append(w / np.linalg.norm(w, axis=1, keepdims=True) / np.sqrt(blocks))
 
+    def rotate(self, unit: np.ndarray) -> np.ndarray:
+        """Rotated unit vectors; wide ones by three rounds of random signs and a Hadamard transform, filled up with zeros to its width."""
+        if self.rotation is not None:
+            return unit @ self.rotation
+        x = np.zeros((len(unit), self.signs.shape[1]))
+        x[:, : unit.shape[1]] = unit
+        for signs in self.signs:
+            x *= signs
+            half = 1
+            while half < x.shape[1]:
+                y = x.reshape(len(x), -1, 2, half)
+                x = np.stack([y[:, :, 0] + y[:, :, 1], y[:, :, 0] - y[:, :, 1]], axis=2).reshape(x.shape)
+                half *= 2
+            x /= np.sqrt(x.shape[1])
+        return x
+
     def decode(self, unit: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """(vector, filter) for every filter that a unit vector passes, or its best."""
-        x, n, w = unit @ self.rotation, len(unit), self.words
+        x, n, w = self.rotate(unit), len(unit), self.words
         scores = [x[:, a:b] @ c.T for a, b, c in zip(self.cuts, self.cuts[1:], self.code)]
         best = [s.max(axis=1) for s in scores]
         row, name, total = np.arange(n), np.zeros(n, np.int64), np.zeros(n)
@@ -107,6 +126,7 @@ class Filters:
     """The codes for so many vectors and a least cosine of pairs. One code's passed filters come in clumps; more codes than one even that out."""
 
     def __init__(self, dim: int, vectors: int, least: float):
+        dim = dim if dim <= WIDE else 1 << (dim - 1).bit_length()
         share = min(0.3, BUCKET / max(1, vectors))
         threshold = cap_threshold(dim, share)
         codes = max(2, int(np.ceil(np.log2(max(2, vectors)) / 4.5)))
@@ -169,7 +189,8 @@ def near_vectors(df: DataFrame, least: float = 0.95, id_col: str = "vec_id", vec
     rows = vectors(df, id_col, vector_col)
     named = materialize(rows.select("id", F.when(F.col("id").isNotNull(), F.col("h")).alias("h")), "vector-digests")
     classes = materialize(rows.where("id is not null and vec is not null").groupBy("h").agg(F.min("id").alias("node"), F.count("*").alias("copies"), F.first("vec").alias("vec")), "vector-classes")
-    many = classes.count()
+    many, widest = classes.agg(F.count("*"), F.coalesce(F.max(F.octet_length("vec")), F.lit(0))).first()
+    stride = widest // size + 1  # above any number of components, so that a key tells filter and width
     meta = np.dtype([("copies", "<i8"), ("scale", "<f8"), ("error", "<f8"), ("dim", "<i4")])
 
     def decoded(batch: pa.RecordBatch) -> Iterator[tuple[int, np.ndarray, np.ndarray, np.ndarray, np.ndarray]]:
@@ -185,7 +206,7 @@ def near_vectors(df: DataFrame, least: float = 0.95, id_col: str = "vec_id", vec
         for batch in batches:
             for at in range(0, batch.num_rows, 256):
                 for dim, _, _, _, f in decoded(batch.slice(at, 256)):
-                    key, n = np.unique(f * 4099 + dim, return_counts=True)
+                    key, n = np.unique(f * stride + dim, return_counts=True)
                     yield pa.RecordBatch.from_arrays([pa.array(key), pa.array(n)], names=["key", "n"])
 
     def spell(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -200,7 +221,7 @@ def near_vectors(df: DataFrame, least: float = 0.95, id_col: str = "vec_id", vec
                     ends = np.cumsum(np.bincount(r, minlength=len(own)))
                     lists = f.astype(filters_of(dim, many, least).kind)
                     packed = [about[i].tobytes() + q[i].tobytes() + lists[a:b].tobytes() for i, (a, b) in enumerate(zip([0, *ends[:-1].tolist()], ends.tolist()))]
-                    yield pa.RecordBatch.from_arrays([pa.array(f * 4099 + dim), pa.array(node[own[r]]), pa.array([packed[i] for i in r.tolist()], pa.binary())], names=["key", "node", "packed"])
+                    yield pa.RecordBatch.from_arrays([pa.array(f * stride + dim), pa.array(node[own[r]]), pa.array([packed[i] for i in r.tolist()], pa.binary())], names=["key", "node", "packed"])
 
     def kernel(table: pa.Table, _) -> Iterator[pa.RecordBatch]:
         key, node, bi, bj, own = (table.column(c).to_numpy() for c in ("key", "node", "bi", "bj", "own"))
@@ -217,7 +238,7 @@ def near_vectors(df: DataFrame, least: float = 0.95, id_col: str = "vec_id", vec
             filters = np.full((b - a, max(map(len, lists))), np.iinfo(np.int64).max)
             for i, x in enumerate(lists):
                 filters[i, : len(x)] = x
-            here, scale, error = int(key[a]) // 4099, about["scale"], about["error"]
+            here, scale, error = int(key[a]) // stride, about["scale"], about["error"]
             near = (q * scale[:, None]).astype(np.float32)
             floor = np.float32(least - 2.1 * error.max() - 1e-5 - 1e-7 * dim)
             across = own[a:b] != own[a] if bi[a] != bj[a] else None  # of two blocks only pairs across
