@@ -49,8 +49,8 @@ def train_domains(docs: DataFrame, labels: DataFrame, bound: int = 6000) -> tupl
     return fit(x, np.array([r["y"] for r in got], np.int64), len(DOMAINS))
 
 
-def posteriors(docs: DataFrame, w: np.ndarray, b: np.ndarray) -> DataFrame:
-    """doc_id, n_tokens and posterior of every document."""
+def posteriors(docs: DataFrame, w: np.ndarray, b: np.ndarray, carry: tuple[str, ...] = ()) -> DataFrame:
+    """doc_id, n_tokens and posterior of every document, and its columns named in carry."""
     small_batches(docs.sparkSession)
     w = w.astype(np.float32)
     used = np.flatnonzero(w.any(axis=1))
@@ -67,9 +67,10 @@ def posteriors(docs: DataFrame, w: np.ndarray, b: np.ndarray) -> DataFrame:
             found = [content(x) for x in raw]
             z = np.array([weights[f].sum(axis=0) / np.sqrt(max(1, len(f))) for f, _ in found])
             p = softmax(z + b)
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(np.array([len(at) for _, at in found], np.int64)), pa.array(list(p), pa.list_(pa.float64()))], names=["doc_id", "n_tokens", "posterior"])
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(np.array([len(at) for _, at in found], np.int64)), pa.array(list(p), pa.list_(pa.float64())), *batch.columns[2:]], names=["doc_id", "n_tokens", "posterior", *carry])
 
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).mapInArrow(run, "doc_id long, n_tokens long, posterior array<double>")
+    src = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"), *[F.col(c).alias(f"carry_{i}") for i, c in enumerate(carry)])
+    return src.mapInArrow(run, "doc_id long, n_tokens long, posterior array<double>" + "".join(f", `{c}` {docs.schema[c].dataType.simpleString()}" for c in carry))
 
 
 class Steps:
@@ -121,9 +122,10 @@ def written(soft: DataFrame, steps: Steps, k: int) -> DataFrame:
         for batch in batches:
             _, p, r, y = _matrix(batch, k)
             r, y, _ = steps.rates(p, r, y)
-            yield pa.RecordBatch.from_arrays([*(batch.column(i) for i in range(3)), pa.array(r), pa.array(y)], names=["doc_id", "n_tokens", "posterior", "rate", "ahead"])
+            at = {"rate": pa.array(r), "ahead": pa.array(y)}
+            yield pa.RecordBatch.from_arrays([at.get(c, x) for c, x in zip(batch.schema.names, batch.columns)], names=batch.schema.names)
 
-    return soft.mapInArrow(run, "doc_id long, n_tokens long, posterior array<double>, rate double, ahead double")
+    return soft.mapInArrow(run, soft.schema)
 
 
 def solve(soft: DataFrame, targets: np.ndarray, rounds: int = 2000, close: float = 1e-3, keep: int = 32, patience: int = 50) -> tuple[DataFrame, np.ndarray]:
@@ -160,8 +162,8 @@ def solve(soft: DataFrame, targets: np.ndarray, rounds: int = 2000, close: float
     raise RuntimeError(f"no rates found in {rounds} rounds: shares {at_rate.tolist()} for targets {targets.tolist()}")
 
 
-def mix(docs: DataFrame, labels: DataFrame, targets: dict[str, float] | None = None, bound: int = 6000, close: float = 1e-3) -> DataFrame:
-    """doc_id, n_tokens, p_<domain> for each domain, rate, copies (the rate rounded up or down by a hash of the id) and share_gap.
+def mix(docs: DataFrame, labels: DataFrame, targets: dict[str, float] | None = None, bound: int = 6000, close: float = 1e-3, carry: tuple[str, ...] = ()) -> DataFrame:
+    """doc_id, n_tokens, p_<domain> for each domain, rate, copies (the rate rounded up or down by a hash of the id), share_gap and the columns named in carry.
 
     share_gap is the same for every row: how far the share of some domain is from its target at most; above `close` only where no rates reach the targets.
     """
@@ -169,8 +171,8 @@ def mix(docs: DataFrame, labels: DataFrame, targets: dict[str, float] | None = N
     goal = np.array([targets[d] for d in DOMAINS], float)
     goal /= goal.sum()
     w, b = train_domains(docs, labels, bound)
-    soft = materialize(posteriors(docs, w, b), "posteriors")
+    soft = materialize(posteriors(docs, w, b, carry), "posteriors")
     done, reached = solve(soft, goal, close=close)
-    out = done.select("doc_id", "n_tokens", *[F.col("posterior")[i].alias(f"p_{d}") for i, d in enumerate(DOMAINS)], "rate")
+    out = done.select("doc_id", "n_tokens", *[F.col("posterior")[i].alias(f"p_{d}") for i, d in enumerate(DOMAINS)], "rate", *carry)
     dice = F.pmod(F.xxhash64(F.col("doc_id"), F.lit("mix")), F.lit(1 << 30)) / (1 << 30)
     return out.withColumn("copies", F.floor(F.col("rate") + dice).cast("int")).withColumn("share_gap", F.lit(float(np.abs(reached - goal).max())))

@@ -283,6 +283,28 @@ def test_caps_decide_in_double_precision(spark):
     assert all(found[i] <= n for i, n in want.items()) and sum(found.values()) >= 0.9 * sum(want.values())
 
 
+def test_caps_of_wide_and_mixed_vectors(spark):
+    rng = np.random.default_rng(11)
+    rows, near = [], {}
+    for dim in (3, 64, 4100, 5000):
+        x = rng.normal(size=(3, dim))
+        for i, v in enumerate((x[0], x[0] + 1e-3 * x[1], x[2])):
+            near[len(rows)] = int(i < 2)
+            rows.append((len(rows), v.tolist()))
+    rows.append((99, rows[6][1][:4099]))
+    got = {r["vec_id"]: r for r in caps.near_vectors(spark.createDataFrame(rows, "vec_id long, embedding array<double>")).collect()}
+    assert {i: got[i]["n_links"] for i in near} == near and got[99]["n_links"] == 0
+    assert [got[i]["component_id"] for i in range(12)] == [0, 0, 2, 3, 3, 5, 6, 6, 8, 9, 9, 11]
+
+
+def test_wide_rotations_keep_angles():
+    rng = np.random.default_rng(3)
+    x = rng.normal(size=(20, 1500))
+    code = caps.Filters(1500, 50, 0.95).codes[0]
+    y = code.rotate(x)
+    assert y.shape == (20, 2048) and np.allclose(y @ y.T, x @ x.T)
+
+
 @pytest.mark.parametrize("shard, full, block", [(hamming.SHARD, hamming.FULL, hamming.QUERIES), (16, 64, 9)])
 def test_hamming_is_exact(spark, monkeypatch, shard, full, block):
     for name, value in (("SHARD", shard), ("FULL", full), ("QUERIES", block)):
@@ -530,10 +552,14 @@ def test_pipeline_stages_against_brute_force(spark, labels, stages, tmp_path):
         assert mine == sorted((d, about) for d, _, _, about in own)
         assert all(any(r["text"] == text and r["n_chars"] is not None for r in got[i]) for _, gone, text, _ in own if not gone)
 
-    rates = {r["doc_id"]: (r["copies"], r["rate"]) for r in mixing.mix(now, labels).collect()}
-    before = [r["doc_id"] for r in now.collect()]
+    other = [r["text"] for r in now.orderBy(F.length("text").desc()).limit(3).collect()]
+    two = spark.createDataFrame([(50_000, x, "en", "planted", len(x)) for x in (other[0] + " one", other[1] + " two", other[2] + " two", "?? !")] + [(50_001, other[0] + " one", "en", "planted", 9)] * 2, now.schema)
+    now = now.unionByName(two)  # texts that share an id, and equal rows
+    rates = {(r["doc_id"], r["text"]): (r["copies"], r["rate"]) for r in mixing.mix(now, labels, carry=("text",)).collect()}
+    assert len({x for (i, _), (_, x) in rates.items() if i == 50_000}) > 1
+    before = [(r["doc_id"], r["text"]) for r in now.collect()]
     now = stored(mixture(spark, now, SF), "mixture")
-    assert now.columns == columns and sorted(r["doc_id"] for r in now.collect()) == sorted(i for i in before for _ in range(rates[i][0]))
+    assert now.columns == columns and sorted((r["doc_id"], r["text"]) for r in now.collect()) == sorted(i for i in before for _ in range(rates[i][0]))
     assert all(np.floor(x) <= n <= np.ceil(x) for n, x in rates.values())
 
     ranks = {base64.b64decode(a): int(b) for a, b in map(bytes.split, open(BYTE_BPE, "rb"))}
