@@ -44,8 +44,10 @@ def repeated_passages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Data
 
 def mixture(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Each document as often as its rate says, rounded up or down by a hash of its id."""
-    rates = mixing.mix(docs, table(spark, sf_dir, "labels")).where("copies > 0").select("doc_id", "copies")
-    return docs.join(rates, "doc_id").select(*COLUMNS, F.explode(F.sequence(F.lit(1), F.col("copies")))).select(*COLUMNS)
+    docs = docs.withColumn("digest", F.sha2("text", 256))
+    # rows of one id and text have one rate, so each meets one; texts that share an id each have their own
+    rates = mixing.mix(docs, table(spark, sf_dir, "labels"), carry=("digest",)).where("copies > 0").select("doc_id", "digest", "copies").dropDuplicates(["doc_id", "digest"])
+    return docs.join(rates, ["doc_id", "digest"]).select(*COLUMNS, F.explode(F.sequence(F.lit(1), F.col("copies")))).select(*COLUMNS)
 
 
 def tokens(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
