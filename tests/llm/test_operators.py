@@ -326,6 +326,21 @@ def test_hamming_is_exact(spark, monkeypatch, shard, full, block):
     assert hamming.nearest_codes(rows.limit(0), rows, 5).count() == 0 == hamming.nearest_codes(rows, rows.limit(0), 5).count()
 
 
+@pytest.mark.parametrize("shard, full", [(hamming.SHARD, hamming.FULL), (8, 32)])
+def test_hamming_of_long_and_mixed_vectors(spark, monkeypatch, shard, full):
+    monkeypatch.setattr(hamming, "SHARD", shard)
+    monkeypatch.setattr(hamming, "FULL", full)
+    rng = np.random.default_rng(12)
+    x = [rng.normal(size=n) for n in [128] * 60 + [200] * 20 + [64] * 20 + [3] * 5] + [np.full(130, -1.0), np.zeros(0)]
+    x += [x[0] * 2, np.concatenate([x[70][:190], -x[70][190:]])]
+    rows = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(x)] + [(500, None), (501, [1.0, None]), (502, [float("nan")] * 200)], "vec_id long, embedding array<double>")
+    codes = hamming.sign_codes(rows)
+    got = hamming.nearest_codes(codes, codes.where("id % 7 = 0"), 4).orderBy("query_id", "rank").collect()
+    bits = [sum(1 << i for i, c in enumerate(v) if c > 0) for v in x]
+    want = [(q, r + 1, i, d) for q in range(0, len(x), 7) for r, (d, i) in enumerate(sorted(((bits[q] ^ b).bit_count(), i) for i, b in enumerate(bits))[:4])]
+    assert [tuple(r) for r in got] == want
+
+
 def test_sections(spark, docs, odd):
     enc = Tokenizer.from_file(P.path("byte_bpe_50k.json"))
     enc.encode_special_tokens = True
