@@ -13,10 +13,11 @@ MATCH, MISMATCH = 5.0, -4.0
 #: Scores are whole numbers of this part of one.
 UNIT = 1000
 #: Cells of an antidiagonal of a batch, about.
-CELLS = 1 << 16
+CELLS = 1 << 14
 #: Two sequences' paddings, which match nothing.
 PAD_A, PAD_B = np.uint32(2**32 - 1), np.uint32(2**32 - 2)
-LOW = np.int32(-(2**30))
+#: Scores beyond this are held in 64 bits.
+SMALL = 2**30
 SAME = np.int64(1) << 32
 
 
@@ -31,11 +32,11 @@ def padded(texts: list[str], pad: np.uint32) -> np.ndarray:
 def align(a: list[str], b: list[str], gap_open: float = 10.0, gap_extend: float = 0.5) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Identities, columns and score of each pair's best local alignment with affine gaps; of best cells the first by row, then by column, ends it."""
     out = np.zeros(len(a), np.int64), np.zeros(len(a), np.int64), np.zeros(len(a))
-    order = sorted(range(len(a)), key=lambda i: (len(a[i]), len(b[i])))
+    order = sorted(range(len(a)), key=lambda i: (int(4 * np.log2(len(b[i]) + 1)), len(a[i]), len(b[i])))  # rounds of a batch are as many as its longest texts ask for
     at = 0
     while at < len(order):
         end = at + 1
-        while end < len(order) and (end - at + 1) * (len(a[order[end]]) + 1) <= CELLS:
+        while end < len(order) and (end - at + 1) * (max(len(a[order[end]]), len(a[order[at]])) + 1) <= CELLS:
             end += 1
         own = order[at:end]
         for o, x in zip(out, _batch(padded([a[i] for i in own], PAD_A), padded([b[i] for i in own], PAD_B), gap_open, gap_extend)):
@@ -46,33 +47,37 @@ def align(a: list[str], b: list[str], gap_open: float = 10.0, gap_extend: float
 
 def _batch(x: np.ndarray, y: np.ndarray, gap_open: float, gap_extend: float) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     (p, n), m = x.shape, y.shape[1]
-    match, mismatch, opened, extended = (np.int32(round(v * UNIT)) for v in (MATCH, MISMATCH, gap_open, gap_extend))
-    back = np.ascontiguousarray(y[:, ::-1])
-    score = lambda fill: np.full((p, n + 1), fill, np.int32)
-    way = lambda: np.zeros((p, n + 1), np.int64)
+    costs = [round(v * UNIT) for v in (MATCH, MISMATCH, gap_open, gap_extend)]
+    kind = np.int32 if max(map(abs, costs)) * (min(n, m) + 2) < SMALL else np.int64
+    match, mismatch, opened, extended = map(kind, costs)
+    low = kind(-SMALL if kind is np.int32 else -(2**62))
+    # cells of one place of an antidiagonal, of all pairs, lie together
+    x, back = np.ascontiguousarray(x.T), np.ascontiguousarray(y.T[::-1])
+    score = lambda fill: np.full((n + 1, p), fill, kind)
+    way = lambda: np.zeros((n + 1, p), np.int64)
     # of the antidiagonals before: best, gap in a, gap in b, each with its way
-    h1, h2, e1, f1, hw1, hw2, ew1, fw1 = score(0), score(0), score(LOW), score(LOW), way(), way(), way(), way()
+    h1, h2, e1, f1, hw1, hw2, ew1, fw1 = score(0), score(0), score(low), score(low), way(), way(), way(), way()
     top, top_way = score(0), way()
     for d in range(2, n + m + 1):
         lo, hi = max(1, d - m), min(n, d - 1)
         own, above = slice(lo, hi + 1), slice(lo - 1, hi)
-        e, f, h, ew, fw, hw = score(LOW), score(LOW), score(0), way(), way(), way()
-        new, old = h1[:, own] - opened, e1[:, own] - extended
-        e[:, own] = np.maximum(new, old)
-        ew[:, own] = np.where(new >= old, hw1[:, own], ew1[:, own]) + 1
-        new, old = h1[:, above] - opened, f1[:, above] - extended
-        f[:, own] = np.maximum(new, old)
-        fw[:, own] = np.where(new >= old, hw1[:, above], fw1[:, above]) + 1
-        same = x[:, lo - 1 : hi] == back[:, m - d + lo : m - d + hi + 1]
-        straight = h2[:, above] + np.where(same, match, mismatch)
-        best = np.maximum(np.maximum(straight, f[:, own]), np.maximum(e[:, own], 0))
-        h[:, own] = best
-        via = np.where(straight == best, hw2[:, above] + np.where(same, SAME + 1, 1), np.where(f[:, own] == best, fw[:, own], ew[:, own]))
-        hw[:, own] = np.where(best > 0, via, 0)
-        better = best > top[:, own]
-        top[:, own] = np.where(better, best, top[:, own])
-        top_way[:, own] = np.where(better, hw[:, own], top_way[:, own])
+        e, f, h, ew, fw, hw = score(low), score(low), score(0), way(), way(), way()
+        new, old = h1[own] - opened, e1[own] - extended
+        e[own] = np.maximum(new, old)
+        ew[own] = np.where(new >= old, hw1[own], ew1[own]) + 1
+        new, old = h1[above] - opened, f1[above] - extended
+        f[own] = np.maximum(new, old)
+        fw[own] = np.where(new >= old, hw1[above], fw1[above]) + 1
+        same = x[lo - 1 : hi] == back[m - d + lo : m - d + hi + 1]
+        straight = h2[above] + np.where(same, match, mismatch)
+        best = np.maximum(np.maximum(straight, f[own]), np.maximum(e[own], 0))
+        h[own] = best
+        via = np.where(straight == best, hw2[above] + np.where(same, SAME + 1, 1), np.where(f[own] == best, fw[own], ew[own]))
+        hw[own] = np.where(best > 0, via, 0)
+        better = best > top[own]
+        top[own] = np.where(better, best, top[own])
+        top_way[own] = np.where(better, hw[own], top_way[own])
         h1, h2, e1, f1, hw1, hw2, ew1, fw1 = h, h1, e, f, hw, hw1, ew, fw
-    row = top.argmax(axis=1)
-    ends = top_way[np.arange(p), row]
-    return ends >> 32, ends & (SAME - 1), top[np.arange(p), row] / UNIT
+    row = top.argmax(axis=0)
+    ends = top_way[row, np.arange(p)]
+    return ends >> 32, ends & (SAME - 1), top[row, np.arange(p)] / UNIT

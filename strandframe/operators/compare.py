@@ -4,16 +4,21 @@ from __future__ import annotations
 
 from collections.abc import Iterator
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.seq import revcomp
+from ..sources.shared import stored
 from .align import align
+from .bounds import Grams
 from .kmers import bitmap, kmer_hashes
 
 #: Sequences of a block of a, and of one of b, that are aligned with each other in one go, about.
-BLOCK, FEW = 256, 8
+BLOCK, FEW = 256, 64
+#: Sequences of a with which each b is aligned at first.
+FIRST = 4
 #: Partitions for pairs of blocks, at most.
 SPREAD = 10_000
 
@@ -82,38 +87,90 @@ def sharing_kmer(a: DataFrame, b: DataFrame, k: int = 20) -> DataFrame:
 def align_best(a: DataFrame, b: DataFrame, k: int = 20, min_cov: float = 0.8, gap_open: float = 10.0, gap_extend: float = 0.5) -> DataFrame:
     """For each b that shares a k-mer with any a its best a by identity, then length, then a's order, among alignments that cover min_cov of the shorter.
 
-    A kept b is aligned with every a, also those that it shares no k-mer with: blocks of b meet blocks of a, and a task gives the
-    best of a block for each b, so pairs are never written out.
+    A kept b competes for every a, also those that it shares no k-mer with: blocks of b meet blocks of a, and a task gives the
+    best of a block for each b, so pairs are never written out. With several blocks of a, each b is first aligned with the a that
+    its q-grams make the likeliest. Then, likeliest first, those are aligned that the q-gram lemma (bounds.py) lets reach the best
+    identity so far; the others can't be better or equal, so no cell of theirs is computed.
     """
     order = F.col("ord") if "ord" in a.columns else F.lit(0)
     x = a.select(F.col("name").alias("a_name"), F.col("seq").alias("a_seq"), order.cast("long").alias("a_ord")).where(F.length("seq") > 0).distinct()
     y = sharing_kmer(a, b, k).select(F.col("name").alias("b_name"), F.col("seq").alias("b_seq")).distinct()
+    x, y = stored(x, "align-a"), stored(y, "align-b")
     dealt = lambda df, of: df.groupBy(F.pmod(F.xxhash64(*df.columns), F.lit(of)).cast("int").alias("block")).agg(F.collect_list(F.struct(*df.columns)).alias("rows"))  # noqa: E731  about BLOCK rows each
     n, m = max(1, -(-x.count() // BLOCK)), max(1, -(-y.count() // FEW))
     a_blocks = dealt(x, n).select("block", F.col("rows").alias("a_rows"))
-    b_blocks = dealt(y, m).select(F.explode(F.sequence(F.lit(0), F.lit(n - 1))).alias("block"), F.col("rows").alias("b_rows"))
+
+    def met(y: DataFrame) -> DataFrame:
+        b_blocks = dealt(y, m).select(F.explode(F.sequence(F.lit(0), F.lit(n - 1))).alias("block"), F.col("rows").alias("b_rows"))
+        return b_blocks.join(a_blocks, "block").select("a_rows", "b_rows").repartition(min(n * m, SPREAD))
+
+    def likeliest(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            out: list[tuple] = []
+            for xs, ys in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
+                grams = Grams([r["a_seq"] for r in xs], min_cov)
+                for y in ys:
+                    near = grams.guess(y["b_seq"], grams.places(y["b_seq"]))
+                    out.append((y["b_name"], y["b_seq"], float(near.max()), xs[int(near.argmax())]["a_seq"]))
+            kinds = {"b_name": pa.string(), "b_seq": pa.string(), "near": pa.float64(), "a_seq": pa.string()}
+            yield pa.RecordBatch.from_arrays([pa.array([r[i] for r in out], t) for i, t in enumerate(kinds.values())], names=list(kinds))
+
+    def first(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            b_seq, a_seq = batch.column(1).to_pylist(), batch.column(2).to_pylist()
+            same, columns, _ = align(a_seq, b_seq, gap_open, gap_extend)
+            covers = [bool(c) and c / min(len(u), len(v)) >= min_cov for u, v, c in zip(a_seq, b_seq, columns.tolist())]
+            known = [pa.array(np.where(covers, v, 0), pa.int64()) for v in (same, columns)]
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), *known], names=["b_name", "b_seq", "same", "columns"])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             out: list[dict] = []
             for xs, ys in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
-                for y in ys:
-                    same, columns, _ = align([r["a_seq"] for r in xs], [y["b_seq"]] * len(xs), gap_open, gap_extend)
-                    best = None
-                    for r, i, c in zip(xs, same.tolist(), columns.tolist()):
-                        if c and c / min(len(r["a_seq"]), len(y["b_seq"])) >= min_cov:
-                            key = (-100.0 * i / c, -c, r["a_ord"], r["a_name"], r["a_seq"], i)
-                            best = key if best is None or key < best else best
+                grams = Grams([r["a_seq"] for r in xs], min_cov)
+                for y, best in zip(ys, _best(xs, grams, ys, min_cov, gap_open, gap_extend)):
                     if best:
-                        out.append({**y, **dict(zip(("key", "less", "a_ord", "a_name", "a_seq", "identical"), best))})
+                        out.append({"b_name": y["b_name"], "b_seq": y["b_seq"], **dict(zip(("key", "less", "a_ord", "a_name", "a_seq", "identical"), best))})
             names = {"b_name": pa.string(), "b_seq": pa.string(), "key": pa.float64(), "less": pa.int64(), "a_ord": pa.int64(), "a_name": pa.string(), "a_seq": pa.string(), "identical": pa.int64()}
             yield pa.RecordBatch.from_arrays([pa.array([r[c] for r in out], t) for c, t in names.items()], names=list(names))
 
-    done = b_blocks.join(a_blocks, "block").select("a_rows", "b_rows").repartition(min(n * m, SPREAD)).mapInArrow(run, "b_name string, b_seq string, key double, less long, a_ord long, a_name string, a_seq string, identical long")
+    y = y.select("b_name", "b_seq", F.lit(0).cast("long").alias("same"), F.lit(0).cast("long").alias("columns"))
+    if n > 1:
+        guesses = met(y.select("b_name", "b_seq")).mapInArrow(likeliest, "b_name string, b_seq string, near double, a_seq string")
+        guesses = guesses.groupBy("b_name", "b_seq").agg(F.max(F.struct("near", "a_seq")).alias("m")).select("b_name", "b_seq", F.col("m.a_seq").alias("a_seq"))
+        y = stored(guesses.mapInArrow(first, "b_name string, b_seq string, same long, columns long"), "align-first")
+    done = met(y).mapInArrow(run, "b_name string, b_seq string, key double, less long, a_ord long, a_name string, a_seq string, identical long")
     best = done.groupBy("b_name").agg(F.min(F.struct("key", "less", "a_ord", "a_name", "a_seq", "identical", "b_seq")).alias("m")).select("b_name", "m.*").withColumn("columns", -F.col("less"))
     return best.select("a_name", "a_seq", "b_name", "b_seq", "identical", "columns", (-F.col("key")).alias("identity_pct"), (F.col("columns") / F.least(F.length("a_seq"), F.length("b_seq"))).alias("coverage"))
 
 
+def _best(xs: list[dict], grams: Grams, ys: list[dict], min_cov: float, gap_open: float, gap_extend: float) -> list[tuple | None]:
+    """For each of ys (b_seq; same and columns of an alignment that it has, or 0) the key of the best of xs, if any covers enough.
+
+    All ys go on together, so that a batch of alignments has pairs of many.
+    """
+    texts, known, best = [y["b_seq"] for y in ys], [(y["same"], y["columns"]) for y in ys], [None] * len(ys)
+    places = [grams.places(t) for t in texts]
+    left = [grams.likeliest_first(t, p) for t, p in zip(texts, places)]
+    step = FIRST
+    while any(map(len, left)):
+        pairs: list[tuple[int, dict]] = []
+        for j, own in enumerate(left):
+            if len(own) and known[j][0]:
+                own = own[grams.can_reach(texts[j], places[j], *known[j])[own]]
+            pairs += [(j, xs[i]) for i in own[:step].tolist()]
+            left[j] = own[step:]
+        step *= 2
+        for (j, r), i, c in zip(pairs, *(v.tolist() for v in align([r["a_seq"] for _, r in pairs], [texts[j] for j, _ in pairs], gap_open, gap_extend)[:2])):
+            if c and c / min(len(r["a_seq"]), len(texts[j])) >= min_cov:
+                key = (-100.0 * i / c, -c, r["a_ord"], r["a_name"], r["a_seq"], i)
+                best[j] = key if best[j] is None or key < best[j] else best[j]
+                same, columns = known[j]
+                if not same or i * columns > same * c:
+                    known[j] = i, c
+    return best
+
+
 def overlap_report(a: DataFrame, b: DataFrame, align: bool = False, k: int = 20, min_cov: float = 0.8, min_len: int = 40) -> DataFrame:
     """a_name, b_name, relation, a_len, b_len, overlap_len, identity_pct, coverage; cheapest relation first, and no pair twice in exact, containment and alignment."""
     kinds = {"exact": 0, "revcomp": 1, "b_in_a": 2, "a_in_b": 2, "align": 3}

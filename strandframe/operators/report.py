@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..functions.seq import accession_number, is_rna, no_host, repeat_class, source_tag
+from ..functions.seq import accession_number, dominant, is_rna, no_host, repeat_class, source_tag
 from .intervals import merge, overlap
 
 
@@ -43,7 +43,8 @@ def top_counts(df: DataFrame, key: str, n: int = 12) -> DataFrame:
 
 
 def top_repeats(loci: DataFrame, n: int = 12) -> DataFrame:
-    return top_counts(loci.where("repeat_family <> 'none'").select(F.explode(F.split("repeat_family", r"\|")).alias("name")), "name", n)
+    """The n commonest dominant repeats: of each locus the name that covers most of it, which stands first."""
+    return top_counts(loci.where("repeat_family <> 'none'").select(dominant(F.col("repeat_family")).alias("name")), "name", n)
 
 
 def conditional_counts(df: DataFrame, all_rows: str, **conditions: Column) -> DataFrame:

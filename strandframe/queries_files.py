@@ -99,10 +99,10 @@ def s9_catalogue_csv(spark, d):
     return readers.catalogue_csv(spark, written(spark, x, catalogue_lines(text("N", F.col("n"))), "n"))
 
 
-@query("SELECT 'chr' || (p_size % 25) AS chrom, p_partkey AS start, p_partkey + p_size AS \"end\", p_brand AS name, 'SINE;' || split_part(p_type, ' ', 1) AS score, CASE WHEN p_partkey % 2 = 0 THEN '+' ELSE '-' END AS strand FROM part")
+@query("SELECT 'chr' || (p_size % 25) AS chrom, p_partkey AS start, p_partkey + p_size AS \"end\", CASE WHEN p_partkey % 7 = 0 THEN chr(34) ELSE '' END || p_brand AS name, 'SINE;' || split_part(p_type, ' ', 1) AS score, CASE WHEN p_partkey % 2 = 0 THEN '+' ELSE '-' END AS strand FROM part")
 def s10_repeat_table(spark, d):
     key, size = F.col("p_partkey"), F.col("p_size")
-    line = F.concat_ws("\t", *[F.lit("x")] * 5, text("chr", size % 25), key.cast("string"), (key + size).cast("string"), F.lit("-5"), F.when(key % 2 == 0, "+").otherwise("-"), "p_brand", F.lit("SINE"), F.split("p_type", " ")[0], *[F.lit("y")] * 4)
+    line = F.concat_ws("\t", *[F.lit("x")] * 5, text("chr", size % 25), key.cast("string"), (key + size).cast("string"), F.lit("-5"), F.when(key % 2 == 0, "+").otherwise("-"), F.when(key % 7 == 0, text('"', F.col("p_brand"))).otherwise(F.col("p_brand")), F.lit("SINE"), F.split("p_type", " ")[0], *[F.lit("y")] * 4)
     parts = t(spark, d, "part")
     least = parts.agg(F.min("p_partkey")).first()[0]
     return readers.repeat_table(spark, written(spark, parts, F.when(key == least, text("#bin\tand more\n", line)).otherwise(line), "p_partkey"))
@@ -123,9 +123,9 @@ def s12_lines_after_caption(spark, d):
     return readers.table_lines(lines, "Supplemental Table 3").select(F.regexp_replace("value", "^See Supplemental Table 3 of ", "").alias("value"))
 
 
-@query("SELECT 'S' || p_partkey AS old, CASE WHEN p_partkey % 4 = 0 THEN NULL ELSE p_brand END AS current FROM part")
+@query("SELECT CASE WHEN p_partkey % 7 = 0 THEN chr(34) ELSE '' END || 'S' || p_partkey AS old, CASE WHEN p_partkey % 4 = 0 THEN NULL ELSE p_brand END AS current FROM part")
 def s14_aliases(spark, d):
-    line = F.concat_ws("\t", text("S", F.col("p_partkey")), F.when(F.col("p_partkey") % 4 == 0, "").otherwise(F.col("p_brand")))
+    line = F.concat_ws("\t", text(F.when(F.col("p_partkey") % 7 == 0, '"').otherwise(""), "S", F.col("p_partkey")), F.when(F.col("p_partkey") % 4 == 0, "").otherwise(F.col("p_brand")))
     return readers.aliases(spark, written(spark, t(spark, d, "part"), line, "p_partkey"))
 
 

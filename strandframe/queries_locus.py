@@ -264,10 +264,10 @@ def p10_keep_short(spark, d):
     return intervals.keep_short(ev(spark, d), 3000).select("name")
 
 
-@query(DNA + f"SELECT name, upper(trim(name || 'a ')) AS f2, (instr(seq, 'ACA') - 1)::INT AS f6, CASE WHEN length(seq) % 3 = 0 THEN 'x' ELSE '' END AS tag, contains(seq, 'GATTA') OR contains('GATTA', seq) AS f5, length(seq) > 0 AND contains(seq, 'U') AS f22 FROM dd")
+@query(DNA + f"SELECT name, upper(trim(name || 'a ')) AS f2, (instr(seq, 'ACA') - 1)::INT AS f6, CASE WHEN length(seq) % 3 = 0 THEN 'x' ELSE '' END AS tag, contains(seq, 'GATTA') OR contains('GATTA', seq) AS f5, length(seq) % 2 = 1 AS f22 FROM dd")
 def f5_substring_tests(spark, d):
     s = F.col("seq")
-    return dna(docs(spark, d)).select("name", S.normalise(text(F.col("name"), "a ")).alias("f2"), S.first_index(s, F.lit("ACA")).alias("f6"), F.when(F.length(s) % 3 == 0, "x").otherwise("").alias("tag"), S.contains_either(s, F.lit("GATTA")).alias("f5"), S.is_rna(s).alias("f22"))
+    return dna(docs(spark, d)).select("name", S.normalise(text(F.col("name"), "a ")).alias("f2"), S.first_index(s, F.lit("ACA")).alias("f6"), F.when(F.length(s) % 3 == 0, "x").otherwise("").alias("tag"), S.contains_either(s, F.lit("GATTA")).alias("f5"), S.is_rna(F.when(F.length(s) % 2 == 1, text(s, "GU")).otherwise(s)).alias("f22"))
 
 
 @query("SELECT item_id, pos FROM (SELECT item_id, text, unnest(range(1, length(text) - 1)) AS pos FROM benchmark) WHERE substr(text, pos, 3) = 'ing'")

@@ -161,7 +161,7 @@ def catalogue_csv(spark: SparkSession, path: str) -> DataFrame:
 def repeat_table(spark: SparkSession, path: str) -> DataFrame:
     """chrom, start, end, name, score (class;family), strand of a repeat table with a header line."""
     cols = ", ".join(f"c{i} string" for i in range(1, 18))
-    rows = spark.read.schema(cols).option("sep", "\t").option("header", True).option("enforceSchema", True).csv(path)
+    rows = spark.read.schema(cols).option("sep", "\t").option("header", True).option("enforceSchema", True).option("quote", "").csv(path)
     return rows.select(F.col("c6").alias("chrom"), F.col("c7").cast("long").alias("start"), F.col("c8").cast("long").alias("end"), F.col("c11").alias("name"), F.concat_ws(";", "c12", "c13").alias("score"), F.col("c10").alias("strand"))
 
 
@@ -187,4 +187,4 @@ def table_lines(lines: DataFrame, caption: str) -> DataFrame:
 
 def aliases(spark: SparkSession, path: str) -> DataFrame:
     """old, current from a two-column table; stands for remote lookups, which are out of scope."""
-    return spark.read.schema("old string, current string").option("sep", "\t").csv(path)
+    return spark.read.schema("old string, current string").option("sep", "\t").option("quote", "").csv(path)

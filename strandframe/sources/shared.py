@@ -6,7 +6,7 @@ import re
 import tempfile
 import uuid
 
-from pyspark.sql import SparkSession
+from pyspark.sql import DataFrame, SparkSession
 
 
 def shared_dir(spark: SparkSession, name: str) -> str:
@@ -19,3 +19,10 @@ def shared_dir(spark: SparkSession, name: str) -> str:
         top = f"file://{tempfile.mkdtemp(prefix='strandframe-')}"
         sc.setCheckpointDir(top)
     return f"{top.rstrip('/')}/strandframe/{name}-{uuid.uuid4().hex}"
+
+
+def stored(df: DataFrame, name: str) -> DataFrame:
+    """df written as Parquet below the shared folder and read again: it is computed once, and lost executors cost nothing."""
+    path = shared_dir(df.sparkSession, name)
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)

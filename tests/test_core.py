@@ -5,7 +5,7 @@ from pyspark.sql import functions as F
 
 from strandframe.config import EngineConfig, validate
 from strandframe.functions import seq as S
-from strandframe.operators import align, catalog, compare, intervals, kmers, report, resolve, search, tables
+from strandframe.operators import align, bounds, catalog, compare, intervals, kmers, report, resolve, search, tables
 from strandframe.plans import comparison, locus
 from strandframe.sources import readers, writers
 from strandframe.streaming import lookup
@@ -334,6 +334,63 @@ def test_containment_kmers_and_report(spark):
     assert {(r["sno_name"], r["union_name"]) for r in first.collect()} == {("b1", "a1"), ("b2", "a2"), ("b4", "a2")}
 
 
+def test_alignment_scores_do_not_wrap(monkeypatch):
+    want = scalar_alignment("ACGGTTA" * 5, "ACGTTAA" * 5)
+    for small in (align.SMALL, 1):  # 64 bits give the same
+        monkeypatch.setattr(align, "SMALL", small)
+        assert tuple(x[0] for x in align.align(["ACGGTTA" * 5], ["ACGTTAA" * 5])) == want
+    monkeypatch.undo()
+    monkeypatch.setattr(align, "UNIT", 200_000)
+    same, columns, score = align.align(["ACGT" * 600], ["ACGT" * 600])
+    assert (same[0], columns[0], score[0]) == (2400, 2400, 12_000.0)
+
+
+def mutated(rng, text, share):
+    out = []
+    for c in text:
+        x = rng.random()
+        out.append("" if x < share / 4 else c + rng.choice("ACGT") if x < share / 2 else rng.choice("ACGT") if x < share else c)
+    return "".join(out)
+
+
+@pytest.mark.parametrize("block", [256, 5])
+def test_pruned_alignment_loses_nothing(spark, monkeypatch, block):
+    """Rows of all pairs, where identities tie, texts are much longer than others, and many come close."""
+    monkeypatch.setattr(compare, "BLOCK", block)
+    rng = random.Random(block)
+    base = ["".join(rng.choice("ACGT") for _ in range(rng.randrange(30, 90))) for _ in range(6)]
+    a = [(f"a{i}", mutated(rng, rng.choice(base), rng.choice([0, 0.05, 0.15, 0.3])), i) for i in range(22)] + [("twin", base[0], 90), ("twin2", base[0], 91), ("short", base[1][:9], 92)]
+    b = [(f"b{i}", "".join(rng.choice("ACGT") for _ in range(rng.randrange(40))) + mutated(rng, rng.choice(base), rng.choice([0, 0.05, 0.15, 0.3])) + "".join(rng.choice("ACGT") for _ in range(rng.choice([0, 5, 150]))), i) for i in range(25)] + [("exact", base[0], 90)]
+    got = {r["b_name"]: r for r in compare.align_best(spark.createDataFrame(a, SEQ), spark.createDataFrame(b, SEQ), k=8).collect()}
+    for name, y, _ in b:
+        best = None
+        if any(y[i : i + 8] in x for _, x, _ in a for i in range(len(y) - 7)):
+            for n, x, o in a:
+                same, columns, _ = scalar_alignment(x, y)
+                if columns and columns / min(len(x), len(y)) >= 0.8:
+                    best = min(filter(None, [best, (-100.0 * same / columns, -columns, o, n)]))
+        assert (best is None) == (name not in got)
+        if best:
+            assert (-got[name]["identity_pct"], -got[name]["columns"], got[name]["a_name"]) == (best[0], best[1], best[3])
+
+
+def test_bounds_let_every_alignment_through():
+    rng = random.Random(5)
+    base = "".join(rng.choice("ACGT") for _ in range(70))
+    texts = [mutated(rng, base[: rng.randrange(20, 70)], rng.choice([0, 0.1, 0.2, 0.3])) for _ in range(40)]
+    grams, cut = bounds.Grams(texts, 0.8), 0
+    for _ in range(30):
+        y = mutated(rng, base, rng.choice([0, 0.1, 0.2])) + "".join(rng.choice("ACGT") for _ in range(rng.choice([0, 300])))
+        places = grams.places(y)
+        found = [scalar_alignment(x, y) for x in texts]
+        for same, columns in ((1, 1), (9, 10), (19, 20), (7, 8), (2, 3), (1, 2)):
+            may = grams.can_reach(y, places, same, columns)
+            cut += (~may).sum()
+            for x, (i, c, _), ok in zip(texts, found, may):
+                assert ok or c / min(len(x), len(y)) < 0.8 or i * columns < same * c
+    assert cut > 2000
+
+
 def test_report_with_alignment(spark):
     """Aligned pairs come after the others, and none that is equal or contained comes again; reverse complements may."""
     rng = random.Random(43)
