@@ -12,7 +12,8 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .functions import seq as S
-from .operators import catalog, compare, intervals, report, search, tables
+from .operators import catalog, compare, fm_index, intervals, report, search, tables
+from .sources.shared import shared_dir
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -152,12 +153,23 @@ PATTERNS = "z AS (SELECT name, seq FROM di WHERE length(seq) > 0), pats AS (SELE
 PLACES = PATTERNS + ", w AS (SELECT name AS chrom, i - 1 AS start, substr(seq, i, n) AS p FROM (SELECT name, seq, n, unnest(range(1, length(seq) - n + 2)) AS i FROM dd, sizes WHERE length(seq) >= n))"
 
 
-@query(DNA.rstrip() + ", " + PLACES + " SELECT pats.name, w.chrom, w.start::BIGINT AS start, pats.strand FROM w JOIN pats USING (p)")
+PLACED = DNA.rstrip() + ", " + PLACES + " SELECT pats.name, w.chrom, w.start::BIGINT AS start, pats.strand FROM w JOIN pats USING (p)"
+
+
+@query(PLACED)
 def c3_place_in_genome(spark, d):
     genome = search.tile(dna(docs(spark, d)).select(F.col("name").alias("chrom"), "seq"), 2048, 31)  # most items are longer than reach + 1
     return search.place(dna(items(spark, d)), genome).select("name", "chrom", "start", "strand")
 
 
+@query(PLACED)
+def c3_place_by_index(spark, d):
+    """The same from an index that is built first; items longer than reach + 1 are sought in parts."""
+    genome = search.tile(dna(docs(spark, d)).select(F.col("name").alias("chrom"), "seq"), 2048, 31)
+    index = fm_index.build_index(genome, shared_dir(spark, "genome-index"))
+    return fm_index.place_indexed(dna(items(spark, d)), index).select("name", "chrom", "start", "strand")
+
+
 @query(DNA.rstrip() + ", s AS (SELECT name, seq, least(7, length(seq)) AS a, length(seq) AS b FROM dd) SELECT name, CASE WHEN ord2 = 0 THEN x ELSE reverse(translate(x, 'ACGTN', 'TGCAN')) END AS seq FROM (SELECT name, substr(seq, a + 1, b - a) AS x, name::BIGINT % 2 AS ord2 FROM s WHERE a < b)")
 def c4_extract(spark, d):
     x = dna(docs(spark, d)).select(F.col("name").alias("chrom"), "seq")

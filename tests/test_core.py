@@ -1,11 +1,12 @@
 import random
 
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
 from strandframe.config import EngineConfig, validate
 from strandframe.functions import seq as S
-from strandframe.operators import align, bounds, catalog, compare, intervals, kmers, report, resolve, search, tables
+from strandframe.operators import align, bounds, catalog, compare, fm_index, intervals, kmers, report, resolve, search, tables
 from strandframe.plans import comparison, locus
 from strandframe.sources import readers, writers
 from strandframe.streaming import lookup
@@ -353,6 +354,42 @@ def mutated(rng, text, share):
     return "".join(out)
 
 
+def test_suffixes_in_order():
+    rng = random.Random(3)
+    for text in ("", "a", "aaaaaaaaaaaaaaaaaaaaaaaaaaaaaaaaaaaaaaaaaaaaaaaaaaaaaaaaaaaaaaaa", "abab" * 50, "".join(rng.choice("acgt") for _ in range(3000)), "".join(rng.choice("ab") for _ in range(500)) * 3):
+        codes = np.array([ord(c) - 96 for c in text], np.uint8)
+        assert fm_index.suffix_order(codes, 27).tolist() == sorted(range(len(text)), key=lambda i: text[i:]) if text else True
+
+
+@pytest.mark.parametrize("bound", [100_000, 7])
+def test_index_places_as_a_scan_does(spark, tmp_path, monkeypatch, bound):
+    """Short, long and very frequent sequences, at borders of tiles and pieces, on many small chromosomes and on a long one."""
+    monkeypatch.setattr(fm_index, "PIECE", 128)
+    rng = random.Random(bound)
+    long_ = "".join(rng.choice("ACGT") for _ in range(700)) + "A" * 300 + "N" * 40 + "".join(rng.choice("ACGT") for _ in range(90))
+    chroms = [("long", long_), *((f"c{i}", "".join(rng.choice("ACGTN") for _ in range(rng.randrange(1, 60)))) for i in range(30)), ("none", "")]
+    genome = search.tile(spark.createDataFrame(chroms, "chrom string, seq string"), 32, 11)
+    seqs = [(f"s{i}", (long_ * 2)[(a := rng.randrange(1000)) : a + rng.randrange(1, 60)], i) for i in range(40)]
+    seqs += [("whole", long_, 1), ("a", "A", 2), ("run", "A" * 30, 3), ("rc", rc(long_[100:190]), 4), ("none", "", 5), ("null", None, 6), ("off", long_[:50] + "C" + long_[51:80], 7), ("odd", "AXA", 8), ("s1", "ACGT", 9), ("twice", long_[5:70], 1), ("twice", long_[5:70], 1)]
+    df = spark.createDataFrame(seqs, SEQ)
+    want = []
+    for name, seq, _ in seqs:
+        for pattern, strand in ((seq, "+"), (rc(seq), "-")) if seq else ():
+            for c, text in chroms:
+                want += [(name, c, i, i + len(pattern), strand) for i in range(len(text) - len(pattern) + 1) if text.startswith(pattern, i)]
+    path = f"file://{tmp_path}/index"
+    built = fm_index.build_index(genome, path)
+    assert rows(fm_index.place_indexed(df, built, bound)) == sorted(want, key=repr) == rows(search.place(df, genome))
+    again = fm_index.read_index(spark, path)
+    plan = fm_index.place_indexed(df, again, bound)
+    assert again.reach == 11 and rows(plan) == sorted(want, key=repr)
+    assert all("/index/" in f or "/patterns-" in f for f in plan.inputFiles())
+    nothing = fm_index.build_index(search.tile(spark.createDataFrame([], "chrom string, seq string"), 32), f"file://{tmp_path}/nothing")
+    assert fm_index.place_indexed(df, nothing, bound).count() == 0 == fm_index.place_indexed(df.limit(0), built, bound).count()
+    with pytest.raises(Exception, match="different letters"):
+        fm_index.build_index(search.tile(spark.createDataFrame([("x", "".join(map(chr, range(5000, 5400))))], "chrom string, seq string"), 128, 300), f"file://{tmp_path}/odd")
+
+
 @pytest.mark.parametrize("block", [256, 5])
 def test_pruned_alignment_loses_nothing(spark, monkeypatch, block):
     """Rows of all pairs, where identities tie, texts are much longer than others, and many come close."""
