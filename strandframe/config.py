@@ -1,4 +1,4 @@
-"""Engine parameters: defaults, then STRANDFRAME_* environment variables, then arguments."""
+"""Engine parameters: defaults, then spark.strandframe.* settings of the session, then STRANDFRAME_* environment variables, then arguments."""
 
 from __future__ import annotations
 
@@ -21,10 +21,9 @@ class EngineConfig:
     gap_extend: float = 0.5
     min_contained: int = 40
     bin_width: int = 16384
-    tile: int = 4096
 
     @classmethod
-    def resolve(cls, env: dict[str, str] | None = None, **given) -> EngineConfig:
+    def resolve(cls, env: dict[str, str] | None = None, spark: SparkSession | None = None, **given) -> EngineConfig:
         env = os.environ if env is None else env
         unknown = set(given) - {f.name for f in fields(cls)}
         if unknown:
@@ -32,6 +31,8 @@ class EngineConfig:
         values = {}
         for f in fields(cls):
             kind = type(f.default)
+            if spark is not None and (v := spark.conf.get(f"spark.strandframe.{f.name}", None)) is not None:
+                values[f.name] = kind(v)
             if (v := env.get(f"STRANDFRAME_{f.name.upper()}")) is not None:
                 values[f.name] = kind(v)
             if given.get(f.name) is not None:

@@ -95,6 +95,11 @@ def replace_tier(catalogue: DataFrame, union: DataFrame, tier: str, new_tier: st
     return rest.unionByName(union.select("chrom", "start", "end", "name", F.lit(0).cast("long").alias("score"), "strand", F.lit("union").alias("origin"), F.lit(new_tier).alias("box_type")))
 
 
+def shipped_sequences(catalogue: DataFrame, tier: str) -> DataFrame:
+    """name and seq of the rows that a replaced catalogue takes over, as the catalogue gives them."""
+    return unique_names(located(catalogue.where(~F.col("box_type").eqNullSafe(F.lit(tier))))).select("name", "seq")
+
+
 def winner(sno: Column, uni: Column, tol: int = 1) -> tuple[Column, Column]:
     """Which of two sequences stays and by which rule."""
     short, long_ = F.when(F.length(sno) < F.length(uni), sno).otherwise(uni), F.when(F.length(sno) < F.length(uni), uni).otherwise(sno)

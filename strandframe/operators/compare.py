@@ -171,7 +171,7 @@ def _best(xs: list[dict], grams: Grams, ys: list[dict], min_cov: float, gap_open
     return best
 
 
-def overlap_report(a: DataFrame, b: DataFrame, align: bool = False, k: int = 20, min_cov: float = 0.8, min_len: int = 40) -> DataFrame:
+def overlap_report(a: DataFrame, b: DataFrame, align: bool = False, k: int = 20, min_cov: float = 0.8, min_len: int = 40, gap_open: float = 10.0, gap_extend: float = 0.5) -> DataFrame:
     """a_name, b_name, relation, a_len, b_len, overlap_len, identity_pct, coverage; cheapest relation first, and no pair twice in exact, containment and alignment."""
     kinds = {"exact": 0, "revcomp": 1, "b_in_a": 2, "a_in_b": 2, "align": 3}
     same = exact(a, b).withColumn("relation", F.lit("exact")).withColumn("overlap_len", F.length("a_seq"))
@@ -180,7 +180,7 @@ def overlap_report(a: DataFrame, b: DataFrame, align: bool = False, k: int = 20,
     out = same.unionByName(turned).unionByName(inner.select(*same.columns))
     out = out.withColumn("identity_pct", F.lit(100.0)).withColumn("coverage", F.lit(1.0))
     if align:
-        best = align_best(a, b, k, min_cov).withColumn("relation", F.lit("align")).withColumn("overlap_len", F.col("columns").cast("int"))
+        best = align_best(a, b, k, min_cov, gap_open, gap_extend).withColumn("relation", F.lit("align")).withColumn("overlap_len", F.col("columns").cast("int"))
         seen = out.where("relation <> 'revcomp'").select("a_name", "b_name")
         out = out.unionByName(best.join(seen, ["a_name", "b_name"], "left_anti").select(*out.columns))
     rank = F.create_map(*[F.lit(v) for kv in kinds.items() for v in kv])[F.col("relation")]

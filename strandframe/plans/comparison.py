@@ -1,4 +1,4 @@
-"""The comparison of two sequence catalogues as one lazy plan for each deliverable: overlaps, collapse, corrected intervals, replaced tier."""
+"""The comparison of two sequence catalogues: overlaps, collapse, corrected intervals, replaced tier. What several deliverables need is written to the shared folder once."""
 
 from __future__ import annotations
 
@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame
 
 from ..config import EngineConfig
 from ..operators import catalog, compare, report, search
+from ..sources.shared import stored
 
 
 @dataclass
@@ -24,9 +25,10 @@ class Inputs:
 
 def deliverables(i: Inputs, config: EngineConfig | None = None, align: bool = False) -> dict[str, DataFrame]:
     """overlaps in report order, relation_sizes, merged sequences, decisions, corrected_bed, replaced catalogue and dropped counts; with a genome placements and their overlaps with the union."""
-    c = config or EngineConfig()
-    pairs = compare.overlap_report(i.union, i.sno, align, c.kmer, c.min_cov, c.min_contained)
+    c = config or EngineConfig.resolve(spark=i.sno.sparkSession)
+    pairs = stored(compare.overlap_report(i.union, i.sno, align, c.kmer, c.min_cov, c.min_contained, c.gap_open, c.gap_extend), "pairs")
     merged, decisions = catalog.collapse(i.sno, i.union, c.offset_tol, c.kmer)
+    merged, decisions = stored(merged, "merged"), stored(decisions, "decisions")
     kept = decisions.where("kept = 'snodb'").select("union_name").distinct()
     replaced = merged.where("part = 1").join(kept, merged["name"] == kept["union_name"], "left_semi").select("name", "seq", "ord")
     bed = catalog.corrected_intervals(i.union_bed, replaced)
@@ -40,6 +42,6 @@ def deliverables(i: Inputs, config: EngineConfig | None = None, align: bool = Fa
         "dropped": catalog.dropped_rows(i.catalogue, i.tier),
     }
     if i.genome is not None:
-        out["placements"] = search.place(i.sno, i.genome)
+        out["placements"] = stored(search.place(i.sno, i.genome), "placements")
         out["placement_check"] = report.placement_check(out["placements"], bed)
     return out

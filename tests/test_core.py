@@ -463,18 +463,44 @@ def test_symbol_cascade(spark):
     assert {tuple(r) for r in got.collect()} == {("AluACA1", "AAA", "gencode_direct"), ("AluACA2", "NEW", "ncbi_alias:OLD"), ("AluACA3", "ELSE", "ncbi_notin_gencode:GONE"), ("AluACA4", "NA", "none"), ("AluACA5", "ZZZ", "UNRESOLVED"), ("AluACA6", "AAA", "gencode_direct"), ("AluACA7", "HAND", "manual_desc"), ("AluACA8", "NA", "none"), ("AluACA9", "HAND", "manual_desc"), ("AluACA10", "EMPTY", "UNRESOLVED")}
 
 
-def test_whole_locus_plan(spark):
+@pytest.mark.parametrize("indexed", [False, True])
+def test_whole_locus_plan(spark, tmp_path, monkeypatch, indexed):
+    monkeypatch.setattr(fm_index, "PIECE", 256)
     rng = random.Random(5)
     g = "".join(rng.choice("ACGT") for _ in range(900))
     t = lambda r, s: spark.createDataFrame(r, s)
-    seqs = t([("AluACA1", "X1.1", g[120:150], 0), ("AluACA2", "X2.1", rc(g[700:730]), 1), ("AluACA3", "X3.1", "ACGT" * 9, 2)], "name string, accession string, seq string, ord long")
-    i = locus.Inputs(seqs, t([("AluACA1, AAA, x",), ("AluACA2, no apparent host gene",), ("AluACA3, ZZZ, x",)], "value string"), t([("chr1", 100, 300, "AAA", "p", "+")], "chrom string, start long, end long, gene_name string, gene_type string, strand string"), search.tile(t([("chr1", g)], "chrom string, seq string"), 4096), t([("chr1", 140, 160, "N1", 20, "+")], BED), t([], "old string, current string"), t([], "name string, symbol string"), t([], "name string, symbol string"), t([], "name string, chrom string, start long, label string"))
+    # the last record of a name is sought in the genome, so two places of two records aren't two hits of one
+    seqs = t([("AluACA1", "X1.1", g[120:150], 0), ("AluACA2", "X2.1", rc(g[700:730]), 1), ("AluACA3", "X3.1", "ACGT" * 9, 2), ("AluACA4", "X4.1", g[400:430], 3), ("AluACA4", "X5.1", g[500:530], 4)], "name string, accession string, seq string, ord long")
+    lines = t([("AluACA1, AAA, x",), ("AluACA2, no apparent host gene",), ("AluACA3, ZZZ, x",), ("AluACA4, no apparent host gene",)], "value string")
+    (tmp_path / "g.fa").write_text(">chr1\n" + "\n".join(g[i : i + 50] for i in range(0, 900, 50)) + "\n")
+    genome = readers.genome_tiles(spark, f"file://{tmp_path}/g.fa", 128, 31)
+    tiers = [("t1", "chr1", 711, 720, "-", "gA", "HACA", g[:9]), ("t2", "chr1", 801, 830, "+", "gB", "CD", g[800:830]), ("t3", "chr1", 851, 870, "-", "gB", "CD", "ACGTACGT"), ("t4", "chr1", 1, 9, "+", "x", "AluACA", "A"), ("t5", None, None, None, None, "y", "CD", "A"), ("t6", "chr1", 1, 9, "-", "", "CD", rc(g[:9])), ("t7", "chr1", 31, 39, "-", "z", "CD", "")]
+    i = locus.Inputs(
+        seqs, lines, t([("chr1", 100, 300, "AAA", "p", "+")], "chrom string, start long, end long, gene_name string, gene_type string, strand string"), genome, t([("chr1", 140, 160, "N1", 20, "+")], BED), t([], "old string, current string"), t([], "name string, symbol string"), t([], "name string, symbol string"), t([], "name string, chrom string, start long, label string"),
+        headers=t([("AluACA1", "Y1.1", 0), ("AluACA4", "Y4.1", 1)], "name string, accession string, ord long"), index=fm_index.build_index(genome, f"file://{tmp_path}/index") if indexed else None,
+        repeats=t([("chr1", 110, 130, "AluY", 0, "+"), ("chr1", 125, 160, "L1", 0, "-"), ("chr1", 490, 600, "MIR", 0, "+")], BED), tiers=t(tiers, "id string, chrom string, start long, end long, strand string, gene_name string, box_type string, seq string"),
+    )
+    spark.conf.set("spark.strandframe.fasta_base", "5000")
     out = locus.deliverables(i)
-    assert {(r["name"], r["status"]) for r in out["located"].collect()} == {("AluACA1", "unique"), ("AluACA2", "no_gene"), ("AluACA3", "no_gene")}
-    assert {(r["name"], r["start"], r["strand"], r["located_by"]) for r in out["placed"].collect()} == {("AluACA1", 120, "+", "gene_anchored"), ("AluACA2", 700, "-", "genome_unique")}
-    assert [(r["id"], r["match_id"]) for r in out["final"].collect()] == [("AluACA1", "N1"), ("AluACA2", "-")]
+    spark.conf.unset("spark.strandframe.fasta_base")
+    assert {(r["name"], r["accession"], r["status"]) for r in out["located"].collect()} == {("AluACA1", "X1.1", "unique"), ("AluACA2", "X2.1", "no_gene"), ("AluACA3", "X3.1", "no_gene"), ("AluACA4", "X4.1", "no_gene"), ("AluACA4", "X5.1", "no_gene")}
+    assert {(r["name"], r["start"], r["strand"], r["located_by"]) for r in out["placed"].collect()} == {("AluACA1", 120, "+", "gene_anchored"), ("AluACA2", 700, "-", "genome_unique"), ("AluACA4", 500, "+", "genome_unique")}
+    assert [(r["id"], r["accession"], r["match_id"]) for r in out["final"].collect()] == [("AluACA1", "Y1.1", "N1"), ("AluACA2", "-", "-"), ("AluACA4", "Y4.1", "-")]
     assert [r["name"] for r in out["unresolved"].collect()] == ["AluACA3"]
-    assert {(r["name"], r["source"]) for r in out["union"].collect()} == {("AluACA1|N1", "both_a"), ("AluACA2", "a_only")}
+    assert {(r["name"], r["source"]) for r in out["union"].collect()} == {("AluACA1|N1", "both_a"), ("AluACA2", "a_only"), ("AluACA4", "a_only")}
+    assert rows(out["union_fasta"].select("name", "seq")) == [("AluACA1_N1.id5001", g[120:150]), ("AluACA2.id5003", rc(g[700:730])), ("AluACA4.id5002", g[500:530])]
+    assert rows(out["annotated"].select("name", "repeat_family")) == [("AluACA1|N1", "L1|AluY"), ("AluACA2", "none"), ("AluACA4", "MIR")]
+    assert out["repeat_strands"].first()[:] == (3, 2) and report.top_repeats(out["annotated"]).first()[:] == ("L1", 1)
+    assert rows(out["replaced"].select("name", "origin")) == [("AluACA1|N1", "union"), ("AluACA2", "union"), ("AluACA4", "union"), ("gB_t2", "catalogue"), ("gB_t3", "catalogue"), ("t6", "catalogue"), ("z", "catalogue")]
+    assert rows(out["replaced_fasta"].where("start = 850").select("header", "seq")) == [("gB_t3 chr1:850-870(-)", rc(g[850:870]))]
+    assert out["dropped"].first()[:] == (1, 1, 5) and out["verified"].first()[:] == (3, 2, 1) and rows(out["differing"]) == [("gB_t3",)]
+    # no deliverable reads the genome's text again, nor what others have computed
+    assert all("g.fa" not in f for df in out.values() for f in df.inputFiles())
+
+
+def test_top_repeats_are_dominant(spark):
+    loci = spark.createDataFrame([("AluY|L1",), ("AluY|MIR",), ("none",), ("L1",)], "repeat_family string")
+    assert [tuple(r) for r in report.top_repeats(loci).collect()] == [("AluY", 2), ("L1", 1)]
 
 
 def test_whole_comparison_plan(spark):
@@ -522,6 +548,12 @@ def test_readers_and_writers(spark, tmp_path):
     with pytest.raises(FileNotFoundError, match="one.*two"):
         validate(spark, {"one": str(tmp_path / "no1"), "two": str(tmp_path / "no2")})
     assert EngineConfig.resolve({"STRANDFRAME_KMER": "12"}, min_cov=0.5) == EngineConfig(kmer=12, min_cov=0.5)
+    spark.conf.set("spark.strandframe.kmer", "11")
+    spark.conf.set("spark.strandframe.offset_tol", "3")
+    assert EngineConfig.resolve({"STRANDFRAME_KMER": "12"}, spark) == EngineConfig(kmer=12, offset_tol=3)
+    assert EngineConfig.resolve({}, spark, kmer=10) == EngineConfig(kmer=10, offset_tol=3)
+    spark.conf.unset("spark.strandframe.kmer")
+    spark.conf.unset("spark.strandframe.offset_tol")
 
 
 def test_lookups_by_key(spark):
