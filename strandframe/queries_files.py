@@ -5,6 +5,8 @@ Documents stand for sequence records, parts for gene and repeat tables, events f
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -181,16 +183,16 @@ def k7_rewrite(spark, d):
     return spark.read.text(path)
 
 
-@query("SELECT 3 AS sinks, 1 AS files")
+@query(EV + "SELECT 'bed' AS sink, 1 AS files, count(*) AS lines FROM e UNION ALL SELECT 'tsv', 1, count(*) + 1 FROM e UNION ALL SELECT 'fasta', 1, 2 * count(*) FROM e")
 def k8_single_files(spark, d):
-    """How many files each sink leaves."""
+    """How many files each sink leaves, written by eight tasks, and how many lines they have."""
     bed = ev(spark, d).repartition(8, "name")
-    paths = [shared_dir(spark, k) for k in ("bed", "tsv", "fasta")]
-    writers.write_bed(bed, paths[0])
-    writers.write_tsv(bed, paths[1])
-    writers.write_fasta(bed.withColumn("seq", F.lit("a")), paths[2])
-    files = [spark.read.text(p).select(F.col("_metadata.file_name").alias("f")).agg(F.count_distinct("f").alias("n")) for p in paths]
-    return files[0].union(files[1]).union(files[2]).agg(F.count("*").cast("int").alias("sinks"), F.max("n").cast("int").alias("files"))
+    paths = {k: shared_dir(spark, k) for k in ("bed", "tsv", "fasta")}
+    writers.write_bed(bed, paths["bed"])
+    writers.write_tsv(bed, paths["tsv"])
+    writers.write_fasta(bed.withColumn("seq", F.lit("a")), paths["fasta"])
+    lines = [spark.read.text(p).select(F.lit(k).alias("sink"), F.col("_metadata.file_path").alias("f")) for k, p in paths.items()]
+    return reduce(DataFrame.unionByName, lines).groupBy("sink").agg(F.count_distinct("f").cast("int").alias("files"), F.count("*").alias("lines"))
 
 
 @query("SELECT count(*) FILTER (WHERE p_size % 5 = 0) AS of_tier, count(*) FILTER (WHERE p_size % 5 <> 0 AND (p_partkey % 7 = 0 OR p_partkey % 11 = 0)) AS without_location, count(*) FILTER (WHERE p_size % 5 <> 0 AND p_partkey % 7 <> 0 AND p_partkey % 11 <> 0) AS kept FROM part")

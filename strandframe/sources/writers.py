@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 
 from ..functions.seq import fasta_name, locus
 from ..operators.intervals import coordinate_order
+from .one_file import write_one_file
 
 
 def fixed(value: Column, digits: int) -> Column:
@@ -23,10 +24,11 @@ def fixed(value: Column, digits: int) -> Column:
     return text(value)
 
 
-def write_fasta(df: DataFrame, path: str, header: Column | str = "name") -> None:
-    """One record of two lines for each row, in one file."""
+def write_fasta(df: DataFrame, path: str, header: Column | str = "name", order: list | None = None) -> None:
+    """One record of two lines for each row, in one file, in the given order or that of df's partitions."""
     h = F.col(header) if isinstance(header, str) else header
-    df.select(F.concat(F.lit(">"), h, F.lit("\n"), F.col("seq")).alias("value")).coalesce(1).write.mode("overwrite").text(path)
+    own = df.orderBy(*order) if order else df
+    write_one_file(own.select(F.concat(F.lit(">"), h, F.lit("\n"), F.col("seq")).alias("value")), path, lambda d, p: d.write.text(p))
 
 
 def numbered_headers(df: DataFrame, base: int = 3000, width: int = 1 << 20) -> DataFrame:
@@ -51,12 +53,13 @@ def locus_header() -> Column:
 def write_bed(df: DataFrame, path: str, columns: list[str] | None = None) -> None:
     """Coordinate order, tabs, no header, one file; nulls as a dot."""
     own = df.orderBy(*coordinate_order())
-    (own.select(*columns) if columns else own).coalesce(1).write.mode("overwrite").option("sep", "\t").option("nullValue", ".").option("quote", "").csv(path)
+    write_one_file(own.select(*columns) if columns else own, path, lambda d, p: d.write.option("sep", "\t").option("nullValue", ".").option("quote", "").csv(p))
 
 
 def write_tsv(df: DataFrame, path: str, order: list | None = None) -> None:
     """With a header, one file; nulls as -."""
-    (df.orderBy(*order) if order else df).coalesce(1).write.mode("overwrite").option("sep", "\t").option("header", True).option("nullValue", "-").option("quote", "").csv(path)
+    own = df.orderBy(*order) if order else df
+    write_one_file(own, path, lambda d, p: d.write.option("sep", "\t").option("nullValue", "-").option("quote", "").csv(p), "\t".join(df.columns) + "\n")
 
 
 def write_placements(hits: DataFrame, path: str) -> None:

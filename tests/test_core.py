@@ -523,6 +523,30 @@ def test_whole_comparison_plan(spark):
     assert rows(out["placement_check"]) == [("either", 3, 3), ("same", 2, 2)]
 
 
+def test_one_file_in_order_from_many_tasks(spark, tmp_path):
+    rng = random.Random(9)
+    n = 3000
+    df = spark.createDataFrame([("c%d" % rng.randrange(3), rng.randrange(10**6), 10**6, f"n{i}", None, "+") for i in range(n)], BED).repartition(7)
+    kept = spark.conf.get("spark.sql.adaptive.coalescePartitions.enabled")
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")
+    writers.write_bed(df, f"file://{tmp_path}/bed")
+    writers.write_tsv(df.select("name", "start"), f"file://{tmp_path}/tsv", ["start", "name"])
+    writers.write_fasta(df.withColumn("seq", F.lit("acgt")), f"file://{tmp_path}/fa", "name", ["chrom", "start", "name"])
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", kept)
+    want = sorted((r["chrom"], r["start"], r["name"]) for r in df.collect())
+    one = lambda d: [p for p in (tmp_path / d).iterdir() if not p.name.startswith(".")]
+    assert all(len(one(d)) == 1 for d in ("bed", "tsv", "fa")) and not [p for p in tmp_path.iterdir() if ".parts-" in p.name]
+    assert one("bed")[0].read_text().splitlines() == [f"{c}\t{s}\t1000000\t{x}\t.\t+" for c, s, x in want]
+    assert one("tsv")[0].read_text().splitlines() == ["name\tstart", *(f"{x}\t{s}" for s, x in sorted((s, x) for _, s, x in want))]
+    assert one("fa")[0].read_text().split("\n")[:-1:2] == [f">{x}" for _, _, x in want]
+    old = one("bed")[0].read_text()
+    with pytest.raises(Exception, match="stop"):
+        writers.write_bed(df.withColumn("score", F.raise_error(F.lit("stop"))), f"file://{tmp_path}/bed")
+    assert one("bed")[0].read_text() == old and not [p for p in tmp_path.iterdir() if ".parts-" in p.name]
+    writers.write_tsv(df.limit(0), f"file://{tmp_path}/empty")
+    assert one("empty")[0].read_text() == "chrom\tstart\tend\tname\tscore\tstrand\n"
+
+
 def test_readers_and_writers(spark, tmp_path):
     (tmp_path / "x.fa").write_text(">X1.1 some AluACA7 text\nacg\ntt\n>X2.2 AluACA8\nGG\n>X1.1 AluACA9\nTT\n")
     assert rows(readers.fasta_ids(spark, str(tmp_path / "x.fa")).select("name", "accession", "seq")) == [("AluACA7", "X1.1", "ACGTT"), ("AluACA8", "X2.2", "GG"), ("AluACA9", "X1.1", "TT")]
