@@ -13,6 +13,7 @@ from ..functions.seq import revcomp
 from ..sources.shared import stored
 from .align import align
 from .bounds import Grams
+from .classes import digested
 from .kmers import bitmap, kmer_hashes
 
 #: Sequences of a block of a, and of one of b, that are aligned with each other in one go, about.
@@ -27,14 +28,20 @@ def _sides(a: DataFrame, b: DataFrame) -> tuple[DataFrame, DataFrame]:
     return a.select(F.col("name").alias("a_name"), F.col("seq").alias("a_seq")), b.select(F.col("name").alias("b_name"), F.col("seq").alias("b_seq"))
 
 
+def _same(a: DataFrame, b: DataFrame) -> DataFrame:
+    x = digested(a, F.col("name").alias("a_name")).withColumnRenamed("check", "a_check")
+    y = digested(b, F.col("name").alias("b_name")).withColumnRenamed("check", "b_check")
+    return x.join(y, "digest").where("a_check = b_check").select("a_name", "b_name", F.col("digest.size").alias("a_len"), F.col("digest.size").alias("b_len"))
+
+
 def exact(a: DataFrame, b: DataFrame) -> DataFrame:
-    x, y = _sides(a, b)
-    return x.join(y, x["a_seq"] == y["b_seq"])
+    """a_name, b_name, a_len, b_len of equal sequences, by their digests."""
+    return _same(a, b)
 
 
 def reverse_complement(a: DataFrame, b: DataFrame) -> DataFrame:
-    x, y = _sides(a, b)
-    return x.join(y, revcomp(x["a_seq"]) == y["b_seq"])
+    """The same of sequences of a whose reverse complement is one of b."""
+    return _same(a.withColumn("seq", revcomp(F.col("seq"))), b)
 
 
 def containment(a: DataFrame, b: DataFrame, k: int = 20, min_len: int = 0) -> DataFrame:
@@ -174,17 +181,19 @@ def _best(xs: list[dict], grams: Grams, ys: list[dict], min_cov: float, gap_open
 def overlap_report(a: DataFrame, b: DataFrame, align: bool = False, k: int = 20, min_cov: float = 0.8, min_len: int = 40, gap_open: float = 10.0, gap_extend: float = 0.5) -> DataFrame:
     """a_name, b_name, relation, a_len, b_len, overlap_len, identity_pct, coverage; cheapest relation first, and no pair twice in exact, containment and alignment."""
     kinds = {"exact": 0, "revcomp": 1, "b_in_a": 2, "a_in_b": 2, "align": 3}
-    same = exact(a, b).withColumn("relation", F.lit("exact")).withColumn("overlap_len", F.length("a_seq"))
-    turned = reverse_complement(a, b).withColumn("relation", F.lit("revcomp")).withColumn("overlap_len", F.length("a_seq"))
-    inner = containment(a, b, k, min_len).join(same.select("a_name", "b_name"), ["a_name", "b_name"], "left_anti")
-    out = same.unionByName(turned).unionByName(inner.select(*same.columns))
+    cols = ["a_name", "b_name", "a_len", "b_len", "relation", "overlap_len"]
+    sized = lambda df: df.withColumn("a_len", F.length("a_seq")).withColumn("b_len", F.length("b_seq"))
+    same = exact(a, b).withColumn("relation", F.lit("exact")).withColumn("overlap_len", F.col("a_len"))
+    turned = reverse_complement(a, b).withColumn("relation", F.lit("revcomp")).withColumn("overlap_len", F.col("a_len"))
+    inner = sized(containment(a, b, k, min_len)).join(same.select("a_name", "b_name"), ["a_name", "b_name"], "left_anti")
+    out = same.select(cols).unionByName(turned.select(cols)).unionByName(inner.select(cols))
     out = out.withColumn("identity_pct", F.lit(100.0)).withColumn("coverage", F.lit(1.0))
     if align:
-        best = align_best(a, b, k, min_cov, gap_open, gap_extend).withColumn("relation", F.lit("align")).withColumn("overlap_len", F.col("columns").cast("int"))
+        best = sized(align_best(a, b, k, min_cov, gap_open, gap_extend)).withColumn("relation", F.lit("align")).withColumn("overlap_len", F.col("columns").cast("int"))
         seen = out.where("relation <> 'revcomp'").select("a_name", "b_name")
         out = out.unionByName(best.join(seen, ["a_name", "b_name"], "left_anti").select(*out.columns))
     rank = F.create_map(*[F.lit(v) for kv in kinds.items() for v in kv])[F.col("relation")]
-    return out.select("a_name", "b_name", "relation", F.length("a_seq").alias("a_len"), F.length("b_seq").alias("b_len"), "overlap_len", "identity_pct", "coverage", rank.alias("kind_rank"))
+    return out.select("a_name", "b_name", "relation", "a_len", "b_len", "overlap_len", "identity_pct", "coverage", rank.alias("kind_rank"))
 
 
 def ordered_report(report: DataFrame) -> DataFrame:

@@ -2,10 +2,16 @@
 
 from __future__ import annotations
 
+from collections import Counter
+from collections.abc import Iterator
+
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions.seq import accession_number, dominant, is_rna, no_host, repeat_class, source_tag
+from .classes import digest, digested, one_check
 from .intervals import merge, overlap
 
 
@@ -53,21 +59,33 @@ def conditional_counts(df: DataFrame, all_rows: str, **conditions: Column) -> Da
 
 
 def duplicate_sequences(seqs: DataFrame) -> DataFrame:
-    """seq, n and names in order of sequences that several records have."""
-    return seqs.groupBy("seq").agg(F.count("*").alias("n"), F.array_sort(F.collect_list("name")).alias("names")).where("n > 1")
+    """md5, n and names in order of sequences that several records have. equality_classes() gives the names a row each instead of a list."""
+    rows = digested(seqs, "name")
+    return rows.groupBy("digest").agg(one_check().alias("md5"), F.count("*").alias("n"), F.array_sort(F.collect_list("name")).alias("names")).where("n > 1").drop("digest")
 
 
 def first_name_per_sequence(seqs: DataFrame) -> DataFrame:
-    return seqs.groupBy("seq").agg(F.min_by("name", "ord").alias("name"))
+    """md5 and name: the first record's of each sequence."""
+    return digested(seqs, "name", "ord").groupBy("digest").agg(one_check().alias("md5"), F.min_by("name", "ord").alias("name")).drop("digest")
 
 
 def alphabet(seqs: DataFrame) -> DataFrame:
-    return seqs.select(F.explode(F.split("seq", "")).alias("char")).where("char <> ''").groupBy("char").agg(F.count("*").alias("n"))
+    """char and n: how often each letter stands in all sequences. A task gives a row for each letter, not one for each place."""
+
+    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        n: Counter[int] = Counter()
+        for batch in batches:
+            for text in batch.column(0).to_pylist():
+                codes, times = np.unique(np.frombuffer((text or "").encode("utf-32-le", "replace"), np.uint32), return_counts=True)
+                n.update(dict(zip(codes.tolist(), times.tolist())))
+        yield pa.RecordBatch.from_arrays([pa.array([chr(c) for c in n], pa.string()), pa.array(list(n.values()), pa.int64())], names=["char", "n"])
+
+    return seqs.select("seq").mapInArrow(count, "char string, n long").groupBy("char").agg(F.sum("n").alias("n"))
 
 
 def alphabet_summary(seqs: DataFrame) -> DataFrame:
     odd = F.length(F.regexp_replace("seq", "[ACGT]", "")) > 0
-    return seqs.agg(F.count("*").alias("records"), F.count_distinct("seq").alias("distinct_seqs"), F.count_if(odd).alias("non_acgt"), F.count_if(is_rna(F.col("seq"))).alias("rna"))
+    return seqs.agg(F.count("*").alias("records"), F.count_distinct(digest(F.col("seq"))).alias("distinct_seqs"), F.count_if(odd).alias("non_acgt"), F.count_if(is_rna(F.col("seq"))).alias("rna"))
 
 
 def identity_bands(report: DataFrame) -> DataFrame:

@@ -12,7 +12,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .functions import seq as S
-from .operators import catalog, compare, fm_index, intervals, report, search, tables
+from .operators import catalog, classes, compare, fm_index, intervals, report, search, tables
 from .sources.shared import shared_dir
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -218,7 +218,12 @@ def g9_hits_per_query(spark, d):
 
 @query(DOC + "x AS (SELECT 1) SELECT md5(seq) AS h, count(*) AS n, string_agg(name, '|' ORDER BY name) AS names FROM d GROUP BY seq HAVING count(*) > 1")
 def g11_duplicate_sequences(spark, d):
-    return report.duplicate_sequences(docs(spark, d)).select(F.md5("seq").alias("h"), "n", F.array_join("names", "|").alias("names"))
+    return report.duplicate_sequences(docs(spark, d)).select(F.col("md5").alias("h"), "n", F.array_join("names", "|").alias("names"))
+
+
+@query(DOC + "x AS (SELECT 1), c AS (SELECT name, min(name) OVER (PARTITION BY seq) AS representative, count(*) OVER (PARTITION BY seq) AS n, length(seq)::INT AS seq_len FROM d) SELECT representative, name AS member, n, seq_len FROM c WHERE n > 1")
+def g11_equality_classes(spark, d):
+    return classes.equality_classes(docs(spark, d))
 
 
 @query(DNA + "SELECT c AS char, count(*) AS n FROM (SELECT unnest(string_split(seq, '')) AS c FROM dd WHERE length(seq) > 0) GROUP BY 1")
@@ -248,7 +253,7 @@ def g16_duplicate_keys(spark, d):
 
 @query(DOC + "x AS (SELECT 1) SELECT md5(seq) AS h, arg_min(name, ord) AS name FROM d GROUP BY seq")
 def g18_first_name(spark, d):
-    return report.first_name_per_sequence(docs(spark, d)).select(F.md5("seq").alias("h"), "name")
+    return report.first_name_per_sequence(docs(spark, d)).select(F.col("md5").alias("h"), "name")
 
 
 @query("""SELECT 'quality' AS "column", count(*) FILTER (WHERE a.quality IS DISTINCT FROM b.quality) AS n_differ FROM labels a JOIN labels b ON a.doc_id = b.doc_id - 1
