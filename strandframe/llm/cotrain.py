@@ -261,7 +261,11 @@ def unlabelled(docs: DataFrame, labels: DataFrame) -> DataFrame:
 
 
 def train(docs: DataFrame, labels: DataFrame, label: str = "quality", labelled: int = 5000, rounds: int = 3, sure: float = 0.9, most: float = 0.1, passes: int = 8) -> CoTrained:
-    """Learns from about `labelled` labelled and all unlabelled documents; `most` bounds the share of those that a view labels in a round, `passes` the gradient steps over them."""
+    """Learns from about `labelled` labelled and all unlabelled documents; `most` is about the share of those that a view labels in a round, `passes` the gradient steps over them.
+
+    Log-odds are taken by bins of 1/256, and the bin in which `most` is reached comes in whole, so documents that a view can't tell apart are labelled together: where a view
+    has few different inputs, as metadata do, one bin can be a large part of all documents and the share far above `most`.
+    """
     own = docs.select("doc_id", "text", *PAGE)
     rows = one_label(sampled(labels, labelled, "co-training"), own, [label])
     rows = rows.withColumn("y", F.col(f"label_{label}").cast("int")).withColumn("test", F.crc32(F.col("doc_id").cast("string")) % 5 == 0)
