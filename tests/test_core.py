@@ -1,4 +1,5 @@
 import random
+from collections import Counter
 
 import numpy as np
 import pytest
@@ -6,7 +7,7 @@ from pyspark.sql import functions as F
 
 from strandframe.config import EngineConfig, validate
 from strandframe.functions import seq as S
-from strandframe.operators import align, bounds, catalog, compare, fm_index, intervals, kmers, report, resolve, search, tables
+from strandframe.operators import align, bounds, catalog, classes, compare, fm_index, intervals, kmers, report, resolve, search, tables
 from strandframe.plans import comparison, locus
 from strandframe.sources import readers, writers
 from strandframe.streaming import lookup
@@ -588,10 +589,22 @@ def test_lookups_by_key(spark):
     assert rows(tables.best_per_key(y, "k", -F.col("ord"))) == sorted([(2, "b", 2), (None, "c", 3)], key=repr)
 
 
+def test_classes_of_a_sequence_on_most_rows(spark):
+    seqs = [(f"h{i:04}", "ACGT" * 300, i) for i in range(900)] + [(f"o{i}", f"A{i % 40}", 1000 + i) for i in range(100)] + [("null", None, 1), ("e1", "", 2), ("e2", "", 3)]
+    df = spark.createDataFrame(seqs, SEQ)
+    by = {}
+    for name, seq, _ in seqs:
+        if seq is not None:
+            by.setdefault(seq, []).append(name)
+    assert rows(classes.equality_classes(df)) == sorted(((min(n), x, len(n), len(s)) for s, n in by.items() if len(n) > 1 for x in n), key=repr)
+    assert rows(compare.exact(df, df.where("name in ('h0000', 'e1')")).groupBy("b_name").count()) == [("e1", 2), ("h0000", 900)]
+    assert rows(report.alphabet(df)) == sorted(Counter("".join(s for _, s, _ in seqs if s)).items())
+
+
 def test_reports_and_functions(spark):
     loci = spark.createDataFrame([("s1", "AluY|L1"), ("s1", "none"), ("s2", "L1")], "source string, repeat_family string")
     assert rows(report.repeat_table(loci)) == [("s1", "Alu", 1), ("s1", "none", 1), ("s2", "other", 1)]
-    assert rows(report.top_repeats(loci, 1)) == [("L1", 2)]
+    assert rows(report.top_repeats(loci, 1)) == [("AluY", 1)]  # of AluY|L1 only the dominant name counts
     acc = spark.createDataFrame([("PX10.1", "A"), ("PX12.1", "")], "accession string, seq string")
     assert tuple(report.accession_check(acc, 10, 12).first()) == (2, 1, 10, 12, False, 1)
     one = spark.createDataFrame([("AAAA", "AA")], "a string, b string")
