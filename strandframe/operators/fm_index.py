@@ -27,6 +27,8 @@ from .search import AUTOMATON_BYTES, Genome, patterns
 PIECE = 1 << 19
 #: Letters between counts, and letters of the text between kept places.
 BLOCK, STEP = 64, 32
+#: Places found at once.
+PLACES = 1 << 15
 SHARD = "shard long, letters array<int>, bwt binary, counts binary, kept binary, marks binary, chroms array<string>, starts array<long>, offsets array<long>, own array<long>, reach long"
 
 
@@ -196,8 +198,8 @@ class _Searcher:
         """Patterns, pieces and places within their chromosomes, of those that begin in a piece's own bases."""
         which, low, high = self.runs(p)
         cuts = np.cumsum(high - low)
-        for a in range(0, int(cuts[-1]) if len(cuts) else 0, 1 << 20):  # of frequent patterns a bounded number of places at once
-            at = np.arange(a, min(a + (1 << 20), int(cuts[-1])))
+        for a in range(0, int(cuts[-1]) if len(cuts) else 0, PLACES):
+            at = np.arange(a, min(a + PLACES, int(cuts[-1])))
             i = np.searchsorted(cuts, at, side="right")
             place = self.places(high[i] - (cuts[i] - at))
             piece = np.searchsorted(self.offsets, place, side="right") - 1

@@ -366,6 +366,7 @@ def test_suffixes_in_order():
 def test_index_places_as_a_scan_does(spark, tmp_path, monkeypatch, bound):
     """Short, long and very frequent sequences, at borders of tiles and pieces, on many small chromosomes and on a long one."""
     monkeypatch.setattr(fm_index, "PIECE", 128)
+    monkeypatch.setattr(fm_index, "PLACES", 50)
     rng = random.Random(bound)
     long_ = "".join(rng.choice("ACGT") for _ in range(700)) + "A" * 300 + "N" * 40 + "".join(rng.choice("ACGT") for _ in range(90))
     chroms = [("long", long_), *((f"c{i}", "".join(rng.choice("ACGTN") for _ in range(rng.randrange(1, 60)))) for i in range(30)), ("none", "")]
