@@ -14,7 +14,7 @@ from ..sources.shared import stored
 from .align import align
 from .bounds import Grams
 from .classes import digested
-from .kmers import bitmap, kmer_hashes
+from .kmers import anchor_hashes, bitmap, kmer_hashes
 
 #: Sequences of a block of a, and of one of b, that are aligned with each other in one go, about.
 BLOCK, FEW = 256, 64
@@ -50,21 +50,32 @@ def containment(a: DataFrame, b: DataFrame, k: int = 20, min_len: int = 0) -> Da
     An inner sequence meets the outer ones that have its rarest k-mer, of those at its places 0, k, 2k and so on, so a stock
     phrase or a run of one letter that many sequences have isn't what they meet by. Inner sequences shorter than k meet on all
     their bases. b below min_len takes no part.
+
+    In each direction the outer texts are read once for their k-mers: those that a bitmap of the inner ones' lets through (all, if the outer texts are the smaller side) are
+    written to the shared folder with the rows that have them, and counted from there. Only inner sequences all of whose k-mers a
+    bitmap of these may hold go on. The bitmaps, and so these steps, are made when this is called; the rest is lazy.
     """
     x, y = _sides(a, b)
     y = y.where(F.length("b_seq") >= max(1, min_len))
     x = x.where(F.length("a_seq") >= 1)
 
+    def measured(df: DataFrame, c: str) -> tuple[list[int], int, int]:
+        """The lengths below k that there are, less than k; how many k-mers are met by at most; and letters."""
+        size = F.length(c)
+        sizes, most, letters = df.agg(F.collect_set(F.when(size < k, size)), F.sum(F.greatest(F.lit(1), F.floor(size / k))), F.sum(size.cast("long"))).first()
+        return sorted(sizes), most or 0, letters or 0
+
+    measures = {"a_seq": measured(x, "a_seq"), "b_seq": measured(y, "b_seq")}
+
     def inside(inner: DataFrame, i: str, outer: DataFrame, o: str) -> DataFrame:
         """Meets on hashes of k-mers by row ids; sequences come back for the pairs that met."""
         inner, outer = (df.withColumn(f"{c}_id", F.xxhash64(*df.columns)) for df, c in ((inner, i), (outer, o)))
-        short = F.length(i) < k
-        anchors = kmer_hashes(inner.where(~short).select(f"{i}_id", i), [k], step=k)
-        sizes = sorted(r[0] for r in inner.where(short).select(F.length(i)).distinct().collect())  # k values at most
-        for n in sizes:
-            anchors = anchors.unionByName(kmer_hashes(inner.where(F.length(i) == n).select(f"{i}_id", i), [n]))
-        found = kmer_hashes(outer.select(f"{o}_id", o), [*sizes, k], only=bitmap(anchors.select("kmer").distinct()))
+        sizes, most, _ = measures[i]
+        mine = inner.select(f"{i}_id", i)
+        held = bitmap(anchor_hashes(mine, k), most=most) if most < measures[o][2] else None  # few outer letters need no sieve
+        found = stored(kmer_hashes(outer.select(f"{o}_id", o), [*sizes, k], only=held), "containment-kmers")
         often = found.groupBy("kmer").agg(F.count("*").alias("n"))
+        anchors = anchor_hashes(mine, k, every=bitmap(found, most=found.count()))
         rarest = anchors.join(often, "kmer", "left").groupBy(f"{i}_id").agg(F.min(F.struct(F.coalesce("n", F.lit(0)).alias("n"), "kmer")).alias("m"))
         met = rarest.where("m.n > 0").select(f"{i}_id", F.col("m.kmer").alias("kmer")).join(found, "kmer").select(f"{i}_id", f"{o}_id").distinct()
         return met.join(inner, f"{i}_id").join(outer, f"{o}_id").where(F.contains(F.col(o), F.col(i)))

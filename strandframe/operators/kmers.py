@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -37,6 +37,15 @@ def window_hashes(codes: np.ndarray, k: int) -> np.ndarray:
     return mixed(out * np.uint64(BASE) + np.uint64(k))
 
 
+def block_hashes(codes: np.ndarray, k: int) -> np.ndarray:
+    """What window_hashes gives for the runs at places 0, k, 2k and so on; of less than k codes, for all of them."""
+    k = min(k, len(codes))
+    if not k:
+        return np.zeros(0, np.uint64)
+    powers = np.array([pow(BASE, k - 1 - i, 1 << 64) for i in range(k)], np.uint64)
+    return mixed((codes[: len(codes) // k * k].reshape(-1, k) * powers).sum(axis=1, dtype=np.uint64) * np.uint64(BASE) + np.uint64(k))
+
+
 def mixed(h: np.ndarray) -> np.ndarray:
     h = (h ^ (h >> np.uint64(32))) * np.uint64(0xD6E8FEB86659FD93)
     return h ^ (h >> np.uint64(32))
@@ -53,38 +62,51 @@ class Bitmap:
         return (self.words[(at >> np.uint64(6)).astype(np.int64)] >> (at & np.uint64(63))) & np.uint64(1) == 1
 
 
-def bitmap(keys: DataFrame, column: str = "kmer") -> Broadcast:
-    """A broadcast Bitmap of the column's values, 16 bits for each but MOST_BITS at most."""
-    bits = min(MOST_BITS, 1 << max(12, (16 * keys.count()).bit_length()))
+def bitmap(keys: DataFrame, column: str = "kmer", most: int | None = None) -> Broadcast:
+    """A broadcast Bitmap of the column's values, 16 bits for each but MOST_BITS at most; `most` says how many there may be, where that is known."""
+    bits = min(MOST_BITS, 1 << max(12, (16 * (keys.count() if most is None else most)).bit_length()))
     at = F.col(column).bitwiseAND(F.lit(bits - 1).cast("long"))
     bit = F.call_function("shiftleft", F.lit(1).cast("long"), at.bitwiseAND(F.lit(63).cast("long")).cast("int"))
-    rows = keys.select(F.shiftright(at, 6).cast("int").alias("word"), bit.alias("bit")).groupBy("word").agg(F.bit_or("bit").alias("bits")).toPandas()  # a row for 64 bits
+    rows = keys.select(F.shiftright(at, 6).cast("int").alias("word"), bit.alias("bit")).groupBy("word").agg(F.bit_or("bit").alias("bits")).toArrow()  # a row for 64 bits
     words = np.zeros(bits // 64, np.int64)
     words[rows["word"].to_numpy()] = rows["bits"].to_numpy()
     return keys.sparkSession.sparkContext.broadcast(Bitmap(words.view(np.uint64)))
 
 
-def kmer_hashes(df: DataFrame, sizes: list[int], only: Broadcast | None = None, step: int = 1) -> DataFrame:
+def kmer_hashes(df: DataFrame, sizes: list[int], only: Broadcast | None = None) -> DataFrame:
     """df's first column and kmer: hashes of the distinct k-mers of its second, of each size; with `only`, those a Bitmap may hold.
 
-    With a step, k-mers start at multiples of it. Strings are indexed as code points in numpy; substrings of long texts cost
-    their place in the JVM.
+    Strings are indexed as code points in numpy; substrings of long texts cost their place in the JVM.
     """
+
+    def hashes(text: str | None) -> np.ndarray:
+        codes = codes_of(text)
+        found = [window_hashes(codes, k) for k in sizes]
+        return np.unique(np.concatenate([h if only is None else h[only.value.may_hold(h)] for h in found]))
+
+    return _hashed(df, hashes)
+
+
+def anchor_hashes(df: DataFrame, k: int, every: Broadcast | None = None) -> DataFrame:
+    """df's first column and kmer: hashes of the distinct k-mers of its second at places 0, k, 2k and so on; a text shorter than k is one itself.
+
+    With `every`, a text that has a k-mer which the Bitmap denies gives none.
+    """
+
+    def hashes(text: str | None) -> np.ndarray:
+        h = block_hashes(codes_of(text), k)
+        return np.unique(h) if every is None or every.value.may_hold(h).all() else h[:0]
+
+    return _hashed(df, hashes)
+
+
+def _hashed(df: DataFrame, hashes: Callable[[str | None], np.ndarray]) -> DataFrame:
     name = df.columns[0]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            ids, hashes = [], []
-            for row, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
-                codes = codes_of(text)
-                for k in sizes:
-                    h = window_hashes(codes, k)[::step]
-                    if only is not None:
-                        h = h[only.value.may_hold(h)]
-                    h = np.unique(h)
-                    hashes.append(h)
-                    ids.append(np.full(len(h), row, np.int64))
-            flat = (np.concatenate(ids), np.concatenate(hashes).view(np.int64)) if ids else (np.zeros(0, np.int64),) * 2
-            yield pa.RecordBatch.from_arrays([pa.array(flat[0]), pa.array(flat[1])], names=[name, "kmer"])
+            ids, found = np.asarray(batch.column(0).to_pylist(), np.int64), [hashes(text) for text in batch.column(1).to_pylist()]
+            flat = np.concatenate(found).view(np.int64) if found else np.zeros(0, np.int64)
+            yield pa.RecordBatch.from_arrays([pa.array(np.repeat(ids, [len(h) for h in found])), pa.array(flat)], names=[name, "kmer"])
 
     return df.mapInArrow(run, f"{name} long, kmer long")

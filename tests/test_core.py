@@ -310,6 +310,8 @@ def test_window_hashes():
         h = kmers.window_hashes(kmers.codes_of(s), k)
         assert len(h) == max(0, len(s) - k + 1)
         assert all((h[i] == h[j]) == (s[i : i + k] == s[j : j + k]) for i in range(len(h)) for j in range(len(h)))
+        assert kmers.block_hashes(kmers.codes_of(s), k).tolist() == (h if len(h) else kmers.window_hashes(kmers.codes_of(s), len(s)))[::k].tolist()
+    assert len(kmers.block_hashes(kmers.codes_of(""), 5)) == 0
 
 
 def test_containment_of_crowded_kmers(spark):
