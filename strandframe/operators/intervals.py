@@ -14,6 +14,8 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 BED = ["chrom", "start", "end", "name", "score", "strand"]
+#: Classes of length apart, at most, for the longer of two rows to be listed in bins of the shorter one's class.
+NEAR = 4
 
 
 def checked(df: DataFrame) -> DataFrame:
@@ -35,25 +37,68 @@ def _wide(width: int, c: Column) -> Column:
     return F.call_function("shiftleft", F.lit(width).cast("long"), c)
 
 
+def _bins(p: str, classes: Column, width: int, far: bool = False) -> Column:
+    """Keys (far, c, bin) of the bins of each of the classes in which a row that this one overlaps may start."""
+
+    def of(c: Column) -> Column:
+        w = _wide(width, c)
+        bins = F.sequence(F.floor((F.col(f"{p}start") + 1 - w) / w), F.floor((F.col(f"{p}end") - 1) / w))
+        return F.transform(bins, lambda n: _key(c, n, far))
+
+    return F.flatten(F.transform(classes, of))
+
+
+def _key(c: Column, n: Column, far: bool = False) -> Column:
+    return F.struct(F.lit(far).alias("far"), c.alias("c"), n.alias("bin"))
+
+
+def _own_bin(p: str, width: int, far: bool = False) -> Column:
+    c = _length_class(p, width)
+    return _key(c, F.floor(F.col(f"{p}start") / _wide(width, c)), far)
+
+
+def _classes(df: DataFrame, p: str, width: int, name: str) -> DataFrame:
+    """One row of some thirty numbers at most."""
+    return df.where(f"{p}start < {p}end").agg(F.collect_set(_length_class(p, width)).alias(name))
+
+
 def _meet(home: DataFrame, other: DataFrame, p: str, q: str, stranded: bool, width: int, how: str) -> DataFrame:
     """home joined to other where they overlap; both have prefixed columns."""
-    c = _length_class(p, width)
-    x = home.withColumn("_c", c).withColumn("_bin", F.floor(F.col(f"{p}start") / _wide(width, F.col("_c"))))
-    classes = home.where(f"{p}start < {p}end").agg(F.collect_set(c).alias("_cs"))  # one row of some thirty numbers at most
-    y = other.where(f"{q}start < {q}end and {q}chrom is not null").join(F.broadcast(classes), F.lit(True)).withColumn("_oc", F.explode("_cs")).drop("_cs")
-    w = _wide(width, F.col("_oc"))
-    y = y.withColumn("_obin", F.explode(F.sequence(F.floor((F.col(f"{q}start") + 1 - w) / w), F.floor((F.col(f"{q}end") - 1) / w))))
-    on = (F.col(f"{p}chrom") == F.col(f"{q}chrom")) & (F.col("_c") == F.col("_oc")) & (F.col("_bin") == F.col("_obin"))
+    x = home.withColumn("_at", _own_bin(p, width))
+    y = other.where(f"{q}start < {q}end and {q}chrom is not null").join(F.broadcast(_classes(home, p, width, "_cs")), F.lit(True))
+    y = y.withColumn("_met", F.explode(_bins(q, F.col("_cs"), width))).drop("_cs")
+    return _joined(x, y, p, q, stranded, how)
+
+
+def _joined(x: DataFrame, y: DataFrame, p: str, q: str, stranded: bool, how: str) -> DataFrame:
+    """By equal keys _at and _met and by the bases themselves."""
+    on = (F.col(f"{p}chrom") == F.col(f"{q}chrom")) & (F.col("_at.c") == F.col("_met.c")) & (F.col("_at.bin") == F.col("_met.bin")) & (F.col("_at.far") == F.col("_met.far"))
     if stranded:
         on = on & (F.col(f"{p}strand") == F.col(f"{q}strand"))
     on = on & (F.col(f"{p}start") < F.col(f"{q}end")) & (F.col(f"{q}start") < F.col(f"{p}end")) & (F.col(f"{p}start") < F.col(f"{p}end"))
-    return x.join(y, on, how).drop("_c", "_bin", "_oc", "_obin")
+    return x.join(y, on, how).drop("_at", "_met")
+
+
+def _pairs(home: DataFrame, other: DataFrame, p: str, q: str, stranded: bool, width: int) -> DataFrame:
+    """_meet's pairs, but of two rows whose classes are more than NEAR apart the shorter is listed, in the bins of the longer one's class.
+
+    So a row is listed in 2^NEAR + 2 bins of a class at most, however long it is: half as many of the next, and two or three of each further one.
+    """
+    x, y = (df.where(f"{r}start < {r}end and {r}chrom is not null") for df, r in ((home, p), (other, q)))
+    x, y = x.join(F.broadcast(_classes(other, q, width, "_cs")), F.lit(True)), y.join(F.broadcast(_classes(home, p, width, "_cs")), F.lit(True))
+    above, near = F.filter("_cs", lambda k: k > _length_class(p, width) + NEAR), F.filter("_cs", lambda k: k >= _length_class(q, width) - NEAR)
+    below = F.exists("_cs", lambda k: k < _length_class(q, width) - NEAR)
+    x = x.withColumn("_at", F.explode(F.concat(F.array(_own_bin(p, width)), _bins(p, above, width, True)))).drop("_cs")
+    longer = F.filter(F.array(_own_bin(q, width, True)), lambda k: below)
+    y = y.withColumn("_met", F.explode(F.concat(_bins(q, near, width), longer))).drop("_cs")
+    return _joined(x, y, p, q, stranded, "inner")
 
 
 def overlap(a: DataFrame, b: DataFrame, stranded: bool, width: int = 16384, home: str = "a") -> DataFrame:
     """Every overlapping pair, columns a_* and b_*; `home` names the side that each pair is found from, which can't be a stream."""
     x, y = prefixed(a, "a_"), prefixed(b, "b_")
-    out = _meet(x, y, "a_", "b_", stranded, width, "inner") if home == "a" else _meet(y, x, "b_", "a_", stranded, width, "inner")
+    sides = (x, y, "a_", "b_") if home == "a" else (y, x, "b_", "a_")
+    out = _meet(*sides, stranded, width, "inner") if a.isStreaming or b.isStreaming else _pairs(*sides, stranded, width)  # a stream's classes aren't known
     return out.select(*x.columns, *y.columns)
 
 
