@@ -131,6 +131,19 @@ def s14_aliases(spark, d):
     return readers.aliases(spark, written(spark, t(spark, d, "part"), line, "p_partkey"))
 
 
+INFO = "g AS (SELECT p_partkey AS id, 'S' || p_partkey AS symbol, CASE WHEN p_partkey % 5 <> 0 THEN 'S' || (p_partkey + 1) || '|A' || (p_partkey % 97) END AS synonyms, CASE WHEN p_partkey % 4 <> 0 THEN p_brand || p_partkey % 50 END AS official FROM part WHERE p_partkey % 11 <> 0), "
+
+
+@query("WITH " + INFO + "n AS (SELECT id, coalesce(official, symbol) AS current, symbol AS old, 0 AS rank FROM g UNION ALL SELECT id, official, official, 1 FROM g WHERE official IS NOT NULL UNION ALL SELECT id, coalesce(official, symbol), unnest(string_split(synonyms, '|')), 2 FROM g WHERE synonyms IS NOT NULL) SELECT old, arg_min(current, rank::HUGEINT * 1000000000000 + id) AS current FROM n GROUP BY 1")
+def s14_gene_info(spark, d):
+    """Symbols, authority's symbols and synonyms that several genes share, another species' genes, and dashes."""
+    n = F.col("p_partkey")
+    synonyms = F.when(n % 5 != 0, text("S", n + 1, "|A", n % 97)).otherwise("-")
+    official = F.when(n % 4 != 0, text(F.col("p_brand"), n % 50)).otherwise("-")
+    line = F.concat_ws("\t", F.when(n % 11 == 0, "10090").otherwise("9606"), n.cast("string"), text("S", n), F.lit("-"), synonyms, *[F.lit("-")] * 5, official, F.lit("rest"))
+    return readers.gene_info(spark, written(spark, t(spark, d, "part"), line, "p_partkey"))
+
+
 @query(EV + "SELECT chrom, s AS start, t AS \"end\", name, '0' AS score, strand FROM e WHERE event_id % 3 <> 0")
 def s15_bed(spark, d):
     six = F.concat_ws("\t", "chrom", F.col("start").cast("string"), F.col("end").cast("string"), "name", F.lit("0"), "strand")

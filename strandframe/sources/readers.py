@@ -188,3 +188,19 @@ def table_lines(lines: DataFrame, caption: str) -> DataFrame:
 def aliases(spark: SparkSession, path: str) -> DataFrame:
     """old, current from a two-column table; stands for remote lookups, which are out of scope."""
     return spark.read.schema("old string, current string").option("sep", "\t").option("quote", "").csv(path)
+
+
+def gene_info(spark: SparkSession, path: str, tax_id: str = "9606") -> DataFrame:
+    """old, current from a published gene-information file, for aliases(): each symbol and synonym of a species' genes, once.
+
+    A gene's current symbol is the nomenclature authority's or, without one, its own. Of the genes that have a name, those whose
+    symbol it is come before those whose authority calls them so, and these before synonyms; of equals the least gene number
+    counts. A dash stands for no value, a line that begins with # is a header.
+    """
+    cols = "tax_id string, gene_id string, symbol string, locus_tag string, synonyms string, refs string, chrom string, place string, about string, kind string, official string"
+    raw = spark.read.schema(cols).option("sep", "\t").option("quote", "").option("comment", "#").csv(path).where(F.col("tax_id") == tax_id)
+    given = lambda c: F.when((F.col(c) != "-") & (F.col(c) != ""), F.col(c))
+    named = lambda rank, name: F.struct(F.lit(rank).alias("rank"), name.alias("old"))
+    names = F.concat(F.array(named(0, given("symbol")), named(1, given("official"))), F.transform(F.coalesce(F.split(given("synonyms"), r"\|"), F.array().cast("array<string>")), lambda v: named(2, v)))
+    rows = raw.select(F.col("gene_id").try_cast("long").alias("gene_id"), F.coalesce(given("official"), given("symbol")).alias("current"), F.explode(names).alias("n")).where("current is not null and n.old <> ''")
+    return rows.groupBy(F.col("n.old").alias("old")).agg(F.min_by("current", F.struct("n.rank", F.coalesce("gene_id", F.lit((1 << 63) - 1)).alias("gene_id"), "current")).alias("current"))

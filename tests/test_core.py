@@ -66,6 +66,24 @@ def test_left_join_by_overlap_keeps_every_row(spark):
     assert intervals.overlap_left(x, y.where("false"), True).count() == len(a) and intervals.overlap_left(x.where("false"), y, True).count() == 0
 
 
+def test_pairs_of_very_unlike_lengths(spark):
+    """Lengths from 1 to 250 Mb on both sides, either at home: all pairs once, and no row listed more than some 64 times."""
+    rng = random.Random(11)
+    some = lambda p, n: [(rng.choice(["c1", "c2"]), s, s + size, f"{p}{i}", 0, rng.choice("+-")) for i in range(n) for s, size in [(rng.randrange(0, 3_000_000), int(10 ** rng.uniform(0, 8.4)))]]
+    a, b = some("a", 150), some("b", 150) + [("c1", 0, 250_000_000, "all", 0, "+"), ("c2", 5, 5, "empty", 0, "+"), (None, 0, 9, "none", 0, "+")]
+    a += a[:3]  # equal rows stay apart
+    x, y = spark.createDataFrame(a, BED), spark.createDataFrame(b, BED)
+    for stranded in (False, True):
+        want = sorted((p[3], q[3]) for p in a for q in b if p[0] == q[0] and max(p[1], q[1]) < min(p[2], q[2]) and (not stranded or p[5] == q[5]))
+        for home in ("a", "b"):
+            assert sorted(map(tuple, intervals.overlap(x, y, stranded, home=home).select("a_name", "b_name").collect())) == want
+    long = spark.createDataFrame([("c1", 7, 250_000_007, "x", 0, "+")], BED)
+    classes = F.filter(F.sequence(F.lit(0), F.lit(14)), lambda k: k >= intervals._length_class("", 16384) - intervals.NEAR)
+    assert long.select(F.size(intervals._bins("", classes, 16384))).first()[0] <= 64
+    tiny = spark.createDataFrame([("c1", i, i + 1, str(i), 0, "+") for i in range(0, 10_000_000, 200_000)], BED)
+    assert intervals.overlap(tiny, long, True).count() == 49
+
+
 def test_overlap_joins_once(spark):
     x = spark.createDataFrame(some_bed(random.Random(1), 20), BED)
     plan = lambda df: df._jdf.queryExecution().analyzed().toString().count("Join ") - df._jdf.queryExecution().analyzed().toString().count("Join Inner, true")
@@ -584,6 +602,15 @@ def test_readers_and_writers(spark, tmp_path):
     spark.conf.unset("spark.strandframe.offset_tol")
 
 
+def test_gene_information_names_symbols_before_synonyms(spark, tmp_path):
+    line = lambda tax, n, symbol, synonyms, official: "\t".join([tax, n, symbol, "-", synonyms, "-", "1", "-", '"q', "protein-coding", official, "-"])
+    rows_of = [line("9606", "30", "NEW", "OLD|TWICE", "NEW"), line("9606", "4", "OTHER", "TWICE|NEW", "-"), line("9606", "5", "LOC5", "-", "NAMED"), line("9606", "6", "X6", "NAMED", "-"), line("9606", "7", "-", "LOST", "-"), line("10090", "1", "Old", "OLD", "Old")]
+    (tmp_path / "info").write_text("#tax_id\tGeneID\n" + "\n".join(rows_of) + "\n")
+    got = rows(readers.gene_info(spark, str(tmp_path / "info")))
+    assert got == sorted([("NEW", "NEW"), ("OLD", "NEW"), ("TWICE", "OTHER"), ("OTHER", "OTHER"), ("LOC5", "NAMED"), ("NAMED", "NAMED"), ("X6", "X6")], key=repr)
+    assert rows(readers.gene_info(spark, str(tmp_path / "info"), "10090")) == [("OLD", "Old"), ("Old", "Old")]
+
+
 def test_lookups_by_key(spark):
     t = lambda r, s: spark.createDataFrame(r, s)
     x, y = t([(1,), (2,), (2,), (None,)], "k int"), t([(2, "a", 1), (2, "b", 2), (None, "c", 3)], "k int, v string, ord int")
