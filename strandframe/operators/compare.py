@@ -51,9 +51,10 @@ def containment(a: DataFrame, b: DataFrame, k: int = 20, min_len: int = 0) -> Da
     phrase or a run of one letter that many sequences have isn't what they meet by. Inner sequences shorter than k meet on all
     their bases. b below min_len takes no part.
 
-    In each direction the outer texts are read once for their k-mers: those that a bitmap of the inner ones' lets through (all, if the outer texts are the smaller side) are
-    written to the shared folder with the rows that have them, and counted from there. Only inner sequences all of whose k-mers a
-    bitmap of these may hold go on. The bitmaps, and so these steps, are made when this is called; the rest is lazy.
+    In each direction the outer texts are read once for their k-mers: those that a bitmap of the inner ones' lets through (all, if
+    the outer texts are the smaller side) are written to the shared folder with the rows that have them, and counted from there.
+    Only inner sequences all of whose k-mers a bitmap of these may hold go on. Measures, bitmaps and what is written are made when
+    this is called; the rest is lazy.
     """
     x, y = _sides(a, b)
     y = y.where(F.length("b_seq") >= max(1, min_len))
