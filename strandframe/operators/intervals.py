@@ -4,8 +4,9 @@ Overlap joins are equality joins on bins. One side, the home side, has each row
 class of length, `width` or that times a power of two, so a row reaches from its own bin into the next one at most. The
 other side's rows are listed, for each class there is, in the bins where a home row that they overlap may start. So every
 pair meets once, and left, semi and anti joins by overlap are plain joins of Spark's: one pass, no row numbers, and rows
-that are equal stay apart. In inner joins the shorter of two rows of very unlike lengths is listed, whichever side it is of. A chromosome with most of the rows is dealt over its bins, and adaptive execution splits a
-crowded bin's partition, as joins read their shuffles directly.
+that are equal stay apart. In inner joins the shorter of two rows of very unlike lengths is listed, whichever side it is of.
+A chromosome with most of the rows is dealt over its bins, and adaptive execution splits a crowded bin's partition, as
+joins read their shuffles directly.
 """
 
 from __future__ import annotations
