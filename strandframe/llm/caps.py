@@ -13,7 +13,8 @@ several filters counts in the first of those it shares. Tasks give counts and sp
 equal in every component are one class from the start, so copies aren't paired. A crowded filter is cut into blocks.
 
 Null and zero vectors and those with null or non-finite components link with nothing; vectors of different
-lengths don't link. Rows without vec_id have no links and a null component. vec_ids are taken as unique; of repeated
+lengths don't link. `exact` gives all vectors of a length one more filter, the last, so that pairs that share no other are found there: nothing is
+missed, at the cost of comparing all pairs, block by block. Rows without vec_id have no links and a null component. vec_ids are taken as unique; of repeated
 rows with one vector each counts, and rows of one vec_id with different vectors give a row each. Empty tables give no
 rows; other columns aren't read, so their names can't clash.
 """
@@ -125,7 +126,7 @@ class ProductCode:
 class Filters:
     """The codes for so many vectors and a least cosine of pairs. One code's passed filters come in clumps; more codes than one even that out."""
 
-    def __init__(self, dim: int, vectors: int, least: float):
+    def __init__(self, dim: int, vectors: int, least: float, exact: bool = False):
         dim = dim if dim <= WIDE else 1 << (dim - 1).bit_length()
         share = min(0.3, BUCKET / max(1, vectors))
         threshold = cap_threshold(dim, share)
@@ -134,20 +135,22 @@ class Filters:
         blocks = max(1, min(dim, 2 if each < 1 << 22 else 3 if each < 1 << 33 else 4))
         words = max(2, round(each ** (1 / blocks)))
         self.codes = [ProductCode(dim, words, blocks, threshold, SEED + dim + 100_003 * k) for k in range(codes)]
-        self.size = words**blocks
+        self.size, self.exact = words**blocks, exact
         self.kind = "<i4" if self.size * codes < 1 << 31 else "<i8"
 
     def decode(self, unit: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """(vector, filter) of all codes, filters ascending within a vector."""
         found = [(row, name + k * self.size) for k, (row, name) in enumerate(c.decode(unit) for c in self.codes)]
+        if self.exact:
+            found.append((np.arange(len(unit)), np.full(len(unit), len(self.codes) * self.size)))
         row, name = (np.concatenate(x) for x in zip(*found))
         order = np.lexsort((name, row))
         return row[order], name[order]
 
 
 @lru_cache(maxsize=4)
-def filters_of(dim: int, vectors: int, least: float) -> Filters:
-    return Filters(dim, vectors, least)
+def filters_of(dim: int, vectors: int, least: float, exact: bool) -> Filters:
+    return Filters(dim, vectors, least, exact)
 
 
 def unit_of(raw: list[bytes], dtype: str) -> np.ndarray:
@@ -181,8 +184,8 @@ def vectors(df: DataFrame, id_col: str, vector_col: str) -> DataFrame:
     return df.select(F.col(id_col).cast("long").alias("id"), x.alias("v")).mapInArrow(pack, "id long, vec binary").withColumn("h", F.md5("vec"))
 
 
-def near_vectors(df: DataFrame, least: float = 0.95, id_col: str = "vec_id", vector_col: str = "embedding") -> DataFrame:
-    """id_col, n_links, component_id (least id that links reach) and kept (id is the component's) of every row."""
+def near_vectors(df: DataFrame, least: float = 0.95, id_col: str = "vec_id", vector_col: str = "embedding", exact: bool = False) -> DataFrame:
+    """id_col, n_links, component_id (least id that links reach) and kept (id is the component's) of every row; exact: by all links, not by those that filters find."""
     kind = df.schema[vector_col].dataType.elementType.simpleString()
     dtype = "<f4" if kind == "float" else "<f8"
     size = np.dtype(dtype).itemsize
@@ -200,7 +203,7 @@ def near_vectors(df: DataFrame, least: float = 0.95, id_col: str = "vec_id", vec
         for dim in np.unique(dims).tolist():
             own = np.flatnonzero(dims == dim)
             unit = unit_of([raw[i] for i in own], dtype)
-            yield dim, own, unit, *filters_of(dim, many, least).decode(unit)
+            yield dim, own, unit, *filters_of(dim, many, least, exact).decode(unit)
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -219,7 +222,7 @@ def near_vectors(df: DataFrame, least: float = 0.95, id_col: str = "vec_id", vec
                     about = np.zeros(len(own), meta)
                     about["copies"], about["scale"], about["error"], about["dim"] = copies[own], scale, error, dim
                     ends = np.cumsum(np.bincount(r, minlength=len(own)))
-                    lists = f.astype(filters_of(dim, many, least).kind)
+                    lists = f.astype(filters_of(dim, many, least, exact).kind)
                     packed = [about[i].tobytes() + q[i].tobytes() + lists[a:b].tobytes() for i, (a, b) in enumerate(zip([0, *ends[:-1].tolist()], ends.tolist()))]
                     yield pa.RecordBatch.from_arrays([pa.array(f * stride + dim), pa.array(node[own[r]]), pa.array([packed[i] for i in r.tolist()], pa.binary())], names=["key", "node", "packed"])
 
@@ -234,7 +237,7 @@ def near_vectors(df: DataFrame, least: float = 0.95, id_col: str = "vec_id", vec
             about = np.frombuffer(b"".join(x[: meta.itemsize] for x in packed), meta)
             dim = int(about["dim"][0])
             q = np.frombuffer(b"".join(x[meta.itemsize : meta.itemsize + 2 * dim] for x in packed), "<i2").reshape(-1, dim)
-            lists = [np.frombuffer(x[meta.itemsize + 2 * dim :], filters_of(dim, many, least).kind) for x in packed]
+            lists = [np.frombuffer(x[meta.itemsize + 2 * dim :], filters_of(dim, many, least, exact).kind) for x in packed]
             filters = np.full((b - a, max(map(len, lists))), np.iinfo(np.int64).max)
             for i, x in enumerate(lists):
                 filters[i, : len(x)] = x

@@ -283,6 +283,22 @@ def test_caps_decide_in_double_precision(spark):
     assert all(found[i] <= n for i, n in want.items()) and sum(found.values()) >= 0.9 * sum(want.values())
 
 
+def test_caps_miss_nothing_if_exact(spark, monkeypatch):
+    """Many pairs barely near enough: filters alone miss some of them. The rows of a block are few, so that all vectors are several."""
+    monkeypatch.setattr(caps, "BLOCK", 1000)
+    rng = np.random.default_rng(8)
+    u, v = rng.normal(size=(2, 2500, 64))
+    u /= np.linalg.norm(u, axis=1, keepdims=True)
+    v -= (v * u).sum(axis=1, keepdims=True) * u
+    w = 0.9501 * u + np.sqrt(1 - 0.9501**2) * v / np.linalg.norm(v, axis=1, keepdims=True)
+    df = spark.createDataFrame([(2 * i + k, x[i].tolist()) for k, x in enumerate((u, w)) for i in range(len(u))] + [(9000, [1.0, 2.0]), (9001, [1.0, 2.1]), (9002, None)], "vec_id long, embedding array<double>")
+    links = link_counts(np.stack([u, w], axis=1).reshape(-1, 64)).tolist()
+    got = {r["vec_id"]: r for r in caps.near_vectors(df, exact=True).collect()}
+    assert [got[i]["n_links"] for i in range(5000)] == links and [got[i]["component_id"] for i in range(5000)] == [i // 2 * 2 for i in range(5000)]
+    assert [(got[i]["n_links"], got[i]["component_id"]) for i in range(9000, 9003)] == [(1, 9000), (1, 9000), (0, 9002)]
+    assert sum(r["n_links"] for r in caps.near_vectors(df).collect()) < sum(links) + 2
+
+
 def test_caps_of_wide_and_mixed_vectors(spark):
     rng = np.random.default_rng(11)
     rows, near = [], {}
