@@ -4,7 +4,8 @@ Pieces of PIECE bases, each with the `reach` bases after it, are dealt over shar
 A shard's row has the Burrows-Wheeler transform of its text, the counts of each letter before every BLOCK-th place of it, and the
 places of every STEP-th letter in order of the suffixes: an FM-index. Patterns are searched backwards, all of them a letter at a time:
 a pattern's suffix is a run of the sorted suffixes, and counts of a letter give the run of the suffix longer by one. A run's places are
-found by walking back to a kept one. Patterns longer than reach + 1 are sought in parts, and a place counts where all its parts are.
+found by walking back to a kept one. Patterns longer than reach + 1 are sought in parts of reach + 1 letters each, the last of which
+overlaps the one before, as a few letters left over would be found nearly everywhere; a place counts where all its parts are.
 
 Letters are told apart as they are in the tiles (upper case); a shard may have 254 different ones. Null and empty sequences have no
 places, repeated rows have theirs each, and empty tables and genomes give no rows. Other columns of seqs aren't read.
@@ -208,7 +209,7 @@ class _Searcher:
 
 
 def _found(row: dict, p: _Patterns) -> Iterator[pa.RecordBatch]:
-    """name, strand, part, of, chrom, start of the pattern's parts in a shard."""
+    """name, strand, part (its place in the pattern), parts, size, chrom, start of the pattern's parts in a shard."""
     searcher = _Searcher(row)
     for which, piece, start in searcher.hits(p):
         n = p.first[which + 1] - p.first[which]
@@ -233,7 +234,8 @@ def place_indexed(seqs: DataFrame, index: Index, bound: int = 100_000) -> DataFr
     width = index.reach + 1
     pats = patterns(seqs.select(F.col("name").cast("string").alias("name"), "seq")).withColumn("size", F.length("pattern").cast("long"))
     pats = pats.withColumn("parts", F.ceil(F.col("size") / width).cast("int")).withColumn("part", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)))
-    pats = pats.withColumn("pattern", F.substring("pattern", F.col("part") * width + 1, F.lit(width))).withColumn("row", F.monotonically_increasing_id())
+    pats = pats.withColumn("part", F.greatest(F.lit(0), F.least(F.col("part") * width, F.col("size").cast("int") - width)))
+    pats = pats.withColumn("pattern", F.substring("pattern", F.col("part") + 1, F.lit(width))).withColumn("row", F.monotonically_increasing_id())
     pats = stored(pats.select("pattern", "name", "strand", "part", "parts", "size", "row"), "patterns")
     n, size = pats.agg(F.count("*"), F.coalesce(F.sum(F.octet_length("pattern")), F.lit(0))).first()
     blocks = max(1, -(-n // bound), -(-size // AUTOMATON_BYTES))
@@ -261,7 +263,7 @@ def place_indexed(seqs: DataFrame, index: Index, bound: int = 100_000) -> DataFr
         found = each.join(dealt, "block").mapInArrow(run_block, FOUND)
     whole = found.where("parts = 1").select("name", "chrom", "start", "size", "strand")
     # a part's place less its offset is where the whole would begin; repeated rows of a sequence give each part as often as themselves
-    begun = found.where("parts > 1").groupBy("name", "strand", "chrom", (F.col("start") - F.col("part") * width).alias("start"), "size", "parts", "part").agg(F.count("*").alias("n"))
+    begun = found.where("parts > 1").groupBy("name", "strand", "chrom", (F.col("start") - F.col("part")).alias("start"), "size", "parts", "part").agg(F.count("*").alias("n"))
     begun = begun.groupBy("name", "strand", "chrom", "start", "size", "parts").agg(F.count("*").alias("met"), F.min("n").alias("n")).where("met = parts")
     long_ = begun.withColumn("copy", F.explode(F.sequence(F.lit(1).cast("long"), F.col("n")))).select("name", "chrom", "start", "size", "strand")
     return whole.unionByName(long_).select("name", "chrom", "start", (F.col("start") + F.col("size")).alias("end"), "strand")

@@ -412,6 +412,18 @@ def test_index_places_as_a_scan_does(spark, tmp_path, monkeypatch, bound):
         fm_index.build_index(search.tile(spark.createDataFrame([("x", "".join(map(chr, range(5000, 5400))))], "chrom string, seq string"), 128, 300), f"file://{tmp_path}/odd")
 
 
+def test_index_seeks_no_short_rests(spark, tmp_path, monkeypatch):
+    """A long sequence's parts are all of reach + 1 letters: the one letter left over of 13 would be found everywhere."""
+    kept = {}
+    monkeypatch.setattr(fm_index, "stored", lambda df, name, real=fm_index.stored: kept.setdefault(name, real(df, name)))
+    chrom = "ACGTTGCATTAGC" + "C" * 400
+    genome = search.tile(spark.createDataFrame([("x", chrom)], "chrom string, seq string"), 32, 11)
+    index = fm_index.build_index(genome, f"file://{tmp_path}/index")
+    seqs = spark.createDataFrame([("a", chrom[:13], 0), ("b", chrom[2:40], 1), ("c", "TTA", 2)], SEQ)
+    assert rows(fm_index.place_indexed(seqs, index)) == [("a", "x", 0, 13, "+"), ("b", "x", 2, 40, "+"), ("c", "x", 8, 11, "+")]
+    assert rows(kept["patterns"].select("name", "part", F.length("pattern")).where("strand = '+'")) == [("a", 0, 12), ("a", 1, 12), ("b", 0, 12), ("b", 12, 12), ("b", 24, 12), ("b", 26, 12), ("c", 0, 3)]
+
+
 @pytest.mark.parametrize("block", [256, 5])
 def test_pruned_alignment_loses_nothing(spark, monkeypatch, block):
     """Rows of all pairs, where identities tie, texts are much longer than others, and many come close."""
