@@ -16,10 +16,8 @@ from .bounds import Grams
 from .classes import digested
 from .kmers import anchor_hashes, bitmap, kmer_hashes
 
-#: Sequences of a block of a, and of one of b, that are aligned with each other in one go, about.
-BLOCK, FEW = 256, 64
-#: Sequences of a with which each b is aligned at first.
-FIRST = 4
+#: Sequences of a block of a, and letters of one of b, that are aligned with each other in one go, about.
+BLOCK, LETTERS = 256, 1 << 17
 #: Partitions for pairs of blocks, at most.
 SPREAD = 10_000
 
@@ -115,13 +113,18 @@ def align_best(a: DataFrame, b: DataFrame, k: int = 20, min_cov: float = 0.8, ga
     x = a.select(F.col("name").alias("a_name"), F.col("seq").alias("a_seq"), order.cast("long").alias("a_ord")).where(F.length("seq") > 0).distinct()
     y = sharing_kmer(a, b, k).select(F.col("name").alias("b_name"), F.col("seq").alias("b_seq")).distinct()
     x, y = stored(x, "align-a"), stored(y, "align-b")
-    dealt = lambda df, of: df.groupBy(F.pmod(F.xxhash64(*df.columns), F.lit(of)).cast("int").alias("block")).agg(F.collect_list(F.struct(*df.columns)).alias("rows"))  # noqa: E731  about BLOCK rows each
-    n, m = max(1, -(-x.count() // BLOCK)), max(1, -(-y.count() // FEW))
-    a_blocks = dealt(x, n).select("block", F.col("rows").alias("a_rows"))
+    n = max(1, -(-x.count() // BLOCK))
+    # a b block has sequences of about one length: a batch has as many steps as its longest asks for
+    kind = F.floor(2 * F.log2(F.length("b_seq") + 1)).cast("int")
+    sizes = {r["kind"]: max(1, -(-r["letters"] // LETTERS)) for r in y.groupBy(kind.alias("kind")).agg(F.sum(F.length("b_seq").cast("long")).alias("letters")).collect()}  # a row for each power of the root of 2
+    m = sum(sizes.values())
+    blocks = F.create_map(*[F.lit(v) for kv in sizes.items() for v in kv])[kind] if sizes else F.lit(1)
+    dealt = lambda df, *of: df.groupBy(*of).agg(F.collect_list(F.struct(*df.columns)).alias("rows"))
+    a_blocks = dealt(x, F.pmod(F.xxhash64(*x.columns), F.lit(n)).cast("int").alias("block")).select("block", F.col("rows").alias("a_rows"))
 
     def met(y: DataFrame) -> DataFrame:
-        b_blocks = dealt(y, m).select(F.explode(F.sequence(F.lit(0), F.lit(n - 1))).alias("block"), F.col("rows").alias("b_rows"))
-        return b_blocks.join(a_blocks, "block").select("a_rows", "b_rows").repartition(min(n * m, SPREAD))
+        b_blocks = dealt(y, kind.alias("kind"), F.pmod(F.xxhash64("b_name", "b_seq"), blocks).alias("of")).select(F.explode(F.sequence(F.lit(0), F.lit(n - 1))).alias("block"), F.col("rows").alias("b_rows"))
+        return b_blocks.join(a_blocks, "block").select("a_rows", "b_rows").repartition(max(1, min(n * m, SPREAD)))
 
     def likeliest(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -171,12 +174,14 @@ def _best(xs: list[dict], grams: Grams, ys: list[dict], min_cov: float, gap_open
     texts, known, best = [y["b_seq"] for y in ys], [(y["same"], y["columns"]) for y in ys], [None] * len(ys)
     places = [grams.places(t) for t in texts]
     left = [grams.likeliest_first(t, p) for t, p in zip(texts, places)]
-    step = FIRST
+    step = 1
     while any(map(len, left)):
         pairs: list[tuple[int, dict]] = []
         for j, own in enumerate(left):
             if len(own) and known[j][0]:
-                own = own[grams.can_reach(texts[j], places[j], *known[j])[own]]
+                among = np.zeros(len(xs), bool)
+                among[own] = True
+                own = own[grams.can_reach(texts[j], places[j], *known[j], among)[own]]
             pairs += [(j, xs[i]) for i in own[:step].tolist()]
             left[j] = own[step:]
         step *= 2

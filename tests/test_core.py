@@ -445,6 +445,26 @@ def test_pruned_alignment_loses_nothing(spark, monkeypatch, block):
             assert (-got[name]["identity_pct"], -got[name]["columns"], got[name]["a_name"]) == (best[0], best[1], best[3])
 
 
+def test_ways_of_32_and_64_bits_are_the_same(monkeypatch):
+    a, b = map(list, zip(*some_pairs(random.Random(37), 60)))
+    want = [x.tolist() for x in align.align(a, b)]
+    monkeypatch.setattr(align, "NEAR", 0)
+    assert [x.tolist() for x in align.align(a, b)] == want
+
+
+def test_bounds_tell_scrambled_sequences():
+    """Enough common q-grams within a sequence's length, but on diagonals that no alignment of nine in ten takes together."""
+    rng = random.Random(31)
+    parts = ["".join(rng.choice("ACGT") for _ in range(20)) for _ in range(4)]
+    whole, mixed = "".join(parts), "".join(parts[i] for i in (2, 0, 3, 1))
+    grams = bounds.Grams([whole, mixed], 0.8)
+    for lead in ("", "ACGT" * 200):
+        y = lead + whole
+        assert grams.can_reach(y, grams.places(y), 9, 10).tolist() == [True, False]
+        assert grams.can_reach(y, grams.places(y), 9, 10, np.array([False, True])).tolist() == [False] * 2
+        assert grams.likeliest_first(y, grams.places(y)).tolist()[0] == 0
+
+
 def test_bounds_let_every_alignment_through():
     rng = random.Random(5)
     base = "".join(rng.choice("ACGT") for _ in range(70))
