@@ -19,10 +19,10 @@ CACHE_ENTRIES = 300_000
 BATCH_ROWS = 1000
 
 
-def materialize(df: DataFrame, name: str) -> DataFrame:
+def materialize(df: DataFrame, name: str, compression: str | None = None) -> DataFrame:
     """Writes df as Parquet below the shared folder and reads it again: lineage ends there, and lost executors cost nothing."""
     path = shared_dir(df.sparkSession, name)
-    df.write.parquet(path)
+    df.write.parquet(path, compression=compression)
     out = df.sparkSession.read.schema(df.schema).parquet(path)
     out._strandframe_path = path
     return out

@@ -39,6 +39,10 @@ PSEUDO = 0.5
 BINS, FAR = 256, 4096
 #: Numbers of a gradient in one row.
 BLOCK = 4096
+#: Partitions of a shuffle for one task of a gradient, if that leaves each core one: each sends a sum about as large, however few rows it has.
+SPARE = 4
+#: How features are written: ascending numbers, of whose bytes half say little.
+PACKED = "zstd"
 
 
 class Fit:
@@ -141,11 +145,17 @@ def exchanged(pool: DataFrame, rounds: list[tuple[list[tuple[np.ndarray, float]]
             out = pa.RecordBatch.from_arrays([batch.column("content"), batch.column("page"), *(pa.array(a.astype(np.int32)) for a in y)], names=["content", "page", "y0", "y1"])
             yield out.filter(pa.array((y >= 0).any(axis=0)))
 
-    out = materialize(pool.select("content", "page").mapInArrow(run, "content binary, page binary, y0 int, y1 int"), "pseudo-labels")
+    out = materialize(pool.select("content", "page").mapInArrow(run, "content binary, page binary, y0 int, y1 int"), "pseudo-labels", PACKED)
     sent.destroy()
     return out
 
 
+def gathered(pseudo: DataFrame) -> DataFrame:
+    """The rows in as many partitions as a gradient has tasks, at most."""
+    spark = pseudo.sparkSession
+    return pseudo.coalesce(max(1, spark.sparkContext.defaultParallelism, partitions(spark) // SPARE))
+
+
 def gradient_sums(pseudo: DataFrame, views: list[tuple[np.ndarray, float]]) -> list[np.ndarray]:
     """Each view's gradient over its pseudo-labelled documents; partitions' sums are summed in tasks, block by block, before the driver gets one gradient."""
     sent = pseudo.sparkSession.sparkContext.broadcast(views)
@@ -181,7 +191,7 @@ def gradient_sums(pseudo: DataFrame, views: list[tuple[np.ndarray, float]]) -> l
         yield rows(total)
 
     kind = "block int, at binary, total binary"
-    parts = pseudo.mapInArrow(run, kind).repartition(min(partitions(pseudo.sparkSession), size // BLOCK), "block").mapInArrow(add, kind)
+    parts = gathered(pseudo).mapInArrow(run, kind).repartition(min(partitions(pseudo.sparkSession), size // BLOCK), "block").mapInArrow(add, kind)
     total = np.zeros(size)
     for row in parts.collect():  # one gradient
         put(total, *row)
@@ -225,7 +235,7 @@ class CoTrained:
         for fitted, x, steps in zip(fits, own, (60, 120)):
             for _ in range(steps):
                 fitted.step(gradient(fitted.w, fitted.b[0], x, y[teach], 1.0))
-        pool = materialize(pool, "unlabelled")
+        pool = materialize(pool, "unlabelled", PACKED)
         n, least, done = pool.count(), float(np.log(sure / (1 - sure))), []
         for _ in range(rounds if n else 0):
             now = [(f.w.copy(), float(f.b[0])) for f in fits]

@@ -517,6 +517,19 @@ def test_cotraining_pool_is_every_unlabelled_document(spark, odd):
     assert cotrain.unlabelled(odd.limit(0), odd.select("doc_id")).count() == 0
 
 
+def test_cotraining_bounds_the_tasks_of_a_gradient(spark):
+    """Each task sends a sum, however few its rows, so many small partitions are gathered; the sums stay the same."""
+    g = np.random.default_rng(2)
+    rows = [(*(np.unique(g.integers(0, w, 20)).astype("<i4").tobytes() for w in cotrain.WIDTHS), int(g.integers(-1, 2)), int(g.integers(0, 2))) for _ in range(200)]
+    most = max(spark.sparkContext.defaultParallelism, int(spark.conf.get("spark.sql.shuffle.partitions")) // cotrain.SPARE)
+    one = spark.createDataFrame(rows, "content binary, page binary, y0 int, y1 int").coalesce(1)
+    many = one.repartition(most + 20)
+    assert cotrain.gathered(many).rdd.getNumPartitions() == most
+    views = [(g.normal(size=w), 0.1) for w in cotrain.WIDTHS]
+    for a, b in zip(cotrain.gradient_sums(many, views), cotrain.gradient_sums(one, views)):
+        assert a.any() and np.allclose(a, b, rtol=1e-4, atol=1e-4)
+
+
 FOREIGN = [
     "kaikki ihmiset syntyvät vapaina ja tasavertaisina arvoltaan ja oikeuksiltaan heille on annettu järki ja omatunto",
     "wszyscy ludzie rodzą się wolni i równi pod względem swej godności i swych praw są oni obdarzeni rozumem",
